@@ -35,8 +35,8 @@ def mean(v) -> Column:
 def hmean(v) -> Column:
     """Harmonic mean; 0 for an empty vector."""
     v = _c(v)
-    inverse = F.aggregate(v, F.lit(0.0), lambda s, e: s + F.lit(1.0) / e)
-    return F.when(F.size(v) == 0, F.lit(0.0)).otherwise(F.size(v) / inverse)
+    inverse = F.aggregate(v, F.lit(0.0), lambda s, e: s + F.try_divide(F.lit(1.0), e))
+    return F.when(F.size(v) == 0, F.lit(0.0)).otherwise(F.try_divide(F.size(v), inverse))
 
 
 def smallest(v, init: float) -> Column:
@@ -86,7 +86,7 @@ def dist(a, b) -> Column:
 def centre_distance(x, sums, count) -> Column:
     """Distance from ``x`` to the centre ``sums / count``; null if it is empty."""
     n = _c(count)
-    gap = F.zip_with(_c(x), _c(sums), lambda v, s: v - s / n)
+    gap = F.zip_with(_c(x), _c(sums), lambda v, s: v - F.try_divide(s, n))
     return F.when(n > 0, F.sqrt(sq(gap)))
 
 

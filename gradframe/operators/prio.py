@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from gradframe.plans.ordered import ranked
 
-BY_POINT = Window.partitionBy("id").orderBy("iter")
+
+def _by_point():
+    return Window.partitionBy("id").orderBy("iter")
 
 
 def diff(prio: DataFrame, step: int = 1, stride: int = 1, ratio: bool = True,
          average: bool = False) -> DataFrame:
     """Every ``stride``-th ``p_t / p_{t+step}`` or difference, optionally per step."""
-    after = prio.withColumn("_q", F.lead("p", step).over(BY_POINT)).where(F.col("_q").isNotNull())
-    value = F.col("p") / F.col("_q") if ratio else F.col("p") - F.col("_q")
+    after = prio.withColumn("_q", F.lead("p", step).over(_by_point())).where(F.col("_q").isNotNull())
+    value = F.try_divide("p", "_q") if ratio else F.col("p") - F.col("_q")
     return after.where(F.col("iter") % stride == 0).select(
         "iter", "id", (value / step if average else value).alias("d")
     )
@@ -27,8 +29,8 @@ def diff(prio: DataFrame, step: int = 1, stride: int = 1, ratio: bool = True,
 
 def trend(prio: DataFrame, factor: float) -> DataFrame:
     """Points whose steps all fall (start above 0) or all rise, within ``factor``."""
-    after = F.lead("p").over(BY_POINT)
-    first = F.first("p").over(BY_POINT)
+    after = F.lead("p").over(_by_point())
+    first = F.first("p").over(_by_point())
     bound = F.col("p") * (1 - factor)
     ok = F.when(first > 0, bound >= after).otherwise(bound <= after)
     steps = prio.select("id", ok.alias("ok"))
@@ -40,7 +42,7 @@ def trend(prio: DataFrame, factor: float) -> DataFrame:
 def log_trend(prio: DataFrame) -> DataFrame:
     """Log-priority and its change from the iteration before."""
     y = F.log("p")
-    return prio.select("iter", "id", y.alias("y"), (y - F.lag(y).over(BY_POINT)).alias("dy"))
+    return prio.select("iter", "id", y.alias("y"), (y - F.lag(y).over(_by_point())).alias("dy"))
 
 
 def fit(prio: DataFrame, interval: int, degree: int) -> DataFrame:
@@ -120,8 +122,8 @@ def parabola_fit(prio: DataFrame) -> DataFrame:
     )
     s2, s3, s4 = F.col("s2"), F.col("s3"), F.col("s4") - F.col("s2") * F.col("s2") / F.col("n")
     det = s2 * s4 - s3 * s3
-    a = (s2 * F.col("t2") - s3 * F.col("t1")) / det
-    b = (s4 * F.col("t1") - s3 * F.col("t2")) / det
+    a = F.try_divide(s2 * F.col("t2") - s3 * F.col("t1"), det)
+    b = F.try_divide(s4 * F.col("t1") - s3 * F.col("t2"), det)
     m = F.col("m")
     return sums.select("id", "m", "ym", "n", "s2", a.alias("a"), b.alias("bu")).select(
         "id",
@@ -171,7 +173,7 @@ def contribution(prio: DataFrame, bins: int) -> DataFrame:
         "iter", "bin", (F.floor((F.col("m") - 1) * F.col("bin") / bins) + 1).alias("rank")
     )
     return ends.join(rows, ["iter", "rank"]).select(
-        "iter", "bin", (F.col("cum") / F.col("total")).alias("share")
+        "iter", "bin", F.try_divide("cum", "total").alias("share")
     )
 
 
@@ -184,7 +186,7 @@ def top_share(prio: DataFrame, shares: list[float]) -> DataFrame:
         "iter", "top", (F.col("m") - F.floor((F.lit(1.0) - F.col("top")) * F.col("m"))).alias("rank")
     )
     return ends.join(rows, ["iter", "rank"]).select(
-        "iter", "top", (F.col("cum") / F.col("total")).alias("share")
+        "iter", "top", F.try_divide("cum", "total").alias("share")
     )
 
 
@@ -232,7 +234,7 @@ def jaccard(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     return both.agg(
         F.count(F.col("l") + F.col("r")).alias("common"),
         F.count("*").alias("all"),
-        (F.count(F.col("l") + F.col("r")) / F.count("*")).alias("jaccard"),
+        F.try_divide(F.count(F.col("l") + F.col("r")), F.count("*")).alias("jaccard"),
     )
 
 

@@ -99,7 +99,8 @@ class Keep:
 
 
 def _log_ratio(p: Column, old: Column) -> Column:
-    return F.when((old != 0) & (p / old > 0), F.log(p / old)).otherwise(F.lit(0.0))
+    ratio = F.try_divide(p, old)
+    return F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(0.0))
 
 
 def _smoothed(new: Column, old: Column) -> Column:
@@ -120,7 +121,7 @@ class ExpLinear:
 
     def updated(self, p, now, s=F.col):
         gap = now - s("ver")
-        slope = _log_ratio(p, s("p")) / gap
+        slope = F.try_divide(_log_ratio(p, s("p")), gap)
         fresh = (p, now, _smoothed(slope, s("a")))
         return [F.when(gap == 0, s(c)).otherwise(f) for c, f in zip(self.columns, fresh)]
 
@@ -147,10 +148,10 @@ class ExpQuadratic:
         d1, d2 = n - v, n * n - v * v
         lr = _log_ratio(p, s("p"))
         det = d2 * s("d1") - d1 * s("d2")
-        a = (lr * s("d1") - s("lr") * d1) / det
-        b = (lr * s("d2") - s("lr") * d2) / -det
+        a = F.try_divide(lr * s("d1") - s("lr") * d1, det)
+        b = F.try_divide(lr * s("d2") - s("lr") * d2, -det)
         a = F.when(det == 0, F.lit(0.0)).otherwise(_smoothed(a, s("a")))
-        b = F.when(det == 0, lr / d1).otherwise(_smoothed(b, s("b")))
+        b = F.when(det == 0, F.try_divide(lr, d1)).otherwise(_smoothed(b, s("b")))
         fresh = (p, now, a, b, lr, d2, d1)
         return [F.when(d1 == 0, s(c)).otherwise(f) for c, f in zip(self.columns, fresh)]
 

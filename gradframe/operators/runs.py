@@ -41,15 +41,16 @@ def time_to_target(
         *[pick(value, r).alias(f"v{r}") for r in (1, 2, 3, 4)],
     )
     c = F.col
-    r1 = (c("v4") - c("v2")) / (c("x4") - c("x2"))
-    r2 = (c("v3") - c("v1")) / (c("x3") - c("x1"))
-    a = F.least(r2 / r1, F.lit(1.0))
+    r1 = F.try_divide(c("v4") - c("v2"), c("x4") - c("x2"))
+    r2 = F.try_divide(c("v3") - c("v1"), c("x3") - c("x1"))
+    a = F.least(F.try_divide(r2, r1), F.lit(1.0))
     goal = F.lit(float(target))
-    line = c("x1") + (goal - c("v1")) / ((r1 + r2) / 2)
+    line = c("x1") + F.try_divide(goal - c("v1"), (r1 + r2) / 2)
     if estimate == "exp":
         # value = v1 + a*r2*dx + a^2*r2*dx + ..., solved for the number of terms
         dx = (c("x3") - c("x1") + c("x4") - c("x2")) / 2
-        terms = F.log(1 - (goal - c("v1")) / a / r2 / dx * (1 - a)) / F.log(a)
+        left = F.try_divide(goal - c("v1"), a * r2 * dx) * (1 - a)
+        terms = F.try_divide(F.log(1 - left), F.log(a))
         line = F.when(a == 1, line).otherwise(c("x1") + dx * terms)
     guess = four.select("run", line.alias("guess"))
     return met.join(guess, "run", "left").select(
@@ -70,11 +71,12 @@ def progress(
         rows = scores.join(bounds, "run")
         high = F.col("_h") if p0 is None else F.lit(float(p0))
         low = F.col("_l") if pinf is None else F.lit(float(pinf))
-        return rows.withColumn("progress", (high - F.col(value)) / (high - low)).drop("_h", "_l")
-    h, low = scores.agg(F.max(value), F.min(value)).first()
-    h = h if p0 is None else p0
-    low = low if pinf is None else pinf
-    return scores.withColumn("progress", (F.lit(h) - F.col(value)) / F.lit(h - low))
+        return rows.withColumn("progress", F.try_divide(high - F.col(value), high - low)).drop("_h", "_l")
+    top, bottom = scores.agg(F.max(value), F.min(value)).first()
+    h, low = top if p0 is None else p0, bottom if pinf is None else pinf
+    if h is None:
+        return scores.withColumn("progress", F.lit(None).cast("double"))
+    return scores.withColumn("progress", F.try_divide(F.lit(h) - F.col(value), F.lit(h - low)))
 
 
 def strip_overhead(scores: DataFrame, portion: float, fixed: float = 0.0) -> DataFrame:
@@ -115,7 +117,7 @@ def relative_to(times: DataFrame, reference: DataFrame, keys: list[str]) -> Data
     """Times divided by those of the reference run of the same group."""
     base = reference.select(*keys, F.col("reached").alias("_ref"))
     return times.join(base, keys).select(
-        *times.columns, (F.col("reached") / F.col("_ref")).alias("relative")
+        *times.columns, F.try_divide("reached", "_ref").alias("relative")
     )
 
 
@@ -123,7 +125,7 @@ def scaling(times: DataFrame, reference: int) -> DataFrame:
     """Speed-up ``t_ref / t * n_ref`` per group against its run with ``reference`` workers."""
     base = times.where(F.col("workers") == reference).select("grp", F.col("reached").alias("_ref"))
     return times.join(base, "grp").select(
-        "grp", "workers", "reached", (F.col("_ref") / F.col("reached") * reference).alias("speedup")
+        "grp", "workers", "reached", (F.try_divide("_ref", "reached") * reference).alias("speedup")
     )
 
 

@@ -81,9 +81,9 @@ def run_statistics(df: DataFrame) -> DataFrame:
         points.alias("points"),
         work.alias("work"),
         wait.alias("wait"),
-        (work / points * 1000).alias("work_per_k"),
-        (wait / points * 1000).alias("wait_per_k"),
-        (work / (work + wait)).alias("busy"),
+        (F.try_divide(work, points) * 1000).alias("work_per_k"),
+        (F.try_divide(wait, points) * 1000).alias("wait_per_k"),
+        F.try_divide(work, work + wait).alias("busy"),
     )
 
 

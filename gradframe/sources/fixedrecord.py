@@ -10,10 +10,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gradframe.functions.batches import matrix
+from gradframe.plans.sizes import small
+
 BATCH_ROWS = 4096
 
 
@@ -97,7 +101,7 @@ def decode(df: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
 
     Length 0 gives a scalar, any other length an ``ARRAY<DOUBLE>``.
     """
-    layout = np.dtype([(n, t) if k == 0 else (n, t, (k,)) for n, (t, k) in fields.items()])
+    layout = _layout(fields)
     kinds = {
         n: "array<double>" if k else ("double" if "f" in t else "bigint")
         for n, (t, k) in fields.items()
@@ -122,10 +126,56 @@ def decode(df: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
     return df.mapInArrow(unpack, schema)
 
 
+def number_records(df: DataFrame, name: str = "id") -> DataFrame:
+    """Number records across files, in the order of the file names.
+
+    Only one count per file is brought together.
+    """
+    counts = df.groupBy("file").agg((F.max("pos") + 1).alias("_n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rest = [c for c in df.columns if c not in ("file", "pos")]
+    return df.join(small(starts), "file").select((F.col("_start") + F.col("pos")).alias(name), *rest)
+
+
 def blocks_to_rows(df: DataFrame, per_record: int) -> DataFrame:
     """Number consecutive records as ``(iter, id)`` blocks of ``per_record``."""
-    return df.select(
-        F.floor(F.col("pos") / per_record).cast("int").alias("iter"),
-        F.pmod("pos", F.lit(per_record)).alias("id"),
-        *[c for c in df.columns if c not in ("file", "pos")],
+    rows = number_records(df, "_at")
+    return rows.select(
+        F.floor(F.col("_at") / per_record).cast("int").alias("iter"),
+        F.pmod("_at", F.lit(per_record)).alias("id"),
+        *[c for c in rows.columns if c != "_at"],
     )
+
+
+def write_records(
+    df: DataFrame, path: str, fields: dict[str, tuple[str, int]], header: bytes = b""
+) -> int:
+    """Write packed records, one file per partition in partition order.
+
+    Files are named by partition, so a task that is run again writes the same
+    file. Returns the number of records.
+    """
+    layout = _layout(fields)
+    where, name = fs.FileSystem.from_uri(path)
+    where.create_dir(name, recursive=True)
+
+    def write(batches):
+        target, folder = fs.FileSystem.from_uri(path)
+        part, count = TaskContext.get().partitionId(), 0
+        with target.open_output_stream(f"{folder}/part-{part:06d}.bin") as out:
+            out.write(header)
+            for batch in batches:
+                rows = np.empty(batch.num_rows, layout)
+                for field, (_, length) in fields.items():
+                    column = batch.column(field)
+                    rows[field] = matrix(column) if length else np.asarray(column)
+                out.write(rows.tobytes())
+                count += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+
+    return df.select(*fields).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def _layout(fields: dict[str, tuple[str, int]]) -> np.dtype:
+    return np.dtype([(n, t) if k == 0 else (n, t, (k,)) for n, (t, k) in fields.items()])

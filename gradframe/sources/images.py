@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradframe.functions import vec
-from gradframe.sources.fixedrecord import decode, read_records
+from gradframe.sources.fixedrecord import decode, number_records, read_records
 
 # fixed values: file names and sizes of the published sets
 MNIST = {
@@ -32,9 +32,7 @@ def mnist(
     labels = decode(
         read_records(spark, f"{folder}/{label_file}", 1, LABEL_HEADER), {"label": ("u1", 0)}
     )
-    joined = images.select(F.col("pos").alias("id"), "x").join(
-        labels.select(F.col("pos").alias("id"), "label"), "id"
-    )
+    joined = number_records(images).join(number_records(labels), "id")
     return _rows(joined, F.col("label"), 10, first)
 
 
@@ -53,12 +51,7 @@ def cifar(
     fields |= {"label": ("u1", 0), "x": (pixel, CIFAR_PIXELS)}
     paths = ",".join(f"{folder}/{n}" for n in names)
     records = decode(read_records(spark, paths, CIFAR_PIXELS + len(fields) - 1), fields)
-    # files hold consecutive parts of one set: number records across them
-    counts = records.groupBy("file").agg((F.max("pos") + 1).alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = records.join(F.broadcast(starts), "file").withColumn("id", F.col("start") + F.col("pos"))
-    return _rows(numbered, F.col("label"), classes, first)
+    return _rows(number_records(records), F.col("label"), classes, first)
 
 
 def _rows(df: DataFrame, label: Column, classes: int, first: int) -> DataFrame:

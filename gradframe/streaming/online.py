@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,7 +39,8 @@ def stream_train(
     time; without it the rows at hand are worked off and the query ends.
     """
     spark = stream.sparkSession
-    history.append(history.rows(spark, [(0, 0.0, 0, w0)]), path)
+    if not _has_versions(spark, path):
+        history.append(history.rows(spark, [(0, 0.0, 0, w0)]), path)
     began = time.monotonic()
 
     def update(batch: DataFrame, number: int) -> None:
@@ -67,6 +69,13 @@ def stream_train(
     return writer.trigger(**trigger).start()
 
 
+def _has_versions(spark: SparkSession, path: str) -> bool:
+    try:
+        return not history.read(spark, path).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def batch_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Points per version and time since the one before, for rate smoothing."""
     versions = history.read(spark, path).select("iter", "time", "n")
