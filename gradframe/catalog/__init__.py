@@ -1,6 +1,14 @@
 """The query catalogue: importing it registers every query."""
 
-from gradframe.catalog import analysis, arithmetic, logs, preparation, prioritised, training  # noqa: F401
+from gradframe.catalog import (  # noqa: F401
+    analysis,
+    arithmetic,
+    logs,
+    networks,
+    preparation,
+    prioritised,
+    training,
+)
 from gradframe.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

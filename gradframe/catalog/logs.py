@@ -50,10 +50,15 @@ def moving_average(spark, sf):
 
 @query(
     "w13_iteration_time",
-    sql("reports", "SELECT seq, worker, at - lag(at) OVER (PARTITION BY worker ORDER BY at, seq) AS dt FROM reports"),
+    sql(
+        "reports",
+        """SELECT * FROM (SELECT seq, worker, micros - lag(micros) OVER
+        (PARTITION BY worker ORDER BY micros, seq) AS dt FROM reports) WHERE dt IS NOT NULL""",
+    ),
 )
 def iteration_time(spark, sf):
-    return updates.iteration_time(reports(spark, sf), "worker", "at", ["at", "seq"]).select("seq", "worker", "dt")
+    out = updates.iteration_time(reports(spark, sf), "worker", "micros", ["micros", "seq"])
+    return out.select("seq", "worker", "dt").where(F.col("dt").isNotNull())
 
 
 @query(

@@ -126,7 +126,7 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("event_id").alias("seq"),
         F.pmod("user_id", F.lit(8)).alias("worker"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         (F.lit(1) + F.pmod("event_id", F.lit(5))).alias("n"),
         (v / 1000).alias("t_point"),
         (v / 100).alias("t_delta"),
@@ -141,7 +141,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
         "worker",
         F.col("n").alias("points"),
         (F.lit(0.5) + F.pmod("seq", F.lit(7)) / 10).alias("interval"),
-        (F.lit(0.01) + F.col("loss") / 100).alias("improve"),
+        (F.lit(0.01) + F.col("loss") / 97).alias("improve"),
         (F.lit(0.01) + F.pmod("seq", F.lit(3)) / 100).alias("sync"),
     )
 
@@ -191,11 +191,11 @@ SQL = {
         ON s.id = u.id AND s.iter = d.iter""",
     "deltas": """SELECT event_id AS seq, user_id % 4 AS worker, j::INT AS j,
         ((event_id*(j+3)) % 13 - 6)/100 AS d FROM events, range(4) t(j)""",
-    "reports": """SELECT event_id AS seq, user_id % 8 AS worker, epoch_us(ts) AS at,
+    "reports": """SELECT event_id AS seq, user_id % 8 AS worker, epoch_us(ts) AS micros,
         1 + event_id % 5 AS n, value/1000 AS t_point, value/100 AS t_delta, value/10 AS loss
         FROM events""",
     "metrics": """SELECT seq, worker, n AS points, 0.5::DOUBLE + (seq % 7)/10 AS interval,
-        0.01::DOUBLE + loss/100 AS improve, 0.01::DOUBLE + (seq % 3)/100 AS sync FROM reports""",
+        0.01::DOUBLE + loss/97 AS improve, 0.01::DOUBLE + (seq % 3)/100 AS sync FROM reports""",
     "runs": """SELECT run, i::INT AS iter, i*(run % 5 + 2)/4 AS time,
         10.0::DOUBLE/(1 + i*(run % 5 + 1)/5) + floor(o_totalprice)/1000000 AS loss
         FROM (SELECT o_custkey AS run, o_totalprice, row_number() OVER
