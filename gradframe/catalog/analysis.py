@@ -190,8 +190,8 @@ def histogram(spark, sf):
     "a13_gradient_distribution",
     sql(
         "ev w3",
-        """SELECT bin, n, round(n/sum(n) OVER (), 6) + 0.0 AS pdf,
-        round(sum(n) OVER (ORDER BY bin)/sum(n) OVER (), 6) + 0.0 AS cdf
+        """SELECT bin, n, round(n/sum(n) OVER (), 9) + 0.0 AS pdf,
+        round(sum(n) OVER (ORDER BY bin)/sum(n) OVER (), 9) + 0.0 AS cdf
         FROM (SELECT least(floor((g-lo)/((hi-lo)/30)), 29)::INT AS bin, count(*) AS n
               FROM c, (SELECT min(g) AS lo, max(g) AS hi FROM c) GROUP BY 1)""",
         c="""SELECT (p-y)*xx[j] AS g FROM (SELECT y, list_append(x, 1.0::DOUBLE) AS xx,
@@ -201,7 +201,8 @@ def histogram(spark, sf):
 def gradient_distribution(spark, sf):
     graded = gradients.gradients(ev(spark, sf), LR(3), weights(4), keep=[])
     out = pa.histogram(graded.select(F.explode("g").alias("g")), "g", 30, by=None)
-    return out.select("bin", "n", r6("pdf").alias("pdf"), r6("cdf").alias("cdf"))
+    nine = [(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("pdf", "cdf")]
+    return out.select("bin", "n", *nine)
 
 
 RANKED = "SELECT *, row_number() OVER (PARTITION BY iter ORDER BY p DESC, id) AS r FROM prio"

@@ -42,8 +42,7 @@ W3 = weights(4)
 )
 def moving_average(spark, sf):
     """The average after each worker's last report."""
-    rows = updates.ema(reports(spark, sf), ["worker"], ["seq"], "t_point", "a")
-    rows = updates.ema(rows, ["worker"], ["seq"], "t_delta", "b")
+    rows = updates.ema(reports(spark, sf), ["worker"], ["seq"], {"a": "t_point", "b": "t_delta"})
     last = rows.groupBy("worker").agg(F.max_by(F.struct("a", "b"), "seq").alias("e"))
     return last.select("worker", r6("e.a").alias("t_point"), r6("e.b").alias("t_delta"))
 

@@ -198,7 +198,7 @@ def sequence_score(spark, sf):
     return _sequence_scores(spark, sf, {"short": SHORT})
 
 
-H = "1e-5::DOUBLE"
+H = "1e-6::DOUBLE"
 
 
 def _numeric(n, scored):
@@ -208,7 +208,7 @@ def _numeric(n, scored):
     return dict(w0=_params(n), pw=shifted, s=scored)
 
 
-DIFFERENCE = f"""SELECT (j-1)::INT AS j, round(sum(s*(p-y)*(p-y))/(4*{H}), 4) + 0.0 AS g, count(*)//2 AS n
+DIFFERENCE = f"""SELECT (j-1)::INT AS j, round(sum(s*(p-y)*(p-y))/(4*{H}), 3) + 0.0 AS g, count(*)//2 AS n
     FROM s GROUP BY j"""
 
 
@@ -216,7 +216,7 @@ DIFFERENCE = f"""SELECT (j-1)::INT AS j, round(sum(s*(p-y)*(p-y))/(4*{H}), 4) +
 def network_gradient(spark, sf):
     """Back-propagation against differences of the loss."""
     out = gradients.grad_sum(emb(spark, sf), SERIES, weights(SERIES.width))
-    return out.select("j", (F.round("g", 4) + F.lit(0.0)).alias("g"), "n")
+    return out.select("j", (F.round("g", 3) + F.lit(0.0)).alias("g"), "n")
 
 
 @query(
@@ -226,4 +226,4 @@ def network_gradient(spark, sf):
 def recurrent_gradient(spark, sf):
     net = SeqNet((8,), (Recurrent(1, "tanh", 2), Dense(1)))
     out = gradients.grad_sum(_seqs(spark, sf), net, weights(net.width))
-    return out.select("j", (F.round("g", 4) + F.lit(0.0)).alias("g"), "n")
+    return out.select("j", (F.round("g", 3) + F.lit(0.0)).alias("g"), "n")

@@ -9,6 +9,7 @@ from gradframe.catalog.views import day_hist, emb, ev, hist, li, local, prio, r6
 from gradframe.functions import vec
 from gradframe.functions.models import LR
 from gradframe.operators import evaluation, prep
+from gradframe.plans.sizes import small
 from gradframe.sources import fixedrecord, history, images, scores, tables
 
 EV_ROWS = """SELECT id, round(x[1], 6) + 0.0 AS x0, round(x[2], 6) + 0.0 AS x1,
@@ -278,7 +279,7 @@ def line_filter(spark, sf):
     kept = tables.read_table(spark, path, skip=[0], width=5).agg(F.count("*").alias("kept"))
     bad = tables.read_rejects(spark, path, width=5).agg(F.count("*").alias("rejected"))
     one = F.lit(1)
-    return kept.withColumn("k", one).join(F.broadcast(bad.withColumn("k", one)), "k").drop("k")
+    return kept.withColumn("k", one).join(bad.withColumn("k", one), "k").drop("k")
 
 
 @query(
@@ -390,9 +391,9 @@ def positional_join(spark, sf):
     fixedrecord.write_records(rows, b, {"cls": ("<i4", 0)})
     left = fixedrecord.decode(fixedrecord.read_records(spark, a, 512), {"x": ("<f8", 64)})
     right = fixedrecord.decode(fixedrecord.read_records(spark, b, 4), {"cls": ("<i4", 0)})
-    both = fixedrecord.number_records(left).join(fixedrecord.number_records(right), "id")
+    both = left.select("row", "x").join(right.select("row", "cls"), "row")
     return both.select(
-        "id", F.col("cls").cast("int").alias("label"), r6(F.get("x", F.lit(0))).alias("first")
+        F.col("row").alias("id"), F.col("cls").cast("int").alias("label"), r6(F.get("x", F.lit(0))).alias("first")
     )
 
 
@@ -401,7 +402,7 @@ def semi_join(spark, sf):
     """Rows of the records that hold some large priority."""
     rows = prio(spark, sf)
     wanted = rows.where(F.col("p") > 450).select("iter").distinct()
-    return rows.join(F.broadcast(wanted), "iter", "left_semi").select("iter", "id", r6("p").alias("p"))
+    return rows.join(small(wanted), "iter", "left_semi").select("iter", "id", r6("p").alias("p"))
 
 
 @query("j5_anti_join_resume", sql("prio", "SELECT iter, id, round(p, 6) + 0.0 AS p FROM prio WHERE iter NOT IN (SELECT iter FROM prio WHERE p > 450)"))

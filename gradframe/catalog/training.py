@@ -179,7 +179,7 @@ def averaged_delta(spark, sf):
 )
 def block_mean_gradient(spark, sf):
     graded = gradients.gradients(ev(spark, sf), LR3, _w(4), keep=["id"])
-    return gradients.block_means(graded, 500).select("block", "j", r6("g").alias("g"), "n")
+    return gradients.block_means(graded, 500, 4).select("block", "j", r6("g").alias("g"), "n")
 
 
 @query(
@@ -366,7 +366,7 @@ def logged_training(spark, sf):
     ),
 )
 def centroids(spark, sf):
-    return kmeans.centres_by(emb(spark, sf), "cls").select("z", "j", r6("s").alias("s"), "n")
+    return kmeans.centres_by(emb(spark, sf), 64, "cls").select("z", "j", r6("s").alias("s"), "n")
 
 
 D2 = "sqrt(list_sum([(e.x[j]-c.s[j]/c.n)*(e.x[j]-c.s[j]/c.n) FOR j IN range(1,65)]))"
@@ -514,7 +514,7 @@ def kmeans_move(spark, sf):
     ),
 )
 def history_by_data(spark, sf):
-    return evaluation.losses(ev(spark, sf), LR3, hist(spark, 4), accuracy=False).select(
+    return evaluation.losses(ev(spark, sf), LR3, hist(spark, 4)).select(
         "iter", r6("loss").alias("loss")
     )
 

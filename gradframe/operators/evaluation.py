@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 from gradframe.functions import vec
 from gradframe.functions.batches import lists, matrix
 from gradframe.functions.models import Model
-from gradframe.operators.gradients import batch_grad_rows, sum_batches
+from gradframe.operators.gradients import batch_grad_rows, batch_grad_sum, sum_batches
 from gradframe.operators.prep import pick_records
 from gradframe.operators.scoring import scores_of
+from gradframe.plans.lineage import spread
 from gradframe.plans.ordered import lagged
-from gradframe.plans.sizes import chunks
+from gradframe.plans.sizes import small
 from gradframe.sources import history as store
 
 
@@ -33,49 +34,41 @@ def pending(history: DataFrame, done: DataFrame | None) -> DataFrame:
     """Records that were not handled by an earlier run."""
     if done is None:
         return history
-    return history.join(F.broadcast(done.select("iter").distinct()), "iter", "left_anti")
-
-
-def losses(df: DataFrame, model: Model, history: DataFrame, accuracy: bool = True) -> DataFrame:
-    """``(iter, loss, accuracy)`` of every record, one scan per run of records."""
-    iters, W = store.matrix(history)
-    source = "xs" if "xs" in df.columns else "x"
-    found = []
-    for at, part in chunks(W):
-        def of_batch(b, part=part):
-            Y = matrix(b.column("y"))
-            out = np.empty((len(part), 3))
-            for r, w in enumerate(part):
-                P = scores_of(model, b.column(source), w)
-                out[r] = model.loss(P, Y).sum(), ((P >= 0.5) == Y).sum(), len(Y)
-            return out.ravel()
-
-        sums = sum_batches(df.select(*_inputs(df)), 3 * len(part), of_batch)
-        pairs = F.array(*[F.lit(int(i)) for i in iters[at : at + len(part)]])
-        found.append(
-            sums.withColumn("iter", F.get(pairs, F.floor(F.col("j") / 3).cast("int")))
-            .groupBy("iter")
-            .agg(
-                F.sum(F.when(F.col("j") % 3 == 0, F.col("v"))).alias("l"),
-                F.sum(F.when(F.col("j") % 3 == 1, F.col("v"))).alias("c"),
-                F.sum(F.when(F.col("j") % 3 == 2, F.col("v"))).alias("m"),
-            )
+    return history.join(small(done.select("iter").distinct()), "iter", "left_anti")
+
+
+def _loss_sums(rows: DataFrame, model: Model, iters: np.ndarray, W: np.ndarray) -> DataFrame:
+    """``(iter, loss, accuracy)`` for one run of records: sums per task, then per record."""
+    source = "xs" if "xs" in rows.columns else "x"
+
+    def partial(batches):
+        acc = np.zeros((len(W), 3))
+        for b in batches:
+            if b.num_rows:
+                Y = matrix(b.column("y"))
+                for r, w in enumerate(W):
+                    P = scores_of(model, b.column(source), w)
+                    acc[r] += model.loss(P, Y).sum(), ((P >= 0.5) == Y).sum(), len(Y)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(iters.astype(np.int32)), *[pa.array(acc[:, c]) for c in range(3)]],
+            names=["iter", "l", "c", "m"],
         )
-    if not found:
-        return df.sparkSession.createDataFrame([], "iter int, loss double, accuracy double")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    hit = F.col("c") / (F.col("m") * F.lit(model.outputs))
-    return out.select(
-        "iter",
-        (F.col("l") / F.col("m")).alias("loss"),
-        *([hit.alias("accuracy")] if accuracy else []),
+
+    parts = rows.mapInArrow(partial, "iter int, l double, c double, m double")
+    m = F.sum("m")
+    return parts.groupBy("iter").agg(
+        (F.sum("l") / m).alias("loss"), (F.sum("c") / (m * F.lit(model.outputs))).alias("accuracy")
     )
 
 
-def improvements(history: DataFrame) -> DataFrame:
+def _steps(W: np.ndarray, before: np.ndarray | None) -> np.ndarray:
     """Distance of every record to the one before; the first to the origin."""
+    first = np.zeros(W.shape[1]) if before is None else before
+    return np.sqrt((np.diff(np.vstack([first, W]), axis=0) ** 2).sum(axis=1))
+
+
+def improvements(history: DataFrame) -> DataFrame:
+    """Distance of every record to the one before, on the executors: ``(iter, delta)``."""
     before = lagged(history.select("iter", "w"), [], ["iter"], F.col("w"), "b")
     return before.select(
         "iter",
@@ -91,41 +84,60 @@ def evaluate(
     accuracy: bool = True,
     done: DataFrame | None = None,
 ) -> DataFrame:
-    """``(iter, time, n, loss, accuracy, difference, delta)`` per record."""
-    todo = pending(history, done)
-    scored = losses(df, model, todo, accuracy)
-    gap = vec.dist("w", vec.vector(reference)) if reference is not None else F.lit(0.0)
-    return (
-        todo.select("iter", "time", "n", gap.alias("difference"))
-        .join(scored, "iter")
-        .join(improvements(history), "iter")
-        .select(
-            "iter", "time", "n", "loss", *(["accuracy"] if accuracy else []), "difference", "delta"
+    """``(iter, time, n, loss, accuracy, difference, delta)`` per record.
+
+    The records come to the driver in runs of bounded size, since from there
+    they go to all tasks; one scan of the data scores a whole run.
+    """
+    spark = df.sparkSession
+    todo = None if done is None else {r[0] for r in pending(history, done).select("iter").collect()}
+    rows = spread(df.select(*_inputs(df)))
+    out, before = None, None
+    for iters, time, n, W in store.blocks(history):
+        step, before = _steps(W, before), W[-1]
+        gap = np.zeros(len(W)) if reference is None else np.sqrt(((W - reference) ** 2).sum(axis=1))
+        keep = [r for r in range(len(W)) if todo is None or int(iters[r]) in todo]
+        if not keep:
+            continue
+        facts = spark.createDataFrame(
+            [(int(iters[r]), float(time[r]), int(n[r]), float(gap[r]), float(step[r])) for r in keep],
+            "iter int, time double, n bigint, difference double, delta double",
         )
-    )
+        part = facts.join(_loss_sums(rows, model, iters[keep], W[keep]), "iter")
+        out = part if out is None else out.unionByName(part)
+    names = ["iter", "time", "n", "loss", *(["accuracy"] if accuracy else []), "difference", "delta"]
+    if out is None:
+        kinds = {"iter": "int", "n": "bigint"}
+        return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names))
+    return out.select(*names)
+
+
+def losses(df: DataFrame, model: Model, history: DataFrame) -> DataFrame:
+    """``(iter, loss)`` of every record against every row."""
+    return evaluate(df, model, history, accuracy=False).select("iter", "loss")
 
 
 def _per_record(
     df: DataFrame, history: DataFrame, field: T.StructField, make: Callable
 ) -> DataFrame:
     """``(iter, id, value)``: ``make(batch, r, w) -> Arrow array`` for every record."""
-    iters, W = store.matrix(history)
     schema = T.StructType(
         [T.StructField("iter", T.IntegerType()), T.StructField("id", T.LongType()), field]
     )
+    rows = spread(df.select("id", *_inputs(df)))
     out = None
-    for at, part in chunks(W):
-        def run(batches, part=part, at=at):
+    for iters, _, _, W in store.blocks(history):
+        def run(batches, iters=iters, W=W):
             for b in batches:
                 if b.num_rows:
-                    for r, w in enumerate(part):
-                        number = np.full(b.num_rows, iters[at + r], dtype=np.int32)
+                    for i, w in zip(iters, W):
+                        number = pa.array(np.full(b.num_rows, i, dtype=np.int32))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(number), b.column("id"), make(b, at + r, w)],
+                            [number, b.column("id"), make(b, int(i), w)],
                             names=["iter", "id", field.name],
                         )
 
-        piece = df.select("id", *_inputs(df)).mapInArrow(run, schema)
+        piece = rows.mapInArrow(run, schema)
         out = piece if out is None else out.unionByName(piece)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
@@ -136,22 +148,23 @@ def gradient_history(
     """Gradients of all rows under the chosen records: ``(iter, id, g)``."""
     chosen = pick_records(history, lines) if lines else history
     field = T.StructField("g", T.ArrayType(T.DoubleType()))
-    return _per_record(df, chosen, field, lambda b, r, w: lists(batch_grad_rows(model, b, w)[0]))
+    return _per_record(df, chosen, field, lambda b, i, w: lists(batch_grad_rows(model, b, w)[0]))
 
 
-def mean_gradients(df: DataFrame, model: Model, history: DataFrame) -> np.ndarray:
-    """Mean gradient under every record, in order: one scan per run of records."""
-    _, W = store.matrix(history)
-    means = np.empty((len(W), model.width))
-    for at, part in chunks(W):
-        def of_batch(b, part=part):
-            sums = [batch_grad_rows(model, b, w)[0].sum(axis=0) for w in part]
+def mean_gradients(df: DataFrame, model: Model, history: DataFrame) -> dict[int, np.ndarray]:
+    """Mean gradient under every record: one scan per run of records."""
+    means = {}
+    rows = spread(df.select(*_inputs(df)))
+    for iters, _, _, W in store.blocks(history):
+        def of_batch(b, W=W):
+            sums = [batch_grad_sum(model, b, w)[0] for w in W]
             return np.append(np.concatenate(sums), b.num_rows)
 
-        got = sum_batches(df.select(*_inputs(df)), part.size + 1, of_batch).toPandas()
-        flat = np.zeros(part.size + 1)
+        got = sum_batches(rows, of_batch).toPandas()
+        flat = np.zeros(W.size + 1)
         flat[got["j"].to_numpy()] = got["v"].to_numpy()
-        means[at : at + len(part)] = (flat[:-1] / max(flat[-1], 1)).reshape(part.shape)
+        for i, g in zip(iters, flat[:-1].reshape(W.shape)):
+            means[int(i)] = g / max(flat[-1], 1)
     return means
 
 
@@ -171,8 +184,8 @@ def priority_history(
     chosen = pending(pick_records(history, lines) if lines else history, done)
     means = mean_gradients(df, model, chosen) if how == "projection" else None
 
-    def make(b, r, w):
+    def make(b, i, w):
         G, _ = batch_grad_rows(model, b, w)
-        return pa.array(np.einsum("mj,mj->m", G, G) if means is None else G @ means[r])
+        return pa.array(np.einsum("mj,mj->m", G, G) if means is None else G @ means[i])
 
     return _per_record(df, chosen, T.StructField("p", T.DoubleType()), make)

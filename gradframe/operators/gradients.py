@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,7 @@ def gradients(
     return df.select(*needed).mapInArrow(run, T.StructType(fields))
 
 
-def sum_batches(df: DataFrame, width: int, of_batch: Callable) -> DataFrame:
+def sum_batches(df: DataFrame, of_batch: Callable) -> DataFrame:
     """Add up ``of_batch(record batch) -> vector`` over all rows as ``(j, v)``."""
 
     def partial(batches):
@@ -101,9 +101,7 @@ def vector_sum(df: DataFrame, column: str, width: int | None = None) -> DataFram
     if width is not None and width <= 256:
         one = df.agg(F.array(*[F.sum(F.get(column, F.lit(j))) for j in range(width)]).alias("v"))
         return one.select(F.posexplode("v").alias("j", "v"))
-    return sum_batches(
-        df.select(column), width or 0, lambda b: matrix(b.column(0)).sum(axis=0)
-    )
+    return sum_batches(df.select(column), lambda b: matrix(b.column(0)).sum(axis=0))
 
 
 def grad_sum(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
@@ -111,17 +109,9 @@ def grad_sum(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
     if isinstance(model, LR) and model.inputs <= NARROW:
         one = _narrow_sums(df, model, w)
         return one.select("n", "loss", F.posexplode("g").alias("j", "g"))
-    one = _long_sums(df, model, w).agg(
-        F.array_sort(F.collect_list(F.struct("j", "v"))).alias("a")
-    )
-    # one entry per parameter plus loss and count, so the list is model-sized
-    return (
-        one.select(
-            F.element_at("a", -1)["v"].cast("bigint").alias("n"),
-            F.element_at("a", -2)["v"].alias("loss"),
-            F.explode(F.slice("a", 1, model.width)).alias("e"),
-        )
-        .select("n", "loss", F.col("e.j").alias("j"), F.col("e.v").alias("g"))
+    parts = _partial_sums(df, model, w).select("n", "loss", F.posexplode("g").alias("j", "g"))
+    return parts.groupBy("j").agg(
+        F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("g").alias("g")
     )
 
 
@@ -138,14 +128,21 @@ def _narrow_sums(df: DataFrame, model: LR, w: np.ndarray) -> DataFrame:
     )
 
 
-def _long_sums(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
-    """Gradient sum, then loss sum, then row count, as ``(j, v)``."""
+def _partial_sums(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
+    """One row ``(n, loss, g)`` per task."""
 
-    def of_batch(batch):
-        g, loss = batch_grad_sum(model, batch, w)
-        return np.append(g, [loss, batch.num_rows])
+    def partial(batches):
+        n, loss, g = 0, 0.0, np.zeros(model.width)
+        for batch in batches:
+            if batch.num_rows:
+                part, lost = batch_grad_sum(model, batch, w)
+                n, loss, g = n + batch.num_rows, loss + lost, g + part
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n]), pa.array([loss]), lists(g[None, :])], names=["n", "loss", "g"]
+            )
 
-    return sum_batches(df.select(_source(model), "y"), model.width + 2, of_batch)
+    return df.select(_source(model), "y").mapInArrow(partial, "n bigint, loss double, g array<double>")
 
 
 def reduce_gradient(df: DataFrame, model: Model, w: np.ndarray) -> tuple[int, float, np.ndarray]:
@@ -155,19 +152,20 @@ def reduce_gradient(df: DataFrame, model: Model, w: np.ndarray) -> tuple[int, fl
         if not row["n"]:
             return 0, 0.0, np.zeros(model.width)
         return row["n"], row["loss"], np.array(row["g"])
-    got = _long_sums(df, model, w).toPandas()
-    full = np.zeros(model.width + 2)
-    full[got["j"].to_numpy()] = got["v"].to_numpy()
-    return int(full[-1]), float(full[-2]), full[:-2]
+    got = grad_sum(df, model, w).toPandas()
+    g = np.zeros(model.width)
+    if not len(got):
+        return 0, 0.0, g
+    g[got["j"].to_numpy()] = got["g"].to_numpy()
+    return int(got["n"].iloc[0]), float(got["loss"].iloc[0]), g
 
 
-def block_means(graded: DataFrame, block: int) -> DataFrame:
+def block_means(graded: DataFrame, block: int, width: int) -> DataFrame:
     """Mean gradient per block of consecutive ids as ``(block, j, g, n)``."""
-    return (
-        graded.select(F.floor(F.col("id") / block).alias("block"), F.posexplode("g").alias("j", "g"))
-        .groupBy("block", "j")
-        .agg(F.avg("g").alias("g"), F.count("*").alias("n"))
+    means = graded.groupBy(F.floor(F.col("id") / block).alias("block")).agg(
+        F.count("*").alias("n"), F.array(*[F.avg(F.get("g", F.lit(j))) for j in range(width)]).alias("g")
     )
+    return means.select("block", "n", F.posexplode("g").alias("j", "g"))
 
 
 def apply_wide(params: DataFrame, grad: DataFrame, factor: float) -> DataFrame:

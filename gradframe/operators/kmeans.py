@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from gradframe.functions.batches import matrix
 from gradframe.functions.models import KMeans
 from gradframe.operators.gradients import sum_batches
 from gradframe.operators.prep import batch_slice
-from gradframe.plans.lineage import spread
+from gradframe.plans.lineage import held
 
 
 def _rows_and_counts(X: np.ndarray, z: np.ndarray, sign: float, k: int) -> np.ndarray:
@@ -32,14 +31,16 @@ def _collect(summed: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def centres_by(df: DataFrame, group: str = "z", width: int | None = None) -> DataFrame:
+def centres_by(df: DataFrame, width: int, group: str = "z") -> DataFrame:
     """Centroid sums and counts as ``(z, j, s, n)``.
 
     A cluster may hold most rows: sums are formed per task before the shuffle,
     so its size does not matter.
     """
-    exploded = df.select(F.col(group).alias("z"), F.posexplode("x").alias("j", "v"))
-    return exploded.groupBy("z", "j").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    sums = df.groupBy(F.col(group).alias("z")).agg(
+        F.count("*").alias("n"), F.array(*[F.sum(F.get("x", F.lit(j))) for j in range(width)]).alias("s")
+    )
+    return sums.select("z", "n", F.posexplode("s").alias("j", "s"))
 
 
 def params_by(df: DataFrame, k: int, dim: int, group: str) -> np.ndarray:
@@ -51,26 +52,23 @@ def params_by(df: DataFrame, k: int, dim: int, group: str) -> np.ndarray:
         return _rows_and_counts(X, z, 1.0, k).ravel()
 
     rows = df.select("x", F.col(group).cast("int").alias("z"))
-    return _collect(sum_batches(rows, model.width, of_batch), model.width)
+    return _collect(sum_batches(rows, of_batch), model.width)
 
 
 def lloyd(df: DataFrame, k: int, dim: int, w0: np.ndarray, steps: int) -> DataFrame:
     """Assign all rows, re-mean: ``(iter, loss, w)``, loss being the mean distance."""
     spark, model = df.sparkSession, KMeans(k, dim)
-    rows = spread(df.select("x")).persist(StorageLevel.MEMORY_AND_DISK)
     w, log = np.array(w0, float), []
-    try:
+    with held(df.select("x")) as rows:
         for step in range(steps):
             def of_batch(batch, w=w):
                 X = matrix(batch.column("x"))
                 z, far = model.nearest(X, w)
                 return np.append(_rows_and_counts(X, z, 1.0, k).ravel(), [far.sum(), len(X)])
 
-            out = _collect(sum_batches(rows, model.width + 2, of_batch), model.width + 2)
+            out = _collect(sum_batches(rows, of_batch), model.width + 2)
             w = out[:-2]
             log.append((step + 1, float(out[-2] / out[-1]), [float(v) for v in w]))
-    finally:
-        rows.unpersist()
     return spark.createDataFrame(log, "iter int, loss double, w array<double>")
 
 
@@ -126,35 +124,36 @@ def train_em(
     distance within the batch, and the final state ``(id, z)``.
     """
     spark, model = df.sparkSession, KMeans(k, dim)
-    rows = spread(df.select("id", "x")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
-    size = total if batch is None else min(batch, total)
     state = Assigned(initial)
 
     def start(b):
         ids, X = np.asarray(b.column("id")), matrix(b.column("x"))
         return _rows_and_counts(X, initial(ids), 1.0, k).ravel()
 
-    w = _collect(sum_batches(rows, model.width, start), model.width)
-    log = [(0, 0, 0, None, [float(v) for v in w])]
-    at = 0
-    for step in range(1, steps + 1):
-        def move(b, w=w, state=state.copy()):
-            ids, X = np.asarray(b.column("id")), matrix(b.column("x"))
-            old = state.of(model, ids, X)
-            new, far = model.nearest(X, w)
-            moved = old != new
-            change = _rows_and_counts(X[moved], new[moved], 1.0, k)
-            change += _rows_and_counts(X[moved], old[moved], -1.0, k)
-            return np.append(change.ravel(), [moved.sum(), far.sum(), len(X)])
-
-        part = batch_slice(rows, at, size, total)
-        out = _collect(sum_batches(part, model.width + 3, move), model.width + 3)
-        for lo, hi in _spans(at, size, total):
-            state.set(lo, hi, w)
-        w = w + out[:-3]
-        at = (at + size) % total
-        log.append((step, int(out[-1]), int(out[-3]), float(out[-2] / out[-1]), [float(v) for v in w]))
+    with held(df.select("id", "x")) as rows:
+        total = rows.count()
+        size = total if batch is None else min(batch, total)
+        w = _collect(sum_batches(rows, start), model.width)
+        log = [(0, 0, 0, None, [float(v) for v in w])]
+        at = 0
+        for step in range(1, steps + 1):
+            def move(b, w=w, state=state.copy()):
+                ids, X = np.asarray(b.column("id")), matrix(b.column("x"))
+                old = state.of(model, ids, X)
+                new, far = model.nearest(X, w)
+                moved = old != new
+                change = _rows_and_counts(X[moved], new[moved], 1.0, k)
+                change += _rows_and_counts(X[moved], old[moved], -1.0, k)
+                return np.append(change.ravel(), [moved.sum(), far.sum(), len(X)])
+
+            part = batch_slice(rows, at, size, total)
+            out = _collect(sum_batches(part, move), model.width + 3)
+            for lo, hi in _spans(at, size, total):
+                state.set(lo, hi, w)
+            w = w + out[:-3]
+            at = (at + size) % total
+            mean = float(out[-2] / out[-1])
+            log.append((step, int(out[-1]), int(out[-3]), mean, [float(v) for v in w]))
 
     def final(batches, state=state):
         for b in batches:
@@ -165,7 +164,6 @@ def train_em(
                 )
 
     states = df.select("id", "x").mapInArrow(final, "id bigint, z int")
-    rows.unpersist()
     fields = "iter int, n bigint, moved bigint, loss double, w array<double>"
     return spark.createDataFrame(log, fields), states
 

@@ -7,10 +7,14 @@ range-split scans, because one iteration holds as many rows as there are points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradframe.plans.lineage import cut
 from gradframe.plans.ordered import ranked
+from gradframe.plans.sizes import small
 
 
 def _by_point():
@@ -155,75 +159,71 @@ def histogram(values: DataFrame, column: str, bins: int, by: str | None = "iter"
     )
 
 
-def ranked_by_priority(prio: DataFrame, ascending: bool = False) -> DataFrame:
-    """Rank, running sum, count and total of every row within its iteration."""
+def _at_ranks(prio: DataFrame, ends: Callable, per_iter: int, ascending: bool = False) -> DataFrame:
+    """Rows at chosen ranks of every iteration, with running sum and totals.
+
+    ``ends`` maps the totals ``(iter, m, total)`` to ``(iter, rank, ...)`` with
+    ``per_iter`` rows each. Both are small beside the ranked rows and are
+    broadcast when their counted size allows it.
+    """
+    totals = cut(prio.groupBy("iter").agg(F.count("*").alias("m"), F.sum("p").alias("total")))
+    wanted = ends(totals)
     order = [F.col("p") if ascending else F.col("p").desc(), F.col("id")]
     rows = ranked(prio, ["iter"], order, "rank", {"cum": F.col("p")})
-    totals = prio.groupBy("iter").agg(F.count("*").alias("m"), F.sum("p").alias("total"))
-    return rows.join(F.broadcast(totals), "iter")
+    return rows.join(small(wanted, totals.count() * per_iter), ["iter", "rank"])
+
+
+def _steps(bins: int) -> Callable:
+    """Ranks at ``bins`` equal steps: place floor((m - 1) * bin / bins) counted from 0."""
+    step = lambda: F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
+    place = lambda: F.floor((F.col("m") - 1) * F.col("bin") / bins) + 1
+    return lambda t: t.select("iter", "m", "total", step()).withColumn("rank", place())
 
 
 def contribution(prio: DataFrame, bins: int) -> DataFrame:
     """Share of the total held by the lowest rows, at ``bins`` equal steps."""
-    rows = ranked_by_priority(prio, ascending=True)
-    steps = F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
-    # the last rank of each step: floor((m - 1) * bin / bins) counted from 0
-    totals = prio.groupBy("iter").agg(F.count("*").alias("m")).select("iter", "m", steps)
-    ends = totals.select(
-        "iter", "bin", (F.floor((F.col("m") - 1) * F.col("bin") / bins) + 1).alias("rank")
-    )
-    return ends.join(rows, ["iter", "rank"]).select(
-        "iter", "bin", F.try_divide("cum", "total").alias("share")
-    )
+    rows = _at_ranks(prio, _steps(bins), bins, ascending=True)
+    return rows.select("iter", "bin", F.try_divide("cum", "total").alias("share"))
 
 
 def top_share(prio: DataFrame, shares: list[float]) -> DataFrame:
     """Share of the total held by the top fraction, per iteration."""
-    rows = ranked_by_priority(prio)
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("top")
-    counts = prio.groupBy("iter").agg(F.count("*").alias("m")).select("iter", "m", wanted)
-    ends = counts.select(
-        "iter", "top", (F.col("m") - F.floor((F.lit(1.0) - F.col("top")) * F.col("m"))).alias("rank")
-    )
-    return ends.join(rows, ["iter", "rank"]).select(
-        "iter", "top", F.try_divide("cum", "total").alias("share")
-    )
+    def ends(totals):
+        each = totals.withColumn("top", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+        left = F.floor((F.lit(1.0) - F.col("top")) * F.col("m"))
+        return each.withColumn("rank", F.col("m") - left)
+
+    rows = _at_ranks(prio, ends, len(shares))
+    return rows.select("iter", "top", F.try_divide("cum", "total").alias("share"))
 
 
 def top_mean(prio: DataFrame, bins: int) -> DataFrame:
     """Mean priority of the top percentiles, at ``bins`` equal steps."""
-    rows = ranked_by_priority(prio)
-    steps = F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
-    counts = prio.groupBy("iter").agg(F.count("*").alias("m")).select("iter", "m", steps)
-    ends = counts.select(
-        "iter", "bin", (F.floor((F.col("m") - 1) * F.col("bin") / bins) + 1).alias("rank")
-    )
-    return ends.join(rows, ["iter", "rank"]).select(
-        "iter", "bin", (F.col("cum") / F.col("rank")).alias("mean")
-    )
-
-
-def _against(prio: DataFrame, reference: int) -> DataFrame:
-    """Every row's rank beside the rank of the same point in one iteration."""
-    rows = ranked(prio, ["iter"], [F.col("p").desc(), F.col("id")]).select("iter", "id", "rank")
-    own = rows.where(F.col("iter") == reference).select("id", F.col("rank").alias("ref"))
-    return rows.join(own, "id")
+    rows = _at_ranks(prio, _steps(bins), bins)
+    return rows.select("iter", "bin", (F.col("cum") / F.col("rank")).alias("mean"))
 
 
 def overlap(prio: DataFrame, reference: int, ks: list[int]) -> DataFrame:
     """Jaccard index of the top-k points of each iteration and of ``reference``.
 
-    Ranks are computed once. Only rows in some top-k are kept, each with the
-    span of k for which it is in one or both sets; the k values then expand
-    those few rows.
+    Only rows in the largest top-k matter: the tasks drop all others before the
+    shuffle. The reference's top points are at most ``max(ks)`` rows and are
+    broadcast; the sizes of the sets follow from the ranks.
     """
     top = max(ks)
-    rows = _against(prio, reference).where((F.col("rank") <= top) | (F.col("ref") <= top))
-    each = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    mine, theirs = F.col("rank") <= F.col("k"), F.col("ref") <= F.col("k")
-    return each.groupBy("iter", "k").agg(
-        (F.sum((mine & theirs).cast("int")) / F.sum((mine | theirs).cast("int"))).alias("jaccard")
+    w = Window.partitionBy("iter").orderBy(F.col("p").desc(), F.col("id"))
+    rows = prio.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    rows = cut(rows.select("iter", "id", "rank"))
+    own = rows.where(F.col("iter") == reference).select("id", F.col("rank").alias("ref"))
+    count = own.count()
+    each = rows.join(small(own, count), "id", "left").withColumn(
+        "k", F.explode(F.array(*[F.lit(k) for k in ks]))
     )
+    mine = F.sum((F.col("rank") <= F.col("k")).cast("int"))
+    both = F.sum(((F.col("rank") <= F.col("k")) & (F.col("ref") <= F.col("k"))).cast("int"))
+    sets = each.groupBy("iter", "k").agg(mine.alias("a"), F.coalesce(both, F.lit(0)).alias("c"))
+    union = F.col("a") + F.least(F.col("k"), F.lit(count)) - F.col("c")
+    return sets.select("iter", "k", (F.col("c") / union).alias("jaccard"))
 
 
 def jaccard(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +18,11 @@ from gradframe.operators.gradients import (
     batch_grad_rows,
     gradients,
     reduce_gradient,
-    sum_batches,
     vector_sum,
 )
 from gradframe.operators.prep import batch_slice
 from gradframe.operators.scoring import NARROW
-from gradframe.plans.lineage import cut, spread
+from gradframe.plans.lineage import cut, held
 from gradframe.plans.sizes import BROADCAST_ROWS, small
 from gradframe.plans.topk import top_k
 from gradframe.sources import history
@@ -268,31 +266,29 @@ def train_prioritised(
     per step, so the data itself is never rewritten.
     """
     spark, model_decay = df.sparkSession, DECAYS[decay]
-    rows = spread(df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns]))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
-    k, renewed = int(total * top), int(total * renew_share)
-    w, version, at = np.array(w0, float), 0, 0
-    mean = np.zeros(model.width)
-    if PROJECTION in (init, how):
-        n, _, g = reduce_gradient(rows, model, w)
-        mean = g / n
-    first = priorities(rows, model, w, init, mean)
-    state = cut(
-        first.select("id", *named(model_decay, model_decay.initial(F.col("p"), F.lit(0))))
-    )
-    move = (lambda: (renewed + k) // VERSION_STEP) if set("pd") & set(variation) else (lambda: 1)
-    version += move()
-    records, points = [(0, 0.0, 0, w)], 0
-    direction = lambda: mean if how == PROJECTION else None
-
-    def moved(g, count):
-        f = count / total
-        if compat:
-            return (1 - f) * mean * f + f * g
-        return (1 - f) * mean + f * g / max(count, 1)
-
-    try:
+    with held(df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns])) as rows:
+        total = rows.count()
+        k, renewed = int(total * top), int(total * renew_share)
+        w, version, at = np.array(w0, float), 0, 0
+        mean = np.zeros(model.width)
+        if PROJECTION in (init, how):
+            n, _, g = reduce_gradient(rows, model, w)
+            mean = g / n
+        first = priorities(rows, model, w, init, mean)
+        state = cut(
+            first.select("id", *named(model_decay, model_decay.initial(F.col("p"), F.lit(0))))
+        )
+        move = (lambda: (renewed + k) // VERSION_STEP) if set("pd") & set(variation) else (lambda: 1)
+        version += move()
+        records, points = [(0, 0.0, 0, w)], 0
+        direction = lambda: mean if how == PROJECTION else None
+
+        def moved(g, count):
+            f = count / total
+            if compat:
+                return (1 - f) * mean * f + f * g
+            return (1 - f) * mean + f * g / max(count, 1)
+
         for step in range(1, steps + 1):
             g1 = np.zeros(model.width)
             if renewed:
@@ -326,8 +322,6 @@ def train_prioritised(
                     F.lit(step).alias("iter"), "id", model_decay.at(F.lit(version)).alias("p")
                 )
                 write_by_iter(logged, log)
-    finally:
-        rows.unpersist()
     return history.rows(spark, records), state
 
 
@@ -353,18 +347,17 @@ def train_block(
     ``(block, g)``.
     """
     spark = df.sparkSession
-    rows = spread(df.select("id", "x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
-    block = min(block or total, total)
-    size, renewed = min(batch or total, total), int(total * renew_share)
-    w = np.array(w0, float)
-    blocks = cut(_block_sums(rows, model, w, block).select(
-        "block", F.transform("g", lambda v: v / F.col("n")).alias("g")
-    ))
-    direction = _vector(blocks, model.width)
-    state = cut(priorities(rows, model, w, PROJECTION, direction))
-    records, points, at, start = [(0, 0.0, 0, w)], 0, 0, 0
-    try:
+    with held(df.select("id", "x", "y")) as rows:
+        total = rows.count()
+        block = min(block or total, total)
+        size, renewed = min(batch or total, total), int(total * renew_share)
+        w = np.array(w0, float)
+        blocks = cut(_block_sums(rows, model, w, block).select(
+            "block", F.transform("g", lambda v: v / F.col("n")).alias("g")
+        ))
+        direction = _vector(blocks, model.width)
+        state = cut(priorities(rows, model, w, PROJECTION, direction))
+        records, points, at, start = [(0, 0.0, 0, w)], 0, 0, 0
         for step in range(1, steps + 1):
             g = np.zeros(model.width)
             if renewed:
@@ -392,8 +385,6 @@ def train_block(
             w = w - rate * (g + g2) / max(k, 1)
             start, points = (start + size) % total, points + k
             records.append((step, float(step), points, w))
-    finally:
-        rows.unpersist()
     return history.rows(spark, records), state, blocks
 
 
@@ -442,15 +433,14 @@ def train_decayed_mean(
     ``g`` is the mean gradient of the renewed rows, then of the top rows.
     """
     spark = df.sparkSession
-    rows = spread(df.select("id", "x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
-    size, renewed = min(batch or total, total), int(total * renew_share)
-    w = np.array(w0, float)
-    n, _, g = reduce_gradient(rows, model, w)
-    mean = g / n
-    state = cut(priorities(rows, model, w, PROJECTION, mean))
-    records, points, at, start = [(0, 0.0, 0, w)], 0, 0, 0
-    try:
+    with held(df.select("id", "x", "y")) as rows:
+        total = rows.count()
+        size, renewed = min(batch or total, total), int(total * renew_share)
+        w = np.array(w0, float)
+        n, _, g = reduce_gradient(rows, model, w)
+        mean = g / n
+        state = cut(priorities(rows, model, w, PROJECTION, mean))
+        records, points, at, start = [(0, 0.0, 0, w)], 0, 0, 0
         for step in range(1, steps + 1):
             g = np.zeros(model.width)
             if renewed:
@@ -469,8 +459,6 @@ def train_decayed_mean(
             w = w - rate * (g + g2) / max(k, 1)
             start, points = (start + size) % total, points + k
             records.append((step, float(step), points, w))
-    finally:
-        rows.unpersist()
     return history.rows(spark, records), state
 
 
@@ -486,12 +474,11 @@ def train_exact(
 ) -> DataFrame:
     """Exact priorities every step, gradient of the top rows of the batch."""
     spark = df.sparkSession
-    rows = spread(df.select("id", "x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
-    size = min(batch or total, total)
-    k = int(top * size)
-    w, records, start = np.array(w0, float), [(0, 0.0, 0, np.array(w0, float))], 0
-    try:
+    with held(df.select("id", "x", "y")) as rows:
+        total = rows.count()
+        size = min(batch or total, total)
+        k = int(top * size)
+        w, records, start = np.array(w0, float), [(0, 0.0, 0, np.array(w0, float))], 0
         for step in range(1, steps + 1):
             direction = None
             if how == PROJECTION:
@@ -503,8 +490,6 @@ def train_exact(
             w = w - rate * g / max(k, 1)
             start = (start + size) % total
             records.append((step, float(step), step * k, w))
-    finally:
-        rows.unpersist()
     return history.rows(spark, records)
 
 
@@ -540,12 +525,11 @@ def train_dimensions(
 ) -> DataFrame:
     """As :func:`train_exact`, but over (point, position) pairs."""
     spark = df.sparkSession
-    rows = spread(df.select("id", "x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count()
-    size = min(batch or total, total)
-    k = int(top * size * model.width)
-    w, records, start = np.array(w0, float), [(0, 0.0, 0, np.array(w0, float))], 0
-    try:
+    with held(df.select("id", "x", "y")) as rows:
+        total = rows.count()
+        size = min(batch or total, total)
+        k = int(top * size * model.width)
+        w, records, start = np.array(w0, float), [(0, 0.0, 0, np.array(w0, float))], 0
         for step in range(1, steps + 1):
             part = batch_slice(rows, start, size, total)
             _, _, g = reduce_gradient(rows, model, w)
@@ -555,6 +539,4 @@ def train_dimensions(
             w = w - rate * delta / (max(k, 1) if average else 1)
             start = (start + size) % total
             records.append((step, float(step), step * size, w))
-    finally:
-        rows.unpersist()
     return history.rows(spark, records)

@@ -6,14 +6,14 @@ import math
 import time
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradframe.functions.models import Model
 from gradframe.operators.gradients import reduce_gradient
 from gradframe.operators.prep import batch_slice
-from gradframe.plans.lineage import spread
+from gradframe.plans.lineage import held
+from gradframe.plans.sizes import small
 
 
 def halved(largest: int, smallest: int) -> list[int]:
@@ -33,9 +33,8 @@ def probe_batch_sizes(
     Losses are means over all rows, before and after.
     """
     spark = df.sparkSession
-    rows = spread(df.select("id", "x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
     out = []
-    try:
+    with held(df.select("id", "x", "y")) as rows:
         total = rows.count()
         n, before, _ = reduce_gradient(rows, model, w0)
         for k in sizes:
@@ -47,8 +46,6 @@ def probe_batch_sizes(
             _, after, _ = reduce_gradient(rows, model, w)
             gain = (before - after) / n
             out.append((int(k), after / n, gain, took, gain / took))
-    finally:
-        rows.unpersist()
     return spark.createDataFrame(out, "k bigint, loss double, gain double, time double, rate double")
 
 
@@ -67,7 +64,7 @@ def gain_estimates(losses: DataFrame) -> DataFrame:
     last = losses.groupBy("k").agg(
         F.max("version").alias("_v"), F.max("batch").alias("_b"), F.min("batch").alias("_b0")
     )
-    rows = losses.join(F.broadcast(last), "k")
+    rows = losses.join(small(last), "k")
     own, v, b = F.col("version") == F.col("batch"), F.col("version"), F.col("batch")
     pick = lambda c: F.sum(F.when(c, F.col("loss")).otherwise(F.lit(0.0)))
     per_point = lambda c: pick(c) / F.sum(F.when(c, F.col("n")))

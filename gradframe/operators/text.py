@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradframe.plans.lineage import spread
 from gradframe.plans.ordered import ranked
 from gradframe.plans.sizes import small
 
@@ -12,31 +13,43 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"  # fixed value: the ASCII punctuation character
 BLANK = r"[ \t\n\r\f\x0B]+"
 
 
-def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, pos, word)``: punctuation out, lower case, cut at blanks."""
-    clean = F.lower(F.regexp_replace(text, PUNCTUATION, ""))
-    return docs.select("doc_id", F.posexplode(F.split(clean, BLANK)).alias("pos", "word")).where(
-        F.col("word") != ""
-    )
+def words(text: str = "text") -> Column:
+    """Words of a text: punctuation out, lower case, cut at blanks.
+
+    A blank at either end leaves an empty word, to be dropped after exploding.
+    The expression is meant to stand inside ``explode``: as a column of its own
+    it would be computed again by the filters that Spark derives for explodes.
+    """
+    return F.split(F.lower(F.regexp_replace(text, PUNCTUATION, "")), BLANK)
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
     """``(word_id, word)``, numbered from 0 by first appearance.
 
-    Only distinct words are ordered, and in ranges, so neither a frequent word
-    nor a large vocabulary meets in one task.
+    A word counts once per document, at its first place there, and then only
+    its first document matters; both steps need no order beyond the row. Only
+    distinct words are ordered, and in ranges, so neither a frequent word nor a
+    large vocabulary meets in one task.
     """
-    first = tokens(docs).groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    numbered = ranked(first.select("word", "f.doc_id", "f.pos"), [], ["doc_id", "pos"], "word_id")
+    once = spread(docs.select("doc_id", "text")).select(
+        "doc_id", F.posexplode(F.array_distinct(words())).alias("pos", "word")
+    ).where(F.col("word") != "")
+    first = once.groupBy("word").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("pos", "doc_id").alias("pos")
+    )
+    numbered = ranked(first, [], ["doc_id", "pos"], "word_id")
     return numbered.select((F.col("word_id") - 1).alias("word_id"), "word")
 
 
-def bag_of_words(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def bag_of_words(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Sparse counts ``(doc_id, word_id, cnt)``.
 
     Words are counted per document before they meet the dictionary, which is
     broadcast while it is small.
     """
-    words = dictionary(docs) if words is None else words
-    counts = tokens(docs).groupBy("doc_id", "word").agg(F.count("*").alias("cnt"))
-    return counts.join(small(words), "word").select("doc_id", "word_id", "cnt")
+    known = dictionary(docs) if known is None else known
+    tokens = spread(docs.select("doc_id", "text")).select(
+        "doc_id", F.explode(words()).alias("word")
+    ).where(F.col("word") != "")
+    counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("cnt"))
+    return counts.join(small(known), "word").select("doc_id", "word_id", "cnt")

@@ -13,15 +13,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from gradframe.functions.models import Model
 from gradframe.operators.gradients import reduce_gradient
 from gradframe.operators.prep import batch_slice
-from gradframe.plans.lineage import spread
+from gradframe.plans.lineage import held
 from gradframe.sources import history
 
+FLUSH = 64  # records held before they are appended to the archive
 # fixed values: constants of the published update rules
 MOMENTUM = 0.9
 ADAM_BETA1, ADAM_BETA2, ADAM_EPSILON = 0.9, 0.999, 1e-8
@@ -115,7 +115,6 @@ def train(
     every: int = 1,
     seconds: float | None = None,
     resume: bool = False,
-    reuse: bool = True,
 ) -> DataFrame:
     """Train on ``(id, x, y)`` and return the history ``(iter, time, n, w)``.
 
@@ -126,10 +125,6 @@ def train(
     on from its last record.
     """
     spark = df.sparkSession
-    rows = df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns])
-    if reuse:
-        rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    total = rows.count() if batch is not None else None
     w, step, points, before = np.array(w0, float), 0, 0, 0.0
     if resume and archive:
         last = history.last(history.read(spark, archive))
@@ -137,10 +132,10 @@ def train(
             w, step, points, before = np.array(last["w"]), last["iter"], last["n"], last["time"]
     rule = OPTIMIZERS[optimizer](rate)
     records = [] if step else [(0, 0.0, 0, w)]
-    began, kept_at = time.monotonic(), before
-    first = step
-    try:
-        while step < first + steps:
+    began, kept_at, end = time.monotonic(), before, step + steps
+    with held(df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns])) as rows:
+        total = rows.count() if batch is not None else None
+        while step < end:
             part = rows
             if batch is not None:
                 part = batch_slice(rows, (step * batch) % total, batch, total)
@@ -148,20 +143,16 @@ def train(
             w = rule.step(w, g / n if average and n else g)
             step, points = step + 1, points + n
             clock = before + time.monotonic() - began
+            over = stop is not None and stop.reached(points, step, step, clock)
             due = clock - kept_at >= seconds if seconds is not None else step % every == 0
-            if due or step == first + steps:
+            if due or over or step == end:
                 records.append((step, clock, points, w))
                 kept_at = clock
-            if archive and len(records) >= 64:
+            if archive and len(records) >= FLUSH:
                 history.append(history.rows(spark, records), archive)
                 records = []
-            if stop and stop.reached(points, step, step, clock):
-                if records and records[-1][0] != step:
-                    records.append((step, clock, points, w))
+            if over:
                 break
-    finally:
-        if reuse:
-            rows.unpersist()
     if archive:
         if records:
             history.append(history.rows(spark, records), archive)
@@ -171,17 +162,12 @@ def train(
 
 def train_logged(df: DataFrame, model: Model, w0: np.ndarray, rate: float, steps: int) -> DataFrame:
     """Full-batch training with cost and step size: ``(iter, cost, delta, w)``."""
-    spark = df.sparkSession
-    rows = spread(df.select("x", "y")).persist(StorageLevel.MEMORY_AND_DISK)
-    w, log = np.array(w0, float), []
-    try:
+    spark, w, log = df.sparkSession, np.array(w0, float), []
+    with held(df.select("x", "y")) as rows:
         for step in range(steps):
             n, loss, g = reduce_gradient(rows, model, w)
             after = w - rate * g / n
-            log.append(
-                (step, loss / n, float(np.abs(after - w).sum()), [float(v) for v in after])
-            )
+            change = float(np.abs(after - w).sum())
+            log.append((step, loss / n, change, [float(v) for v in after]))
             w = after
-    finally:
-        rows.unpersist()
     return spark.createDataFrame(log, "iter int, cost double, delta double, w array<double>")

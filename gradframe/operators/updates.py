@@ -6,10 +6,10 @@ operator goes through the range-split scans of :mod:`gradframe.plans.ordered`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradframe.plans.ordered import fold_affine, lagged, previous, ranked, running, split
+from gradframe.plans.ordered import RANGE, fold_affine, lagged, previous, ranked, running, split
 
 EMA = 0.8  # fixed value: weight of the newest report
 
@@ -34,18 +34,19 @@ def fold_by_iteration(deltas: DataFrame, start: DataFrame, factor: float) -> Dat
     )
 
 
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, a: float = EMA) -> DataFrame:
-    """``(1-a)*old + a*new`` per key in order; the first value is taken as is."""
-    return fold_affine(
-        df, keys, order, F.col(value), 1.0 - a, F.lit(a) * F.col(value), None, name
-    )
+def ema(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], a: float = EMA) -> DataFrame:
+    """``(1-a)*old + a*new`` per key in order; the first value is taken as is.
+
+    ``values`` maps the new column to the averaged one; all share one pass.
+    """
+    step = lambda v: (F.col(v), 1.0 - a, F.lit(a) * F.col(v), None)
+    return fold_affine(df, keys, order, {name: step(v) for name, v in values.items()})
 
 
 def online_loss(df: DataFrame, order: list[str], workers: int, value: str = "loss") -> DataFrame:
     """``L * (n-1)/n + loss`` over all reports in order."""
-    return fold_affine(
-        df, [], order, 0.0, (workers - 1) / workers, F.col(value), None, "online"
-    )
+    fold = (0.0, (workers - 1) / workers, F.col(value), None)
+    return fold_affine(df, [], order, {"online": fold})
 
 
 def last_per_source(df: DataFrame, source: str, order: list[str], value: str) -> DataFrame:
@@ -119,9 +120,10 @@ def rate_by_improvement(
 
 def _rate(df, keys, order, sample: Column, target, first, longest, compat):
     parts = split(df, keys, order)
-    rated = fold_affine(parts, keys, order, first, 0.5, sample / 2, None, "rate")
-    want = F.col("rate") * F.lit(target) if compat else F.lit(target) / F.col("rate")
-    return fold_affine(rated, keys, order, 0.01, 0.5, want / 2, longest, "next_interval")
+    rated = fold_affine(parts, keys, order, {"rate": (first, 0.5, sample / 2, None)})
+    goal = F.lit(float(target))
+    want = F.col("rate") * goal if compat else F.try_divide(goal, F.col("rate"))
+    return fold_affine(rated, keys, order, {"next_interval": (0.01, 0.5, want / 2, longest)}).drop(RANGE)
 
 
 def rate_by_balance(df: DataFrame, keys: list[str], order: list[str], window: int = 2) -> DataFrame:
@@ -129,37 +131,23 @@ def rate_by_balance(df: DataFrame, keys: list[str], order: list[str], window: in
 
     The window holds the improvements and intervals of the last ``window``
     rows, filled with (0, 0.01) at first. A better row adds the mean interval
-    of the window, any other cuts back to it.
+    of the window, any other cuts back to it. The synchronisation time a row is
+    judged by is the smoothed one of the rows before it.
     """
-    pair = F.struct(F.col("improve").alias("g"), F.col("interval").alias("t"))
-    rows = previous(df, keys, order, pair, "_w", window)
-    synced = fold_affine(
-        _with_previous_sync(rows, keys, order), keys, order, 0.01, 0.5, F.col("_ps") / 2, None, "_sync"
-    )
+    row = F.struct(F.col("improve").alias("g"), F.col("interval").alias("t"), F.col("sync").alias("y"))
+    rows = previous(split(df, keys, order), keys, order, row, "_w", window)
+    before = F.coalesce(F.get("_w", F.size("_w") - 1)["y"], F.lit(0.01))
+    synced = fold_affine(rows, keys, order, {"_sync": (0.01, 0.5, before / 2, None)})
     missing = F.lit(window) - F.size("_w")
     gain = F.aggregate("_w", F.lit(0.0), lambda s, e: s + e["g"])
     spent = F.aggregate("_w", F.lit(0.0), lambda s, e: s + e["t"]) + missing * F.lit(0.01)
-    new = F.col("improve") / (F.col("interval") + F.col("sync"))
-    old = gain / (spent + F.col("_sync") * window)
-    mean = spent / F.lit(float(window))
-    longer = new > old
-    out = fold_affine(
-        synced.withColumn("_mean", mean).withColumn("_up", longer),
-        keys,
-        order,
-        0.01,
-        1.0,
-        F.when(F.col("_up"), F.col("_mean")).otherwise(F.lit(0.0)),
-        F.when(F.col("_up"), F.lit(float("inf"))).otherwise(F.col("_mean")),
-        "next_interval",
-    )
-    return out.drop("_w", "_ps", "_sync", "_mean", "_up")
-
-
-def _with_previous_sync(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The synchronisation time one row earlier, such that the fold starts at 0.01."""
-    before = lagged(df, keys, order, F.col("sync"), "_ps")
-    return before.withColumn("_ps", F.coalesce("_ps", F.lit(0.01)))
+    new = F.try_divide(F.col("improve"), F.col("interval") + F.col("sync"))
+    old = F.try_divide(gain, spent + F.col("_sync") * window)
+    judged = synced.withColumn("_mean", spent / F.lit(float(window))).withColumn("_up", new > old)
+    shift = F.when(F.col("_up"), F.col("_mean")).otherwise(F.lit(0.0))
+    cap = F.when(F.col("_up"), F.lit(float("inf"))).otherwise(F.col("_mean"))
+    out = fold_affine(judged, keys, order, {"next_interval": (0.01, 1.0, shift, cap)})
+    return out.drop("_w", "_sync", "_mean", "_up", RANGE)
 
 
 def per_worker_order(df: DataFrame, worker: str, order: list[str], name: str = "iter") -> DataFrame:

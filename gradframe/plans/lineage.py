@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+MINIMAL_SPLIT = 4 << 20  # fixed value: default of spark.sql.files.openCostInBytes
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder reliable checkpoints go to, as the session names it.
@@ -30,13 +35,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimate(df: DataFrame) -> int:
+    """The optimizer's size estimate in bytes; no job is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for rows that a loop reads again and again.
+    """Use all cores for small inputs that need much work per row.
 
-    Inputs that already have at least one partition per core are left alone,
-    so data of any real size is never shuffled here.
+    Below one minimal split (``spark.sql.files.openCostInBytes``) per core a
+    scan yields fewer tasks than cores. Larger inputs are split by Spark
+    already and pass unchanged, so data of any real size is not shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df.repartition(cores) if estimate(df) < cores * MINIMAL_SPLIT else df
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows that a loop reads again and again.
+
+    They are cached where half of the executors' memory takes them, else every
+    pass reads the source, with its column pruning and filters. Lost cache
+    blocks are computed again.
+    """
+    df = spread(df)
+    if estimate(df) > _memory(df.sparkSession) / 2:
+        yield df
+        return
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _memory(spark: SparkSession) -> int:
+    """Storage memory of the driver and all executors at the moment."""
+    each = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().iterator()
+    total = 0
+    while each.hasNext():
+        total += each.next()._1()
+    return total

@@ -11,6 +11,9 @@ result is carried back into the ranges:
 Windows below run over ``(keys, range)``, which is bounded by the range size,
 or over the summaries of one key, which are bounded by the number of ranges.
 The order must be total within a key (add an id to break ties).
+
+A frame that went through :func:`split` already is taken as it is, and its range
+column is handed on, so that several operators in one order share one shuffle.
 """
 
 from __future__ import annotations
@@ -26,16 +29,23 @@ from pyspark.sql import types as T
 from gradframe.plans.lineage import cut
 
 RANGE = "_range"
+RANGE_BITS = 20
+RANGE_ROWS = 1 << RANGE_BITS
 
 
 def split(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Range-split ``df`` and note the range of every row.
 
-    The rows are checkpointed, since two readings of a sampled range
-    partitioning could draw different bounds.
+    A partition is cut further into ranges of at most ``RANGE_ROWS`` rows by the
+    place of a row in it, so that a range stays small whatever the number of
+    shuffle partitions is. Range numbers follow the order. The rows are
+    checkpointed, since two readings of a sampled range partitioning could draw
+    different bounds.
     """
     cols = [F.col(k) for k in keys] + [_col(o) for o in order]
-    return cut(df.repartitionByRange(*cols).withColumn(RANGE, F.spark_partition_id()))
+    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    number = F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)
+    return cut(placed.withColumn(RANGE, number))
 
 
 def running(
@@ -59,7 +69,7 @@ def running(
     )
     joined = parts.join(carry, group)
     return joined.select(
-        *[c for c in df.columns if c != RANGE],
+        *df.columns,
         *[
             (F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.sum(e).over(local)).alias(n)
             for n, e in sums.items()
@@ -96,8 +106,8 @@ def previous(
     count: int,
 ) -> DataFrame:
     """Values of up to ``count`` preceding rows of the same key, oldest first."""
-    keep = [c for c in df.columns if c != RANGE]
-    parts = (df if RANGE in df.columns else split(df, keys, order)).withColumn("_v", value)
+    keep = df.columns
+    parts = (df if RANGE in keep else split(df, keys, order)).withColumn("_v", value)
     group = [*keys, RANGE]
     local = Window.partitionBy(*group).orderBy(*order)
     latest = Window.partitionBy(*group).orderBy(*[F.col(o).desc() for o in order])
@@ -129,62 +139,73 @@ def fold_affine(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    start: Column | float,
-    scale: Column | float,
-    shift: Column | float,
-    cap: Column | float | None,
-    name: str,
+    folds: dict[str, tuple],
 ) -> DataFrame:
-    """Ordered fold ``s <- min(scale*s + shift, cap)`` per key, value after each row.
+    """Ordered folds ``s <- min(scale*s + shift, cap)`` per key, value after each row.
+
+    ``folds`` maps a column name to ``(start, scale, shift, cap)``; each part is
+    a number or a Column of the row, ``cap`` may be None, and a Column given as
+    ``start`` counts on the key's first row.
 
     Steps of this form compose to steps of the same form (for scale >= 0), so
     each range is folded on its own and the ranges are chained afterwards.
-    ``start`` may be a constant or an aggregate over the key's first row given
-    as a Column on that row.
     """
-    keep = [c for c in df.columns if c != RANGE]
-    parts = df if RANGE in df.columns else split(df, keys, order)
-    parts = (
-        parts.withColumn("_a", _lit(scale).cast("double"))
-        .withColumn("_b", _lit(shift).cast("double"))
-        .withColumn("_m", _lit(float("inf") if cap is None else cap).cast("double"))
-        .withColumn("_s", _lit(start).cast("double"))
-    )
+    keep = df.columns
+    parts = df if RANGE in keep else split(df, keys, order)
+    for n, (start, scale, shift, cap) in folds.items():
+        cap = float("inf") if cap is None else cap
+        for part, value in zip("sabm", (start, scale, shift, cap)):
+            parts = parts.withColumn(f"_{part}_{n}", _lit(value).cast("double"))
     group = [*keys, RANGE]
-    schema = T.StructType(
-        [f for f in parts.schema.fields]
-        + [T.StructField(c, T.DoubleType()) for c in ("_ca", "_cb", "_cm")]
-    )
     order_cols = list(order)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_cols)
-        a, b, m = _compose(pdf["_a"].to_numpy(), pdf["_b"].to_numpy(), pdf["_m"].to_numpy())
-        return pdf.assign(_ca=a, _cb=b, _cm=m)
-
-    local = cut(parts.groupBy(*group).applyInPandas(within, schema))
+        for n in folds_named:
+            steps = [pdf[f"_{part}_{n}"].to_numpy() for part in "abm"]
+            for part, values in zip("abm", _compose(*steps)):
+                pdf[f"_{part}_{n}"] = values
+        return pdf
+
+    folds_named = list(folds)
+    local = cut(parts.groupBy(*group).applyInPandas(within, parts.schema))
     position = F.struct(*order)
     ends = local.groupBy(*group).agg(
-        F.max_by(F.struct("_ca", "_cb", "_cm"), position).alias("_e"),
-        F.min_by("_s", position).alias("_s"),
+        *[F.max_by(F.struct(*[f"_{p}_{n}" for p in "abm"]), position).alias(f"_e_{n}") for n in folds],
+        *[F.min_by(f"_s_{n}", position).alias(f"_f_{n}") for n in folds],
     )
-    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    first = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    carry = ends.select(
+    carry = _chain(ends, keys, folds_named)
+    after = lambda n: F.least(F.col(f"_a_{n}") * F.col(f"_in_{n}") + F.col(f"_b_{n}"), F.col(f"_m_{n}"))
+    return local.join(carry, group).select(*keep, *[after(n).alias(n) for n in folds])
+
+
+def _chain(ends: DataFrame, keys: Sequence[str], folds: list[str]) -> DataFrame:
+    """State before every range: ``(keys, range, _in_<fold>...)``.
+
+    Most keys lie in one range and begin with their start value. The others are
+    at most as many as there are ranges, and so are the rows of each.
+    """
+    spans = ends.withColumn("_k", F.count("*").over(Window.partitionBy(*keys)))
+    starts = [F.col(f"_f_{n}").alias(f"_in_{n}") for n in folds]
+    group = [*keys, RANGE]
+    single = spans.where(F.col("_k") == 1).select(*group, *starts)
+    several = spans.where(F.col("_k") > 1).select(
         *group,
-        F.aggregate(
-            F.collect_list("_e").over(earlier),
-            F.first("_s").over(first),
-            lambda s, e: F.least(e["_ca"] * s + e["_cb"], e["_cm"]),
-        ).alias("_in"),
-    )
-    return local.join(F.broadcast(carry) if not keys else carry, group).select(
-        *keep,
-        F.least(F.col("_ca") * F.col("_in") + F.col("_cb"), F.col("_cm")).alias(name),
+        *[F.col(f"_e_{n}")[f"_{p}_{n}"].alias(f"_{p}_{n}") for n in folds for p in "abm"],
+        *starts,
     )
 
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(RANGE)
+        for n in folds:
+            a, b, m = _compose(*[pdf[f"_{p}_{n}"].to_numpy() for p in "abm"])
+            start = pdf[f"_in_{n}"].iloc[0]
+            pdf[f"_in_{n}"] = np.append(start, np.minimum(a * start + b, m)[:-1])
+        return pdf[single_columns]
+
+    single_columns = single.columns
+    return single.unionByName(several.groupBy(*keys).applyInPandas(follow, single.schema))
+
 
 def _compose(a: np.ndarray, b: np.ndarray, m: np.ndarray):
     """Prefix composition of ``s -> min(a*s+b, m)`` by doubling."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +18,3 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     if rows is None:
         rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
-
-
-def chunks(matrix: np.ndarray, limit: int = BROADCAST_BYTES):
-    """Cut the rows of ``matrix`` into runs of at most ``limit`` bytes."""
-    rows = max(1, limit // max(1, matrix.shape[1] * matrix.itemsize))
-    for i in range(0, len(matrix), rows):
-        yield i, matrix[i : i + rows]

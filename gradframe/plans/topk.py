@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAP_ROWS = 100_000  # up to here Spark's own top-k heap is used
+HEAP_ROWS = 2_000  # up to here every task may send that many rows to one
 BINS = 1024
 
 
 def top_k(df: DataFrame, k: int, by: str, tie: str, heap_rows: int = HEAP_ROWS) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ties go to the smaller ``tie``.
 
-    Spark's ``orderBy().limit(k)`` keeps k rows in one task, which suits small
-    k only. Larger k first narrow the value range that holds the k-th row by
+    Spark's ``orderBy().limit(k)`` sends k rows of every task to one, which
+    suits small k only. Larger k first narrow the value range that holds the k-th row by
     counting rows in bins (one map-side aggregate per round, at most ``BINS``
     rows to the driver); everything above is taken by a filter, and only the
     last narrow band is ordered.

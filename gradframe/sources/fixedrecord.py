@@ -1,8 +1,9 @@
 """Fixed-width binary records as a Spark source, split by byte ranges.
 
 ``spark.read.format("fixedrecord").option("recordBytes", n)`` reads rows
-``(file, pos, record)``; ``headerBytes`` skips a file header and ``splitBytes``
-sets how much one task reads.
+``(file, row, record)``; ``row`` numbers the records across all files in the
+order of their names, which follows from the file sizes alone. ``headerBytes``
+skips a header in each file, ``splitBytes`` sets how much one task reads.
 """
 
 from __future__ import annotations
@@ -11,19 +12,18 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gradframe.functions.batches import matrix
-from gradframe.plans.sizes import small
 
 BATCH_ROWS = 4096
 
 
 class _Span(InputPartition):
-    def __init__(self, file, first, count):
-        self.file, self.first, self.count = file, first, count
+    def __init__(self, file, first, count, row):
+        self.file, self.first, self.count, self.row = file, first, count, row
 
 
 class FixedRecordSource(DataSource):
@@ -32,7 +32,7 @@ class FixedRecordSource(DataSource):
         return "fixedrecord"
 
     def schema(self):
-        return "file string, pos bigint, record binary"
+        return "file string, row bigint, record binary"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -46,7 +46,7 @@ class _Reader(DataSourceReader):
         self.split = max(1, int(options.get("splitBytes", 128 << 20)) // self.size)
 
     def partitions(self):
-        spans = []
+        spans, before = [], 0
         for path in self.paths:
             where, name = fs.FileSystem.from_uri(path)
             info = where.get_file_info(name)
@@ -60,14 +60,16 @@ class _Reader(DataSourceReader):
                     raise FileNotFoundError(path)
                 records = (file.size - self.head) // self.size
                 for first in range(0, records, self.split):
-                    spans.append(_Span(scheme + file.path, first, min(self.split, records - first)))
+                    count = min(self.split, records - first)
+                    spans.append(_Span(scheme + file.path, first, count, before + first))
+                before += records
         return spans
 
     def read(self, span):
         where, name = fs.FileSystem.from_uri(span.file)
         with where.open_input_file(name) as f:
             f.seek(self.head + span.first * self.size)
-            at, left = span.first, span.count
+            at, left = span.row, span.count
             while left:
                 n = min(left, BATCH_ROWS)
                 data = pa.py_buffer(f.read(n * self.size))
@@ -78,7 +80,7 @@ class _Reader(DataSourceReader):
                         pa.array(np.arange(at, at + n), pa.int64()),
                         pa.Array.from_buffers(pa.binary(), n, [None, offsets, data]),
                     ],
-                    names=["file", "pos", "record"],
+                    names=["file", "row", "record"],
                 )
                 at, left = at + n, left - n
 
@@ -106,12 +108,12 @@ def decode(df: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
         n: "array<double>" if k else ("double" if "f" in t else "bigint")
         for n, (t, k) in fields.items()
     }
-    schema = "file string, pos bigint, " + ", ".join(f"{n} {kinds[n]}" for n in fields)
+    schema = "file string, row bigint, " + ", ".join(f"{n} {kinds[n]}" for n in fields)
 
     def unpack(batches):
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column("record").to_pylist()), layout)
-            columns = [batch.column("file"), batch.column("pos")]
+            columns = [batch.column("file"), batch.column("row")]
             for name, (_, length) in fields.items():
                 values = rows[name]
                 if length:
@@ -121,30 +123,17 @@ def decode(df: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
                 else:
                     kind = pa.float64() if kinds[name] == "double" else pa.int64()
                     columns.append(pa.array(values, kind))
-            yield pa.RecordBatch.from_arrays(columns, names=["file", "pos", *fields])
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "row", *fields])
 
     return df.mapInArrow(unpack, schema)
 
 
-def number_records(df: DataFrame, name: str = "id") -> DataFrame:
-    """Number records across files, in the order of the file names.
-
-    Only one count per file is brought together.
-    """
-    counts = df.groupBy("file").agg((F.max("pos") + 1).alias("_n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rest = [c for c in df.columns if c not in ("file", "pos")]
-    return df.join(small(starts), "file").select((F.col("_start") + F.col("pos")).alias(name), *rest)
-
-
 def blocks_to_rows(df: DataFrame, per_record: int) -> DataFrame:
     """Number consecutive records as ``(iter, id)`` blocks of ``per_record``."""
-    rows = number_records(df, "_at")
-    return rows.select(
-        F.floor(F.col("_at") / per_record).cast("int").alias("iter"),
-        F.pmod("_at", F.lit(per_record)).alias("id"),
-        *[c for c in rows.columns if c != "_at"],
+    return df.select(
+        F.floor(F.col("row") / per_record).cast("int").alias("iter"),
+        F.pmod("row", F.lit(per_record)).alias("id"),
+        *[c for c in df.columns if c not in ("file", "row")],
     )
 
 
@@ -153,8 +142,8 @@ def write_records(
 ) -> int:
     """Write packed records, one file per partition in partition order.
 
-    Files are named by partition, so a task that is run again writes the same
-    file. Returns the number of records.
+    Each task writes a draft and moves it to the file of its partition, so a
+    task that is run again leaves one whole file. Returns the number of records.
     """
     layout = _layout(fields)
     where, name = fs.FileSystem.from_uri(path)
@@ -162,8 +151,10 @@ def write_records(
 
     def write(batches):
         target, folder = fs.FileSystem.from_uri(path)
-        part, count = TaskContext.get().partitionId(), 0
-        with target.open_output_stream(f"{folder}/part-{part:06d}.bin") as out:
+        task, count = TaskContext.get(), 0
+        name = f"{folder}/part-{task.partitionId():06d}.bin"
+        draft = f"{folder}.{task.taskAttemptId()}"
+        with target.open_output_stream(draft) as out:
             out.write(header)
             for batch in batches:
                 rows = np.empty(batch.num_rows, layout)
@@ -172,6 +163,7 @@ def write_records(
                     rows[field] = matrix(column) if length else np.asarray(column)
                 out.write(rows.tobytes())
                 count += batch.num_rows
+        target.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
 
     return df.select(*fields).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradframe.functions import vec
-from gradframe.sources.fixedrecord import decode, number_records, read_records
+from gradframe.sources.fixedrecord import decode, read_records
 
 # fixed values: file names and sizes of the published sets
 MNIST = {
@@ -32,7 +32,7 @@ def mnist(
     labels = decode(
         read_records(spark, f"{folder}/{label_file}", 1, LABEL_HEADER), {"label": ("u1", 0)}
     )
-    joined = number_records(images).join(number_records(labels), "id")
+    joined = images.select("row", "x").join(labels.select("row", "label"), "row")
     return _rows(joined, F.col("label"), 10, first)
 
 
@@ -51,9 +51,9 @@ def cifar(
     fields |= {"label": ("u1", 0), "x": (pixel, CIFAR_PIXELS)}
     paths = ",".join(f"{folder}/{n}" for n in names)
     records = decode(read_records(spark, paths, CIFAR_PIXELS + len(fields) - 1), fields)
-    return _rows(number_records(records), F.col("label"), classes, first)
+    return _rows(records, F.col("label"), classes, first)
 
 
 def _rows(df: DataFrame, label: Column, classes: int, first: int) -> DataFrame:
-    out = df.select("id", "x", vec.one_hot(label, classes).alias("y"))
+    out = df.select(F.col("row").alias("id"), "x", vec.one_hot(label, classes).alias("y"))
     return out.where(F.col("id") < first) if first else out

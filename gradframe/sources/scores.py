@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradframe.plans.sizes import small
 from gradframe.sources.fixedrecord import blocks_to_rows, decode, read_records
 
 # fixed values: column names by number of columns
@@ -44,7 +45,7 @@ def write_by_iter(df: DataFrame, path: str, done: DataFrame | None = None) -> No
 def _pending(df: DataFrame, done: DataFrame | None) -> DataFrame:
     if done is None:
         return df
-    return df.join(F.broadcast(done.select("iter").distinct()), "iter", "left_anti")
+    return df.join(small(done.select("iter").distinct()), "iter", "left_anti")
 
 
 def read_gradients(

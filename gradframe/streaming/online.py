@@ -41,34 +41,39 @@ def stream_train(
     spark = stream.sparkSession
     if not _has_versions(spark, path):
         history.append(history.rows(spark, [(0, 0.0, 0, w0)]), path)
+    recent = _newest(spark, path, gap)
     began = time.monotonic()
 
     def update(batch: DataFrame, number: int) -> None:
-        versions = history.read(spark, path)
-        newest = versions.agg(
-            F.max("iter").alias("v"),
-            F.max_by("w", "iter").alias("w"),
-            F.max_by("n", "iter").alias("n"),
-        ).first()
-        if newest["v"] > number:
+        newest = max(recent)
+        if newest > number:
             return
-        base = np.array(newest["w"])
-        read_at = base
-        if gap:
-            old = max(newest["v"] - gap, 0)
-            read_at = np.array(versions.where(F.col("iter") == old).select("w").first()["w"])
+        points, w = recent[newest]
+        _, read_at = recent[max(newest - gap, min(recent))]
         n, _, g = reduce_gradient(batch, model, read_at)
         if average:
             g = g / max(n, 1)
-        w = base - factor * rate * g
-        done = (newest["v"] + 1, time.monotonic() - began, newest["n"] + n, w)
-        history.append(history.rows(spark, [done]), path)
+        points, w = points + n, w - factor * rate * g
+        history.append(
+            history.rows(spark, [(newest + 1, time.monotonic() - began, points, w)]), path
+        )
+        recent[newest + 1] = (points, w)
+        for old in [v for v in recent if v < newest + 1 - gap]:
+            del recent[old]
 
     writer = stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
+def _newest(spark: SparkSession, path: str, gap: int) -> dict[int, tuple[int, np.ndarray]]:
+    """The last ``gap + 1`` versions; a running stream keeps them in memory."""
+    versions = history.read(spark, path)
+    last = versions.agg(F.max("iter")).first()[0]
+    rows = versions.where(F.col("iter") >= last - gap).collect()
+    return {r["iter"]: (r["n"], np.array(r["w"])) for r in rows}
+
+
 def _has_versions(spark: SparkSession, path: str) -> bool:
     try:
         return not history.read(spark, path).isEmpty()
