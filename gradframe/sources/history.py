@@ -69,7 +69,8 @@ def read_model(spark: SparkSession, path: str, shape_line: bool, sep: str = ",")
     numbered = number_rows(lines(spark, path), "line")
     if shape_line:
         numbered = numbered.where(F.col("line") > 0)
-    cells = numbered.select("line", F.split("value", sep).cast("array<double>").alias("c"))
+    numbers = F.transform(F.split("value", sep), lambda c: c.try_cast("double"))
+    cells = numbered.select("line", numbers.alias("c"))
     before = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(
         "line", F.coalesce(F.sum(F.size("c")).over(before), F.lit(0)).alias("start")
