@@ -159,13 +159,14 @@ def top_points_by_selection(spark, sf):
 
 @query(
     "k2_top_in_batch",
-    sql("ev w3", f"""SELECT id, round({LENGTH}, 6) + 0.0 AS p FROM g WHERE id >= 2000 AND id < 5000
-        ORDER BY {LENGTH} DESC, id LIMIT 150""", g=_graded("ev", False)),
+    sql("ev w3", f"""SELECT id, round({LENGTH}, 6) + 0.0 AS p FROM g, (SELECT count(*)//10 AS t FROM events)
+        WHERE id >= 2*t AND id < 5*t ORDER BY {LENGTH} DESC, id LIMIT 50""", g=_graded("ev", False)),
 )
 def top_in_batch(spark, sf):
     rows = ev(spark, sf)
-    part = prep.batch_slice(rows, 2000, 3000, rows.count())
-    return top_k(priority.priorities(part, LR3, W3), 150, "p", "id").select("id", r6("p").alias("p"))
+    total = rows.count()
+    part = prep.batch_slice(rows, 2 * (total // 10), 3 * (total // 10), total)
+    return top_k(priority.priorities(part, LR3, W3), 50, "p", "id").select("id", r6("p").alias("p"))
 
 
 PAIRS = """SELECT id, j - 1 AS j, g[j] AS g, abs(g[j]*s.v) AS size FROM g, range(1, 5) t(j)
@@ -331,24 +332,27 @@ def _one_step(direction):
         FROM g SEMI JOIN top USING (id), w3, range(1, 5) t(j) GROUP BY j""",
         g=_graded("ev", False),
         m=direction,
-        top="""SELECT id FROM g, m WHERE id < 4000
-        ORDER BY list_dot_product(g, m) DESC, id LIMIT 200""",
+        top="""SELECT id FROM g, m WHERE id < (SELECT count(*)//10*4 FROM events)
+        ORDER BY list_dot_product(g, m) DESC, id
+        LIMIT (SELECT round(count(*)//10*4*0.05)::BIGINT FROM events)""",
     )
 
 
 @query("r11_block_variant", _one_step(BLOCK_DIRECTION))
 def block_variant(spark, sf):
-    """Blocks of 1000 ids, a tenth of them renewed, the top 5% of a batch of 4000."""
+    """Blocks of 1000 ids, a tenth of the rows renewed, the top 5% of a batch of 40%."""
+    rows = ev(spark, sf)
     out, _, _ = priority.train_block(
-        ev(spark, sf), LR3, W3, 0.5, 0.05, 1000, 0.1, batch=4000, steps=1
+        rows, LR3, W3, 0.5, 0.05, 1000, 0.1, batch=rows.count() // 10 * 4, steps=1
     )
     return _long(out)
 
 
 @query("r12_decayed_mean_variant", _one_step(MEAN.format(n=5)))
 def decayed_mean_variant(spark, sf):
+    rows = ev(spark, sf)
     out, _ = priority.train_decayed_mean(
-        ev(spark, sf), LR3, W3, 0.5, 0.05, 0.9, 0.0, batch=4000, steps=1
+        rows, LR3, W3, 0.5, 0.05, 0.9, 0.0, batch=rows.count() // 10 * 4, steps=1
     )
     return _long(out)
 

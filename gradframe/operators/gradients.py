@@ -48,7 +48,7 @@ def gradients(
 ) -> DataFrame:
     """Add ``g ARRAY<DOUBLE>`` and ``loss`` per row."""
     keep = df.columns if keep is None else keep
-    if isinstance(model, LR) and model.inputs <= NARROW:
+    if is_narrow(model):
         y = F.get("y", F.lit(0))
         out = df.withColumn("_p", vec.sigmoid(logit("x", w, model.inputs)))
         out = out.withColumn("loss", vec.log_loss("_p", y)).withColumn("_e", F.col("_p") - y)
@@ -106,7 +106,7 @@ def vector_sum(df: DataFrame, column: str, width: int | None = None) -> DataFram
 
 def grad_sum(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
     """``(n, loss, j, g)``: row count, loss sum and gradient sum per position."""
-    if isinstance(model, LR) and model.inputs <= NARROW:
+    if is_narrow(model):
         one = _narrow_sums(df, model, w)
         return one.select("n", "loss", F.posexplode("g").alias("j", "g"))
     parts = _partial_sums(df, model, w).select("n", "loss", F.posexplode("g").alias("j", "g"))
@@ -115,16 +115,36 @@ def grad_sum(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
     )
 
 
+def is_narrow(model: Model) -> bool:
+    return isinstance(model, LR) and model.inputs <= NARROW
+
+
+def loop_columns(df: DataFrame, model: Model) -> DataFrame:
+    """What a training loop reads: for narrow models one plain column per input.
+
+    Plain columns are cached compactly and leave arrays out of the compiled code.
+    """
+    if not is_narrow(model):
+        return df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns])
+    return df.select(
+        *[c for c in ("id",) if c in df.columns],
+        *[F.get("x", F.lit(j)).alias(f"_x{j}") for j in range(model.inputs)],
+        F.get("y", F.lit(0)).alias("_y"),
+    )
+
+
 def _narrow_sums(df: DataFrame, model: LR, w: np.ndarray) -> DataFrame:
-    y = F.get("y", F.lit(0))
-    rows = df.select("x", y.alias("_y"), vec.sigmoid(logit("x", w, model.inputs)).alias("_p"))
+    flat = df if "_y" in df.columns else loop_columns(df, model)
+    names = [f"_x{j}" for j in range(model.inputs)]
+    z = F.lit(float(w[-1]))
+    for name, v in zip(names, w):
+        z = z + F.col(name) * F.lit(float(v))
+    rows = flat.select(*names, "_y", vec.sigmoid(z).alias("_p"))
     rows = rows.withColumn("_e", F.col("_p") - F.col("_y"))
     return rows.agg(
         F.count("*").alias("n"),
         F.sum(vec.log_loss("_p", "_y")).alias("loss"),
-        F.array(
-            *[F.sum(F.get("x", F.lit(j)) * F.col("_e")) for j in range(model.inputs)], F.sum("_e")
-        ).alias("g"),
+        F.array(*[F.sum(F.col(name) * F.col("_e")) for name in names], F.sum("_e")).alias("g"),
     )
 
 
@@ -147,7 +167,7 @@ def _partial_sums(df: DataFrame, model: Model, w: np.ndarray) -> DataFrame:
 
 def reduce_gradient(df: DataFrame, model: Model, w: np.ndarray) -> tuple[int, float, np.ndarray]:
     """Run the pass: ``(n, sum of losses, sum of gradients)``."""
-    if isinstance(model, LR) and model.inputs <= NARROW:
+    if is_narrow(model):
         row = _narrow_sums(df, model, w).first()
         if not row["n"]:
             return 0, 0.0, np.zeros(model.width)

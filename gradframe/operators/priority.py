@@ -24,7 +24,7 @@ from gradframe.operators.prep import batch_slice
 from gradframe.operators.scoring import NARROW
 from gradframe.plans.lineage import cut, held
 from gradframe.plans.sizes import BROADCAST_ROWS, small
-from gradframe.plans.topk import top_k
+from gradframe.plans.topk import heap_for, top_k
 from gradframe.sources import history
 from gradframe.sources.scores import write_by_iter
 
@@ -299,7 +299,7 @@ def train_prioritised(
                 at = (at + renewed) % total
                 state = cut(state)
             scored = state.select("id", model_decay.at(F.lit(version)).alias("p"))
-            ids = top_k(scored, k, "p", "id")
+            ids = top_k(scored, k, "p", "id", heap_for(state))
             if "l" in variation:
                 ids = cut(ids)
                 chosen = rows.join(small(ids.select("id"), k), "id", "left_semi")
@@ -378,7 +378,7 @@ def train_block(
                 at = (at + renewed) % total
                 g = g1 if use_renewed else g
             k = round(top * size)
-            ids = cut(top_k(batch_slice(state, start, size, total), k, "p", "id"))
+            ids = cut(top_k(batch_slice(state, start, size, total), k, "p", "id", heap_for(state)))
             chosen = rows.join(small(ids.select("id"), k), "id", "left_semi")
             fresh, g2 = fresh_priorities(chosen, model, w, direction)
             state = cut(renew(state, fresh, DECAYS["keep"], step, k))
@@ -451,7 +451,7 @@ def train_decayed_mean(
                 at = (at + renewed) % total
                 g = g1 if use_renewed else g
             k = round(top * size)
-            ids = cut(top_k(batch_slice(state, start, size, total), k, "p", "id"))
+            ids = cut(top_k(batch_slice(state, start, size, total), k, "p", "id", heap_for(state)))
             chosen = rows.join(small(ids.select("id"), k), "id", "left_semi")
             fresh, g2 = fresh_priorities(chosen, model, w, mean)
             state = cut(renew(state, fresh, DECAYS["keep"], step, k))

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAP_ROWS = 2_000  # up to here every task may send that many rows to one
+HEAP_TOTAL = 4_000_000  # rows all tasks together may send to one
 BINS = 1024
 
 
+def heap_for(df: DataFrame) -> int:
+    """Heap size that suits the number of tasks of a frame without shuffles."""
+    return max(HEAP_ROWS, HEAP_TOTAL // max(1, df.rdd.getNumPartitions()))
+
+
 def top_k(df: DataFrame, k: int, by: str, tie: str, heap_rows: int = HEAP_ROWS) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ties go to the smaller ``tie``.
 

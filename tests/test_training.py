@@ -304,7 +304,8 @@ def test_priority_log_and_resumed_sink(spark, tmp_path):
 
 
 def test_selection_is_used_beyond_the_heap(spark, monkeypatch):
-    monkeypatch.setattr(topk.top_k, "__defaults__", (4,))
+    monkeypatch.setattr(topk, "HEAP_ROWS", 4)
+    monkeypatch.setattr(topk, "HEAP_TOTAL", 4)
     X, Y = points(n=80)
     w = np.full(4, 0.1)
     got, _ = priority.train_prioritised(frame(spark, X, Y), LR(3), w, 0.5, 0.3, 0.1, steps=1)
