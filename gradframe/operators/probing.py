@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradframe.functions.models import Model
-from gradframe.operators.gradients import loop_columns, reduce_gradient
+from gradframe.operators.gradients import is_narrow, loop_columns, reduce_gradient
 from gradframe.operators.prep import batch_slice
 from gradframe.plans.lineage import held
 from gradframe.plans.sizes import small
@@ -34,7 +34,7 @@ def probe_batch_sizes(
     """
     spark = df.sparkSession
     out = []
-    with held(loop_columns(df, model)) as rows:
+    with held(loop_columns(df, model), not is_narrow(model)) as rows:
         total = rows.count()
         n, before, _ = reduce_gradient(rows, model, w0)
         for k in sizes:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from gradframe.functions.models import Model
-from gradframe.operators.gradients import loop_columns, reduce_gradient
+from gradframe.operators.gradients import is_narrow, loop_columns, reduce_gradient
 from gradframe.operators.prep import batch_slice
 from gradframe.plans.lineage import held
 from gradframe.sources import history
@@ -133,7 +133,7 @@ def train(
     rule = OPTIMIZERS[optimizer](rate)
     records = [] if step else [(0, 0.0, 0, w)]
     began, kept_at, end = time.monotonic(), before, step + steps
-    with held(loop_columns(df, model)) as rows:
+    with held(loop_columns(df, model), not is_narrow(model)) as rows:
         total = rows.count() if batch is not None else None
         while step < end:
             part = rows
@@ -163,7 +163,7 @@ def train(
 def train_logged(df: DataFrame, model: Model, w0: np.ndarray, rate: float, steps: int) -> DataFrame:
     """Full-batch training with cost and step size: ``(iter, cost, delta, w)``."""
     spark, w, log = df.sparkSession, np.array(w0, float), []
-    with held(loop_columns(df, model)) as rows:
+    with held(loop_columns(df, model), not is_narrow(model)) as rows:
         for step in range(steps):
             n, loss, g = reduce_gradient(rows, model, w)
             after = w - rate * g / n

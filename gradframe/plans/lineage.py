@@ -52,14 +52,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def held(df: DataFrame) -> Iterator[DataFrame]:
-    """Rows that a loop reads again and again.
+def held(df: DataFrame, heavy: bool = True) -> Iterator[DataFrame]:
+    """Rows that a loop reads again and again, with ``heavy`` work on each row or not.
 
     They are cached where half of the executors' memory takes them, else every
     pass reads the source, with its column pruning and filters. Lost cache
     blocks are computed again.
     """
-    df = spread(df)
+    df = spread(df) if heavy else df
     if estimate(df) > _memory(df.sparkSession) / 2:
         yield df
         return

@@ -16,6 +16,8 @@ def session(master: str | None = None, app: str = "gradframe", **conf: str) -> S
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
+        # call sites in messages cost a stack walk per expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
