@@ -11,7 +11,7 @@ from gradframe.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("local[8]", "tests", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"})
+    s = session("local[8]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
     entry.ship(s)
     yield s

@@ -137,13 +137,15 @@ def test_all_points_on_top_is_gradient_descent(spark):
     assert np.allclose(last_w(got), last_w(training.train(df, LR(3), w0, 0.5, steps=3)))
 
 
-@pytest.mark.parametrize("decay", ["keep", "linear", "quadratic"])
-@pytest.mark.parametrize("variation", ["", "rla", "p"])
+@pytest.mark.parametrize(
+    ("decay", "variation"),
+    [("keep", ""), ("linear", "rla"), ("linear", "p"), ("quadratic", ""), ("quadratic", "rla")],
+)
 def test_prioritised_training_by_hand(spark, decay, variation):
     X, Y = points(n=90)
-    w, n, k, renewed = np.full(4, 0.1), 90, 18, 30
+    w, n, k, renewed = np.full(4, 0.1), 90, 18, 60
     got, _ = priority.train_prioritised(
-        frame(spark, X, Y), LR(3), w, 0.5, 0.2, 1 / 3, "length", "projection", decay, variation, 5
+        frame(spark, X, Y), LR(3), w, 0.5, 0.2, 2 / 3, "length", "projection", decay, variation, 4
     )
     G = lambda: LR(3).grad_rows(X, Y, w)[0]
     mean = G().mean(axis=0)
@@ -181,7 +183,7 @@ def test_prioritised_training_by_hand(spark, decay, variation):
             return p * np.exp(a * (now - ver))
         return p * np.exp(a * (now**2 - ver**2) + b * (now - ver))
 
-    for _ in range(5):
+    for _ in range(4):
         g = G()
         ids = (at + np.arange(renewed)) % n
         at = (at + renewed) % n
