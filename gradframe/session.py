@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="gradframe-"), "gradframe.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            out.write(file, file.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
 
 def session(master: str | None = None, app: str = "gradframe", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -5,14 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-import __spark_entry__ as entry  # noqa: E402
-from gradframe.session import session  # noqa: E402
+from gradframe.session import session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = session("local[8]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
-    entry.ship(s)
+    ship(s)
     yield s
     s.stop()

@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from gradframe.catalog import ORACLES, QUERIES
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     assert compare(spark, SF, name) == ""
 
@@ -20,4 +21,4 @@ def test_entry_runs(spark):
 
 
 def test_only_timed_probe_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"h5_batch_size_probe"}
+    assert set(QUERIES) - set(ORACLES) == {"h5_batch_size_probe"}
