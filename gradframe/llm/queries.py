@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradframe.llm import personal
+from gradframe.llm import licences, mixing, packing, personal, rules
 from gradframe.llm.columns import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,26 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op2_quality_rules", rules.oracle())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir))
+
+
+@_query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+@_query("op6_source_mixing", mixing.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 @_query("op9_personal_data")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(documents(spark, sf_dir))
+
+
+@_query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
