@@ -6,16 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradframe.llm import personal
+from gradframe.llm import jaccard, mixing, packing, personal, rules
 from gradframe.plans.lineage import checkpoint_dir
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return rules.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the least id."""
+    return jaccard.representatives(docs)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to the name of their kind in brackets."""
     return personal.redact(docs)
 
 
-STAGES = [("personal_data", personal_data)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document is there as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenized pieces with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: The stages tokenize and follow links of any length, which SQL does not express.
 ORACLE_SQL = None

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from gradframe.llm.columns import text_of
 from gradframe.plans import ordered
 from gradframe.plans.lineage import cut
+from gradframe.session import ship
 
 CAPACITY = 2048
 END_ID = 0
@@ -159,4 +160,5 @@ def pack(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(df: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Tokenize, cut and pack all documents."""
+    ship(df.sparkSession)
     return pack(cut(pieces(df, capacity, vocabulary)), capacity)
