@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradframe.llm import jaccard, licences, mixing, packing, personal, rules
+from gradframe.llm import extraction, factorisation, fixity, jaccard, licences, mixing, packing, personal, rules
 from gradframe.llm.columns import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_factorisation_machine")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return factorisation.classified(documents(spark, sf_dir), labels)
+
+
 @_query("op2_quality_rules", rules.oracle())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
@@ -43,6 +49,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@_query("op7_warc_fixity", fixity.oracle())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audited(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@_query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @_query("op9_personal_data")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(documents(spark, sf_dir))
