@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradframe.llm import extraction, factorisation, fixity, jaccard, licences, mixing, packing, personal, rules
+from gradframe.llm import extraction, factorisation, fixity, imatch, jaccard, licences, mixing, packing, personal, rules
 from gradframe.llm.columns import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+@_query("op4_imatch_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprinted(documents(spark, sf_dir))
+
+
 @_query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
