@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"  # fixed values: what separates words
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CHUNK = 256  # matches whose offsets are appended to one array
 BROADCAST_ROWS = 200_000  # tables of plain numbers up to this many rows are broadcast
 
 
@@ -60,17 +61,28 @@ def located(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def starts(matches: Column, pieces: Column) -> Column:
-    """Code point offset of every match, from the result of :func:`located`."""
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    """Code point offset of every match, from the result of :func:`located`.
+
+    Appending to an array copies it, so the offsets are made in chunks: first those of the
+    chunks, then those inside each chunk.
+    """
+    count = F.size(matches)
+    chunks = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / CHUNK).cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+    within = lambda c: F.sequence(c * CHUNK, F.least(count, (c + 1) * CHUNK) - 1)
+    span = lambda k: F.length(F.get(pieces, k)) + F.length(F.get(matches, k))
+    begin = lambda at: F.struct(at.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    total = lambda c: F.aggregate(within(c), F.lit(0).cast("bigint"), lambda acc, k: acc + span(k))
+    first = lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    bases = F.aggregate(F.transform(chunks, total), begin(F.lit(0)), first, lambda acc: acc["out"])
 
     def step(acc: Column, k: Column) -> Column:
-        here = acc["at"] + F.length(F.get(pieces, k))
-        return F.struct(
-            (here + F.length(F.get(matches, k))).alias("at"),
-            F.array_append(acc["out"], here).alias("out"),
-        )
+        here = F.array_append(acc["out"], acc["at"] + F.length(F.get(pieces, k)))
+        return F.struct((acc["at"] + span(k)).alias("at"), here.alias("out"))
 
-    return F.aggregate(positions(F.size(matches)), begin, step, lambda acc: acc["out"])
+    inner = lambda c, base: F.aggregate(within(c), begin(base), step, lambda acc: acc["out"])
+    return F.flatten(F.zip_with(chunks, bases, inner))
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -76,52 +76,64 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _score(kind: str, pieces: Column, k: Column) -> Column:
+    """Score of match ``k``: its kind's, raised if a context word stands near."""
+    before = F.lower(F.right(F.get(pieces, k), F.lit(NEAR)))
+    after = F.lower(F.left(F.get(pieces, k + 1), F.lit(NEAR)))
+    near = before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind])
+    return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0))
+
+
+def _accepted(kind: str, match: Column, score: Column) -> Column:
+    """Base kinds only need their checksum or limits, the others a high enough score too."""
+    return _valid(kind, match) if kind in BASE else _valid(kind, match) & (score >= LEAST)
+
+
 def _spans(kind: str, p: str) -> Column:
-    """Valid spans of one kind as ``(start, rank, end, kind, score)``."""
+    """Accepted spans of one kind as ``(start, rank, end, kind, score)``."""
     matches, pieces, at = F.col(f"{p}m_{kind}"), F.col(f"{p}p_{kind}"), F.col(f"{p}s_{kind}")
     rank = list(PATTERNS).index(kind)
 
     def span(k: Column) -> Column:
-        match = F.get(matches, k)
-        before = F.lower(F.right(F.get(pieces, k), F.lit(NEAR)))
-        after = F.lower(F.left(F.get(pieces, k + 1), F.lit(NEAR)))
-        near = before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind])
+        match, score = F.get(matches, k), _score(kind, pieces, k)
         return F.struct(
             F.get(at, k).alias("start"),
             F.lit(rank).alias("rank"),
             (F.get(at, k) + F.length(match)).alias("end"),
             F.lit(kind).alias("kind"),
-            F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0)).alias("score"),
-            _valid(kind, match).alias("valid"),
+            score.alias("score"),
+            _accepted(kind, match, score).alias("ok"),
         )
 
-    found = F.transform(positions(F.size(matches)), span)
-    keep = (lambda s: s["valid"]) if kind in BASE else (lambda s: s["valid"] & (s["score"] >= LEAST))
-    return F.filter(found, keep)
+    return F.filter(F.transform(positions(F.size(matches)), span), lambda s: s["ok"])
+
+
+def _searched(df: DataFrame, whole: Column, p: str, kinds: dict[str, str]) -> DataFrame:
+    """Add the matches ``m_`` of some kinds and the pieces ``p_`` around them."""
+    none = F.array().cast("array<string>")
+    gate = lambda kind: F.col(f"{p}any") & whole.rlike(GATES[kind])
+    out = df.withColumns(
+        {f"{p}m_{k}": F.when(gate(k), located(whole, x)[0]).otherwise(none) for k, x in kinds.items()}
+    )
+    found = lambda kind: F.size(F.col(f"{p}m_{kind}")) > 0
+    return out.withColumns(
+        {f"{p}p_{k}": F.when(found(k), located(whole, x)[1]).otherwise(none) for k, x in kinds.items()}
+    )
 
 
 def with_spans(df: DataFrame, text: str = "text", name: str = "_spans") -> DataFrame:
     """Add the sorted spans of every row's text as an array of structs.
 
-    A span is ``(start, rank, end, kind, score, valid)`` in code points, end
-    exclusive, sorted by start, then by kind.
+    A span is ``(start, rank, end, kind, score, ok)`` in code points, end exclusive,
+    sorted by start, then by kind.
     """
     p = private(df)
-    whole, matched = F.col(f"{p}text"), lambda kind: F.col(f"{p}m_{kind}")
-    none = F.array().cast("array<string>")
-    out = df.withColumn(f"{p}text", text_of(df, text))
-    out = out.withColumn(f"{p}any", whole.rlike("[0-9@]"))
-    gate = lambda kind: F.col(f"{p}any") & whole.rlike(GATES[kind])
+    whole = F.col(f"{p}text")
+    out = df.withColumn(f"{p}text", text_of(df, text)).withColumn(f"{p}any", whole.rlike("[0-9@]"))
+    out = _searched(out, whole, p, PATTERNS)
     out = out.withColumns(
-        {f"{p}m_{k}": F.when(gate(k), located(whole, x)[0]).otherwise(none) for k, x in PATTERNS.items()}
+        {f"{p}s_{k}": starts(F.col(f"{p}m_{k}"), F.col(f"{p}p_{k}")) for k in PATTERNS}
     )
-    out = out.withColumns(
-        {
-            f"{p}p_{k}": F.when(F.size(matched(k)) > 0, located(whole, x)[1]).otherwise(none)
-            for k, x in PATTERNS.items()
-        }
-    )
-    out = out.withColumns({f"{p}s_{k}": starts(matched(k), F.col(f"{p}p_{k}")) for k in PATTERNS})
     every = F.concat(*[_spans(kind, p) for kind in PATTERNS])
     return out.select(*quoted(df.columns), F.sort_array(every).alias(name))
 
@@ -144,31 +156,32 @@ def digest(df: DataFrame) -> DataFrame:
     )
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with every span replaced by its kind in brackets.
+def _hidden(kind: str, matches: Column, pieces: Column, whole: Column) -> Column:
+    """The text with the accepted matches of one kind replaced."""
 
-    Overlapping spans become one hole, named after the span that starts first. A
-    null text stays null and a text without spans stays as it is.
-    """
-    spans = f"{private(df)}spans"
-    found = with_spans(df, text, spans)
-    whole = quoted([text])[0]
-    begin = F.struct(
-        F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")
-    )
+    def part(k: Column) -> Column:
+        match = F.get(matches, k)
+        accepted = _accepted(kind, match, _score(kind, pieces, k))
+        return F.concat(F.get(pieces, k), F.when(accepted, f"[{kind.upper()}]").otherwise(match))
+
+    parts = F.transform(positions(F.size(matches)), part)
+    joined = F.concat(F.array_join(parts, ""), F.get(pieces, F.size(matches)))
+    return F.when(F.size(matches) > 0, joined).otherwise(whole)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(whole, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        tag = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        new = F.array_append(F.array_append(acc["out"], gap), tag)
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"),
-        )
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substr(whole, (acc["at"] + 1).cast("int")))
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with every accepted match replaced by its kind in brackets.
 
-    cleaned = F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, finish)).otherwise(whole)
-    others = [cleaned.alias(c) if c == text else q for c, q in zip(df.columns, quoted(df.columns))]
-    return found.select(*others)
+    Kinds are replaced one after the other in their order, so where two overlap the
+    first one gives the name. A null text stays null, one without matches as it is.
+    """
+    p = private(df)
+    whole = F.col(f"{p}text")
+    own = quoted([text])[0]
+    out = df.withColumn(f"{p}text", own).withColumn(f"{p}any", F.coalesce(whole.rlike("[0-9@]"), F.lit(False)))
+    for kind, pattern in PATTERNS.items():
+        out = _searched(out, whole, p, {kind: pattern})
+        hidden = _hidden(kind, F.col(f"{p}m_{kind}"), F.col(f"{p}p_{kind}"), whole)
+        out = out.withColumn(f"{p}text", hidden).drop(f"{p}m_{kind}", f"{p}p_{kind}")
+    others = [whole.alias(c) if c == text else q for c, q in zip(df.columns, quoted(df.columns))]
+    return out.select(*others)
