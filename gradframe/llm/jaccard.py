@@ -8,9 +8,10 @@ by value, are indexed as pairs: if all shared prefix tokens are frequent, some s
 them. ``c`` follows a set's size band, so the number of pairs stays linear in the prefix.
 Pairs of sets under one signature are then verified on the whole sets.
 
-Equal sets are one node from the start. For each signature the least node is compared with
-all others first; once the links found are joined to components, only pairs under a
-signature that still lie in different components are left, and all those are compared.
+Equal sets are one node from the start. Each node is first compared with the least node of
+that signature which it shares most; once the links found are joined to components, nodes are compared with
+the least nodes of their other signatures, and then all pairs under a signature, but both times only
+those that still lie in different components.
 No link between components can be lost, and groups of copies are not multiplied out.
 
 Defined cases: a document without words or text has the empty set and is linked with nothing;
@@ -175,7 +176,7 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
 
     One document stands for each node; only texts of nodes in pairs are read again.
     """
-    named = pairs.select("a").union(pairs.select(F.col("b"))).distinct().withColumnRenamed("a", "node")
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = cut(nodes.join(named, "node").select("node", F.col("first").alias("doc_id")))
     ids = bounded_broadcast(wanted.select("doc_id").distinct())
 
@@ -207,8 +208,10 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
                 same.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
+    # the sets of one side go to those of the other, which are moved once for each node
     of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"set_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
+    hubs = of("a").join(bounded_broadcast(cut(pairs.select("a").distinct())), "a", "left_semi")
+    both = of("b").join(bounded_broadcast(pairs), "b").join(hubs, "a").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -216,6 +219,33 @@ def _near_sizes(x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
 
 
+def _apart_stars(stars: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a signature's least node with others that lie in another component."""
+    return _apart(stars.select("a", "b"), roots)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    placed = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return placed.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
+def _apart_pairs(stars: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs under a signature whose nodes lie in different components.
+
+    A signature whose nodes lie in one component needs nothing more.
+    """
+    placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sig")
+    apart = cut(placed.join(split, "sig"))
+    return (
+        apart.alias("l").join(apart.alias("r"), "sig")
+        .where(f"l.node < r.node and l.root <> r.root and {_near_sizes('l.n', 'r.n')}")
+        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        .distinct()
+    )
+
+
 def join(df: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every row of ``doc_id, text``.
 
@@ -236,29 +266,26 @@ def join(df: DataFrame) -> DataFrame:
         postings.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi").drop("hi")
     )
     sizes = shared.select("node", "n").distinct()
-    stars = (
-        shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    stars = cut(
+        shared.where("node <> lo").groupBy(F.col("lo").alias("a"), F.col("node").alias("b"))
+        .agg(F.count("*").alias("often"), F.first("n").alias("nb"))
         .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-        .where(_near_sizes("na", "nb")).select("a", "b")
+        .where(_near_sizes("na", "nb")).select("a", "b", "often")
     )
-    stars = cut(stars)
-    links = cut(_verified(stars, named, nodes))
+    # first each node with the one it shares most signatures with, then what this leaves apart
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
+    tried = cut(best)
+    links = cut(_verified(tried, named, nodes))
     roots = cut(components(links))
-    placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-    # signatures whose nodes lie in one component need nothing more
-    split = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sig")
-    open_ = cut(placed.join(split, "sig"))
-    left, right = open_.alias("l"), open_.alias("r")
-    rest = (
-        left.join(right, "sig")
-        .where(f"l.node < r.node and l.root <> r.root and {_near_sizes('l.n', 'r.n')}")
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
-    )
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, named, nodes))
-    links = links.union(more)
-    roots = cut(components(links)) if more.take(1) else roots
+    for pairs in (_apart_stars, _apart_pairs):
+        rest = cut(pairs(stars, shared, roots).join(tried, ["a", "b"], "left_anti"))
+        if not rest.take(1):
+            continue
+        more = cut(_verified(rest, named, nodes))
+        tried = tried.union(rest)
+        if more.take(1):
+            links = cut(links.union(more))
+            roots = cut(components(links))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     labelled = nodes.join(roots, "node", "left").join(degree.withColumnRenamed("a", "node"), "node", "left")
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
