@@ -49,14 +49,17 @@ def offset_difference(spark, sf):
         """SELECT id FROM (SELECT id, CASE WHEN first > 0 THEN p*0.01 >= q ELSE p*0.01 <= q END AS ok FROM (
             SELECT id, p, lead(p) OVER w AS q, first_value(p) OVER w AS first FROM few
             WINDOW w AS (PARTITION BY id ORDER BY iter))) GROUP BY id HAVING coalesce(bool_and(ok), TRUE)""",
-        few="SELECT iter % 3 AS iter, id * 10 + iter // 3 AS id, p FROM prio",
+        few="SELECT iter % 3 AS iter, id * 10 + iter // 3 AS id, CASE WHEN id % 2 = 1 THEN p / 1e6 ** (iter % 3) ELSE p END AS p FROM prio",
     ),
 )
 def monotonic_trend(spark, sf):
-    """Every ten-day series cut into runs of three; steps must fall below 1%."""
+    """Every series cut into runs of three, those of odd points made to fall; steps must fall below 1%."""
     rows = prio(spark, sf)
+    day = F.pmod("iter", F.lit(3))
+    falling = F.col("p") / F.pow(F.lit(1e6), day)
     few = rows.select(
-        F.pmod("iter", F.lit(3)).alias("iter"), (F.col("id") * 10 + F.floor(F.col("iter") / 3)).alias("id"), "p"
+        day.alias("iter"), (F.col("id") * 10 + F.floor(F.col("iter") / 3)).alias("id"),
+        F.when(F.col("id") % 2 == 1, falling).otherwise(F.col("p")).alias("p"),
     )
     return pa.trend(few, 0.99)
 

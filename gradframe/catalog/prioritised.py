@@ -102,13 +102,10 @@ def decay_linear(spark, sf):
         "prio",
         "SELECT id, round(p, 6) + 0.0 AS p, iter::BIGINT AS ver, round(a, 6) + 0.0 AS a, round(b, 4) + 0.0 AS b FROM s WHERE iter = 29",
         recursive=True,
-        s="""SELECT id, iter, p, 0.0::DOUBLE AS a, -1.0::DOUBLE AS b, p AS lr, 0.0::DOUBLE AS d2, 0.0::DOUBLE AS d1
-        FROM prio WHERE iter = 0
-        UNION ALL SELECT id, iter, p,
-            CASE WHEN det = 0 THEN 0 ELSE 0.8*(nl*d1 - lr)/det + 0.2*a END,
-            CASE WHEN det = 0 THEN nl ELSE 0.8*(nl*d2 - lr*n2)/(-det) + 0.2*b END, nl, n2, 1.0::DOUBLE
-        FROM (SELECT n.id, n.iter, n.p, ln(n.p/s.p) AS nl, (n.iter*n.iter - s.iter*s.iter)::DOUBLE AS n2,
-                     s.a, s.b, s.lr, s.d1, s.d2, (n.iter*n.iter - s.iter*s.iter)*s.d1 - s.d2 AS det
+        s="""SELECT id, iter, p, 0.0::DOUBLE AS a, -1.0::DOUBLE AS b, NULL::DOUBLE AS rate FROM prio WHERE iter = 0
+        UNION ALL SELECT id, iter, p, CASE WHEN rate IS NULL THEN 0 ELSE 0.8*bend + 0.2*a END,
+            CASE WHEN rate IS NULL THEN r ELSE 0.8*(r - bend*(2*iter - 1)) + 0.2*b END, r
+        FROM (SELECT n.id, n.iter, n.p, ln(n.p/s.p) AS r, (ln(n.p/s.p) - s.rate)/2 AS bend, s.a, s.b, s.rate
               FROM s JOIN prio n ON n.id = s.id AND n.iter = s.iter + 1)""",
     ),
 )

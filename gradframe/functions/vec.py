@@ -129,7 +129,7 @@ def darctan(x) -> Column:
 
 
 def softplus(x) -> Column:
-    return F.log1p(F.exp(_c(x)))
+    return F.greatest(_c(x), F.lit(0.0)) + F.log1p(F.exp(-F.abs(_c(x))))
 
 
 def dsoftplus(x) -> Column:

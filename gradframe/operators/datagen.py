@@ -23,11 +23,16 @@ M2, A2 = 2147483399, 40692
 
 
 def uniform(number: Column | str, stream: int | Column, seed: int) -> Column:
-    """Uniform in (0, 1) from a row number, a stream number and a seed."""
+    """Uniform in (0, 1) from a row number, a stream number and a seed.
+
+    The part of a row number beyond the modulus enters between two rounds, so rows 2^31
+    apart do not repeat; numbers below the modulus are not changed by it.
+    """
     n = F.col(number) if isinstance(number, str) else number
     s = stream if isinstance(stream, Column) else F.lit(stream)
     h = F.pmod((F.pmod(n.cast("bigint"), F.lit(M1)) + F.lit(seed % M1 + 1)) * F.lit(A1), F.lit(M1))
-    h = F.pmod((h + s.cast("bigint") * F.lit(7919) + F.lit(1)) * F.lit(A2), F.lit(M2))
+    beyond = F.pmod(F.floor(n.cast("bigint") / F.lit(M1)) * F.lit(A1), F.lit(M2))
+    h = F.pmod((h + beyond + s.cast("bigint") * F.lit(7919) + F.lit(1)) * F.lit(A2), F.lit(M2))
     h = F.pmod((h + F.lit(seed % M1)) * F.lit(A1), F.lit(M1))
     return (h + F.lit(0.5)) / F.lit(float(M1))
 

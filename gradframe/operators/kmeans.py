@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gradframe.functions.batches import matrix
 from gradframe.functions.models import KMeans
 from gradframe.operators.gradients import sum_batches
-from gradframe.operators.prep import batch_slice
+from gradframe.operators.prep import batch_slice, numbered_rows
 from gradframe.plans.lineage import held
 
 
@@ -131,7 +131,7 @@ def train_em(
         return _rows_and_counts(X, initial(ids), 1.0, k).ravel()
 
     with held(df.select("id", "x")) as rows:
-        total = rows.count()
+        total = numbered_rows(rows)
         size = total if batch is None else min(batch, total)
         w = _collect(sum_batches(rows, start), model.width)
         log = [(0, 0, 0, None, [float(v) for v in w])]

@@ -64,6 +64,17 @@ def shuffle(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64("id", F.lit(seed)), "id")
 
 
+def numbered_rows(df: DataFrame) -> int:
+    """Row count, or ``ValueError`` where the ids are not 0 to count - 1.
+
+    Batches are taken as id ranges, so other ids would silently be left out.
+    """
+    low, high, total = df.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    if total and (low, high) != (0, total - 1):
+        raise ValueError(f"ids run from {low} to {high}, not from 0 to {total - 1}; number the rows first")
+    return total
+
+
 def batch_slice(df: DataFrame, start: int, count: int, total: int) -> DataFrame:
     """``count`` rows from ``start`` on, wrapping at the end.
 

@@ -20,7 +20,7 @@ from gradframe.operators.gradients import (
     reduce_gradient,
     vector_sum,
 )
-from gradframe.operators.prep import batch_slice
+from gradframe.operators.prep import batch_slice, numbered_rows
 from gradframe.operators.scoring import NARROW
 from gradframe.plans.lineage import cut, held
 from gradframe.plans.sizes import BROADCAST_ROWS, small
@@ -126,32 +126,31 @@ class ExpLinear:
 
 @dataclass(frozen=True)
 class ExpQuadratic:
-    """``p * exp(a * d(v^2) + b * dv)`` through the last two log-ratios.
+    """Log-priority as a quadratic ``a v^2 + b v + c`` in the version.
 
-    ``lr``, ``d2`` and ``d1`` are the log-ratio and version gaps of the update
-    before; without them the model is linear.
+    Over one gap it rises at the mean rate ``a * (sum of both versions) + b``. So two gaps one
+    after the other give ``a`` as a divided difference of their rates, and ``b`` as what is left of
+    the newer rate. ``rate`` and ``sum`` are those of the gap before; a point that has had
+    only one gap goes on at its rate.
     """
 
-    columns = ("p", "ver", "a", "b", "lr", "d2", "d1")
+    columns = ("p", "ver", "a", "b", "rate", "sum")
 
     def initial(self, p, version):
-        zero = F.lit(0.0)
-        return [p, version, zero, F.lit(-1.0), p, zero, zero]
+        return [p, version, F.lit(0.0), F.lit(-1.0), F.lit(None), F.lit(None)]
 
     def at(self, now, s=F.col):
         return vec.decay_quadratic(s("p"), s("a"), s("b"), s("ver"), now)
 
     def updated(self, p, now, s=F.col):
-        n, v = now.cast("double"), s("ver").cast("double")
-        d1, d2 = n - v, n * n - v * v
-        lr = _log_ratio(p, s("p"))
-        det = d2 * s("d1") - d1 * s("d2")
-        a = F.try_divide(lr * s("d1") - s("lr") * d1, det)
-        b = F.try_divide(lr * s("d2") - s("lr") * d2, -det)
-        a = F.when(det == 0, F.lit(0.0)).otherwise(_smoothed(a, s("a")))
-        b = F.when(det == 0, F.try_divide(lr, d1)).otherwise(_smoothed(b, s("b")))
-        fresh = (p, now, a, b, lr, d2, d1)
-        return [F.when(d1 == 0, s(c)).otherwise(f) for c, f in zip(self.columns, fresh)]
+        rate = F.try_divide(_log_ratio(p, s("p")), now - s("ver"))
+        both = (now + s("ver")).cast("double")
+        bend = F.try_divide(rate - s("rate"), both - s("sum"))
+        once = s("rate").isNull()
+        a = F.when(once, F.lit(0.0)).otherwise(_smoothed(bend, s("a")))
+        b = F.when(once, rate).otherwise(_smoothed(rate - bend * both, s("b")))
+        fresh = (p, now, a, b, rate, both)
+        return [F.when(now == s("ver"), s(c)).otherwise(f) for c, f in zip(self.columns, fresh)]
 
 
 DECAYS = {"keep": Keep(), "linear": ExpLinear(), "quadratic": ExpQuadratic()}
@@ -267,7 +266,7 @@ def train_prioritised(
     """
     spark, model_decay = df.sparkSession, DECAYS[decay]
     with held(df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns])) as rows:
-        total = rows.count()
+        total = numbered_rows(rows)
         k, renewed = int(total * top), int(total * renew_share)
         w, version, at = np.array(w0, float), 0, 0
         mean = np.zeros(model.width)
@@ -348,7 +347,7 @@ def train_block(
     """
     spark = df.sparkSession
     with held(df.select("id", "x", "y")) as rows:
-        total = rows.count()
+        total = numbered_rows(rows)
         block = min(block or total, total)
         size, renewed = min(batch or total, total), int(total * renew_share)
         w = np.array(w0, float)
@@ -434,7 +433,7 @@ def train_decayed_mean(
     """
     spark = df.sparkSession
     with held(df.select("id", "x", "y")) as rows:
-        total = rows.count()
+        total = numbered_rows(rows)
         size, renewed = min(batch or total, total), int(total * renew_share)
         w = np.array(w0, float)
         n, _, g = reduce_gradient(rows, model, w)
@@ -475,7 +474,7 @@ def train_exact(
     """Exact priorities every step, gradient of the top rows of the batch."""
     spark = df.sparkSession
     with held(df.select("id", "x", "y")) as rows:
-        total = rows.count()
+        total = numbered_rows(rows)
         size = min(batch or total, total)
         k = int(top * size)
         w, records, start = np.array(w0, float), [(0, 0.0, 0, np.array(w0, float))], 0
@@ -526,7 +525,7 @@ def train_dimensions(
     """As :func:`train_exact`, but over (point, position) pairs."""
     spark = df.sparkSession
     with held(df.select("id", "x", "y")) as rows:
-        total = rows.count()
+        total = numbered_rows(rows)
         size = min(batch or total, total)
         k = int(top * size * model.width)
         w, records, start = np.array(w0, float), [(0, 0.0, 0, np.array(w0, float))], 0

@@ -27,35 +27,41 @@ def time_to_target(
 ) -> DataFrame:
     """``(run, reached)``; unmet targets are extrapolated if ``estimate`` says so.
 
-    The four last rows give two slopes two rows apart. ``linear`` goes on with
-    their mean; ``exp`` lets the slope shrink by their ratio from row to row.
+    The curve goes on from its last four samples. Two chords, each over three of them,
+    tell how steep it was a sample ago and is now. ``linear`` keeps the mean of the two; ``exp``
+    takes further steps of one chord's length whose drops shrink by the ratio of the chords.
     """
     met = reached(scores, target, value, at)
     if estimate is None:
         return met
-    w = Window.partitionBy("run").orderBy(F.col("iter").desc())
-    last = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4)
-    pick = lambda c, r: F.max(F.when(F.col("_r") == r, F.col(c)))
-    four = last.groupBy("run").agg(
-        *[pick(at, r).alias(f"x{r}") for r in (1, 2, 3, 4)],
-        *[pick(value, r).alias(f"v{r}") for r in (1, 2, 3, 4)],
+    newest = Window.partitionBy("run").orderBy(F.col("iter").desc())
+    tail = (
+        scores.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= 4)
+        .groupBy("run").agg(F.sort_array(F.collect_list(F.struct("_age", F.col(at).alias("x"), F.col(value).alias("v")))).alias("s"))
     )
-    c = F.col
-    r1 = F.try_divide(c("v4") - c("v2"), c("x4") - c("x2"))
-    r2 = F.try_divide(c("v3") - c("v1"), c("x3") - c("x1"))
-    a = F.least(F.try_divide(r2, r1), F.lit(1.0))
-    goal = F.lit(float(target))
-    line = c("x1") + F.try_divide(goal - c("v1"), (r1 + r2) / 2)
+    sample = lambda age: F.get("s", F.lit(age))
+    span = lambda age: sample(age + 2)["x"] - sample(age)["x"]
+    steep = lambda age: F.try_divide(sample(age + 2)["v"] - sample(age)["v"], span(age))
+    missing = F.lit(float(target)) - sample(0)["v"]
+    step = (span(0) + span(1)) / 2
+    straight = F.try_divide(missing, (steep(0) + steep(1)) / 2)
     if estimate == "exp":
-        # value = v1 + a*r2*dx + a^2*r2*dx + ..., solved for the number of terms
-        dx = (c("x3") - c("x1") + c("x4") - c("x2")) / 2
-        left = F.try_divide(goal - c("v1"), a * r2 * dx) * (1 - a)
-        terms = F.try_divide(F.log(1 - left), F.log(a))
-        line = F.when(a == 1, line).otherwise(c("x1") + dx * terms)
-    guess = four.select("run", line.alias("guess"))
-    return met.join(guess, "run", "left").select(
-        "run", F.coalesce("reached", "guess").alias("reached")
-    )
+        ratio = F.least(F.try_divide(steep(0), steep(1)), F.lit(1.0))
+        shrinking = step * _shrinking_steps(missing, steep(0) * step, ratio)
+        further = F.when(ratio < 1, shrinking).otherwise(straight)
+    else:
+        further = straight
+    guess = tail.select("run", (sample(0)["x"] + further).alias("guess"))
+    return met.join(guess, "run", "left").select("run", F.coalesce("reached", "guess").alias("reached"))
+
+
+def _shrinking_steps(total: Column, first: Column, ratio: Column) -> Column:
+    """Number m of steps with ``first * (ratio + ratio^2 + ... + ratio^m) = total``; null if there is none.
+
+    The sum is ``first * ratio * (1 - ratio^m) / (1 - ratio)``.
+    """
+    power = F.lit(1.0) - F.try_divide(total * (F.lit(1.0) - ratio), first * ratio)
+    return F.try_divide(F.log(power), F.log(ratio))
 
 
 def progress(

@@ -17,12 +17,15 @@ NARROW = 16  # inputs up to which a score is written out as one expression
 
 
 def logit(x: str | Column, w: np.ndarray, width: int) -> Column:
-    """``w . x + b`` written out term by term, so that it is compiled."""
+    """``w . x + b`` written out term by term, so that it is compiled.
+
+    A row of another length is an error here as it is on the way over Arrow batches.
+    """
     x = F.col(x) if isinstance(x, str) else x
     z = F.lit(float(w[width]))
     for j in range(width):
         z = z + F.get(x, F.lit(j)) * F.lit(float(w[j]))
-    return z
+    return F.when(F.size(x) == width, z).otherwise(F.raise_error(F.lit("rows differ in length")).cast("double"))
 
 
 def score(df: DataFrame, model: Model, w: np.ndarray, keep: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from gradframe.functions.models import Model
 from gradframe.operators.gradients import is_narrow, loop_columns, reduce_gradient
-from gradframe.operators.prep import batch_slice
+from gradframe.operators.prep import batch_slice, numbered_rows
 from gradframe.plans.lineage import held
 from gradframe.sources import history
 
@@ -134,7 +134,7 @@ def train(
     records = [] if step else [(0, 0.0, 0, w)]
     began, kept_at, end = time.monotonic(), before, step + steps
     with held(loop_columns(df, model), not is_narrow(model)) as rows:
-        total = rows.count() if batch is not None else None
+        total = numbered_rows(rows) if batch is not None else None
         while step < end:
             part = rows
             if batch is not None:

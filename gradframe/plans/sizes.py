@@ -12,9 +12,9 @@ BROADCAST_BYTES = 64 << 20
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its row count is known and within bounds.
 
-    ``rows`` is the count where the caller knows it; otherwise at most
-    ``limit + 1`` rows are counted. Larger tables are left to a shuffled join.
+    ``rows`` is the count where the caller knows it; otherwise the rows are counted, by
+    partial counts in the tasks. Larger tables are left to a shuffled join.
     """
     if rows is None:
-        rows = df.limit(limit + 1).count()
+        rows = df.count()
     return F.broadcast(df) if rows <= limit else df

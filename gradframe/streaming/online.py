@@ -1,7 +1,8 @@
 """Online training on a stream: every micro-batch is one update.
 
-The parameter versions are a Parquet table. Version ``v`` is written by batch
-``v - 1``; a replayed batch finds its version there and changes nothing.
+The parameter versions are a Parquet table. A stream notes beside its checkpoint the version
+it began with, so batch ``b`` writes version ``first + b + 1``; a replayed batch finds
+its version there and changes nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ def stream_train(
     factor: float = 1.0,
     average: bool = True,
     interval: str | None = None,
+    go_on: bool = False,
 ) -> StreamingQuery:
     """Start training on a stream of ``(x, y)`` rows; versions go to ``path``.
 
@@ -37,16 +39,20 @@ def stream_train(
     newest for 0) and applied to the newest, times ``factor``. ``interval`` sets
     a processing-time trigger, which makes the batch whatever arrived in that
     time; without it the rows at hand are worked off and the query ends.
+
+    A new checkpoint over a table that another stream has written is refused, since its rows
+    would be learned a second time; ``go_on`` says that they are other rows.
     """
     spark = stream.sparkSession
     if not _has_versions(spark, path):
         history.append(history.rows(spark, [(0, 0.0, 0, w0)]), path)
     recent = _newest(spark, path, gap)
+    first = _first_version(spark, f"{checkpoint}/first-version", max(recent), go_on)
     began = time.monotonic()
 
     def update(batch: DataFrame, number: int) -> None:
         newest = max(recent)
-        if newest > number:
+        if newest > first + number:
             return
         points, w = recent[newest]
         _, read_at = recent[max(newest - gap, min(recent))]
@@ -74,6 +80,17 @@ def _newest(spark: SparkSession, path: str, gap: int) -> dict[int, tuple[int, np
     return {r["iter"]: (r["n"], np.array(r["w"])) for r in rows}
 
 
+def _first_version(spark: SparkSession, note: str, newest: int, go_on: bool) -> int:
+    """The version a stream with this checkpoint began with, noted at its first start."""
+    try:
+        return spark.read.schema("version bigint").parquet(note).first()["version"]
+    except AnalysisException:
+        if newest and not go_on:
+            raise ValueError("the version table belongs to a stream with another checkpoint") from None
+    spark.range(newest, newest + 1).select(F.col("id").alias("version")).coalesce(1).write.parquet(note)
+    return newest
+
+
 def _has_versions(spark: SparkSession, path: str) -> bool:
     try:
         return not history.read(spark, path).isEmpty()

@@ -53,8 +53,29 @@ def test_restart_goes_on_and_replay_changes_nothing(spark, tmp_path, files):
     run(mark)
     before = sorted(map(str, history.read(spark, out).collect()))
     run(mark)  # nothing new
-    run(mark + "-lost")  # all batches come again under their old numbers
     assert sorted(map(str, history.read(spark, out).collect())) == before
+    # the last batch comes again, as after a failure between its version and its commit
+    last = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    run(mark)
+    assert sorted(map(str, history.read(spark, out).collect())) == before
+
+
+def test_other_checkpoint_over_versions(spark, tmp_path, files):
+    path, _ = files
+    out = str(tmp_path / "out")
+    run = lambda mark, **how: online.stream_train(
+        stream(spark, path), LR(3), np.zeros(4), 0.5, out, str(tmp_path / mark), **how
+    ).awaitTermination()
+    run("one")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run("two")
+    run("two", go_on=True)
+    run("two", go_on=True)
+    got = history.read(spark, out).orderBy("iter").collect()
+    assert [r["iter"] for r in got] == list(range(9))
+    assert [r["n"] for r in got] == [0, 10, 40, 70, 100, 110, 140, 170, 200]
 
 
 def test_report_state_over_batches(spark, tmp_path):
