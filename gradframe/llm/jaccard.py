@@ -37,9 +37,11 @@ from gradframe.plans.lineage import cut
 from gradframe.session import ship
 
 PERCENT = 80
-BUCKET_BITS = 18  # of the hashed counts: their number is fixed, whatever the table's size is
+BUCKET_BITS = 22  # of the hashed counts: their number is fixed, whatever the table's size is
+COUNTERS = 1 << 14  # that travel together
 BAND = 1.25
 HELD_SETS = 500
+SKETCH_BITS = 14  # of the largest sketch, as a power of two
 SET_BYTES = 8 << 20  # of sets handed to Spark in one batch, about
 SUBCLASS_TOKENS = 16  # aimed-at frequent tokens of one subclass in a prefix
 
@@ -51,7 +53,12 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def _counted(df: DataFrame) -> np.ndarray:
-    """Number of (document, token) pairs by the upper bits of the token."""
+    """Number of (document, token) pairs by the upper bits of the token.
+
+    A task counts into an array of fixed size and hands it on in blocks, which are added up
+    block by block; the driver receives the sums.
+    """
+    blocks = (1 << BUCKET_BITS) // COUNTERS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -59,18 +66,37 @@ def _counted(df: DataFrame) -> np.ndarray:
         for _, _, tokens in _sets(batches, 0):
             held.append((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
             if len(held) == HELD_SETS:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+                _add(total, np.concatenate(held))
                 held = []
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["bucket", "n"])
+            _add(total, np.concatenate(held))
+        parts = enumerate(total.astype(np.uint32).reshape(blocks, COUNTERS))
+        yield from _blocks({k: part for k, part in parts if part.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, np.int64(0)) + np.frombuffer(data.as_py(), np.uint32)
+        yield from _blocks(sums)
+
+    kind = "block int, counts binary"
+    parts = df.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind)
+    total = np.zeros((blocks, COUNTERS), np.int64)
+    for row in parts.collect():  # one row per block
+        total[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    return total.reshape(-1)
+
 
-    parts = df.select("text").mapInArrow(count, "bucket bigint, n bigint")
-    sums = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # one row per bucket
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    total[sums["bucket"]] = sums["n"]
-    return total
+def _add(total: np.ndarray, buckets: np.ndarray) -> None:
+    found, often = np.unique(buckets, return_counts=True)
+    total[found] += often
+
+
+def _blocks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names = ["block", "counts"]
+    for k, counts in parts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()])], names=names)
 
 
 def _levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -79,12 +105,30 @@ def _levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
     A bucket well above what chance gives the buckets holds a frequent token.
     """
     mean = counts.mean()
-    levels = np.unique(counts, return_inverse=True)[1] if counts.any() else counts
+    levels = np.minimum(np.unique(counts, return_inverse=True)[1], 65535) if counts.any() else counts
     bound = mean + 8 * np.sqrt(mean) + 16
     frequent = int(levels[counts > bound].min()) if (counts > bound).any() else int(levels.max()) + 1
     return levels.astype(np.uint16), frequent
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of the set, of at least four bits a token up to ``SKETCH_BITS``."""
+    bits = 1 << min(SKETCH_BITS, max(9, int(4 * len(tokens) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def difference(one: bytes, two: bytes) -> int:
+    """No more than the number of tokens that are in one of two sets only.
+
+    The larger bitmap is folded to the size of the smaller. Each bit that differs comes from a token
+    of its own that the other set does not have.
+    """
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)))).sum())
+
+
 def _band(size: int) -> int:
     return int(log(size) / log(BAND) + 1e-9)
 
@@ -121,6 +165,7 @@ def _pairs(tokens: np.ndarray, band: int) -> np.ndarray:
 
 def _postings(df: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
     """``sig, node, n`` of every distinct set; copies inside one task give theirs once."""
+    known = df.sparkSession.sparkContext.broadcast(levels)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -142,7 +187,7 @@ def _postings(df: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
             if node in seen:
                 continue
             seen.add(node)
-            sigs.append(signatures(tokens, levels, frequent))
+            sigs.append(signatures(tokens, known.value, frequent))
             nodes.append(node)
             sizes.append(len(tokens))
             held += len(sigs[-1])
@@ -174,30 +219,48 @@ def _members(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
-    One document stands for each node; only texts of nodes in pairs are read again.
+    One document stands for each node; only texts of nodes in pairs are read again. Pairs whose
+    sketches already differ in more bits than similar sets can are left out before sets are moved:
+    100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
     """
     named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = cut(nodes.join(named, "node").select("node", F.col("first").alias("doc_id")))
     ids = bounded_broadcast(wanted.select("doc_id").distinct())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[bytes] = []
-        keys: list[int] = []
-        batch = lambda: pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"]
-        )
+        rows: list[tuple] = []
         held = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "sketch", "tokens"]
+            )
+
         for _, _, tokens in _sets(batches, 0):
-            keys.append(set_key(tokens))
-            sets.append(tokens.tobytes())
-            held += len(sets[-1])
+            rows.append((set_key(tokens), len(tokens), sketch(tokens).tobytes(), tokens.tobytes()))
+            held += len(rows[-1][3])
             if held > SET_BYTES:
                 yield batch()
-                sets, keys, held = [], [], 0
+                rows, held = [], 0
         yield batch()
 
     texts = df.join(ids, "doc_id", "left_semi").select("text")
-    sets = cut(texts.mapInArrow(build, "node bigint, tokens binary").join(bounded_broadcast(wanted.select("node")), "node", "left_semi"))
+    built = texts.mapInArrow(build, "node bigint, n bigint, sketch binary, tokens binary")
+    sets = cut(built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi"))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [
+                (100 + PERCENT) * difference(x.as_py(), y.as_py()) <= (100 - PERCENT) * (m.as_py() + n.as_py())
+                for x, m, y, n in zip(*batch.columns[2:])
+            ]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    drawn = lambda side: sets.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
+    sketched = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b")
+    pairs = cut(sketched.mapInArrow(narrow, "a bigint, b bigint").distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -319,3 +319,15 @@ def test_pipeline_stages(spark, edge, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{number}")
     assert docs.count() > 0
     assert len(corpus_pipeline.STAGES) == 5 and all(re.match(r"op\d+_", q) for q in queries.QUERIES)
+
+
+def test_sketches_never_overstate_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for m, n in ((3, 3), (100, 130), (900, 1100), (30_000, 29_000)):
+        pool = rng.integers(0, 1 << 63, 2 * max(m, n), dtype=np.uint64)
+        one, two = np.unique(rng.choice(pool, m)), np.unique(rng.choice(pool, n))
+        bound = jaccard.difference(jaccard.sketch(one).tobytes(), jaccard.sketch(two).tobytes())
+        assert bound <= len(np.setxor1d(one, two))
+        assert jaccard.difference(jaccard.sketch(one).tobytes(), jaccard.sketch(one).tobytes()) == 0
