@@ -256,13 +256,36 @@ def best_batch_size_cut(spark, sf):
     return _best(spark, sf, True, cuts=10).select("k", r6("rate").alias("rate"))
 
 
-@query("h5_batch_size_probe")
+def _probe_sql() -> str:
+    """Three sizes with one, two and four steps, each step written out."""
+    mean_loss = "avg(CASE WHEN y = 0 THEN -ln(1-p) ELSE -ln(p) END)"
+    steps, ends = {"n": "SELECT count(*) AS c FROM events"}, []
+    for s in range(3):
+        k, last = f"(SELECT c//{2 ** (s + 1)} FROM n)", "w3"
+        for i in range(2**s):
+            steps[f"g{s}{i}"] = (
+                f"SELECT [(p-y)*v FOR v IN {EXT}] AS g, w FROM (SELECT *, {P3} AS p FROM ev, {last})"
+                f" WHERE id >= {i}*{k} AND id < {i + 1}*{k}"
+            )
+            steps[f"q{s}{i}"] = (
+                "SELECT list(nw ORDER BY j) AS w FROM (SELECT j, any_value(w[j]) - 0.5*avg(g[j]) AS nw"
+                f" FROM g{s}{i}, range(1, 5) t(j) GROUP BY j)"
+            )
+            last = f"q{s}{i}"
+        ends.append(f"SELECT {k} AS k, {mean_loss} AS loss FROM (SELECT y, {P3} AS p FROM ev, {last})")
+    before = f"SELECT {mean_loss} AS loss FROM (SELECT y, {P3} AS p FROM ev, w3)"
+    text = f"""SELECT k, round(e.loss, 6) + 0.0 AS loss, round(b.loss - e.loss, 6) + 0.0 AS gain
+        FROM ({" UNION ALL ".join(ends)}) e, ({before}) b"""
+    return sql("ev w3", text, **steps)
+
+
+@query("h5_batch_size_probe", _probe_sql())
 def batch_size_probe(spark, sf):
-    """Times differ from run to run, so there is no SQL."""
     rows = ev(spark, sf)
     n = rows.count()
     sizes = probing.halved(n // 2, n // 10)
-    return probing.probe_batch_sizes(rows, LR(3), W3, 0.5, sizes, n // 2)
+    out = probing.probe_batch_sizes(rows, LR(3), W3, 0.5, sizes, n // 2)
+    return out.select("k", r6("loss").alias("loss"), r6("gain").alias("gain"))
 
 
 @query(

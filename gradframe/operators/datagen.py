@@ -67,14 +67,6 @@ def noise(
     return F.lit(float(offset)) + value
 
 
-def random_weights(width: int, lo: float, hi: float, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).uniform(lo, hi, width)
-
-
-def row_numbers(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n)
-
-
 def generate_rows(
     ids: DataFrame, model: Model, w: np.ndarray, sigma: float = 0.0, seed: int = 0
 ) -> DataFrame:

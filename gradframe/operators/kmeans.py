@@ -43,18 +43,6 @@ def centres_by(df: DataFrame, width: int, group: str = "z") -> DataFrame:
     return sums.select("z", "n", F.posexplode("s").alias("j", "s"))
 
 
-def params_by(df: DataFrame, k: int, dim: int, group: str) -> np.ndarray:
-    """Start parameter from rows that carry a cluster number."""
-    model = KMeans(k, dim)
-
-    def of_batch(batch):
-        X, z = matrix(batch.column("x")), np.asarray(batch.column("z"))
-        return _rows_and_counts(X, z, 1.0, k).ravel()
-
-    rows = df.select("x", F.col(group).cast("int").alias("z"))
-    return _collect(sum_batches(rows, of_batch), model.width)
-
-
 def lloyd(df: DataFrame, k: int, dim: int, w0: np.ndarray, steps: int) -> DataFrame:
     """Assign all rows, re-mean: ``(iter, loss, w)``, loss being the mean distance."""
     spark, model = df.sparkSession, KMeans(k, dim)

@@ -93,16 +93,6 @@ def nearest(df: DataFrame, model: KMeans, w: np.ndarray, keep: list[str] | None
     return df.select(*dict.fromkeys([*keep, "x"])).mapInArrow(run, T.StructType(fields))
 
 
-def nearest_column(x: Column | str, centres: np.ndarray) -> Column:
-    """Nearest of a few narrow centres as an expression: struct ``(dist, z)``."""
-    choices = [
-        F.struct(vec.dist(x, vec.vector(c)).alias("dist"), F.lit(i).alias("z"))
-        for i, c in enumerate(centres)
-        if not np.isnan(c).any()
-    ]
-    return F.least(*choices) if len(choices) > 1 else choices[0]
-
-
 def mean_loss(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 

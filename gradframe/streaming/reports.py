@@ -1,8 +1,8 @@
 """Progress reports as a stateful stream keyed by worker.
 
-Rows are folded to one summary per worker within each Arrow batch before they
-are shuffled, so the state of a busy worker is advanced by a few summaries per
-micro-batch and never by all its reports.
+Reports are folded to one summary per worker and run of sequence numbers first, so the
+state of a busy worker is advanced by a few summaries per micro-batch and never
+by all its reports.
 """
 
 from __future__ import annotations
@@ -20,31 +20,29 @@ from gradframe.operators.updates import EMA
 
 SUMMARY = "worker bigint, seq bigint, cnt bigint, points bigint, loss double, first double, keep double, add double"
 OUTPUT = "worker bigint, seq bigint, reports bigint, points bigint, loss double, t_point double, fires bigint"
+RUN = 1 << 16  # sequence numbers, and so reports at most, that are folded together
 STATE = "reports bigint, points bigint, loss double, t_point double"
 
 
 def summaries(reports: DataFrame) -> DataFrame:
-    """One row per worker and Arrow batch: totals and the composed average step."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(["worker", "seq"])
-            place = pdf.groupby("worker").cumcount(ascending=False).to_numpy()
-            pdf["add"] = EMA * (1 - EMA) ** place * pdf["t_point"].to_numpy()
-            out = pdf.groupby("worker", as_index=False).agg(
-                seq=("seq", "max"),
-                cnt=("seq", "size"),
-                points=("n", "sum"),
-                loss=("loss", "sum"),
-                first=("t_point", "first"),
-                add=("add", "sum"),
-            )
-            out["keep"] = np.power(1 - EMA, out["cnt"])
-            yield out[["worker", "seq", "cnt", "points", "loss", "first", "keep", "add"]]
-
-    return reports.select("worker", "seq", "n", "t_point", "loss").mapInPandas(fold, SUMMARY)
+    """One row per worker and run of ``RUN`` sequence numbers: totals and the composed average step.
+
+    A worker's reports of one run are put in order before they are folded, wherever in the
+    micro-batch's files they lie; from one micro-batch to the next, arrival is the order.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        count = len(pdf)
+        add = EMA * (1 - EMA) ** np.arange(count)[::-1] * pdf["t_point"].to_numpy()
+        row = (
+            pdf["worker"].iloc[0], pdf["seq"].iloc[-1], count, pdf["n"].sum(), pdf["loss"].sum(),
+            pdf["t_point"].iloc[0], (1 - EMA) ** count, add.sum(),
+        )
+        return pd.DataFrame([row], columns=["worker", "seq", "cnt", "points", "loss", "first", "keep", "add"])
+
+    own = reports.select("worker", "seq", "n", "t_point", "loss", F.floor(F.col("seq") / RUN).alias("_run"))
+    return own.groupBy("worker", "_run").applyInPandas(fold, SUMMARY)
 
 
 def advance(batch: int):

@@ -135,3 +135,17 @@ def test_rate_folds_row_by_row(spark, compat):
         r = (r + points_ / interval) / 2
         s = (s + (r * 7.0 if compat else 7.0 / r)) / 2
         assert np.isclose(row["rate"], r) and np.isclose(row["next_interval"], s)
+
+
+def test_interleaved_files_give_the_same_average(spark, tmp_path):
+    rows = [(i, 0, 1, float(i * i % 17), 1.0) for i in range(40)]
+    schema = "seq bigint, worker bigint, n bigint, t_point double, loss double"
+    out = []
+    for name, parts in (("whole", [rows]), ("mixed", [rows[1::2], rows[0::2]])):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / name / "in"))
+        target = str(tmp_path / name / "out")
+        reports.run_to_table(reports.report_state(source, 5), target, str(tmp_path / name / "mark")).awaitTermination()
+        out.append(reports.current(spark.read.parquet(target)).first())
+    assert out[0]["t_point"] == pytest.approx(out[1]["t_point"]) and out[0]["reports"] == out[1]["reports"] == 40
