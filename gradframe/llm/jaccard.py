@@ -40,6 +40,7 @@ PERCENT = 80
 BUCKET_BITS = 22  # of the hashed counts: their number is fixed, whatever the table's size is
 COUNTERS = 1 << 14  # that travel together
 BAND = 1.25
+JOIN_WORDS = 16  # 64-bit numbers of the bitmap that the last join looks at
 HELD_SETS = 500
 SKETCH_BITS = 14  # of the largest sketch, as a power of two
 SET_BYTES = 8 << 20  # of sets handed to Spark in one batch, about
@@ -216,6 +217,35 @@ def _members(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(key, "doc_id bigint, n_shingles bigint, node bigint")
 
 
+def _texts(named: DataFrame, df: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with the document that stands for each, and those documents' texts."""
+    wanted = cut(nodes.join(named, "node").select("node", F.col("first").alias("doc_id")))
+    ids = bounded_broadcast(wanted.select("doc_id").distinct())
+    return wanted, df.join(ids, "doc_id", "left_semi").select("text")
+
+
+def _with_words(rows: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add a bitmap of fixed size as numbers ``w0, w1, ...``, for use in a join's condition."""
+    names = [f"w{i}" for i in range(JOIN_WORDS)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for _, _, tokens in _sets([batch], 0):
+                bits = np.zeros(64 * JOIN_WORDS, bool)
+                bits[(tokens % np.uint64(len(bits))).astype(np.int64)] = True
+                keys.append(set_key(tokens))
+                words.append(np.packbits(bits).view(np.int64))
+            table = np.array(words, np.int64).reshape(len(words), JOIN_WORDS)
+            columns = [pa.array(keys, pa.int64()), *[pa.array(table[:, i]) for i in range(JOIN_WORDS)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", *names])
+
+    _, texts = _texts(rows.select("node").distinct(), df, nodes)
+    kinds = ", ".join(f"{n} bigint" for n in names)
+    drawn = cut(texts.mapInArrow(draw, f"node bigint, {kinds}").dropDuplicates(["node"]))
+    return rows.join(drawn, "node", "left")
+
+
 def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
@@ -224,8 +254,7 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
     100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
     """
     named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = cut(nodes.join(named, "node").select("node", F.col("first").alias("doc_id")))
-    ids = bounded_broadcast(wanted.select("doc_id").distinct())
+    wanted, texts = _texts(named, df, nodes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -246,7 +275,6 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
                 rows, held = [], 0
         yield batch()
 
-    texts = df.join(ids, "doc_id", "left_semi").select("text")
     built = texts.mapInArrow(build, "node bigint, n bigint, sketch binary, tokens binary")
     sets = cut(built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi"))
 
@@ -282,7 +310,7 @@ def _near_sizes(x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
 
 
-def _apart_stars(stars: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart_stars(stars: DataFrame, shared: DataFrame, roots: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of a signature's least node with others that lie in another component."""
     return _apart(stars.select("a", "b"), roots)
 
@@ -293,17 +321,20 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
 
-def _apart_pairs(stars: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart_pairs(stars: DataFrame, shared: DataFrame, roots: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs under a signature whose nodes lie in different components.
 
-    A signature whose nodes lie in one component needs nothing more.
+    A signature whose nodes lie in one component needs nothing more. The join itself leaves out
+    pairs whose bitmaps differ in more bits than similar sets can.
     """
     placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sig")
-    apart = cut(placed.join(split, "sig"))
+    apart = cut(_with_words(cut(placed.join(split, "sig")), df, nodes))
+    differing = " + ".join(f"bit_count(l.w{i} ^ r.w{i})" for i in range(JOIN_WORDS))
+    near = f"coalesce({100 + PERCENT} * ({differing}) <= {100 - PERCENT} * (l.n + r.n), true)"
     return (
         apart.alias("l").join(apart.alias("r"), "sig")
-        .where(f"l.node < r.node and l.root <> r.root and {_near_sizes('l.n', 'r.n')}")
+        .where(f"l.node < r.node and l.root <> r.root and {_near_sizes('l.n', 'r.n')} and {near}")
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
@@ -341,7 +372,7 @@ def join(df: DataFrame) -> DataFrame:
     links = cut(_verified(tried, named, nodes))
     roots = cut(components(links))
     for pairs in (_apart_stars, _apart_pairs):
-        rest = cut(pairs(stars, shared, roots).join(tried, ["a", "b"], "left_anti"))
+        rest = cut(pairs(stars, shared, roots, named, nodes).join(tried, ["a", "b"], "left_anti"))
         if not rest.take(1):
             continue
         more = cut(_verified(rest, named, nodes))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradframe.llm.columns import UPPER, located, positions, starts, text_of
+from gradframe.llm.columns import UPPER, positions, starts, text_of
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # fixed values: what separates words, before lower-casing
 # fixed values: base phrases and their labels
