@@ -3,7 +3,7 @@
 A signature is a regular expression over the lower-cased words of a text, joined
 by single spaces. The signatures are built by rule: every license name in the table
 below is put into every notice form. A text is matched only against signatures
-whose keyword it contains. Detections are sorted by start, longest first; one inside an
+whose keyword and name it contains; the words of a text are only looked at if it passes a gate made from the same tables. Detections are sorted by start, longest first; one inside an
 accepted detection is suppressed, and of two that overlap partly the one with
 the better priority stays. The accepted labels join those of the base phrases.
 
@@ -21,38 +21,38 @@ from gradframe.llm.columns import UPPER, positions, starts, text_of
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # fixed values: what separates words, before lower-casing
 # fixed values: base phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# fixed values: license names as words, with the versions they come in; "" is no version
+# fixed values: license names as words, the phrases of which a text with the name has one, and the versions; "" is no version
 NAMES = {
-    "mit": ("mit|expat", "mit", ("",)),
+    "mit": ("mit|expat", "mit|expat", ("",)),
     "apache": ("apache(?: software)?", "apache", ("1 0", "1 1", "2 0", "")),
-    "gpl": ("(?:gnu )?(?:general public|gpl)", "g", ("1", "2", "3", "")),
-    "lgpl": ("(?:gnu )?(?:(?:lesser|library) general public|lgpl)", "l", ("2", "2 1", "3", "")),
-    "agpl": ("(?:gnu )?(?:affero general public|agpl)", "a", ("1", "3", "")),
-    "fdl": ("gnu free documentation|gfdl", "f", ("1 1", "1 2", "1 3", "")),
+    "gpl": ("(?:gnu )?(?:general public|gpl)", "general public|gpl", ("1", "2", "3", "")),
+    "lgpl": ("(?:gnu )?(?:(?:lesser|library) general public|lgpl)", "lesser general public|library general public|lgpl", ("2", "2 1", "3", "")),
+    "agpl": ("(?:gnu )?(?:affero general public|agpl)", "affero general public|agpl", ("1", "3", "")),
+    "fdl": ("gnu free documentation|gfdl", "gnu free documentation|gfdl", ("1 1", "1 2", "1 3", "")),
     "bsd": ("(?:new |modified |simplified )?bsd", "bsd", ("2 clause", "3 clause", "4 clause", "")),
-    "mpl": ("mozilla public|mpl", "m", ("1 0", "1 1", "2 0", "")),
-    "epl": ("eclipse public|epl", "e", ("1 0", "2 0", "")),
-    "cddl": ("common development and distribution|cddl", "c", ("1 0", "1 1", "")),
+    "mpl": ("mozilla public|mpl", "mozilla public|mpl", ("1 0", "1 1", "2 0", "")),
+    "epl": ("eclipse public|epl", "eclipse public|epl", ("1 0", "2 0", "")),
+    "cddl": ("common development and distribution|cddl", "common development and distribution|cddl", ("1 0", "1 1", "")),
     "isc": ("isc", "isc", ("",)),
     "zlib": ("zlib(?: libpng)?", "zlib", ("",)),
     "artistic": ("artistic", "artistic", ("1 0", "2 0", "")),
-    "boost": ("boost software", "boost", ("1 0", "")),
+    "boost": ("boost software", "boost software", ("1 0", "")),
     "unlicense": ("unlicense", "unlicense", ("",)),
-    "wtfpl": ("wtfpl|do what the fuck you want to public", "w", ("",)),
-    "psf": ("python software foundation|psf", "p", ("2", "")),
-    "ofl": ("sil open font|ofl", "o", ("1 0", "1 1", "")),
-    "eupl": ("european union public|eupl", "e", ("1 1", "1 2", "")),
-    "cc-by-nc-nd": ("cc by nc nd|creative commons attribution non ?commercial no ?deriv\\w+", "c", ("2 0", "3 0", "4 0", "")),
-    "cc-by-nc-sa": ("cc by nc sa|creative commons attribution non ?commercial share ?alike", "c", ("2 0", "3 0", "4 0", "")),
-    "cc-by-nc": ("cc by nc|creative commons attribution non ?commercial", "c", ("2 0", "3 0", "4 0", "")),
-    "cc-by-nd": ("cc by nd|creative commons attribution no ?deriv\\w+", "c", ("2 0", "3 0", "4 0", "")),
-    "cc-by-sa": ("cc by sa|creative commons attribution share ?alike", "c", ("2 0", "3 0", "4 0", "")),
-    "cc-by": ("cc by|creative commons attribution", "c", ("2 0", "2 5", "3 0", "4 0", "")),
-    "cc0": ("cc0|cc zero|creative commons zero", "c", ("1 0", "")),
+    "wtfpl": ("wtfpl|do what the fuck you want to public", "wtfpl|do what the fuck you want to public", ("",)),
+    "psf": ("python software foundation|psf", "python software foundation|psf", ("2", "")),
+    "ofl": ("sil open font|ofl", "sil open font|ofl", ("1 0", "1 1", "")),
+    "eupl": ("european union public|eupl", "european union public|eupl", ("1 1", "1 2", "")),
+    "cc-by-nc-nd": ("cc by nc nd|creative commons attribution non ?commercial no ?deriv\\w+", "cc by nc nd|creative commons attribution", ("2 0", "3 0", "4 0", "")),
+    "cc-by-nc-sa": ("cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc by nc sa|creative commons attribution", ("2 0", "3 0", "4 0", "")),
+    "cc-by-nc": ("cc by nc|creative commons attribution non ?commercial", "cc by nc|creative commons attribution", ("2 0", "3 0", "4 0", "")),
+    "cc-by-nd": ("cc by nd|creative commons attribution no ?deriv\\w+", "cc by nd|creative commons attribution", ("2 0", "3 0", "4 0", "")),
+    "cc-by-sa": ("cc by sa|creative commons attribution share ?alike", "cc by sa|creative commons attribution", ("2 0", "3 0", "4 0", "")),
+    "cc-by": ("cc by|creative commons attribution", "cc by|creative commons attribution", ("2 0", "2 5", "3 0", "4 0", "")),
+    "cc0": ("cc0|cc zero|creative commons zero", "cc0|cc zero|creative commons zero", ("1 0", "")),
 }
 # fixed values: notice forms by priority (0 is best), the weight of a detection, and the keyword it needs
 FORMS = (
-    (0, 0.98, "spdx license identifier {name}{version}", "spdx"),
+    (0, 0.98, "spdx license identifier (?:{name}){version}", "spdx"),
     (1, 0.95, "(?:licensed|released|distributed|published|available|provided)(?: \\w+){0,4}? under(?: the)?(?: terms of(?: the)?)? (?:{name})(?: license)?{version}", "under"),
     (2, 0.85, "(?:{name}) license{version}", "license"),
     (3, 0.6, "license (?:{name}){version}", "license"),
@@ -66,13 +66,28 @@ NOTICES = (
     ("permissive", "redistribution and use in source and binary forms", "redistribution and use", 1, 0.9),
     ("copyright", "copyright (?:c )?(?:[0-9]{4}|by|holders?)", "copyright", 5, 0.4),
 )
-MENTION = r"(?i)cc[0\x00-\x2F]|licen[sc]|reserved|public[\x00-\x2F]+domain|copyright|propriet|permission|redistribut|spdx|gpl|bsd"
+START = r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])"  # where a word begins
 
 
-def signatures() -> list[tuple[str, str, str, int, float]]:
-    """``(label, regular expression, keyword, priority, weight)`` for every name, version and form."""
+def gate() -> str:
+    """Regular expression that finds something in every text with a base phrase or a signature's match.
+
+    It is made from the tables: the base phrases, the notices, the beginning of
+    each form, and the names that need no form, all with any separators.
+    """
+    heads = ["spdx", "license", FORMS[1][2].partition(" under")[0] + " under"]
+    bare = [words for words, _, versions in NAMES.values() if any(versions)]
+    every = [*PHRASES, *heads, *[body for _, body, *_ in NOTICES], *bare]
+    plain = "|".join(f"(?:{x})" for x in dict.fromkeys(every))
+    return f"(?i){START}(?:" + plain.replace("\\w", "[0-9A-Za-z]").replace(" ?", f"{GAP[:-1]}*").replace(" ", GAP) + ")"
+
+
+def groups() -> list[tuple[list[str], list[tuple[str, str, str, int, float]]]]:
+    """The signatures by license: phrases of which a text must hold one, then
+    ``(label, regular expression, keyword, priority, weight)`` for every version and form."""
     out = []
-    for name, (words, hint, versions) in NAMES.items():
+    for name, (words, keys, versions) in NAMES.items():
+        own = []
         for version in versions:
             label = "-".join([name, version.replace(" clause", "-clause").replace(" ", ".")]).rstrip("-")
             number = version if version.endswith("clause") else f"(?:version |v )?v?{version}(?: 0)?"
@@ -85,21 +100,27 @@ def signatures() -> list[tuple[str, str, str, int, float]]:
                 if "{needed}" in form and not version:
                     continue  # a bare name without a version says nothing
                 body = form.replace("{name}", words_now).replace("{version}", tail).replace("{needed}", tail)
-                out.append((label, f"(?<= )(?:{body})(?= )", keyword or hint, priority, weight))
-    out += [(label, f"(?<= )(?:{body})(?= )", keyword, p, w) for label, body, keyword, p, w in NOTICES]
+                own.append((label, f"(?<= )(?:{body})(?= )", keyword, priority, weight))
+        out.append(([f" {key} " for key in keys.split("|")], own))
+    out += [([keyword], [(label, f"(?<= )(?:{body})(?= )", keyword, p, w)]) for label, body, keyword, p, w in NOTICES]
     return out
 
 
+def signatures() -> list[tuple[str, str, str, int, float]]:
+    """All signatures."""
+    return [s for _, own in groups() for s in own]
+
+
 def _table() -> Column:
-    """The signatures as one constant array; constant folding builds it once."""
-    rows = [
-        F.struct(
-            F.lit(label).alias("label"), F.lit(body).alias("pattern"), F.lit(keyword).alias("keyword"),
-            F.lit(priority).alias("priority"), F.lit(weight).alias("weight"),
-        )
-        for label, body, keyword, priority, weight in signatures()
-    ]
-    return F.array(*rows)
+    """The signatures as one constant array of groups; constant folding builds it once."""
+    row = lambda label, body, keyword, priority, weight: F.struct(
+        F.lit(label).alias("label"), F.lit(body).alias("pattern"), F.lit(keyword).alias("keyword"),
+        F.lit(priority).alias("priority"), F.lit(weight).alias("weight"),
+    )
+    return F.array(*[
+        F.struct(F.array(*map(F.lit, keys)).alias("keys"), F.array(*[row(*s) for s in own]).alias("own"))
+        for keys, own in groups()
+    ])
 
 
 def _detections(joined: Column) -> Column:
@@ -120,8 +141,9 @@ def _detections(joined: Column) -> Column:
             ),
         )
 
-    near = F.filter(_table(), lambda s: F.contains(joined, s["keyword"]))
-    return F.sort_array(F.flatten(F.transform(near, of)))
+    near = F.filter(_table(), lambda g: F.exists(g["keys"], lambda k: F.contains(joined, k)))
+    keyed = F.flatten(F.transform(near, lambda g: F.filter(g["own"], lambda s: F.contains(joined, s["keyword"]))))
+    return F.sort_array(F.flatten(F.transform(keyed, of)))
 
 
 def _resolved(found: Column) -> Column:
@@ -185,7 +207,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     split = whole.select(
         "doc_id",
         F.array_remove(F.split("text", GAP), "").alias("words"),
-        F.col("text").rlike(MENTION).alias("gate"),
+        F.col("text").rlike(gate()).alias("gate"),
     )
     none = F.array().cast("array<string>")
     lowered = F.split(F.translate(F.array_join("words", " "), UPPER, UPPER.lower()), " ")

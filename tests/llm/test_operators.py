@@ -264,6 +264,59 @@ def test_license_priority(spark):
     assert [got[k] for k in range(len(cases))] == list(cases.values())
 
 
+def _sample(pattern, rng):
+    """A random text that a signature's regular expression describes."""
+    from re import _parser as parser
+
+    def of(items):
+        out = ""
+        for op, arg in items:
+            match str(op):
+                case "LITERAL": out += chr(arg)
+                case "IN": out += rng.choice("0123456789") if "9" in str(arg) or "57" in str(arg) else "x"
+                case "MAX_REPEAT" | "MIN_REPEAT": out += "".join(of(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 4))))
+                case "SUBPATTERN": out += of(arg[3])
+                case "BRANCH": out += of(rng.choice(arg[1]))
+                case "ASSERT": pass
+                case other: raise AssertionError(other)
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_license_gates_let_their_own_texts_pass(spark):
+    """Every signature finds samples of itself, and every separator is one for base phrases and signatures."""
+    import random
+
+    rng, texts, want = random.Random(4), [], []
+    for keys, own in licences.groups():
+        for label, pattern, keyword, *_ in own:
+            for _ in range(12):
+                text = _sample(pattern, rng)
+                assert re.fullmatch(pattern, f" {text} "[1:-1]) or re.search(pattern, f" {text} "), (pattern, text)
+                assert any(k in f" {text} " for k in keys) and keyword in text, (pattern, text)
+                texts.append(text)
+    gaps = [chr(c) for c in range(128) if not chr(c).isalnum()]
+    texts = list(dict.fromkeys(texts))
+    texts += [t.replace(" ", rng.choice(gaps) + rng.choice(gaps)).upper() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    assert not [texts[k] for k in got if not got[k].labels]
+    phrases = [f"x{g}{p.replace(' ', g).title()}{g}y" for p in licences.PHRASES for g in gaps]
+    df = spark.createDataFrame(list(enumerate(phrases)), "doc_id bigint, text string")
+    assert {(r.n_base, r.first_word) for r in licences.scan(df).collect()} == {(1, 1)}
+
+
+def test_license_names_without_other_gate_words(spark):
+    cases = {
+        "Released under MIT": "mit", "available under the terms of Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0",
+        "Mozilla Public 2.0": "mpl-2.0", "released under the WTFPL": "wtfpl", "EPL 2.0": "epl-2.0", "CC_BY": "cc-by", "mit ihm": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licences.scan(df).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
