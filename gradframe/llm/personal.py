@@ -42,7 +42,7 @@ CONTEXT = {
 }
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.35, "secret": 0.3}
 BOOST = 0.3
-NEAR = 40  # characters looked at on either side
+NEAR = 40  # characters looked at on either side, matches of the same kind skipped
 LEAST = 0.5  # spans of the added kinds need this score
 
 
@@ -76,11 +76,30 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, pieces: Column, k: Column) -> Column:
-    """Score of match ``k``: its kind's, raised if a context word stands near."""
-    before = F.lower(F.right(F.get(pieces, k), F.lit(NEAR)))
-    after = F.lower(F.left(F.get(pieces, k + 1), F.lit(NEAR)))
-    near = before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind])
+def _windows(pieces: Column) -> Column:
+    """The last and the first ``NEAR`` characters of every piece, as ``last`` and ``first``."""
+    return F.struct(
+        F.transform(pieces, lambda piece: F.right(piece, F.lit(NEAR))).alias("last"),
+        F.transform(pieces, lambda piece: F.left(piece, F.lit(NEAR))).alias("first"),
+    )
+
+
+def _with_windows(pieces: Column, use) -> Column:
+    """``use(windows)``, with the windows made once for a text and not again for each of its matches."""
+    return F.get(F.transform(F.array(_windows(pieces)), use), 0)
+
+
+def _score(kind: str, windows: Column, k: Column) -> Column:
+    """Score of match ``k``: its kind's, raised if a context word stands near.
+
+    Near are the ``NEAR`` characters before and after it that are in no match of the kind, so a
+    word speaks for a list whose separators do not fill them. No more than ``NEAR`` pieces are needed for them.
+    """
+    first = F.greatest(k - (NEAR - 1), F.lit(0))
+    before = F.array_join(F.slice(windows["last"], first + 1, k - first + 1), "")
+    after = F.array_join(F.slice(windows["first"], k + 2, NEAR), "")
+    words = lambda side: F.lower(side).rlike(CONTEXT[kind])
+    near = words(F.right(before, F.lit(NEAR))) | words(F.left(after, F.lit(NEAR)))
     return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near, BOOST).otherwise(0.0))
 
 
@@ -94,8 +113,8 @@ def _spans(kind: str, p: str) -> Column:
     matches, pieces, at = F.col(f"{p}m_{kind}"), F.col(f"{p}p_{kind}"), F.col(f"{p}s_{kind}")
     rank = list(PATTERNS).index(kind)
 
-    def span(k: Column) -> Column:
-        match, score = F.get(matches, k), _score(kind, pieces, k)
+    def span(k: Column, windows: Column) -> Column:
+        match, score = F.get(matches, k), _score(kind, windows, k)
         return F.struct(
             F.get(at, k).alias("start"),
             F.lit(rank).alias("rank"),
@@ -105,7 +124,8 @@ def _spans(kind: str, p: str) -> Column:
             _accepted(kind, match, score).alias("ok"),
         )
 
-    return F.filter(F.transform(positions(F.size(matches)), span), lambda s: s["ok"])
+    every = _with_windows(pieces, lambda w: F.transform(positions(F.size(matches)), lambda k: span(k, w)))
+    return F.filter(every, lambda s: s["ok"])
 
 
 def _searched(df: DataFrame, whole: Column, p: str, kinds: dict[str, str]) -> DataFrame:
@@ -159,12 +179,12 @@ def digest(df: DataFrame) -> DataFrame:
 def _hidden(kind: str, matches: Column, pieces: Column, whole: Column) -> Column:
     """The text with the accepted matches of one kind replaced."""
 
-    def part(k: Column) -> Column:
+    def part(k: Column, windows: Column) -> Column:
         match = F.get(matches, k)
-        accepted = _accepted(kind, match, _score(kind, pieces, k))
+        accepted = _accepted(kind, match, _score(kind, windows, k))
         return F.concat(F.get(pieces, k), F.when(accepted, f"[{kind.upper()}]").otherwise(match))
 
-    parts = F.transform(positions(F.size(matches)), part)
+    parts = _with_windows(pieces, lambda w: F.transform(positions(F.size(matches)), lambda k: part(k, w)))
     joined = F.concat(F.array_join(parts, ""), F.get(pieces, F.size(matches)))
     return F.when(F.size(matches) > 0, joined).otherwise(whole)
 

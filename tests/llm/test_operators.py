@@ -232,6 +232,22 @@ def test_personal_data(edge, edge_texts):
     assert by_id(clean.collect())[0].text is None
 
 
+def test_personal_data_in_lists(spark):
+    """A context word speaks for a list as far as its separators leave it in the window."""
+    keys = [f"{k:x}7" * 16 for k in range(10, 14)]
+    texts = [
+        "SSNs: 123-45-6789, 987-65-4321, 555-12-3456", "tokens: " + ", ".join(keys), "123-45-6789, 987-65-4321 ssn",
+        "numbers 123-45-6789, 987-65-4321", "ssn " + "x" * 40 + " 123-45-6789, 987-65-4321",
+        "ssn " + ",".join(["123-45-6789"] * 60),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kinds = {d: [s.split(":")[0] for s in r.spans.split(",") if s] for d, r in by_id(personal.digest(df).collect()).items()}
+    assert [kinds[d].count("ssn") for d in range(6)] == [3, 0, 2, 0, 0, 37] and kinds[1].count("secret") == 4
+    clean = by_id(personal.redact(df).collect())
+    assert clean[0].text == "SSNs: [SSN], [SSN], [SSN]" and clean[1].text == "tokens: " + ", ".join(["[SECRET]"] * 4)
+    assert clean[3].text == texts[3]
+
+
 def test_long_runs_stay_linear(spark):
     runs = ["x" * 1_000_000, "9" * 1_000_000, "a.b" * 300_000 + "@", "a@b." + "c." * 300_000 + "d", "1." * 500_000, "+1" * 300_000, "A" * 999_999]
     df = spark.createDataFrame(list(enumerate(runs)), "doc_id bigint, text string")
