@@ -12,7 +12,8 @@ Equal sets are one node from the start. Each node is first compared with the lea
 that signature which it shares most; once the links found are joined to components, nodes are compared with
 the least nodes of their other signatures, and then all pairs under a signature, but both times only
 those that still lie in different components.
-No link between components can be lost, and groups of copies are not multiplied out.
+No link between components can be lost, and groups of copies are not multiplied out. Links are
+counted afterwards, over all pairs of sets of a component, in blocks.
 
 Defined cases: a document without words or text has the empty set and is linked with nothing;
 rows without an id get no component and link nothing; repeated ids are rows of
@@ -26,7 +27,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +45,8 @@ JOIN_WORDS = 16  # 64-bit numbers of the bitmap that the last join looks at
 HELD_SETS = 500
 SKETCH_BITS = 14  # of the largest sketch, as a power of two
 SET_BYTES = 8 << 20  # of sets handed to Spark in one batch, about
+BLOCK_SETS = 256  # of a component that are compared with each other in one task
+TOKENS_AT_ONCE = 1 << 14
 SUBCLASS_TOKENS = 16  # aimed-at frequent tokens of one subclass in a prefix
 
 
@@ -246,14 +249,8 @@ def _with_words(rows: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(drawn, "node", "left")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough.
-
-    One document stands for each node; only texts of nodes in pairs are read again. Pairs whose
-    sketches already differ in more bits than similar sets can are left out before sets are moved:
-    100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
-    """
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+def _built(named: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, sketch, tokens`` of the nodes named; one document stands for each and only its text is read again."""
     wanted, texts = _texts(named, df, nodes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +273,18 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
         yield batch()
 
     built = texts.mapInArrow(build, "node bigint, n bigint, sketch binary, tokens binary")
-    sets = cut(built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi"))
+    return built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi")
+
+
+def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets are similar enough.
+
+    Only texts of nodes in pairs are read again. Pairs whose
+    sketches already differ in more bits than similar sets can are left out before sets are moved:
+    100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
+    """
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = cut(_built(named, df, nodes))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,17 +348,76 @@ def _apart_pairs(stars: DataFrame, shared: DataFrame, roots: DataFrame, df: Data
     )
 
 
-def join(df: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of every row of ``doc_id, text``.
-
-    ``n_links`` counts the verified links of the document's set with other sets, which
-    are those needed to connect the component.
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Number of common tokens of every set of ``one`` with every set of ``two``."""
+    out = np.zeros((len(one), len(two)), np.int64)
+    x, y = np.concatenate(one), np.concatenate(two)
+    common = np.intersect1d(x, y)
+
+    def cells(tokens: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+        held = common[at] == tokens if len(common) else np.zeros(len(tokens), bool)
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], owner[held][order]
+
+    (at_x, row), (at_y, col) = cells(x, one), cells(y, two)
+    for low in range(0, len(common), TOKENS_AT_ONCE):
+        high = min(low + TOKENS_AT_ONCE, len(common))
+        tables = []
+        for at, owner, sets in ((at_x, row, one), (at_y, col, two)):
+            part = slice(*np.searchsorted(at, (low, high)))
+            table = np.zeros((len(sets), high - low), np.float32)
+            table[owner[part], at[part] - low] = 1
+            tables.append(table)
+        out += np.rint(tables[0] @ tables[1].T).astype(np.int64)  # sums below 2^24 are exact
+    return out
+
+
+def _linked_copies(labelled: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, linked``: the number of documents in all sets that are similar to the node's.
+
+    Similar sets lie in one component, so a component's sets are dealt to blocks and every pair of blocks
+    is compared whole, each pair of sets once. A set is moved once for each block of its component.
     """
+    inside = cut(labelled.where("root is not null").select("node", "root", "copies"))
+    sets = _built(inside.select("node"), df, nodes).select("node", "tokens")
+    blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = cut(inside.join(blocks, "root").select(
+        "node", "root", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    ))
+    dealt = sets.join(placed, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "tokens"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        own, node, copies = (table.column(c).to_numpy() for c in ("own", "node", "copies"))
+        sets = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        linked = np.zeros(len(node), np.int64)
+        if len(one) and len(two):
+            shared = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+            similar = 100 * shared >= PERCENT * (sizes[one][:, None] + sizes[two][None, :] - shared)
+            if x == y:
+                np.fill_diagonal(similar, False)
+            linked[one] = similar @ copies[two]
+            if x != y:
+                linked[two] = similar.T @ copies[one]
+        return pa.table({"node": node, "linked": linked})
+
+    found = dealt.groupBy("root", "x", "y").applyInArrow(compare, "node bigint, linked bigint")
+    return found.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def _components(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row's set, the rows with an id, the sets, and the sets with ``root, component_id``, null where alone."""
     ship(df.sparkSession)
     texts = df.select(df["doc_id"].cast("bigint").alias("doc_id"), text_of(df).alias("text"))
     members = cut(_members(texts))
     nodes = members.where("doc_id is not null and node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first")
+        F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies")
     )
     named = texts.where("doc_id is not null")
     levels, frequent = _levels(_counted(named))
@@ -380,15 +447,32 @@ def join(df: DataFrame) -> DataFrame:
         if more.take(1):
             links = cut(links.union(more))
             roots = cut(components(links))
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    labelled = nodes.join(roots, "node", "left").join(degree.withColumnRenamed("a", "node"), "node", "left")
+    labelled = nodes.join(roots, "node", "left")
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    plan = cut(labelled.join(smallest, "root", "left").select(
-        "node", F.coalesce("least", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    labelled = cut(labelled.join(smallest, "root", "left").select(
+        "node", "root", "copies", F.coalesce("least", "first").alias("component_id")
+    ))
+    return members, named, nodes, labelled
+
+
+def _own_component() -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+
+
+def join(df: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` of every row of ``doc_id, text``.
+
+    ``n_links`` is the number of other documents whose set equals the row's or is similar to it.
+    All pairs of sets of a component are verified for it. A document with several texts counts
+    once for each of its sets.
+    """
+    members, named, nodes, labelled = _components(df)
+    plan = cut(labelled.join(_linked_copies(labelled, named, nodes), "node", "left").select(
+        "node", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     ))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
     return members.join(plan, "node", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+        "doc_id", "n_shingles", _own_component(), F.coalesce(links, F.lit(0)).cast("bigint").alias("n_links")
     )
 
 
@@ -398,7 +482,8 @@ def representatives(df: DataFrame) -> DataFrame:
     Rows without an id stay. Of repeated rows with that id one stays.
     """
     p = private(df)
-    found = join(df.select("doc_id", "text"))
+    members, _, _, labelled = _components(df.select("doc_id", "text"))
+    found = members.join(labelled, "node", "left").select("doc_id", _own_component())
     keep = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias(f"{p}id")).distinct())
     own = df.join(keep, df["doc_id"] == F.col(f"{p}id"), "left_semi").dropDuplicates(["doc_id"])
     return own.unionByName(df.where(df["doc_id"].isNull())).select(*quoted(df.columns))

@@ -76,6 +76,30 @@ def test_jaccard_frequent_tokens_and_chains(spark):
     assert got == brute.components(texts)
 
 
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Links inside a component and to copies count, whatever blocks the sets lie in."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(100)]
+    near = lambda k: " ".join(base[:k] + [word()] + base[k + 1 :])
+    texts = {d: near(40) for d in range(3)}  # three mutual near copies
+    other = [word() for _ in range(120)]
+    for d in range(10, 40):
+        at = rng.randrange(110)
+        texts[d] = " ".join(other[:at] + [word() for _ in range(rng.randint(1, 6))] + other[at + 4 :])
+    texts |= {50: texts[12], 51: texts[12], 60: "five words that are alone", 61: "", 62: None}
+    texts |= {70: "exact copies of one text here", 71: "exact copies of one text here"}
+    sets = {d: brute.shingles(t) for d, t in texts.items()}
+    similar = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    want = {d: sum(e != d and bool(similar(sets[d], sets[e])) for e in sets) for d in sets}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_links for r in jaccard.join(df).collect()}
+    assert got == want and [got[d] for d in (0, 1, 2, 60, 62, 70, 71)] == [2, 2, 2, 0, 0, 1, 1]
+
+
 def test_signatures_meet(edge_texts):
     """Any two similar sets share a signature, whatever tokens count as frequent."""
     import numpy as np
