@@ -1,7 +1,7 @@
 """I-Match fingerprints from randomised lexicon subsets.
 
 The lexicon holds the terms whose share of documents lies in a band, found by counting
-over all documents. The lower edge of the band bounds the lexicon: a term needs 1/RARE
+over all distinct sets of terms. The lower edge of the band bounds the lexicon: a term needs 1/RARE
 of all documents, so there are at most RARE times as many terms as a document has on
 average. Each of several random subsets of the lexicon, of several densities, gives one hash
 of the sorted distinct terms that a text has in it. The likeness of two fingerprints is the share of
@@ -10,8 +10,8 @@ subsets that agree, at the sparsest density at which both texts still fill enoug
 Terms are kept as 64-bit hashes. All of it is DataFrame functions; a document's text is shuffled
 once, to lie beside its successor, and its terms are not shuffled again.
 
-Defined cases: a null text counts as empty; a text without lexicon terms has the fingerprint
-of all its terms, so different texts still differ; rows without an id come last, have no
+Defined cases: a null text counts as empty; a text with few lexicon terms has a fingerprint
+of the same kind over all its terms beside it, so its near copies are still like it; rows without an id come last, have no
 successor and are edited with nothing; repeated ids follow each other in the order of
 their texts; an empty table gives an empty result; other columns are not looked at.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradframe.llm.columns import lower_ascii, text_of, words
+from gradframe.llm.columns import bounded_broadcast, lower_ascii, text_of, words
 from gradframe.plans import ordered
 from gradframe.plans.lineage import cut
 
@@ -35,6 +35,7 @@ BLOCK = 128  # neighbouring ids that are brought together
 LEXICON_ROWS = 1_000_000  # 64-bit numbers; a larger lexicon is joined by shuffle
 SPREAD = 1 << 20
 ENTRY_BITS = 24
+ALL_TERMS = -1 << 31  # sign of entries over all terms of a text, not only over those of the lexicon
 
 
 def terms(text: Column) -> Column:
@@ -43,11 +44,23 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """``h`` of every term whose share of documents lies in the band."""
-    count = docs.count()
-    spread = docs.select(F.explode(terms(F.col("text"))).alias("t")).select(F.xxhash64("t").alias("h"))
-    often = spread.groupBy("h").agg(F.count("*").alias("df"))
-    return often.where(
+    """``h`` of every term whose share of distinct sets of terms lies in the band.
+
+    Only the documents of sets that are there more than once are brought together, one of each set counts.
+    """
+    keyed = docs.select(terms(F.col("text")).alias("t")).select(
+        F.transform("t", lambda x: F.xxhash64(x)).alias("hs")
+    ).select("hs", F.xxhash64(F.sort_array("hs")).alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = cut(often.groupBy((F.col("n") > 1).alias("more")).agg(F.count("*").alias("sets")))
+    count = sum(r["sets"] for r in sizes.collect())
+    repeated = cut(often.where("n > 1").select("key"))
+    near = bounded_broadcast(repeated)
+    once = keyed.join(near, "key", "left_anti").select("hs")
+    copies = keyed.join(near, "key", "left_semi").groupBy("key").agg(F.first("hs").alias("hs")).select("hs")
+    spread = once.unionByName(copies).select(F.explode("hs").alias("h"))
+    found = spread.groupBy("h").agg(F.count("*").alias("df"))
+    return found.where(
         (F.col("df") >= max(LEAST_DF, -(-count // RARE))) & (F.col("df") <= max(LEAST_DF, COMMON * count))
     ).select("h")
 
@@ -126,7 +139,8 @@ def _fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Fingerprints of ``text`` and ``edited`` of every row, as arrays of entries.
 
     A text's terms stay in its partition: the join is a broadcast and the rows are grouped by what
-    they are partitioned by. A text without lexicon terms gets two negative entries, from a hash of all its terms.
+    they are partitioned by. A text whose lexicon terms leave a subset of the first density empty gets the entries of
+    all its terms too, as negative numbers.
     """
     key = ("block", "doc_id", "rank")
     sides = rows.select(
@@ -136,8 +150,8 @@ def _fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("t")),
                           F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("t")))).alias("x"),
     ).select(*key, "n_chars", "edited_sha256", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
-    every = F.xxhash64(F.array_join(F.sort_array("t"), " "))
-    note = F.struct("n_chars", "edited_sha256", every.alias("every"))
+    sides = sides.withColumn("every", F.transform("t", lambda x: F.xxhash64(x)))
+    note = F.struct("n_chars", "edited_sha256", "every")
     # a null leads the terms of each text and carries what belongs to the text as a whole
     spread = sides.select(
         *key, "side", note.alias("note"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("t")
@@ -146,11 +160,13 @@ def _fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
     marked = known.withColumn("known", F.lit(True))
     near = spread.join(F.broadcast(marked) if small else marked, "h", "left").where("h is null or known")
     found = near.groupBy(*key, "side").agg(F.collect_list("h").alias("hs"), F.max("note").alias("note"))
-    whole = F.col("note.every")
-    hashes = F.when(
-        F.size("hs") == 0, F.array(-1 - _bits(whole, 31), -1 - _bits(F.shiftright(whole, 32), 31))
-    ).otherwise(_hashes(F.col("hs")))
-    made = found.select(*key, "side", "note", hashes.alias("fp"))
+    made = found.select(*key, "side", "note", _hashes(F.col("hs")).alias("known_fp"))
+    some = F.size(F.filter("known_fp", lambda e: e < SUBSETS << ENTRY_BITS)) < SUBSETS
+    made = made.select(
+        *key, "side", "note",
+        F.when(some, F.concat("known_fp", F.transform(_hashes(F.col("note.every")), lambda e: e.bitwiseOR(F.lit(ALL_TERMS)))))
+        .otherwise(F.col("known_fp")).alias("fp"),
+    )
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("fp")))
     return made.groupBy(*key).agg(
         F.max("note.n_chars").alias("n_chars"), F.max("note.edited_sha256").alias("edited_sha256"),
@@ -159,22 +175,29 @@ def _fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Share of subsets in which both agree, at the sparsest density that both fill well enough."""
-    border = lambda j: j * SUBSETS << ENTRY_BITS
-    at = lambda fp, j: F.filter(fp, lambda e: e.between(border(j), border(j + 1) - 1) if j >= 0 else e < 0)
+    """Share of subsets in which both agree, at the sparsest density that both fill well enough.
+
+    Subsets of the lexicon come first, those of all terms are for texts with too few lexicon terms. If only one
+    has too few, both have no more than those few in common.
+    """
+
+    def at(fp: Column, j: int, base: int) -> Column:
+        low = base + (j * SUBSETS << ENTRY_BITS)
+        return F.filter(fp, lambda e: e.between(low, low + (SUBSETS << ENTRY_BITS) - 1))
 
-    def share(j: int) -> Column:
-        a, b = at(one, j), at(two, j)
-        number = lambda e: F.shiftright(e, ENTRY_BITS) if j >= 0 else e
+    def share(j: int, base: int) -> Column:
+        a, b = at(one, j, base), at(two, j, base)
+        number = lambda e: F.shiftright(e, ENTRY_BITS)
         either = F.size(F.array_union(F.transform(a, number), F.transform(b, number)))
         return F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(0.0)
 
-    full = lambda fp, j: F.size(at(fp, j)) >= FILLED
+    full = lambda fp, j, base: F.size(at(fp, j, base)) >= FILLED
     choice = F.when(F.lit(False), F.lit(0.0))
-    for j in reversed(range(1, len(SPARSER))):
-        choice = choice.when(full(one, j) & full(two, j), share(j))
-    without = (F.size(at(one, -1)) > 0) & (F.size(at(two, -1)) > 0)
-    return choice.when(without, share(-1)).otherwise(share(0)).cast("double")
+    for base in (0, ALL_TERMS):
+        for j in reversed(range(len(SPARSER))):
+            choice = choice.when(full(one, j, base) & full(two, j, base), share(j, base))
+    without = lambda fp: F.exists(fp, lambda e: e < 0)
+    return choice.when(without(one) & without(two), share(0, ALL_TERMS)).otherwise(share(0, 0)).cast("double")
 
 
 def spelled(fp: Column) -> Column:

@@ -130,6 +130,26 @@ def test_imatch(edge, edge_texts):
     assert imatch.fingerprinted(edge).count() == edge.count()
 
 
+def test_imatch_large_groups_and_small_languages(spark):
+    """A third of the rows from one group of near copies, and a text whose words nobody else has."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, stock = [word() for _ in range(200)], [word() for _ in range(3000)]
+    texts = {d: " ".join(base[:k] + [word()] + base[k + 1 :]) for d, k in enumerate(range(0, 200, 2))}
+    texts |= {d: " ".join(rng.sample(stock, 200)) for d in range(100, 298)}
+    own = [word() for _ in range(200)]
+    texts |= {298: " ".join(own), 299: " ".join(own[:-1])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in imatch.fingerprinted(df).collect()}
+    assert min(got[d].near_next for d in range(1, 100)) > 0.5
+    assert min(got[d].near_edited for d in range(1, 100)) > 0.2  # a third of the text is another one's
+    assert got[299].near_next > 0.5 and got[100].near_next < 0.1
+    copies = spark.createDataFrame([(d, "same text") for d in range(9)] + [(9, "other words")], "doc_id bigint, text string")
+    assert imatch.lexicon(copies).count() == 0 and imatch.lexicon(df).count() > 1000
+
+
 def test_imatch_across_blocks(spark):
     texts = {d: f"text number {d} of {d % 7} " * 3 for d in [*range(0, 400, 3), 9000, -5]}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
