@@ -5,7 +5,7 @@ line's ratio is its number of characters over its number of tags. The ratios are
 smoothed with a Gaussian and split into two clusters by a threshold that starts at their
 mean and moves to the middle of the clusters' means. Lines under menus, headers, footers, side
 bars, adverts, forms, scripts and comments, told by tag, role or class, are no
-candidates. A region (an article, or the lines between two such parts) is kept whole
+candidates, unless an article lies in a part so named; weaker words in names only lower the ratios. A region (an article, or the lines between two such parts) is kept whole
 if it has a line of the upper cluster, so short paragraphs and headings stay.
 
 Defined cases: null or empty html, or a page without candidates, gives the empty text;
@@ -41,11 +41,18 @@ OUT = frozenset(
 )
 # fixed values: words in class, id or role that mark such content
 HINTS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side nav "
-    "navbar navigation menu footer foot masthead topbar cookie cookies consent gdpr notice notification alert popup "
-    "modal overlay newsletter subscribe signup login comment comments reply replies disqus discussion share sharing social "
-    "related recommended breadcrumb breadcrumbs pagination pager toolbar widget search skip contentinfo complementary".split()
+    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav "
+    "navbar navigation menu footer foot masthead topbar cookie cookies consent gdpr notification alert popup "
+    "modal overlay newsletter subscribe signup login comment comments reply replies disqus share sharing social "
+    "recommended breadcrumb breadcrumbs pagination pager toolbar skip contentinfo complementary".split()
 )
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+# fixed values: words that only lower the ratio of the lines inside
+WEAK = frozenset("side related discussion notice widget search".split())
+# fixed values: words that say in a compound that the part is there, missing or beside, and those that name the text
+MODIFIERS = frozenset("has no not non with without hide show open closed enabled disabled on off".split())
+LAYOUT = frozenset("content main layout wrap wrapper container".split())
+LOWERED = 0.5
 CLOSES_P = BLOCKS - {"title", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SCOPES = frozenset("html body article main section div td th li blockquote table".split())
 FEED = 1 << 16
@@ -56,32 +63,42 @@ _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
 class Lines(HTMLParser):
-    """Collects ``[text parts, tags, region]`` of every candidate line."""
+    """Collects ``[text, tags, region, mark, ratio lowered]`` of every line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.stack: list[tuple[str, bool, int]] = []  # tag, out of the text, number of the enclosing article
+        # tag, out of the text, number of the enclosing article, innermost mark, ratios lowered
+        self.stack: list[tuple[str, bool, int, int, bool]] = []
+        self.marks: list[list] = []  # outer mark, still out of the text, inside comments
         self.region = 0
         self.articles = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+    def _state(self) -> tuple[bool, int, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, 0, -1, False)
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, article = self._state()
-            self.lines.append([text, max(1, self.tags), article or -self.region - 1])
+            _, article, mark, weak = self._state()
+            self.lines.append([text, max(1, self.tags), article or -self.region - 1, mark, weak])
         self.parts, self.tags = [], 0
 
     def _pop(self, depth: int) -> None:
-        was_out, _ = self._state()
+        before = self._state()
         del self.stack[depth:]
-        if was_out and not self._state()[0]:
-            self.region += 1  # a part that is no text ended
+        after = self._state()
+        if before[0] and not after[0] or before[2:] != after[2:]:
+            self.region += 1  # a part that is no text, or is marked, ended
+
+    def candidates(self) -> list[list]:
+        """The lines that lie in no marked part."""
+        out: list[bool] = []
+        for outer, live, _ in self.marks:
+            out.append(live or outer >= 0 and out[outer])
+        return [line for line in self.lines if line[3] < 0 or not out[line[3]]]
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
@@ -98,36 +115,57 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out, article = self._state()
-        marked = self._marked(tag, attrs, article)
-        if tag in ("article", "main") and not marked:
-            if out and not any(t in ("aside", "footer") or t == "#comments" for t, o, _ in self.stack if o):
+        out, article, mark, weak = self._state()
+        own_out = self._out(tag, attrs, article)
+        strong, lowers, comments = (False, False, False) if own_out else self._marked(tag, attrs)
+        if tag in ("article", "main") and not own_out and not strong:
+            if out and not any(t in ("aside", "footer") for t, o, *_ in self.stack if o):
                 out = False  # an unclosed part before the article does not swallow it
+            if mark < 0 or not self.marks[mark][2]:
+                outer = mark
+                while outer >= 0 and self.marks[outer][1]:
+                    self.marks[outer][1] = False  # what holds an article is no sidebar
+                    outer = self.marks[outer][0]
             if not article:
                 self.articles += 1
                 article = self.articles
-        if marked and not out:
+        if own_out and not out or strong or lowers:
             self.region += 1
-        name = "#comments" if marked and self._about_comments(attrs) and tag == "div" else tag
-        self.stack.append((name if name != "#comments" else "div#", out or marked, article))
-
-    @staticmethod
-    def _words(attrs) -> set[str]:
-        return {w for k, v in attrs if k in ("class", "id", "role") and v for w in _NAME.findall(v.lower())}
-
-    def _about_comments(self, attrs) -> bool:
-        return bool(self._words(attrs) & {"comment", "comments", "disqus", "replies"})
-
-    def _marked(self, tag: str, attrs, article: int) -> bool:
-        if tag in OUT:
+        if strong:
+            self.marks.append([mark, True, comments or mark >= 0 and self.marks[mark][2]])
+            mark = len(self.marks) - 1
+        if (strong or lowers) and article:
+            self.articles += 1
+            article = self.articles  # a region of its own
+        self.stack.append((tag, out or own_out, article, mark, weak or lowers))
+
+    def _out(self, tag: str, attrs, article: int) -> bool:
+        """Whether an element's tag or attributes take it out of the text."""
+        if tag in OUT or tag == "header" and not article:
             return True
-        if tag == "header" and not article:
-            return True
-        if tag in ("html", "body", "main") or tag[0] == "h" and tag[1:].isdigit():
+        if self._plain(tag):
             return False
-        if any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs):
-            return True
-        return bool(self._words(attrs) & HINTS)
+        return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+
+    @staticmethod
+    def _plain(tag: str) -> bool:
+        return tag in ("html", "body", "main") or tag[0] == "h" and tag[1:].isdigit()
+
+    def _marked(self, tag: str, attrs) -> tuple[bool, bool, bool]:
+        """Whether names mark an element as no text, lower its ratios, and speak of comments."""
+        strong = lowers = comments = False
+        if not self._plain(tag):
+            for name in (n for k, v in attrs if k in ("class", "id", "role") and v for n in v.lower().split()):
+                words = set(_NAME.findall(name))
+                if words & MODIFIERS:
+                    continue
+                if words & HINTS and not words & LAYOUT:
+                    strong, comments = True, comments or bool(words & COMMENTS)
+                elif words & (HINTS | WEAK):
+                    lowers = True
+        if tag == "article":
+            return comments, False, comments
+        return strong, lowers and not strong, comments
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
@@ -141,8 +179,7 @@ class Lines(HTMLParser):
             self._flush()
         self.tags += 1
         for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth][0]
-            if name == tag or name == "div#" and tag == "div":
+            if self.stack[depth][0] == tag:
                 self._pop(depth)
                 return
 
@@ -182,15 +219,16 @@ def main_text(html: str | None) -> str:
         parser.feed(html[at : at + FEED])
     parser.close()
     parser._flush()
-    lines = parser.lines
+    lines = parser.candidates()
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / tags for text, tags, _ in lines]))
+    ratios = smoothed(np.array([len(text) / tags for text, tags, *_ in lines]))
+    ratios = ratios * np.where([weak for *_, weak in lines], LOWERED, 1.0)
     border = threshold(ratios)
-    regions = {region for (_, _, region), ratio in zip(lines, ratios) if ratio >= border}
+    regions = {region for (_, _, region, *_), ratio in zip(lines, ratios) if ratio >= border}
     if any(region > 0 for region in regions):  # articles or a main part: nothing beside them
         regions = {region for region in regions if region > 0}
-    return "\n".join(text for text, _, region in lines if region in regions)
+    return "\n".join(text for text, _, region, *_ in lines if region in regions)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

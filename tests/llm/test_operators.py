@@ -260,6 +260,23 @@ def test_extraction(spark):
     assert got[6].n_chars == 5 * 50_000 - 1
 
 
+def test_extraction_by_names():
+    """A layout word in a class does not remove a page's text; menus and comments still go."""
+    body = "<p>" + "Real text of the page. " * 30 + "</p>"
+    want = ("Real text of the page. " * 30).strip()
+    for tag in (
+        "article class='post has-sidebar'", "article class='side widget'", "div class='content with-sidebar'", "div class='no-comments'",
+        "div class='comments-open'", "div class='side-by-side'", "section id='discussion'", "div class='search-history'", "div class='content-sidebar'",
+    ):
+        name = tag.split()[0]
+        page = f"<div class='main-nav'><p>Menu</p></div><{tag}>{body}</{name}><div id='comments'><article class='comment'><p>{'I disagree. ' * 30}</p></article></div>"
+        assert extraction.main_text(page) == want, tag
+    assert extraction.main_text(f"<div class='sidebar'><p>{'Beside it. ' * 40}</p></div><div>{body}</div>") == want
+    assert extraction.main_text(f"<main><div class='sidebar'><p>{'Beside it. ' * 40}</p></div>{body}</main>") == want
+    inside = extraction.main_text(f"<main><div class='sidebar'>{body}<article>{body}</article></div></main>")
+    assert inside == want + "\n" + want
+
+
 def test_personal_data(edge, edge_texts):
     rows = personal.digest(edge).collect()
     assert len(rows) == edge.count()
