@@ -24,7 +24,7 @@ TABLES = (
 def _normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if pd.api.types.is_float_dtype(df[c]) or pd.api.types.is_object_dtype(df[c]):
+        if pd.api.types.is_float_dtype(df[c]) or pd.api.types.is_object_dtype(df[c]) or str(df[c].dtype) == "Int64":
             try:
                 df[c] = df[c].astype(float).round(6) + 0.0
             except (TypeError, ValueError):
