@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradframe.llm import extraction, factorisation, fixity, imatch, jaccard, licences, mixing, packing, personal, rules
+from gradframe.llm import (
+    conversations, extraction, factorisation, fixity, imatch, jaccard, licences, mixing, packing, periods, personal, rules,
+    topk,
+)
 from gradframe.llm.columns import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +75,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
+
+
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summarised(periods.detect(periods.planted(documents(spark, sf_dir))))
+
+
+@_query("op12_conversation_trie", conversations.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.trie(conversations.rebuilt(turns))
+
+
+@_query("op13_exact_top_k", topk.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
