@@ -10,19 +10,22 @@ Pairs of sets under one signature are then verified on the whole sets.
 
 Equal sets are one node from the start. Each node is first compared with the least node of
 that signature which it shares most; once the links found are joined to components, nodes are compared with
-the least nodes of their other signatures, and then all pairs under a signature, but both times only
-those that still lie in different components.
+the least nodes of their other signatures. What then still lies in different components is compared under
+every signature: pairs under short lists by a join with a bitmap filter; the nodes of long lists, which are
+mostly large groups of near copies, as a whole, block by block, leaving out pairs of blocks that lie in one component. Signatures
+of tokens so frequent that their lists may be very long are dealt to salts by node, and the least nodes of
+the salts are compared with each other.
 No link between components can be lost, and groups of copies are not multiplied out. Links are
-counted afterwards, over all pairs of sets of a component, in blocks.
+counted afterwards, over all pairs of sets of a component, in the same blocks.
 
 Defined cases: a document without words or text has the empty set and is linked with nothing;
 rows without an id get no component and link nothing; repeated ids are rows of
-one document; an empty table gives an empty result; other columns are not looked at.
+one document; texts of any length are read whole; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log
 
 import numpy as np
@@ -34,18 +37,24 @@ from pyspark.sql.window import Window
 from gradframe.llm.columns import bounded_broadcast, private, quoted, text_of
 from gradframe.llm.graph import components
 from gradframe.llm.shingles import mixed, set_key, shingle_set
+from gradframe.plans import ordered
 from gradframe.plans.lineage import cut
 from gradframe.session import ship
 
 PERCENT = 80
-BUCKET_BITS = 22  # of the hashed counts: their number is fixed, whatever the table's size is
+BUCKET_BITS = 20  # of the hashed counts: their number is fixed, whatever the table's size is
 COUNTERS = 1 << 14  # that travel together
 BAND = 1.25
-JOIN_WORDS = 16  # 64-bit numbers of the bitmap that the last join looks at
+JOIN_WORDS = 16  # 64-bit numbers of the bitmap that a join looks at
 HELD_SETS = 500
+HELD_ROWS = 10_000  # of results handed to Spark in one batch, about
 SKETCH_BITS = 14  # of the largest sketch, as a power of two
 SET_BYTES = 8 << 20  # of sets handed to Spark in one batch, about
-BLOCK_SETS = 256  # of a component that are compared with each other in one task
+LONG_LIST = 64  # nodes under a signature, beyond which they are compared in blocks
+HOT_LIST = 1 << 12  # possible nodes under a signature, beyond which it is dealt to salts
+SALTS = 64
+BLOCK_TOKENS = 1 << 17  # of the sets of a block
+LEAST_TOKENS = 1 << 9  # that a set counts as in a block, so that a block holds at most 256 sets
 TOKENS_AT_ONCE = 1 << 14
 SUBCLASS_TOKENS = 16  # aimed-at frequent tokens of one subclass in a prefix
 
@@ -56,40 +65,51 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
             yield batch, row, shingle_set(text.as_py().encode())
 
 
-def _counted(df: DataFrame) -> np.ndarray:
-    """Number of (document, token) pairs by the upper bits of the token.
+def _measured(df: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, n_shingles, node`` of every row, and the number of (row, token) pairs by the upper bits of the token.
 
-    A task counts into an array of fixed size and hands it on in blocks, which are added up
-    block by block; the driver receives the sums.
+    Both come from one pass. The empty set has no node. A task counts into an array of fixed size, up to 65,535 in a
+    counter, and hands it on in blocks, which are added up block by block; the driver receives the sums.
     """
     blocks = (1 << BUCKET_BITS) // COUNTERS
+    names = ["doc_id", "n_shingles", "node", "block", "counts"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         held: list[np.ndarray] = []
-        for _, _, tokens in _sets(batches, 0):
-            held.append((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-            if len(held) == HELD_SETS:
-                _add(total, np.concatenate(held))
-                held = []
+        for batch in batches:
+            sizes, nodes = [], []
+            for _, _, tokens in _sets([batch], 1):
+                sizes.append(len(tokens))
+                nodes.append(set_key(tokens) if len(tokens) else None)
+                held.append((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+                if len(held) == HELD_SETS:
+                    _add(total, np.concatenate(held))
+                    held = []
+            n = batch.num_rows
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         if held:
             _add(total, np.concatenate(held))
-        parts = enumerate(total.astype(np.uint32).reshape(blocks, COUNTERS))
-        yield from _blocks({k: part for k, part in parts if part.any()})
+        for k, part in enumerate(np.minimum(total, 65_535).astype(np.uint16).reshape(blocks, COUNTERS)):
+            if part.any():
+                columns = [*[pa.nulls(1, pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([part.tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[k] = sums.get(k, np.int64(0)) + np.frombuffer(data.as_py(), np.uint32)
-        yield from _blocks(sums)
+                sums[k] = sums.get(k, np.int64(0)) + np.frombuffer(data.as_py(), np.uint16)
+        for k, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()])], names=["block", "counts"])
 
-    kind = "block int, counts binary"
-    parts = df.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind)
+    both = cut(df.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, node bigint, block int, counts binary"))
+    parts = both.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
     total = np.zeros((blocks, COUNTERS), np.int64)
     for row in parts.collect():  # one row per block
         total[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    return total.reshape(-1)
+    return both.where("block is null").select("doc_id", "n_shingles", "node"), total.reshape(-1)
 
 
 def _add(total: np.ndarray, buckets: np.ndarray) -> None:
@@ -97,22 +117,16 @@ def _add(total: np.ndarray, buckets: np.ndarray) -> None:
     total[found] += often
 
 
-def _blocks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    names = ["block", "counts"]
-    for k, counts in parts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()])], names=names)
-
-
-def _levels(counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Frequency level of every bucket, and the first level that counts as frequent.
+def _levels(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Frequency level of every bucket, the first that counts as frequent, and the first of possibly very long lists.
 
     A bucket well above what chance gives the buckets holds a frequent token.
     """
     mean = counts.mean()
     levels = np.minimum(np.unique(counts, return_inverse=True)[1], 65535) if counts.any() else counts
     bound = mean + 8 * np.sqrt(mean) + 16
-    frequent = int(levels[counts > bound].min()) if (counts > bound).any() else int(levels.max()) + 1
-    return levels.astype(np.uint16), frequent
+    first = lambda least: int(levels[counts > least].min()) if (counts > least).any() else int(levels.max()) + 1
+    return levels.astype(np.uint16), first(bound), first(max(bound, HOT_LIST))
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -141,8 +155,8 @@ def _subclasses(band: int) -> int:
     return max(1, round((100 - PERCENT) / 100 * BAND ** (band + 1) / SUBCLASS_TOKENS))
 
 
-def signatures(tokens: np.ndarray, levels: np.ndarray, frequent: int) -> np.ndarray:
-    """Signed 64-bit signatures of a sorted set."""
+def signatures(tokens: np.ndarray, levels: np.ndarray, frequent: int, hot: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Signed 64-bit signatures of a sorted set, and which of them may have very long lists."""
     n = len(tokens)
     level = levels[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
     order = np.argsort(level, kind="stable")
@@ -151,38 +165,47 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, frequent: int) -> np.ndar
     longest = order[: plain + _subclasses(band + 1) + 1]
     common = level[longest] >= frequent
     out = [tokens[longest[~common]]]
+    long = [np.zeros(len(out[0]), bool)]
     if common.sum() > 1:
         for b in (band, band + 1):
             c = _subclasses(b)
             prefix = order[: plain + c + 1]
             prefix = prefix[level[prefix] >= frequent]
-            out += [_pairs(tokens[prefix[tokens[prefix] % np.uint64(c) == k]], b) for k in range(c)]
-    return np.unique(np.concatenate(out)).view(np.int64)
+            for k in range(c):
+                own = prefix[tokens[prefix] % np.uint64(c) == k]
+                found, both = _pairs(tokens[own], level[own] >= hot, b)
+                out.append(found)
+                long.append(both)
+    sigs, first = np.unique(np.concatenate(out), return_index=True)
+    return sigs.view(np.int64), np.concatenate(long)[first]
 
 
-def _pairs(tokens: np.ndarray, band: int) -> np.ndarray:
+def _pairs(tokens: np.ndarray, long: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
     one, two = np.triu_indices(len(tokens), 1)
-    tokens = np.sort(tokens)
+    order = np.argsort(tokens)
+    tokens, long = tokens[order], long[order]
     with np.errstate(over="ignore"):
-        return mixed(tokens[one] * np.uint64(0x9E3779B97F4A7C15) + mixed(tokens[two] + np.uint64(band)))
+        found = mixed(tokens[one] * np.uint64(0x9E3779B97F4A7C15) + mixed(tokens[two] + np.uint64(band)))
+    return found, long[one] & long[two]
 
 
-def _postings(df: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
-    """``sig, node, n`` of every distinct set; copies inside one task give theirs once."""
+def _postings(df: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> DataFrame:
+    """``sig, salt, node, n`` of every distinct set; copies inside one task give theirs once."""
     known = df.sparkSession.sparkContext.broadcast(levels)
+    names = ["sig", "salt", "node", "n"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, nodes, sizes, held = [], [], [], 0
+        sigs, salts, nodes, sizes, held = [], [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
             lengths = [len(s) for s in sigs]
+            whole = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
             columns = [
-                np.concatenate(sigs) if sigs else np.empty(0, np.int64),
-                np.repeat(np.array(nodes, np.int64), lengths),
-                np.repeat(np.array(sizes, np.int32), lengths),
+                whole(sigs, np.int64), whole(salts, np.int32),
+                np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths),
             ]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for _, _, tokens in _sets(batches, 0):
             if not len(tokens):
@@ -191,100 +214,80 @@ def _postings(df: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
             if node in seen:
                 continue
             seen.add(node)
-            sigs.append(signatures(tokens, known.value, frequent))
+            found, long = signatures(tokens, known.value, frequent, hot)
+            sigs.append(found)
+            salts.append(np.where(long, 1 + node % SALTS, 0).astype(np.int32))
             nodes.append(node)
             sizes.append(len(tokens))
-            held += len(sigs[-1])
+            held += len(found)
             if held > 100_000:
                 yield flushed()
-                sigs, nodes, sizes, held = [], [], [], 0
+                sigs, salts, nodes, sizes, held = [], [], [], [], 0
         yield flushed()
 
-    return df.select("text").mapInArrow(index, "sig bigint, node bigint, n int")
-
-
-def _members(df: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node`` of every row; the empty set has no node."""
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes = [], []
-            for _, _, tokens in _sets([batch], 1):
-                sizes.append(len(tokens))
-                nodes.append(set_key(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
-            )
-
-    return df.select("doc_id", "text").mapInArrow(key, "doc_id bigint, n_shingles bigint, node bigint")
-
-
-def _texts(named: DataFrame, df: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes with the document that stands for each, and those documents' texts."""
-    wanted = cut(nodes.join(named, "node").select("node", F.col("first").alias("doc_id")))
-    ids = bounded_broadcast(wanted.select("doc_id").distinct())
-    return wanted, df.join(ids, "doc_id", "left_semi").select("text")
+    return df.select("text").mapInArrow(index, "sig bigint, salt int, node bigint, n int")
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, n, words, sketch, tokens`` of texts; the words are a bitmap of fixed size for use in a join's condition."""
+    names = ["node", "n", "words", "sketch", "tokens"]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    rows: list[tuple] = []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    for _, _, tokens in _sets(batches, 0):
+        bits = np.zeros(64 * JOIN_WORDS, bool)
+        bits[(tokens % np.uint64(len(bits))).astype(np.int64)] = True
+        words = np.packbits(bits).view(np.int64)
+        rows.append((set_key(tokens), len(tokens), words, sketch(tokens).tobytes(), tokens.tobytes()))
+        held += len(rows[-1][-1])
+        if held > SET_BYTES:
+            yield batch()
+            rows, held = [], 0
+    yield batch()
+
+
+class Sets:
+    """Whole sets of nodes, made from one document's text for each node when they are first asked for."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, repeated: bool):
+        self.docs, self.nodes, self.repeated = docs, nodes, repeated
+        self.made: DataFrame | None = None
+
+    def of(self, named: DataFrame) -> DataFrame:
+        """``node, n, words, sketch, tokens`` of the nodes in ``named`` and of all asked for before."""
+        new = self.nodes.join(named.select("node").distinct(), "node", "left_semi")
+        if self.made is not None:
+            new = new.join(self.made.select("node"), "node", "left_anti")
+        wanted = cut(new.select("node", F.col("first").alias("doc_id")))
+        if self.made is None or wanted.take(1):
+            ids = bounded_broadcast(wanted.select("doc_id").distinct())
+            texts = self.docs.join(ids, "doc_id", "left_semi").select("text")
+            built = texts.mapInArrow(_build, "node bigint, n bigint, words array<bigint>, sketch binary, tokens binary")
+            # an id with several texts brings other sets too
+            own = built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi")
+            own = cut(own.dropDuplicates(["node"]) if self.repeated else own)
+            self.made = own if self.made is None else self.made.unionByName(own)
+        return self.made
 
 
-def _with_words(rows: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add a bitmap of fixed size as numbers ``w0, w1, ...``, for use in a join's condition."""
-    names = [f"w{i}" for i in range(JOIN_WORDS)]
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, words = [], []
-            for _, _, tokens in _sets([batch], 0):
-                bits = np.zeros(64 * JOIN_WORDS, bool)
-                bits[(tokens % np.uint64(len(bits))).astype(np.int64)] = True
-                keys.append(set_key(tokens))
-                words.append(np.packbits(bits).view(np.int64))
-            table = np.array(words, np.int64).reshape(len(words), JOIN_WORDS)
-            columns = [pa.array(keys, pa.int64()), *[pa.array(table[:, i]) for i in range(JOIN_WORDS)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", *names])
-
-    _, texts = _texts(rows.select("node").distinct(), df, nodes)
-    kinds = ", ".join(f"{n} bigint" for n in names)
-    drawn = cut(texts.mapInArrow(draw, f"node bigint, {kinds}").dropDuplicates(["node"]))
-    return rows.join(drawn, "node", "left")
-
-
-def _built(named: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, sketch, tokens`` of the nodes named; one document stands for each and only its text is read again."""
-    wanted, texts = _texts(named, df, nodes)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
-
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "sketch", "tokens"]
-            )
-
-        for _, _, tokens in _sets(batches, 0):
-            rows.append((set_key(tokens), len(tokens), sketch(tokens).tobytes(), tokens.tobytes()))
-            held += len(rows[-1][3])
-            if held > SET_BYTES:
-                yield batch()
-                rows, held = [], 0
-        yield batch()
-
-    built = texts.mapInArrow(build, "node bigint, n bigint, sketch binary, tokens binary")
-    return built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi")
+def _near_sizes(x: str, y: str) -> str:
+    return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
 
 
-def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough.
 
-    Only texts of nodes in pairs are read again. Pairs whose
+    Pairs whose
     sketches already differ in more bits than similar sets can are left out before sets are moved:
     100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
     """
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = cut(_built(named, df, nodes))
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    made = sets.of(named)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +297,7 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    drawn = lambda side: sets.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
+    drawn = lambda side: made.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
     sketched = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b")
     pairs = cut(sketched.mapInArrow(narrow, "a bigint, b bigint").distinct())
 
@@ -308,46 +311,49 @@ def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     # the sets of one side go to those of the other, which are moved once for each node
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"set_{side}"))
+    of = lambda side: made.select(F.col("node").alias(side), F.col("tokens").alias(f"set_{side}"))
     hubs = of("a").join(bounded_broadcast(cut(pairs.select("a").distinct())), "a", "left_semi")
     both = of("b").join(bounded_broadcast(pairs), "b").join(hubs, "a").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _near_sizes(x: str, y: str) -> str:
-    return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
-
-
-def _apart_stars(stars: DataFrame, shared: DataFrame, roots: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a signature's least node with others that lie in another component."""
-    return _apart(stars.select("a", "b"), roots)
-
-
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose nodes lie in different components."""
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     placed = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
     return placed.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
 
-def _apart_pairs(stars: DataFrame, shared: DataFrame, roots: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs under a signature whose nodes lie in different components.
+def _short_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
+    """All pairs of different components under signatures of at most ``LONG_LIST`` nodes.
 
-    A signature whose nodes lie in one component needs nothing more. The join itself leaves out
-    pairs whose bitmaps differ in more bits than similar sets can.
+    The join itself leaves out pairs whose bitmaps differ in more bits than similar sets can.
     """
-    placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sig")
-    apart = cut(_with_words(cut(placed.join(split, "sig")), df, nodes))
-    differing = " + ".join(f"bit_count(l.w{i} ^ r.w{i})" for i in range(JOIN_WORDS))
-    near = f"coalesce({100 + PERCENT} * ({differing}) <= {100 - PERCENT} * (l.n + r.n), true)"
+    apart = cut(placed.join(lists, "sig", "left_semi"))
+    words = sets.of(apart).select("node", "words")
+    drawn = cut(apart.join(words, "node"))
+    differing = " + ".join(f"bit_count(l.words[{i}] ^ r.words[{i}])" for i in range(JOIN_WORDS))
+    near = f"{100 + PERCENT} * ({differing}) <= {100 - PERCENT} * (l.n + r.n)"
     return (
-        apart.alias("l").join(apart.alias("r"), "sig")
+        drawn.alias("l").join(drawn.alias("r"), "sig")
         .where(f"l.node < r.node and l.root <> r.root and {_near_sizes('l.n', 'r.n')} and {near}")
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
 
 
+def _long_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
+    """Links between different components under longer lists: nodes joined by such lists are compared in blocks.
+
+    A pair of blocks gives no more links than are needed to join its components.
+    """
+    rows = cut(placed.join(lists, "sig", "left_semi"))
+    stars = rows.join(rows.groupBy("sig").agg(F.min("node").alias("hub")), "sig").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = components(cut(stars.where("a <> b").distinct())).withColumnRenamed("root", "grp")
+    nodes = cut(rows.select("node", "n", "root").distinct().join(groups, "node").withColumn("copies", F.lit(0).cast("bigint")))
+    return _in_blocks(nodes, sets, _joining, "a bigint, b bigint", apart=True).distinct()
+
+
 def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Number of common tokens of every set of ``one`` with every set of ``two``."""
     out = np.zeros((len(one), len(two)), np.int64)
@@ -374,85 +380,175 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked_copies(labelled: DataFrame, df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, linked``: the number of documents in all sets that are similar to the node's.
+def _in_blocks(nodes: DataFrame, sets: Sets, compare: Callable, schema: str, apart: bool) -> DataFrame:
+    """Compare all nodes ``node, n, root, grp, copies`` of a group with each other, block by block.
 
-    Similar sets lie in one component, so a component's sets are dealt to blocks and every pair of blocks
-    is compared whole, each pair of sets once. A set is moved once for each block of its component.
+    A group's nodes are ordered by component and dealt to blocks of bounded size. Every pair of blocks meets in
+    a task, which holds one such pair at a time; with ``apart`` pairs of blocks of a single component are left out.
+    A set is moved once for each block of its group at most.
     """
-    inside = cut(labelled.where("root is not null").select("node", "root", "copies"))
-    sets = _built(inside.select("node"), df, nodes).select("node", "tokens")
-    blocks = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    placed = cut(inside.join(blocks, "root").select(
-        "node", "root", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    ))
-    dealt = sets.join(placed, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "copies", "tokens"
+    weight = F.greatest("n", F.lit(LEAST_TOKENS)).cast("bigint")
+    run = ordered.running(nodes, ["grp"], ["root", "node"], {"upto": weight})
+    dealt = cut(run.withColumn("own", F.floor((F.col("upto") - weight) / BLOCK_TOKENS).cast("int")))
+    blocks = cut(dealt.groupBy("grp", "own").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    met = blocks.alias("l").join(blocks.alias("r"), "grp").where("l.own <= r.own")
+    if apart:
+        met = met.where("l.lo <> l.hi or r.lo <> r.hi or l.lo <> r.lo")
+    met = cut(met.select("grp", F.col("l.own").alias("x"), F.col("r.own").alias("y")))
+    tokens = sets.of(nodes).select("node", "tokens")
+    side = lambda c: dealt.join(met.withColumn("own", F.col(c)), ["grp", "own"]).select(
+        "grp", "x", "y", "own", "node", "root", "copies"
     )
+    placed = side("x").unionByName(side("y").where("x <> y")).join(tokens, "node")
+    rows = placed.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    names = ["grp", "x", "y", "own", "node", "root", "copies", "tokens"]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns[:7]], batch.column(7)):
+                if row[:3] != now:
+                    if held:
+                        out += compare(now[1], now[2], held)
+                        held = []
+                    now = row[:3]
+                    if len(out) > HELD_ROWS:
+                        yield _two_columns(out, schema)
+                        out = []
+                held.append((*row[3:7], np.frombuffer(row[7].as_py(), np.uint64)))
+        if held:
+            out += compare(now[1], now[2], held)
+        yield _two_columns(out, schema)
+
+    return rows.select(*names).mapInArrow(visit, schema)
+
+
+def _two_columns(rows: list[tuple[int, int]], schema: str) -> pa.RecordBatch:
+    names = [part.split()[0] for part in schema.split(",")]
+    columns = list(zip(*rows)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def _similar(x: int, y: int, held: list[tuple]) -> tuple[list[tuple], list[tuple], np.ndarray]:
+    """Both blocks' nodes, and which pairs of them are similar enough; a node is not so to itself."""
+    one, two = [h for h in held if h[0] == x], [h for h in held if h[0] == y]
+    if not one or not two:
+        return one, two, np.zeros((len(one), len(two)), bool)
+    sizes = lambda block: np.array([len(h[4]) for h in block], np.int64)
+    shared = shared_counts([h[4] for h in one], [h[4] for h in two])
+    found = 100 * shared >= PERCENT * (sizes(one)[:, None] + sizes(two)[None, :] - shared)
+    if x == y:
+        np.fill_diagonal(found, False)
+    return one, two, found
+
+
+def _joining(x: int, y: int, held: list[tuple]) -> list[tuple[int, int]]:
+    """Links that join the components of two blocks, no more than needed."""
+    one, two, found = _similar(x, y, held)
+    above: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while above.get(r, r) != r:
+            r = above[r]
+        return r
+
+    out = []
+    for i, j in zip(*(c.tolist() for c in np.nonzero(found))):
+        a, b = top(one[i][2]), top(two[j][2])
+        if a != b:
+            above[a] = b
+            out.append((one[i][1], two[j][1]))
+    return out
+
+
+def _counting(x: int, y: int, held: list[tuple]) -> list[tuple[int, int]]:
+    """For the nodes of two blocks the number of documents in similar sets of the other one."""
+    one, two, found = _similar(x, y, held)
+    copies = lambda block: np.array([h[3] for h in block], np.int64)
+    out = [(h[1], int(n)) for h, n in zip(one, found @ copies(two))] if two else []
+    if x != y and one:
+        out += [(h[1], int(n)) for h, n in zip(two, found.T @ copies(one))]
+    return out
 
-    def compare(table: pa.Table) -> pa.Table:
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        own, node, copies = (table.column(c).to_numpy() for c in ("own", "node", "copies"))
-        sets = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        one, two = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        linked = np.zeros(len(node), np.int64)
-        if len(one) and len(two):
-            shared = shared_counts([sets[i] for i in one], [sets[i] for i in two])
-            similar = 100 * shared >= PERCENT * (sizes[one][:, None] + sizes[two][None, :] - shared)
-            if x == y:
-                np.fill_diagonal(similar, False)
-            linked[one] = similar @ copies[two]
-            if x != y:
-                linked[two] = similar.T @ copies[one]
-        return pa.table({"node": node, "linked": linked})
-
-    found = dealt.groupBy("root", "x", "y").applyInArrow(compare, "node bigint, linked bigint")
+
+def _linked_copies(labelled: DataFrame, sets: Sets) -> DataFrame:
+    """``node, linked``: the number of documents in all sets that are similar to the node's.
+
+    Similar sets lie in one component, so each component is a group.
+    """
+    inside = cut(labelled.where("root is not null").select("node", "n", "root", F.col("root").alias("grp"), "copies"))
+    found = _in_blocks(inside, sets, _counting, "node bigint, linked bigint", apart=False)
     return found.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def _components(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Every row's set, the rows with an id, the sets, and the sets with ``root, component_id``, null where alone."""
+def _shared(docs: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """``sig, salt, node, n, lo`` of signatures that more than one set may have, and links ``a, b`` of the salts' least nodes."""
+    group = Window.partitionBy("sig", "salt")
+    postings = _postings(docs, levels, frequent, hot)
+    marked = postings.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
+    shared = cut(marked.where("lo < hi or salt > 0").drop("hi"))
+    # at most SALTS rows of a signature meet here
+    hubs = shared.where("salt > 0").select("sig", "lo").distinct()
+    least = hubs.withColumn("least", F.min("lo").over(Window.partitionBy("sig"))).where("least <> lo")
+    return shared, least.select(F.col("least").alias("a"), F.col("lo").alias("b"))
+
+
+def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
+    """Every row's set, the sets, and the nodes with ``root, component_id``, the first null where alone."""
     ship(df.sparkSession)
     texts = df.select(df["doc_id"].cast("bigint").alias("doc_id"), text_of(df).alias("text"))
-    members = cut(_members(texts))
-    nodes = members.where("doc_id is not null and node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies")
-    )
+    members, counts = _measured(texts)
+    own = members.where("doc_id is not null and node is not null")
+    nodes = cut(own.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")
+    ))
+    repeated = bool(own.groupBy("doc_id").count().where("count > 1").take(1))
     named = texts.where("doc_id is not null")
-    levels, frequent = _levels(_counted(named))
-    group = Window.partitionBy("sig")
-    postings = _postings(named, levels, frequent)
-    shared = cut(
-        postings.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi").drop("hi")
-    )
-    sizes = shared.select("node", "n").distinct()
+    sets = Sets(named, nodes, repeated)
+    shared, hubs = _shared(named, *_levels(counts))
+    sizes = nodes.select("node", "n")
+    edges = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(hubs)
     stars = cut(
-        shared.where("node <> lo").groupBy(F.col("lo").alias("a"), F.col("node").alias("b"))
-        .agg(F.count("*").alias("often"), F.first("n").alias("nb"))
+        edges.groupBy("a", "b").agg(F.count("*").alias("often"))
         .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         .where(_near_sizes("na", "nb")).select("a", "b", "often")
     )
     # first each node with the one it shares most signatures with, then what this leaves apart
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
     tried = cut(best)
-    links = cut(_verified(tried, named, nodes))
+    links = cut(_verified(tried, sets))
     roots = cut(components(links))
-    for pairs in (_apart_stars, _apart_pairs):
-        rest = cut(pairs(stars, shared, roots, named, nodes).join(tried, ["a", "b"], "left_anti"))
-        if not rest.take(1):
-            continue
-        more = cut(_verified(rest, named, nodes))
-        tried = tried.union(rest)
+
+    def joined(more: DataFrame) -> None:
+        nonlocal links, roots
+        more = cut(more)
         if more.take(1):
             links = cut(links.union(more))
             roots = cut(components(links))
+
+    rest = cut(_apart(stars.select("a", "b"), roots).join(tried, ["a", "b"], "left_anti"))
+    if rest.take(1):
+        joined(_verified(rest, sets))
+        tried = tried.union(rest)
+    for lists in (_long_lists, _short_lists):
+        placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+        counted = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
+        long = F.col("m") > LONG_LIST
+        split = cut(counted.where("x < y").where(long if lists is _long_lists else ~long).select("sig"))
+        if not split.take(1):
+            continue
+        found = lists(placed, split, sets)
+        if lists is _short_lists:
+            rest = cut(found.join(tried, ["a", "b"], "left_anti"))
+            found = _verified(rest, sets) if rest.take(1) else rest
+        joined(found)
     labelled = nodes.join(roots, "node", "left")
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     labelled = cut(labelled.join(smallest, "root", "left").select(
-        "node", "root", "copies", F.coalesce("least", "first").alias("component_id")
+        "node", "n", "root", "copies", F.coalesce("least", "first").alias("component_id")
     ))
-    return members, named, nodes, labelled
+    return members, sets, labelled
 
 
 def _own_component() -> Column:
@@ -466,8 +562,8 @@ def join(df: DataFrame) -> DataFrame:
     All pairs of sets of a component are verified for it. A document with several texts counts
     once for each of its sets.
     """
-    members, named, nodes, labelled = _components(df)
-    plan = cut(labelled.join(_linked_copies(labelled, named, nodes), "node", "left").select(
+    members, sets, labelled = _components(df)
+    plan = cut(labelled.join(_linked_copies(labelled, sets), "node", "left").select(
         "node", "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     ))
     links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
@@ -482,7 +578,7 @@ def representatives(df: DataFrame) -> DataFrame:
     Rows without an id stay. Of repeated rows with that id one stays.
     """
     p = private(df)
-    members, _, _, labelled = _components(df.select("doc_id", "text"))
+    members, _, labelled = _components(df.select("doc_id", "text"))
     found = members.join(labelled, "node", "left").select("doc_id", _own_component())
     keep = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias(f"{p}id")).distinct())
     own = df.join(keep, df["doc_id"] == F.col(f"{p}id"), "left_semi").dropDuplicates(["doc_id"])
