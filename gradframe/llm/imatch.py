@@ -10,7 +10,7 @@ subsets that agree, at the sparsest density at which both texts still fill enoug
 Terms are kept as 64-bit hashes. All of it is DataFrame functions; a document's text is shuffled
 once, to lie beside its successor, and its terms are not shuffled again.
 
-Defined cases: a null text counts as empty; a text with few lexicon terms has a fingerprint
+Defined cases: a null text counts as empty; texts of any length are read whole; a text with few lexicon terms has a fingerprint
 of the same kind over all its terms beside it, so its near copies are still like it; rows without an id come last, have no
 successor and are edited with nothing; repeated ids follow each other in the order of
 their texts; an empty table gives an empty result; other columns are not looked at.
@@ -31,6 +31,7 @@ LEAST_DF = 2
 SPARSER = (0, 2, 4, 7)  # at each density a subset holds 1 / (SUBSETS * 2 ** s) of the lexicon
 SUBSETS = 32  # of each density, disjoint; at most 128 in all
 FILLED = 10  # subsets of both texts that must hold terms to compare at a density
+ENOUGH = 16  # filled subsets of the lexicon, below which all terms of a text count too
 BLOCK = 128  # neighbouring ids that are brought together
 LEXICON_ROWS = 1_000_000  # 64-bit numbers; a larger lexicon is joined by shuffle
 SPREAD = 1 << 20
@@ -46,20 +47,18 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame) -> DataFrame:
     """``h`` of every term whose share of distinct sets of terms lies in the band.
 
-    Only the documents of sets that are there more than once are brought together, one of each set counts.
+    Each of the documents with one set of terms counts as that part of it, so none is brought together for it.
     """
-    keyed = docs.select(terms(F.col("text")).alias("t")).select(
-        F.transform("t", lambda x: F.xxhash64(x)).alias("hs")
-    ).select("hs", F.xxhash64(F.sort_array("hs")).alias("key"))
-    often = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    sizes = cut(often.groupBy((F.col("n") > 1).alias("more")).agg(F.count("*").alias("sets")))
-    count = sum(r["sets"] for r in sizes.collect())
-    repeated = cut(often.where("n > 1").select("key"))
-    near = bounded_broadcast(repeated)
-    once = keyed.join(near, "key", "left_anti").select("hs")
-    copies = keyed.join(near, "key", "left_semi").groupBy("key").agg(F.first("hs").alias("hs")).select("hs")
-    spread = once.unionByName(copies).select(F.explode("hs").alias("h"))
-    found = spread.groupBy("h").agg(F.count("*").alias("df"))
+    keyed = docs.select(F.transform(terms(F.col("text")), lambda x: F.xxhash64(x)).alias("hs")).select(
+        "hs", F.xxhash64(F.sort_array("hs")).alias("key")
+    )
+    often = cut(keyed.groupBy("key").agg(F.count("*").alias("n")))
+    count = often.count()
+    repeated = bounded_broadcast(often.where("n > 1"))
+    spread = keyed.join(repeated, "key", "left").select(
+        F.explode("hs").alias("h"), (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("share")
+    )
+    found = spread.groupBy("h").agg(F.round(F.sum("share")).alias("df"))
     return found.where(
         (F.col("df") >= max(LEAST_DF, -(-count // RARE))) & (F.col("df") <= max(LEAST_DF, COMMON * count))
     ).select("h")
@@ -100,73 +99,61 @@ def _subset(h: Column, sparser: int) -> Column:
     return F.when(F.pmod(mixed, F.lit(1 << sparser)) == 0, number)
 
 
-def _hashes(found: Column) -> Column:
-    """The entry of every filled subset: its number, then 24 bits of a hash of its sorted distinct terms."""
-    members = F.flatten(
-        F.transform(
-            found,
-            lambda h: F.array_compact(
-                F.array(*[
-                    F.when(_subset(h, s).isNotNull(), F.struct(_subset(h, s).alias("k"), h.alias("h"))) for s in SPARSER
-                ])
-            ),
-        )
-    )
-    begin = F.struct(
-        F.lit(-1).alias("k"), F.lit(0).cast("bigint").alias("run"), F.array().cast("array<int>").alias("out")
-    )
-    entry = lambda acc: F.shiftleft(acc["k"], ENTRY_BITS).bitwiseOR(_bits(acc["run"], ENTRY_BITS))
-
-    def step(acc: Column, m: Column) -> Column:
-        same = m["k"] == acc["k"]
-        return F.struct(
-            m["k"].alias("k"),
-            F.when(same, F.xxhash64(acc["run"], m["h"])).otherwise(F.xxhash64(m["h"])).alias("run"),
-            F.when(same | (acc["k"] < 0), acc["out"]).otherwise(F.array_append(acc["out"], entry(acc))).alias("out"),
-        )
-
-    return F.aggregate(
-        F.sort_array(members), begin, step,
-        lambda acc: F.when(acc["k"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], entry(acc))),
-    )
+def _numbers(h: Column) -> Column:
+    """Numbers of all subsets that a term is in."""
+    return F.array_compact(F.array(*[_subset(h, s) for s in SPARSER]))
 
 
 def _bits(h: Column, bits: int) -> Column:
     return h.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
 
 
+def _entry(number: Column, members: Column) -> Column:
+    """The entry of a subset: its number, then 24 bits of a hash of its sorted distinct terms."""
+    return F.shiftleft(number, ENTRY_BITS).bitwiseOR(_bits(F.xxhash64(F.sort_array(members)), ENTRY_BITS))
+
+
+def _whole_entries(found: Column) -> Column:
+    """The entries of one array of distinct terms."""
+    members = F.flatten(F.transform(found, lambda h: F.transform(_numbers(h), lambda k: F.struct(k.alias("k"), h.alias("h")))))
+    numbers = lambda m: F.array_distinct(F.transform(m, lambda x: x["k"]))
+    of = lambda m, k: F.transform(F.filter(m, lambda x: x["k"] == k), lambda x: x["h"])
+    return F.get(F.transform(F.array(members), lambda m: F.transform(numbers(m), lambda k: _entry(k, of(m, k)))), 0)
+
+
 def _fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Fingerprints of ``text`` and ``edited`` of every row, as arrays of entries.
 
     A text's terms stay in its partition: the join is a broadcast and the rows are grouped by what
-    they are partitioned by. A text whose lexicon terms leave a subset of the first density empty gets the entries of
+    they are partitioned by. A text whose lexicon terms fill few subsets of the first density gets the entries of
     all its terms too, as negative numbers.
     """
     key = ("block", "doc_id", "rank")
+    hashed = lambda c: F.transform(terms(F.col(c)), lambda x: F.xxhash64(x))
     sides = rows.select(
         *key,
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("t")),
-                          F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("t")))).alias("x"),
-    ).select(*key, "n_chars", "edited_sha256", F.col("x.side").alias("side"), F.col("x.t").alias("t"))
-    sides = sides.withColumn("every", F.transform("t", lambda x: F.xxhash64(x)))
+        F.explode(F.array(F.struct(F.lit(0).alias("side"), hashed("text").alias("every")),
+                          F.struct(F.lit(1).alias("side"), hashed("edited").alias("every")))).alias("x"),
+    ).select(*key, "n_chars", "edited_sha256", F.col("x.side").alias("side"), F.col("x.every").alias("every"))
     note = F.struct("n_chars", "edited_sha256", "every")
     # a null leads the terms of each text and carries what belongs to the text as a whole
     spread = sides.select(
-        *key, "side", note.alias("note"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("t")
-    ).select(*key, "side", F.when(F.col("t").isNull(), F.col("note")).alias("note"), F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("h"))
+        *key, "side", note.alias("note"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("every"))).alias("h")
+    ).select(*key, "side", F.when(F.col("h").isNull(), F.col("note")).alias("note"), "h")
     small = known.count() <= LEXICON_ROWS
-    marked = known.withColumn("known", F.lit(True))
-    near = spread.join(F.broadcast(marked) if small else marked, "h", "left").where("h is null or known")
-    found = near.groupBy(*key, "side").agg(F.collect_list("h").alias("hs"), F.max("note").alias("note"))
-    made = found.select(*key, "side", "note", _hashes(F.col("hs")).alias("known_fp"))
-    some = F.size(F.filter("known_fp", lambda e: e < SUBSETS << ENTRY_BITS)) < SUBSETS
-    made = made.select(
-        *key, "side", "note",
-        F.when(some, F.concat("known_fp", F.transform(_hashes(F.col("note.every")), lambda e: e.bitwiseOR(F.lit(ALL_TERMS)))))
-        .otherwise(F.col("known_fp")).alias("fp"),
+    marked = known.select("h", _numbers(F.col("h")).alias("numbers"))
+    near = spread.join(F.broadcast(marked) if small else marked, "h", "left").where("h is null or numbers is not null")
+    members = near.select(*key, "side", "note", "h", F.explode(F.coalesce("numbers", F.array(F.lit(-1)))).alias("k"))
+    subsets = members.groupBy(*key, "side", "k").agg(F.collect_list("h").alias("hs"), F.first("note", True).alias("note"))
+    entry = F.when(F.col("k") >= 0, _entry(F.col("k"), F.col("hs"))).alias("e")
+    found = subsets.select(*key, "side", "note", entry).groupBy(*key, "side").agg(
+        F.sort_array(F.collect_list("e")).alias("known_fp"), F.first("note", True).alias("note")
     )
+    few = F.size(F.filter("known_fp", lambda e: e < SUBSETS << ENTRY_BITS)) < ENOUGH
+    whole = F.transform(_whole_entries(F.col("note.every")), lambda e: e.bitwiseOR(F.lit(ALL_TERMS)))
+    made = found.select(*key, "side", "note", F.when(few, F.concat("known_fp", F.sort_array(whole))).otherwise(F.col("known_fp")).alias("fp"))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("fp")))
     return made.groupBy(*key).agg(
         F.max("note.n_chars").alias("n_chars"), F.max("note.edited_sha256").alias("edited_sha256"),
@@ -212,7 +199,8 @@ def fingerprinted(df: DataFrame) -> DataFrame:
     part = F.floor(F.length("text") / 3).cast("int")
     kept = F.left(F.col("text"), (F.length("text") - part).cast("int"))
     edited = _with_next(docs).withColumn("edited", F.concat(kept, F.left(F.col("next"), part))).drop("next")
-    prints = _fingerprints(edited, known).withColumn("place", -F.col("rank")).drop("block", "rank")
+    # written first: a range split reads its input twice
+    prints = cut(_fingerprints(edited, known).withColumn("place", -F.col("rank")).drop("block", "rank"))
     rows = ordered.split(prints, [], ["doc_id", "place"])
     named = rows.where("doc_id is not null")
     following = ordered.lagged(named, [], ["doc_id", "place"], F.col("fp"), "next_fp")
