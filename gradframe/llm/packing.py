@@ -15,7 +15,6 @@ are packed once each; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -35,32 +34,47 @@ from gradframe.session import ship
 
 CAPACITY = 2048
 END_ID = 0
-VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
+VOCABULARY = "byte_bpe_50k.json"  # a file of the tokenizers library
 _DOUBLE_SPACE = re.compile(r"\s\s")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(others)}}
+
+
 @lru_cache(maxsize=2)
 def _encoders(vocabulary: str):
-    """The tokenizer, and an equal but faster one for texts without two white space signs in a row.
+    """The tokenizer; two faster ones of the same ranks for texts without its added tokens; and a test for those tokens.
 
-    Only such runs need the look-ahead of the splitting pattern.
+    The second is for texts without two white space signs in a row, since only such runs need the
+    look-ahead of the splitting pattern.
     """
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    whole = tokenizers.Tokenizer.from_file(path)
+    added = {token.content for token in whole.get_added_tokens_decoder().values()}
+    letters = _bytes_of_letters()
+    ranks = {bytes(letters[c] for c in token): i for token, i in whole.get_vocab(with_added_tokens=False).items() if token not in added}
     make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     full = public_tokenizers.PATTERN
-    return make("full", full), make("plain", full.replace(r"\s+(?!\S)|", ""))
+    found = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+    return whole, make("full", full), make("plain", full.replace(r"\s+(?!\S)|", "")), found
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY, end: int = END_ID) -> np.ndarray:
-    """Ids of a text and the end id, as unsigned 32-bit numbers."""
-    full, plain = _encoders(vocabulary)
-    ids = (full if _DOUBLE_SPACE.search(text) else plain).encode_ordinary(text)
+    """Ids of a text as ``tokenizers`` gives them, and the end id, as unsigned 32-bit numbers."""
+    whole, full, plain, added = _encoders(vocabulary)
+    if added is not None and added.search(text):
+        ids = whole.encode(text, add_special_tokens=False).ids
+    else:
+        ids = (full if _DOUBLE_SPACE.search(text) else plain).encode_ordinary(text)
     ids.append(end)
     return np.array(ids, "<u4")
 
