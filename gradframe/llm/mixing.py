@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a hash of its id. A source's words are summed by hash
+Every document gets a hash of its id (and of its number among equal ids). A source's words are summed by hash
 bucket; running sums over the buckets find the one in which the budget is used up; only
 the documents of that bucket are summed again by the next bits of the hash, and so on
 until a single hash value is left. What to take is then a threshold per source: no
@@ -8,8 +8,8 @@ document is sorted, and budgets are nested (a larger budget takes the same docum
 and more). All of it is DataFrame functions.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-last in order; documents with equal ids share a hash and are taken together;
-an empty table gives an empty result; other columns are handed on by :func:`mixed`.
+last in order; rows with equal ids are numbered by source and text, so they are taken one by one; texts of
+any length count whole; an empty table gives an empty result; other columns are handed on by :func:`mixed`.
 """
 
 from __future__ import annotations
@@ -28,19 +28,41 @@ HASH_DIGITS = 15  # hexadecimal digits of the hash, 60 bits
 ROUND_BITS = 10  # bits of the hash that one round looks at
 
 
-def _hash(key: Column) -> Column:
-    """60 bits of an id's digest; ids that are equal, or null, have equal ones."""
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
+def _hash(key: Column, number: Column) -> Column:
+    """60 bits of the digest of an id and, for repeated ids, of a row's number among its equals."""
+    name = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.when(number > 0, F.concat(F.lit("#"), number.cast("string"))).otherwise(""))
+    return F.conv(F.substring(F.md5(name), 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
+def _hashed(df: DataFrame, key: str, text: str, source: str, name: str) -> DataFrame:
+    """Add the hash of every row. Only rows whose id is there more than once are brought into an order, by ranges."""
+    p = private(df)
+    own = quoted(df.columns)
+    id_ = F.coalesce(df[key].cast("string"), F.lit(""))
+    often = df.groupBy(id_.alias(f"{p}id")).agg(F.count("*").alias(f"{p}n")).where(F.col(f"{p}n") > 1)
+    often = cut(often.select(f"{p}id"))
+    if not often.take(1):
+        return df.select(*own, _hash(df[key], F.lit(0)).alias(name))
+    near = bounded_broadcast(often)
+    same = id_ == F.col(f"{p}id")
+    once = df.join(near, same, "left_anti").select(*own, _hash(df[key], F.lit(0)).alias(name))
+    rows = df.join(near, same, "left_semi").select(
+        *own, id_.alias(f"{p}id"), F.coalesce(df[source].cast("string"), F.lit("")).alias(f"{p}s"), F.md5(text_of(df, text)).alias(f"{p}t")
+    )
+    ranked = ordered.ranked(rows, [f"{p}id"], [f"{p}s", f"{p}t"], f"{p}k") if rows.take(1) else rows.withColumn(f"{p}k", F.lit(1))
+    several = ranked.select(*quoted(df.columns), _hash(ranked[key], F.col(f"{p}k") - 1).alias(name))
+    return once.unionByName(several)
 
 
 def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``doc_id, source, size, h`` of every document."""
-    return df.select(
-        df[key].alias("doc_id"),
-        df[source].cast("string").alias("source"),
-        F.size(words(text_of(df, text))).cast("bigint").alias("size"),
-        _hash(df[key]).alias("h"),
+    p = private(df)
+    rows = _hashed(df, key, text, source, f"{p}h")
+    return rows.select(
+        rows[key].alias("doc_id"),
+        rows[source].cast("string").alias("source"),
+        F.size(words(text_of(rows, text))).cast("bigint").alias("size"),
+        F.col(f"{p}h").alias("h"),
     )
 
 
@@ -147,8 +169,9 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = _planned(sizes).select(
         F.col("source").alias(f"{p}s"), F.col("copies").alias(f"{p}copies"), F.col("edge").alias(f"{p}edge")
     )
-    own = df.join(plan, df[source].cast("string").eqNullSafe(F.col(f"{p}s")))
-    often = F.col(f"{p}copies") + F.when(_hash(df[key]) <= F.col(f"{p}edge"), 1).otherwise(0)
+    rows = _hashed(df, key, text, source, f"{p}h")
+    own = rows.join(plan, rows[source].cast("string").eqNullSafe(F.col(f"{p}s")))
+    often = F.col(f"{p}copies") + F.when(F.col(f"{p}h") <= F.col(f"{p}edge"), 1).otherwise(0)
     rows = own.withColumn(f"{p}k", F.explode(F.sequence(F.lit(1), F.greatest(often, F.lit(1)).cast("int"))))
     return rows.where(often > 0).select(*quoted(df.columns))
 
@@ -156,8 +179,9 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def oracle() -> str:
     """The same for DuckDB, with running sums over all hashes of a source."""
     return f"""
-with sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, {HASH_DIGITS}))::bigint as h from documents),
+with numbered as (select *, row_number() over (partition by doc_id order by coalesce(source, ''), md5(coalesce(text, ''))) - 1 as k from documents),
+sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '') || case when k > 0 then '#' || k else '' end), 1, {HASH_DIGITS}))::bigint as h from numbered),
 totals as (select source, sum(size)::bigint as source_size from sizes group by source),
 placed as (select *, {list(map(float, WEIGHTS))}[1 + (row_number() over (order by encode(source) nulls last) - 1) % {len(WEIGHTS)}]::double as w,
   row_number() over (order by encode(source) nulls last) as place, {CAP}::double * source_size as cap from totals),
