@@ -6,8 +6,9 @@ what begins in them, and wider ranges over those, up to one root. The audit comp
 roots and goes down only where digests differ, to the records that were changed, are
 missing or were added. Groups hold the records of one range or at most ``FAN`` ranges.
 
-Defined cases: a null url or html counts as empty; equal records are placed one after the
-other; an empty table gives an empty result; other columns are not looked at.
+Defined cases: a null url or html counts as empty, a null id as an empty one; equal records are placed one after the
+other; pages of any length are hashed whole in the task that reads them; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,17 +38,16 @@ def record(key: Column, url: Column, html: Column) -> Column:
     )
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """``page_id, length, sha256`` of every record; no page is shuffled for it."""
-    own = pages.select("page_id", record(pages["page_id"], pages["url"], pages["html"]).alias("record"))
-    return own.select(
+def digests(records: DataFrame) -> DataFrame:
+    """``page_id, length, sha256`` of every row of ``page_id, record``; no page is shuffled for it."""
+    return records.select(
         "page_id", F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("sha256")
     )
 
 
 def placed(records: DataFrame) -> DataFrame:
-    """Add ``warc_offset``: records lie in the order of their page ids."""
-    run = ordered.running(records, [], ["page_id", "sha256"], {"_end": F.col("length")})
+    """Add ``warc_offset``: records lie in the order of their page ids, those of one id by length and digest."""
+    run = ordered.running(records, [], ["page_id", "length", "sha256"], {"_end": F.col("length")})
     return run.select("page_id", (F.col("_end") - F.col("length")).alias("warc_offset"), "length", "sha256")
 
 
@@ -113,18 +113,15 @@ def _fault(key: Column) -> Column:
 def audited(pages: DataFrame) -> DataFrame:
     """Audit an archive of all pages against a replica with planted damage.
 
-    The replica holds the same records at the same places, without those lost and with
-    one character more in the html of those changed, hashed from their own bytes.
+    The replica is made from the pages a second time: its records are damaged, hashed from their own bytes and
+    placed from their own lengths. A changed record has another first byte; a lost one leaves
+    a hole of its length.
     """
-    first = cut(placed(digests(pages)))
-    own = pages.select("page_id", pages["url"], pages["html"], _fault(pages["page_id"]).alias("fault"))
-    damaged = own.where("fault = 'changed'").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.lit(" ")).alias("html"))
-    hurt = digests(damaged).select(F.col("page_id").alias("_id"), F.col("sha256").alias("_sha")).dropDuplicates(["_id"])
-    fault = _fault(F.col("page_id"))
-    second = first.where(fault.isNull() | (fault == "changed")).join(hurt, F.col("page_id").eqNullSafe(F.col("_id")), "left").select(
-        "warc_offset", F.coalesce("_sha", "sha256").alias("sha256")
-    )
-    found = cut(audit(first, second))
+    whole = pages.select(pages["page_id"], record(pages["page_id"], pages["url"], pages["html"]).alias("record"))
+    first = cut(placed(digests(whole)))
+    hurt = F.when(_fault(F.col("page_id")) == "changed", F.concat(F.lit("X"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
+    second = placed(digests(whole.withColumn("record", hurt))).where(F.coalesce(_fault(F.col("page_id")) != "missing", F.lit(True)))
+    found = cut(audit(first.select("warc_offset", "sha256"), second.select("warc_offset", "sha256")))
     return first.join(bounded_broadcast(found), "warc_offset", "left").select(
         "page_id", "warc_offset", "length", "sha256", F.coalesce("status", F.lit("same")).alias("status")
     )
@@ -138,5 +135,5 @@ with records as (select page_id, {h[0]} || md5(coalesce(page_id::varchar, '')) |
   || strlen(coalesce(html, ''))::varchar || {h[3]} || coalesce(html, '') || {h[4]} as r from pages),
 hashed as (select page_id, strlen(r)::bigint as length, sha256(r) as sha256,
   substr(md5(coalesce(page_id::varchar, '')), 1, 2) as s from records)
-select page_id, (sum(length) over (order by page_id nulls first, sha256 rows unbounded preceding) - length)::bigint as warc_offset,
+select page_id, (sum(length) over (order by page_id nulls first, length, sha256 rows unbounded preceding) - length)::bigint as warc_offset,
   length, sha256, case when s in ('07', '7e') then 'changed' when s = '2a' then 'missing' else 'same' end as status from hashed"""
