@@ -5,12 +5,17 @@ line's ratio is its number of characters over its number of tags. The ratios are
 smoothed with a Gaussian and split into two clusters by a threshold that starts at their
 mean and moves to the middle of the clusters' means. Lines under menus, headers, footers, side
 bars, adverts, forms, scripts and comments, told by tag, role or class, are no
-candidates, unless an article lies in a part so named; weaker words in names only lower the ratios. A region (an article, or the lines between two such parts) is kept whole
+candidates, unless an article lies in a part so named, or it wraps most of the page's text; weaker words in
+names only lower the ratios. Articles and main parts are kept whole, but for parts in them with weak names and no line of
+the upper cluster. Without them a region, the lines between two marked parts, is kept whole
 if it has a line of the upper cluster, so short paragraphs and headings stay.
 
+Depths of open elements are kept by tag, so the work is linear in the length of a page whatever
+its nesting is.
+
 Defined cases: null or empty html, or a page without candidates, gives the empty text;
 a page whose candidate lines are all alike is kept whole; repeated rows give repeated results; pages
-of any length are fed to the parser in pieces; other columns are not looked at.
+of any length are fed to the parser in pieces; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -55,6 +60,8 @@ LAYOUT = frozenset("content main layout wrap wrapper container".split())
 LOWERED = 0.5
 CLOSES_P = BLOCKS - {"title", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SCOPES = frozenset("html body article main section div td th li blockquote table".split())
+SHUT = frozenset(("aside", "footer"))
+WRAPPED = 0.75  # of a page's text, in a part that is then taken for a wrapper whatever its name is
 FEED = 1 << 16
 SIGMA = 1.0
 RADIUS = 3
@@ -62,8 +69,16 @@ _NAME = re.compile(r"[a-z]+")
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
+class Mark:
+    """A part whose names say that it is no text."""
+
+    def __init__(self, outer: int, comments: bool):
+        self.outer, self.comments = outer, comments  # number of the enclosing mark or -1; inside comments
+        self.live, self.titled = True, False  # still out of the text; holds a heading
+
+
 class Lines(HTMLParser):
-    """Collects ``[text, tags, region, mark, ratio lowered]`` of every line."""
+    """Collects ``[text, tags, region, mark, ratio lowered, innermost tag]`` of every line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -72,9 +87,13 @@ class Lines(HTMLParser):
         self.tags = 0
         # tag, out of the text, number of the enclosing article, innermost mark, ratios lowered
         self.stack: list[tuple[str, bool, int, int, bool]] = []
-        self.marks: list[list] = []  # outer mark, still out of the text, inside comments
+        self.at: dict[str, list[int]] = {}  # depths of the open elements of each tag
+        self.scopes: list[int] = []  # depths of those that a p does not reach beyond
+        self.shut = 0  # open asides and footers that are out of the text
+        self.marks: list[Mark] = []
         self.region = 0
         self.articles = 0
+        self.lowered: set[int] = set()  # regions of named parts inside articles
 
     def _state(self) -> tuple[bool, int, int, bool]:
         return self.stack[-1][1:] if self.stack else (False, 0, -1, False)
@@ -83,33 +102,58 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             _, article, mark, weak = self._state()
-            self.lines.append([text, max(1, self.tags), article or -self.region - 1, mark, weak])
+            tag = self.stack[-1][0] if self.stack else ""
+            self.lines.append([text, max(1, self.tags), article or -self.region - 1, mark, weak, tag])
         self.parts, self.tags = [], 0
 
+    def _push(self, tag: str, out: bool, article: int, mark: int, weak: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.shut += out and tag in SHUT
+        self.stack.append((tag, out, article, mark, weak))
+
     def _pop(self, depth: int) -> None:
         before = self._state()
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, out, *_ = self.stack.pop()
+            self.at[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            self.shut -= out and tag in SHUT
         after = self._state()
         if before[0] and not after[0] or before[2:] != after[2:]:
             self.region += 1  # a part that is no text, or is marked, ended
 
     def candidates(self) -> list[list]:
         """The lines that lie in no marked part."""
+        sizes = [0] * len(self.marks)
+        paragraphs = [0] * len(self.marks)
+        for text, _, _, mark, _, tag in self.lines:
+            if mark >= 0:
+                sizes[mark] += len(text)
+                paragraphs[mark] += tag == "p"
+        for m in range(len(self.marks) - 1, -1, -1):  # inner marks have the higher numbers
+            outer = self.marks[m].outer
+            if outer >= 0:
+                sizes[outer] += sizes[m]
+                paragraphs[outer] += paragraphs[m]
+        whole = sum(len(line[0]) for line in self.lines)
         out: list[bool] = []
-        for outer, live, _ in self.marks:
-            out.append(live or outer >= 0 and out[outer])
+        for mark, size, count in zip(self.marks, sizes, paragraphs):
+            wraps = not mark.comments and mark.titled and count > 1 and size > WRAPPED * whole
+            out.append(mark.live and not wraps or mark.outer >= 0 and out[mark.outer])
         return [line for line in self.lines if line[3] < 0 or not out[line[3]]]
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self._flush()
             if tag in CLOSES_P:
-                for depth in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[depth][0] == "p":
-                        self._pop(depth)
-                        break
-                    if self.stack[depth][0] in SCOPES:
-                        break
+                opened = self.at.get("p")
+                if opened and (not self.scopes or opened[-1] > self.scopes[-1]):
+                    self._pop(opened[-1])
+            if tag == "h1" or tag == "h2":
+                self._titled()
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
@@ -119,25 +163,34 @@ class Lines(HTMLParser):
         own_out = self._out(tag, attrs, article)
         strong, lowers, comments = (False, False, False) if own_out else self._marked(tag, attrs)
         if tag in ("article", "main") and not own_out and not strong:
-            if out and not any(t in ("aside", "footer") for t, o, *_ in self.stack if o):
+            if out and not self.shut:
                 out = False  # an unclosed part before the article does not swallow it
-            if mark < 0 or not self.marks[mark][2]:
+            if mark < 0 or not self.marks[mark].comments:
                 outer = mark
-                while outer >= 0 and self.marks[outer][1]:
-                    self.marks[outer][1] = False  # what holds an article is no sidebar
-                    outer = self.marks[outer][0]
+                while outer >= 0 and self.marks[outer].live:
+                    self.marks[outer].live = False  # what holds an article is no sidebar
+                    outer = self.marks[outer].outer
             if not article:
                 self.articles += 1
                 article = self.articles
         if own_out and not out or strong or lowers:
             self.region += 1
         if strong:
-            self.marks.append([mark, True, comments or mark >= 0 and self.marks[mark][2]])
+            self.marks.append(Mark(mark, comments or mark >= 0 and self.marks[mark].comments))
             mark = len(self.marks) - 1
         if (strong or lowers) and article:
             self.articles += 1
             article = self.articles  # a region of its own
-        self.stack.append((tag, out or own_out, article, mark, weak or lowers))
+            if lowers:
+                self.lowered.add(article)
+        self._push(tag, out or own_out, article, mark, weak or lowers)
+
+    def _titled(self) -> None:
+        """A heading lies in all marked parts that are open."""
+        mark = self._state()[2]
+        while mark >= 0 and not self.marks[mark].titled:
+            self.marks[mark].titled = True
+            mark = self.marks[mark].outer
 
     def _out(self, tag: str, attrs, article: int) -> bool:
         """Whether an element's tag or attributes take it out of the text."""
@@ -178,10 +231,9 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         self.tags += 1
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                self._pop(depth)
-                return
+        opened = self.at.get(tag)
+        if opened:
+            self._pop(opened[-1])
 
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
@@ -223,12 +275,13 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / tags for text, tags, *_ in lines]))
-    ratios = ratios * np.where([weak for *_, weak in lines], LOWERED, 1.0)
+    ratios = ratios * np.where([line[4] for line in lines], LOWERED, 1.0)
     border = threshold(ratios)
-    regions = {region for (_, _, region, *_), ratio in zip(lines, ratios) if ratio >= border}
-    if any(region > 0 for region in regions):  # articles or a main part: nothing beside them
-        regions = {region for region in regions if region > 0}
-    return "\n".join(text for text, _, region, *_ in lines if region in regions)
+    regions = {line[2] for line, ratio in zip(lines, ratios) if ratio >= border}
+    articles = {line[2] for line in lines if line[2] > 0}
+    if articles:  # all of the articles, parts with weak names by their ratios; nothing beside them
+        regions = articles - (parser.lowered - regions)
+    return "\n".join(line[0] for line in lines if line[2] in regions)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
