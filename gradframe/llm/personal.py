@@ -7,7 +7,7 @@ characters.
 
 Defined cases: a null text counts as empty and gives zero spans; spans of
 different kinds may overlap and are all reported; repeated rows give repeated results;
-other columns of the input are not looked at.
+texts of any length are read whole; an empty table gives an empty result; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def _spans(kind: str, p: str) -> Column:
 def _searched(df: DataFrame, whole: Column, p: str, kinds: dict[str, str]) -> DataFrame:
     """Add the matches ``m_`` of some kinds and the pieces ``p_`` around them."""
     none = F.array().cast("array<string>")
-    gate = lambda kind: F.col(f"{p}any") & whole.rlike(GATES[kind])
+    gate = lambda kind: whole.rlike(GATES[kind])
     out = df.withColumns(
         {f"{p}m_{k}": F.when(gate(k), located(whole, x)[0]).otherwise(none) for k, x in kinds.items()}
     )
@@ -149,7 +149,7 @@ def with_spans(df: DataFrame, text: str = "text", name: str = "_spans") -> DataF
     """
     p = private(df)
     whole = F.col(f"{p}text")
-    out = df.withColumn(f"{p}text", text_of(df, text)).withColumn(f"{p}any", whole.rlike("[0-9@]"))
+    out = df.withColumn(f"{p}text", text_of(df, text))
     out = _searched(out, whole, p, PATTERNS)
     out = out.withColumns(
         {f"{p}s_{k}": starts(F.col(f"{p}m_{k}"), F.col(f"{p}p_{k}")) for k in PATTERNS}
@@ -198,7 +198,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     p = private(df)
     whole = F.col(f"{p}text")
     own = quoted([text])[0]
-    out = df.withColumn(f"{p}text", own).withColumn(f"{p}any", F.coalesce(whole.rlike("[0-9@]"), F.lit(False)))
+    out = df.withColumn(f"{p}text", own)
     for kind, pattern in PATTERNS.items():
         out = _searched(out, whole, p, {kind: pattern})
         hidden = _hidden(kind, F.col(f"{p}m_{kind}"), F.col(f"{p}p_{kind}"), whole)
