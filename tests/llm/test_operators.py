@@ -53,10 +53,18 @@ def test_jaccard_components(edge, edge_texts):
     assert ids.count(None) == WITHOUT_ID
 
 
-def test_jaccard_frequent_tokens_and_chains(spark):
-    """Many near copies of long texts, chains of links, and a passage that unlike texts share."""
+@pytest.mark.parametrize("long, hot", [(64, 1 << 12), (2, 1), (1, 1 << 12), (1000, 1)])
+def test_jaccard_frequent_tokens_and_chains(spark, monkeypatch, long, hot):
+    """Many near copies of long texts, chains of links, and a passage that unlike texts share.
+
+    Lists of signatures count as long, or as possibly very long, from different lengths on.
+    """
     import random
 
+    monkeypatch.setattr(jaccard, "LONG_LIST", long)
+    monkeypatch.setattr(jaccard, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 8 * jaccard.LEAST_TOKENS)
+
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     texts, base, passage = {}, [word() for _ in range(400)], [word() for _ in range(70)]
@@ -80,7 +88,7 @@ def test_jaccard_counts_all_links(spark, monkeypatch):
     """Links inside a component and to copies count, whatever blocks the sets lie in."""
     import random
 
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 4 * jaccard.LEAST_TOKENS)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(100)]
@@ -113,7 +121,7 @@ def test_signatures_meet(edge_texts):
             two = np.unique(np.concatenate([one[drop:], rng.integers(0, 1 << 63, drop, dtype=np.uint64)]))
             both = len(np.intersect1d(one, two))
             if 100 * both >= 80 * (len(one) + len(two) - both):
-                a, b = (jaccard.signatures(x, levels, 1) for x in (one, two))
+                a, b = (jaccard.signatures(x, levels, 1)[0] for x in (one, two))
                 assert len(np.intersect1d(a, b)), (size, share)
 
 
@@ -157,6 +165,18 @@ def test_imatch_across_blocks(spark):
     assert got == brute.edited(texts)
 
 
+def test_mixing_splits_equal_ids(spark):
+    """Fifty rows of one id, of which a part reaches the target."""
+    rows = [(1, "w " * 10, "a")] * 50 + [(k, "w " * 15, "b") for k in range(2, 40)] + [(None, "w " * 5, "b")] * 9
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.target] += r.taken
+    assert len(got) == len(rows) and all(abs(t - n) <= 15 for t, n in taken.items())
+    assert mixing.mixed(df).where("doc_id = 1").count() * 10 == sum(r.taken for r in got if r.doc_id == 1)
+
+
 def test_packing_is_exact_and_tight(edge, edge_texts):
     import numpy as np
     import zlib
@@ -164,8 +184,8 @@ def test_packing_is_exact_and_tight(edge, edge_texts):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
     encoder = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
     rows = packing.packed(edge).collect()
+    assert packing.token_ids("x <|endoftext|> y").tolist() == [87, 220, 50256, 331, 0]
     for d, text in edge_texts.items():
         ids = np.array(encoder.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         own = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.piece)
