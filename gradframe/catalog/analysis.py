@@ -10,6 +10,7 @@ from gradframe.functions.models import LR
 from gradframe.operators import evaluation, gradients
 from gradframe.operators import prio as pa
 from gradframe.operators import runs as rn
+from gradframe.plans.lineage import cut
 
 LOGS = "SELECT iter, id, p, ln(p) AS y FROM prio"
 
@@ -410,7 +411,7 @@ def _times(spark, sf):
     ),
 )
 def relative_to_reference(spark, sf):
-    t = _times(spark, sf)
+    t = cut(_times(spark, sf))  # read twice
     out = rn.relative_to(t, t.where(F.col("workers") == 1), ["grp"])
     return out.select("grp", "workers", r6("relative").alias("relative"))
 

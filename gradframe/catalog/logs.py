@@ -20,7 +20,7 @@ from gradframe.catalog.views import (
     weights,
 )
 from gradframe.functions.models import LR
-from gradframe.operators import datagen, probing, text, updates
+from gradframe.operators import datagen, probing, text, training, updates
 from gradframe.streaming import online, reports as stream_reports
 
 P3 = sigmoid_sql("x", "w", 3)
@@ -309,34 +309,45 @@ def probe_losses(spark, sf):
     return out.select("k", r6("loss").alias("loss"))
 
 
-def _loss_table(spark, sf):
-    """Losses of batch b under version v out of the events, for eight sizes."""
-    e = table(spark, sf, "events")
-    return e.groupBy(
-        (F.lit(64) * F.pow(F.lit(2.0), F.pmod("user_id", F.lit(8)))).cast("bigint").alias("k"),
-        F.pmod("event_id", F.lit(5)).alias("version"),
-        F.pmod(F.floor(F.col("event_id") / 5), F.lit(4)).alias("batch"),
-    ).agg(F.count("*").alias("n"), F.sum("value").alias("loss"))
-
-
-@query(
-    "h6_gain_estimates",
-    sql(
-        "",
-        """SELECT k,
-        round(sum(loss) FILTER (v = b AND b = 0)/sum(n) FILTER (v = b AND b = 0)
-            - sum(loss) FILTER (v = b AND b = 3)/sum(n) FILTER (v = b AND b = 3), 6) + 0.0 AS drift,
+def _gain_sql():
+    """Training with two batch sizes written out, then every batch under every version."""
+    loss = "(CASE WHEN y = 0 THEN -ln(1-p) ELSE -ln(p) END)"
+    parts, tables = {}, []
+    for batches in (2, 4):
+        k = f"(SELECT count(*)//{batches} FROM events)"
+        parts[f"q{batches}0"] = "SELECT w FROM w3"
+        for i in range(batches):
+            parts[f"q{batches}{i + 1}"] = f"""SELECT list(nw ORDER BY j) AS w FROM (
+                SELECT j, any_value(w[j]) - 0.5*avg((p-y)*xx[j]) AS nw FROM (SELECT id, y, w, {EXT} AS xx, {P3} AS p FROM ev, q{batches}{i}),
+                range(1, 5) t(j) WHERE id >= {i}*{k} AND id < {i + 1}*{k} GROUP BY j)"""
+        for v in range(batches + 1):
+            tables.append(f"""SELECT {k} AS k, {v} AS v, id // {k} AS b, {batches} AS last, count(*) AS n, sum({loss}) AS loss
+                FROM (SELECT id, y, {P3} AS p FROM ev, q{batches}{v}) WHERE id < {batches}*{k} GROUP BY b""")
+    parts["l"] = " UNION ALL ".join(tables)
+    return sql(
+        "ev w3",
+        """SELECT k, round(sum(loss) FILTER (v = b AND b = 0)/sum(n) FILTER (v = b AND b = 0)
+            - sum(loss) FILTER (v = b AND b = last - 1)/sum(n) FILTER (v = b AND b = last - 1), 6) + 0.0 AS drift,
         round((sum(loss) FILTER (v = 0) - sum(loss) FILTER (v = b))/sum(n) FILTER (v = b), 6) + 0.0 AS start,
         round((sum(loss) FILTER (v = b) - sum(loss) FILTER (v = b + 1))/sum(n) FILTER (v = b), 6) + 0.0 AS next,
-        round((sum(loss) FILTER (v = b) - sum(loss) FILTER (v = 4))/sum(n) FILTER (v = b), 6) + 0.0 AS "end"
+        round((sum(loss) FILTER (v = b) - sum(loss) FILTER (v = last))/sum(n) FILTER (v = b), 6) + 0.0 AS "end"
         FROM l GROUP BY k""",
-        l="""SELECT (64*pow(2, user_id % 8))::BIGINT AS k, event_id % 5 AS v, (event_id//5) % 4 AS b,
-        count(*) AS n, sum(value) AS loss FROM events GROUP BY 1, 2, 3""",
-    ),
-)
+        **parts,
+    )
+
+
+@query("h6_gain_estimates", _gain_sql())
 def gain_estimates(spark, sf):
-    out = probing.gain_estimates(_loss_table(spark, sf))
-    return out.select("k", *[r6(c).alias(c) for c in ("drift", "start", "next", "end")])
+    """Halves and quarters of the rows as batches; each batch's loss under every version of its run."""
+    rows, out = ev(spark, sf), None
+    total = rows.count()
+    for batches in (2, 4):
+        k = total // batches
+        versions = training.train(rows, LR(3), W3, 0.5, batch=k, steps=batches)
+        table_ = probing.batch_losses(rows.where(F.col("id") < batches * k), LR(3), versions, k)
+        out = table_ if out is None else out.unionByName(table_)
+    got = probing.gain_estimates(out)
+    return got.select("k", *[r6(c).alias(c) for c in ("drift", "start", "next", "end")])
 
 
 # --- streams ------------------------------------------------------------------
@@ -347,55 +358,101 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _event_stream(spark, sf):
-    return _stream(spark, sf, "events").select(
-        F.array(F.col("value") / 561, F.hour("ts") / 24, F.pmod("user_id", F.lit(10)) / 10).alias("x"),
-        F.array((F.col("event_type") == "purchase").cast("double")).alias("y"),
+def _rate_of_rows(read, newest, where):
+    """The newest parameter moved by the mean gradient that some rows have at the one read."""
+    return f"""SELECT list(nw ORDER BY j) AS w FROM (
+        SELECT j, any_value(n.w[j]) - 0.5*avg((p-y)*xx[j]) AS nw
+        FROM (SELECT y, {EXT} AS xx, {P3} AS p FROM ev JOIN events ON id = event_id, {read} WHERE {where}) g, {newest} n, range(1, 5) t(j) GROUP BY j)"""
+
+
+def _stale_sql(gaps, steps, where):
+    """Steps written out, with gradients taken some versions back; ``where`` gives the rows of a step."""
+    parts, found = {}, []
+    for gap in gaps:
+        parts[f"q{gap}_0"] = "SELECT w FROM w3"
+        for i in range(1, steps + 1):
+            parts[f"q{gap}_{i}"] = _rate_of_rows(f"q{gap}_{max(i - 1 - gap, 0)}", f"q{gap}_{i - 1}", where(i))
+            found.append(f"SELECT {gap} AS gap, {i} AS step, (j-1)::INT AS j, round(w[j], 6) + 0.0 AS w FROM q{gap}_{i}, range(1, 5) t(j)")
+    return sql("ev w3", " UNION ALL ".join(found), **parts)
+
+
+def _long(versions):
+    out = versions.where(F.col("iter") > 0).select(F.col("iter").alias("step"), F.posexplode("w").alias("j", "w"))
+    return out.withColumn("w", r6("w"))
+
+
+@query("t2_stale_training", _stale_sql((0, 1, 2), 4, lambda i: "TRUE"))
+def stale_training(spark, sf):
+    """Gradients of the newest version, of the one before and of the one before that."""
+    rows, out = ev(spark, sf), None
+    for gap in (0, 1, 2):
+        one = _long(training.train(rows, LR(3), W3, 0.5, steps=4, gap=gap)).withColumn("gap", F.lit(gap))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUARTERS = 4
+
+
+def _arriving(spark, sf, part, parts):
+    """The events as a stream of ``parts`` files that arrive one after the other; ``part`` numbers them from 0."""
+    events, path = table(spark, sf, "events"), scratch(spark)
+    for k in range(parts):
+        events.where(part(events) == k).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    x = F.array(F.col("value") / 561, F.hour("ts") / 24, F.pmod("user_id", F.lit(10)) / 10)
+    return rows.select(
+        F.col("ts").cast("timestamp").alias("ts"), x.alias("x"), F.array((F.col("event_type") == "purchase").cast("double")).alias("y")
     )
 
 
-STREAM_STEP = sql(
-    "ev w3",
-    f"""SELECT 1 AS step, (j-1)::INT AS j, round(any_value(w[j]) - 0.5*avg((p-y)*xx[j]), 6) + 0.0 AS w, count(*) AS n
-    FROM (SELECT y, w, {EXT} AS xx, {P3} AS p FROM ev, w3), range(1, 5) t(j) GROUP BY j""",
-)
+def _by_id(events):
+    return F.floor(F.col("event_id") * QUARTERS / F.lit(events.count()))
+
 
+def _quarter(i):
+    return f"floor(event_id*{QUARTERS}/(SELECT count(*) FROM events)) = {i - 1}"
 
-def _streamed(spark, sf, **options):
+
+def _streamed(spark, sf, gap):
     path = scratch(spark)
-    run = online.stream_train(
-        _event_stream(spark, sf), LR(3), W3, 0.5, path, scratch(spark), **options
-    )
+    run = online.stream_train(_arriving(spark, sf, _by_id, QUARTERS).select("x", "y"), LR(3), W3, 0.5, path, scratch(spark), gap=gap)
     run.awaitTermination()
-    versions = online.history.read(spark, path).where(F.col("iter") > 0)
-    return versions.select(F.col("iter").alias("step"), "n", F.posexplode("w").alias("j", "w")).withColumn("w", r6("w"))
+    return _long(online.history.read(spark, path)).withColumn("gap", F.lit(gap))
 
 
-@query("t1_stream_training", STREAM_STEP)
+@query("t1_stream_training", _stale_sql((0,), QUARTERS, _quarter))
 def stream_training(spark, sf):
-    """The events file arrives as one batch and gives one update."""
-    return _streamed(spark, sf)
+    """A quarter of the events in each of four micro-batches, each of which gives one update."""
+    return _streamed(spark, sf, 0)
 
 
-@query("t2_stale_stream_training", STREAM_STEP)
+@query("t2_stale_stream_training", _stale_sql((1, 2), QUARTERS, _quarter))
 def stale_stream_training(spark, sf):
-    """Gradients one version old; the first update has only the start to read."""
-    return _streamed(spark, sf, gap=1)
+    """Gradients one and two versions old, once there are as many."""
+    return _streamed(spark, sf, 1).unionByName(_streamed(spark, sf, 2))
 
 
-@query("t5_time_boxed_step", STREAM_STEP)
+BOX_DAYS, BOXES = 5, 5
+
+
+def _box(i):
+    return f"datediff('day', DATE '2024-01-01', ts::DATE)//{BOX_DAYS} = {i - 1}"
+
+
+@query(
+    "t5_time_boxed_step",
+    _stale_sql((0,), BOXES, _box).replace("SELECT 0 AS gap, ", "SELECT ")
+)
 def time_boxed_step(spark, sf):
-    """Whatever arrived counts as the batch; its size is recorded with the version."""
+    """Boxes of five days; three files of ten days each; the last box is still open when the stream ends."""
     path = scratch(spark)
-    run = online.stream_train(
-        _event_stream(spark, sf), LR(3), W3, 0.5, path, scratch(spark), interval="0 seconds"
+    days = lambda events: F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 10)
+    run = online.stream_train_boxes(
+        _arriving(spark, sf, days, 3), LR(3), W3, 0.5, path, scratch(spark), "ts", f"{BOX_DAYS} days", "1 hour", start="3 days"
     )
-    run.processAllAvailable()
-    run.stop()
-    sizes = online.batch_sizes(spark, path)
-    rows = online.history.read(spark, path).where(F.col("iter") > 0).join(sizes, "iter")
-    out = rows.select(F.col("iter").alias("step"), F.col("points").alias("n"), F.posexplode("w").alias("j", "w"))
-    return out.withColumn("w", r6("w"))
+    run.awaitTermination()
+    return _long(online.history.read(spark, path))
 
 
 @query(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gradframe.catalog.registry import query
 from gradframe.catalog.views import emb, r6, sql, weights
+from gradframe.functions.models import MLP
 from gradframe.functions.network import Act, Conv, Dense, Net, Pool, Recurrent, SeqNet, WeightedSum
-from gradframe.operators import gradients, scoring
+from gradframe.operators import gradients, priority, scoring, training
 
 
 def _params(n):
@@ -227,3 +228,85 @@ def recurrent_gradient(spark, sf):
     net = SeqNet((8,), (Recurrent(1, "tanh", 2), Dense(1)))
     out = gradients.grad_sum(_seqs(spark, sf), net, weights(net.width))
     return out.select("j", (F.round("g", 3) + F.lit(0.0)).alias("g"), "n")
+
+
+# --- trained networks -----------------------------------------------------------
+
+
+def _descent_sql(n, scored, steps, rate):
+    """Gradient descent written out, the gradient of each step from differences of the loss."""
+    parts = {"q0": _params(n)}
+    for i in range(1, steps + 1):
+        parts[f"p{i}"] = f"""SELECT j, s, [w[i] + CASE WHEN i = j THEN s*{H} ELSE 0 END FOR i IN range(1, {n + 1})] AS w
+            FROM q{i - 1}, range(1, {n + 1}) t(j), (SELECT unnest([1, -1]) AS s)"""
+        parts[f"s{i}"] = scored(f"p{i}")
+        parts[f"g{i}"] = f"SELECT j, 2*sum(s*(p-y)*(p-y))/(4*{H})/count(*) AS g FROM s{i} GROUP BY j"
+        parts[f"q{i}"] = f"SELECT list(w[j] - {rate}*g ORDER BY j) AS w FROM g{i}, q{i - 1}"
+    found = [f"SELECT {i} AS step, (j-1)::INT AS j, round(w[j], 5) + 0.0 AS w FROM q{i}, range(1, {n + 1}) t(j)" for i in range(1, steps + 1)]
+    return sql("emb", " UNION ALL ".join(found), **parts)
+
+
+def _trained(rows, net, steps, rate):
+    out = training.train(rows, net, weights(net.width), rate, steps=steps).where(F.col("iter") > 0)
+    long = out.select(F.col("iter").alias("step"), F.posexplode("w").alias("j", "w"))
+    return long.withColumn("w", F.round("w", 5) + F.lit(0.0))
+
+
+MLP_NET = MLP((64, 5, 1))
+MLP_P = f"""SELECT *, {dense('h', 326, 5)} AS p FROM (SELECT *, [1/(1+exp(-(list_dot_product(x, [w[(i-1)*5 + k] FOR i IN range(1, 65)])
+    + w[320 + k]))) FOR k IN range(1, 6)] AS h FROM emb, {{params}})"""
+MLP_DELTAS = """SELECT *, [h[k]*(1-h[k])*w[325+k]*d FOR k IN range(1, 6)] AS dh FROM (SELECT *, (p-y)*p*(1-p) AS d FROM {scored})"""
+
+
+def _mlp_descent_sql(steps, rate):
+    """As above, with the gradient from back-propagation written out."""
+    parts = {"q0": _params(331)}
+    for i in range(1, steps + 1):
+        parts[f"s{i}"] = MLP_P.format(params=f"q{i - 1}")
+        parts[f"d{i}"] = MLP_DELTAS.format(scored=f"s{i}")
+        parts[f"g{i}"] = f"""SELECT j, avg(CASE WHEN j <= 320 THEN x[(j-1)//5 + 1]*dh[(j-1)%5 + 1] WHEN j <= 325 THEN dh[j-320]
+            WHEN j <= 330 THEN h[j-325]*d ELSE d END) AS g FROM d{i}, range(1, 332) t(j) GROUP BY j"""
+        parts[f"q{i}"] = f"SELECT list(w[j] - {rate}*g ORDER BY j) AS w FROM g{i}, q{i - 1}"
+    found = [f"SELECT {i} AS step, (j-1)::INT AS j, round(w[j], 5) + 0.0 AS w FROM q{i}, range(1, 332) t(j)" for i in range(1, steps + 1)]
+    return sql("emb", " UNION ALL ".join(found), **parts)
+
+
+@query("o1_mlp_training", _mlp_descent_sql(3, 2.0))
+def mlp_training(spark, sf):
+    return _trained(emb(spark, sf), MLP_NET, 3, 2.0)
+
+
+@query("o1_cnn_training", _descent_sql(36, _series_p, 2, 2.0))
+def cnn_training(spark, sf):
+    """Convolution, sigmoid, max pool and dense layer, two steps over all rows."""
+    return _trained(emb(spark, sf), SERIES, 2, 2.0)
+
+
+@query("o1_rnn_training", _descent_sql(25, lambda params: f"SELECT *, {dense(_recurrent('tanh'), 23, 2)} AS p FROM emb, {params}", 2, 2.0))
+def rnn_training(spark, sf):
+    """Two tanh cells and a dense layer over eight steps of a sequence."""
+    return _trained(_seqs(spark, sf), SeqNet((8,), (Recurrent(1, "tanh", 2), Dense(1))), 2, 2.0)
+
+
+MLP_GRADIENT = dict(q0=_params(331), s=MLP_P.format(params="q0"), d=MLP_DELTAS.format(scored="s"))
+
+
+@query(
+    "r1_mlp_length_priority",
+    sql("emb", """SELECT id, round((list_dot_product(x, x) + 1)*list_dot_product(dh, dh) + (list_dot_product(h, h) + 1)*d*d, 6) + 0.0 AS p
+        FROM d""", **MLP_GRADIENT),
+)
+def mlp_length_priority(spark, sf):
+    """Squared gradient lengths layer by layer; no row's gradient is formed."""
+    return priority.priorities(emb(spark, sf), MLP_NET, weights(331)).select("id", r6("p").alias("p"))
+
+
+@query(
+    "r2_mlp_projection_priority",
+    sql("emb", """SELECT id, round(list_dot_product(g, m), 6) + 0.0 AS p FROM g, m""", **MLP_GRADIENT,
+        g="""SELECT id, list_concat([x[(j-1)//5 + 1]*dh[(j-1)%5 + 1] FOR j IN range(1, 321)], dh, [v*d FOR v IN h], [d]) AS g FROM d""",
+        m="SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(g[j]) AS m FROM g, range(1, 332) t(j) GROUP BY j)"),
+)
+def mlp_projection_priority(spark, sf):
+    out = priority.priorities(emb(spark, sf), MLP_NET, weights(331), priority.PROJECTION)
+    return out.select("id", r6("p").alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradframe.catalog.registry import query
-from gradframe.catalog.views import day_hist, emb, ev, hist, li, local, prio, r6, runs, scratch, sql, table
+from gradframe.catalog.views import DAYS, day_hist, emb, ev, hist, li, local, prio, r6, runs, scratch, sql, table
 from gradframe.functions import vec
 from gradframe.functions.models import LR
 from gradframe.operators import evaluation, prep
@@ -162,6 +162,46 @@ def history_table(spark, sf):
     )
 
 
+DAY_ROWS = """SELECT iter, n, round(time, 6) + 0.0 AS time, (j-1)::INT AS j, round(w[j], 6) + 0.0 AS w FROM day_hist, range(1, 4) t(j)"""
+
+
+def _day_rows(table_):
+    return table_.select("iter", "n", r6("time").alias("time"), F.posexplode("w").alias("j", "w")).withColumn("w", r6("w"))
+
+
+@query("s10_history_text", sql("ev day_hist", DAY_ROWS))
+def history_text(spark, sf):
+    """A history through lines of text."""
+    cells = F.concat(F.array(F.col("iter").cast("double"), "time", F.col("n").cast("double")), "w").cast("array<string>")
+    whole = F.concat(F.array(F.col("iter").cast("string"), F.col("time").cast("string"), F.col("n").cast("string")), F.slice(cells, 4, 3))
+    path = scratch(spark)
+    day_hist(spark, sf).select(F.array_join(whole, ",").alias("value")).write.text(path)
+    return _day_rows(history.read_text(spark, path))
+
+
+@query("s10_history_binary", sql("ev day_hist", DAY_ROWS))
+def history_binary(spark, sf):
+    """A history through packed records."""
+    folder = local(scratch(spark))
+    fields = {"iter": ("<i4", 0), "time": ("<f8", 0), "n": ("<u8", 0), "w": ("<f8", 3)}
+    fixedrecord.write_records(day_hist(spark, sf), folder, fields)
+    return _day_rows(history.read_binary(spark, folder, 3))
+
+
+@query(
+    "s10_model_file",
+    sql("ev day_hist", """SELECT (row_number() OVER (ORDER BY iter, j) - 1)::INT AS j, round(w[t.j], 6) + 0.0 AS w
+        FROM day_hist, range(1, 4) t(j)"""),
+)
+def model_file(spark, sf):
+    """All days' numbers as one model: a line with its shape, then a line per day."""
+    path = scratch(spark)
+    days = day_hist(spark, sf).select("iter", F.array_join(F.col("w").cast("array<string>"), ",").alias("value"))
+    shape = days.agg(F.lit(-1).alias("iter"), F.concat_ws(",", F.count("*").cast("string"), F.lit("3")).alias("value"))
+    shape.unionByName(days).orderBy("iter").select("value").coalesce(1).write.text(path)
+    return history.read_model(spark, path, shape_line=True).select("j", r6("w").alias("w"))
+
+
 def _graded(spark, sf):
     return evaluation.gradient_history(ev(spark, sf), LR(3), hist(spark, 4), [(2, 3)])
 
@@ -180,15 +220,15 @@ def gradient_sink(spark, sf):
     return back.select("iter", "id", F.posexplode("g").alias("j", "g")).withColumn("g", r6("g"))
 
 
-PRIO_ROWS = "SELECT iter, id, round(p, 6) + 0.0 AS p FROM prio WHERE iter < 10"
+PRIO_ROWS = "SELECT iter, id, round(p, 6) + 0.0 AS p FROM prio"
 
 
 @query("s13_priority_sink", sql("prio", PRIO_ROWS))
 def priority_sink(spark, sf):
     """Two runs: the second resumes after the records of the first."""
     path = scratch(spark)
-    rows = prio(spark, sf).where(F.col("iter") < 10)
-    scores.write_by_iter(rows.where(F.col("iter") < 6), path)
+    rows = prio(spark, sf)
+    scores.write_by_iter(rows.where(F.col("iter") < DAYS // 2), path)
     scores.write_by_iter(rows, path, done=spark.read.parquet(path))
     return spark.read.parquet(path).select("iter", "id", r6("p").alias("p"))
 
@@ -229,7 +269,7 @@ def score_scan(spark, sf):
 def priority_scan(spark, sf):
     """Priorities through a binary file of float64 blocks, one block per iteration."""
     folder = local(scratch(spark))
-    rows = prio(spark, sf).where(F.col("iter") < 10)
+    rows = prio(spark, sf)
     ids = rows.where(F.col("iter") == 0)
     points = ids.count()
     ordered = rows.repartitionByRange("iter", "id").sortWithinPartitions("iter", "id")
@@ -240,6 +280,16 @@ def priority_scan(spark, sf):
     return back.select("iter", (F.col("id") + F.lit(least)).alias("id"), r6("p").alias("p"))
 
 
+@query("s16_gradient_scan", sql("ev hist3", GRAD_SQL.replace("SELECT iter, id,", "SELECT iter - 2 AS iter, id,", 1)))
+def gradient_scan(spark, sf):
+    """Gradients through a binary file of float64 blocks; blocks are numbered from 0."""
+    folder, rows = local(scratch(spark)), _graded(spark, sf)
+    ordered = rows.repartitionByRange("iter", "id").sortWithinPartitions("iter", "id")
+    fixedrecord.write_records(ordered, folder, {"g": ("<f8", 4)})
+    back = scores.read_gradients(spark, folder, ev(spark, sf).count(), 4)
+    return back.select("iter", "id", F.posexplode("g").alias("j", "g")).withColumn("g", r6("g"))
+
+
 @query(
     "s19_target_columns",
     sql("ev", "SELECT id, round(x[1], 6) + 0.0 AS a, round(x[2], 6) + 0.0 AS b, round(x[3], 6) + 0.0 AS c, y AS d FROM ev"),
@@ -342,11 +392,22 @@ def cyclic_batch(spark, sf):
     return prep.batch_slice(rows, total - 300, 1000, total).select("id", F.get("y", F.lit(0)).alias("y"))
 
 
-@query("p8_shape_check", "SELECT count(*) AS n FROM embeddings")
+@query(
+    "p8_shape_check",
+    """SELECT count(*) AS n, 'x holds ' || min(len(embedding) - CASE WHEN vec_id % 10 = 3 THEN 1 ELSE 0 END) || '..'
+    || max(len(embedding)) || ' values, not 64' AS refused FROM embeddings""",
+)
 def shape_check(spark, sf):
+    """Whole rows pass; rows of which every tenth lacks a number are refused, and the message says why."""
     rows = emb(spark, sf)
-    prep.check_shape(rows, 64, 1)
-    return rows.agg(F.count("*").alias("n"))
+    n = prep.check_shape(rows, 64, 1)
+    short = rows.withColumn("x", F.when(F.col("id") % 10 == 3, F.slice("x", 1, 63)).otherwise(F.col("x")))
+    try:
+        prep.check_shape(short, 64, 1)
+        refused = None
+    except ValueError as why:
+        refused = str(why)
+    return spark.createDataFrame([(n, refused)], "n bigint, refused string")
 
 
 RECORDS = "SELECT iter, id, round(p, 6) + 0.0 AS p FROM prio WHERE iter BETWEEN 2 AND 4 OR iter = 9"

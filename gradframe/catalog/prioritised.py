@@ -9,6 +9,7 @@ from gradframe.catalog.registry import query
 from gradframe.catalog.views import emb, ev, hist, prio, r6, scratch, sigmoid_sql, sql, weights
 from gradframe.functions.models import LR
 from gradframe.operators import evaluation, gradients, priority, prep
+from gradframe.operators.progress import Keeping
 from gradframe.plans.topk import top_k
 
 P64, P3 = sigmoid_sql("x", "w", 64), sigmoid_sql("x", "w", 3)
@@ -198,37 +199,71 @@ def pair_sums(spark, sf):
 # --- training on top rows -----------------------------------------------------
 
 
-def _steps_sql(steps, renew, k, rate, linear=False, how="length"):
+STATE = ("p", "ver", "a", "b", "rate", "both")
+
+
+def _fresh_sql(decay, now):
+    """New state columns of a row ``o`` whose priority ``r.p`` was renewed at version ``now``."""
+    if decay == "keep":
+        return {**{c: f"o.{c}" for c in STATE}, "p": "r.p", "ver": now}
+    gap = f"({now} - o.ver)"
+    ratio = "(CASE WHEN o.p <> 0 AND r.p/o.p > 0 THEN ln(r.p/o.p) ELSE 0 END)"
+    slope = f"({ratio}/nullif({gap}, 0))"
+    if decay == "linear":
+        fresh = {"p": "r.p", "ver": now, "a": f"0.8*{slope} + 0.2*o.a"}
+    else:
+        both = f"({now} + o.ver)::DOUBLE"
+        bend = f"(({slope} - o.rate)/nullif({both} - o.both, 0))"
+        fresh = {
+            "p": "r.p", "ver": now, "rate": slope, "both": both,
+            "a": f"CASE WHEN o.rate IS NULL THEN 0 ELSE 0.8*{bend} + 0.2*o.a END",
+            "b": f"CASE WHEN o.rate IS NULL THEN {slope} ELSE 0.8*({slope} - {bend}*{both}) + 0.2*o.b END",
+        }
+    return {c: f"CASE WHEN {gap} = 0 THEN o.{c} ELSE {fresh[c]} END" if c in fresh else f"o.{c}" for c in STATE}
+
+
+def _renewed_sql(old, fresh, decay, now):
+    columns = _fresh_sql(decay, now)
+    return f"""SELECT o.id, {", ".join(f"CASE WHEN r.id IS NULL THEN o.{c} ELSE {columns[c]} END AS {c}" for c in STATE)}
+        FROM {old} o LEFT JOIN {fresh} r ON r.id = o.id"""
+
+
+def _value_sql(decay, now):
+    if decay == "linear":
+        return f"p*exp(a*({now}-ver))"
+    return f"p*exp(a*({now}*{now}-ver*ver) + b*({now}-ver))" if decay == "quadratic" else "p"
+
+
+def _steps_sql(steps, renew, k, rate, decay="keep", how="length", variation=""):
     """Prioritised training unrolled step by step (renew, select, apply)."""
     n = "(SELECT count(*) FROM events)"
     rn, kk = f"floor({n}*{renew})::BIGINT", f"floor({n}*{k})::BIGINT"
-    parts = {"nn": f"SELECT floor(count(*)*{renew})/count(*) AS f FROM events"}
+    parts = {"nn": f"SELECT floor(count(*)*{renew})/count(*) AS f, floor(count(*)*{k})/count(*) AS t FROM events"}
     parts["q0"] = "SELECT [((37*j) % 11 - 5)/10 FOR j IN range(4)] AS w"
     grad = lambda wq: (
         f"SELECT id, x, y, [(p-y)*v FOR v IN {EXT}] AS g FROM (SELECT *, {P3} AS p FROM ev, {wq})"
     )
     mean = lambda src: f"SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(g[j]) AS m FROM {src}, range(1, 5) t(j) GROUP BY j)"
+    moved = lambda old, new, f: f"SELECT [(1 - nn.{f})*o.m[j] + nn.{f}*f.m[j] FOR j IN [1,2,3,4]] AS m FROM {old} o, {new} f, nn"
     dot = "list_dot_product(g, g)" if how == "length" else "list_dot_product(g, m)"
     parts["g0"] = grad("q0")
     parts["m0"] = mean("g0")
-    parts["s0"] = f"SELECT id, {dot} AS p, 0 AS ver, 0.0::DOUBLE AS a FROM g0, m0"
+    parts["s0"] = f"SELECT id, {dot} AS p, 0::BIGINT AS ver, 0.0::DOUBLE AS a, -1.0::DOUBLE AS b, NULL::DOUBLE AS rate, NULL::DOUBLE AS both FROM g0, m0"
     for i in range(1, steps + 1):
+        now = f"({i}*(({rn} + {kk}) // 32))" if "p" in variation else f"{i}"
         parts[f"g{i}"] = grad(f"q{i - 1}")
         inside = f"(o.id - ({i - 1}*{rn}) % {n} + {n}) % {n} < {rn}"
-        slope = f"(CASE WHEN o.p <> 0 AND r.p/o.p > 0 THEN ln(r.p/o.p) ELSE 0 END)/({i}-o.ver)"
         parts[f"f{i}"] = f"SELECT id, {dot} AS p, g FROM g{i} o, m{i - 1} WHERE {inside}"
-        parts[f"s{i}"] = f"""SELECT o.id, coalesce(r.p, o.p) AS p,
-            CASE WHEN r.id IS NULL THEN o.ver ELSE {i} END AS ver,
-            CASE WHEN r.id IS NULL THEN o.a ELSE 0.8*{slope} + 0.2*o.a END AS a
-            FROM s{i - 1} o LEFT JOIN f{i} r ON r.id = o.id"""
+        parts[f"r{i}"] = _renewed_sql(f"s{i - 1}", f"f{i}", decay, now)
         parts[f"fm{i}"] = mean(f"f{i}")
-        parts[f"m{i}"] = f"""SELECT [(1 - nn.f)*o.m[j] + nn.f*f.m[j] FOR j IN [1,2,3,4]] AS m
-            FROM m{i - 1} o, fm{i} f, nn"""
-        at = f"p*exp(a*({i}-ver))" if linear else "p"
-        parts[f"t{i}"] = f"SELECT id FROM s{i} ORDER BY {at} DESC, id LIMIT (SELECT {kk})"
-        parts[f"q{i}"] = f"""SELECT list(nw ORDER BY j) AS w FROM (
-            SELECT j, any_value(w[j]) - {rate}*avg(g[j]) AS nw
-            FROM g{i} SEMI JOIN t{i} USING (id), q{i - 1}, range(1, 5) u(j) GROUP BY j)"""
+        parts[f"d{i}"] = moved(f"m{i - 1}", f"fm{i}", "f")
+        parts[f"t{i}"] = f"SELECT id FROM r{i} ORDER BY {_value_sql(decay, now)} DESC, id LIMIT (SELECT {kk})"
+        parts[f"h{i}"] = f"SELECT id, {dot} AS p, g FROM g{i} SEMI JOIN t{i} USING (id), d{i}"
+        parts[f"s{i}"] = _renewed_sql(f"r{i}", f"h{i}", decay, now) if "l" in variation else f"SELECT * FROM r{i}"
+        parts[f"tm{i}"] = mean(f"h{i}")
+        parts[f"m{i}"] = moved(f"d{i}", f"tm{i}", "t") if "a" in variation else f"SELECT m FROM d{i}"
+        also = " + f.m[j]" if "r" in variation else ""
+        parts[f"q{i}"] = f"SELECT [w[j] - {rate}*(t.m[j]{also}) FOR j IN [1,2,3,4]] AS w FROM q{i - 1}, tm{i} t, fm{i} f"
     return parts
 
 
@@ -247,7 +282,7 @@ def _long(df):
     )
 
 
-@query("r8_top_gradient_step", sql("ev", _w_body(1), **_steps_sql(1, 0.0, 0.01, 0.5)))
+@query("r8_top_gradient_step", sql("ev", _w_body(1), **_steps_sql(1, 0.2, 0.01, 0.5)))
 def top_gradient_step(spark, sf):
     rows = ev(spark, sf)
     k = int(rows.count() * 0.01)
@@ -265,7 +300,7 @@ def prioritised_training(spark, sf):
     return _long(out)
 
 
-@query("r9_prioritised_linear_decay", sql("ev", _w_body(3), **_steps_sql(3, 0.4, 0.05, 0.5, linear=True)))
+@query("r9_prioritised_linear_decay", sql("ev", _w_body(3), **_steps_sql(3, 0.4, 0.05, 0.5, "linear")))
 def prioritised_linear(spark, sf):
     """Slices of 40%, so that the third step renews rows a second time."""
     out, _ = priority.train_prioritised(
@@ -282,6 +317,35 @@ def prioritised_projection(spark, sf):
     return _long(out)
 
 
+def _variation(name, decay, variation, steps=3, how="length", renew=0.4):
+    """A query that renews 40% of the rows in a step, so that rows are renewed again from the third step on."""
+
+    @query(name, sql("ev", _w_body(steps), **_steps_sql(steps, renew, 0.05, 0.5, decay, how, variation)))
+    def run(spark, sf):
+        out, _ = priority.train_prioritised(
+            ev(spark, sf), LR3, W3, 0.5, 0.05, renew, init=how, how=how, decay=decay, variation=variation, steps=steps
+        )
+        return _long(out)
+
+
+_variation("r9_renewed_rows_added", "keep", "r")
+_variation("r9_top_rows_renewed", "linear", "l")
+_variation("r9_mean_moved_by_top_rows", "keep", "a", how="projection")
+_variation("r9_versions_by_points", "linear", "p")
+_variation("r9_quadratic_decay", "quadratic", "", steps=4, renew=0.6)
+
+
+@query("r9_resume", sql("ev", _w_body(4), **_steps_sql(4, 0.4, 0.05, 0.5, "linear", "projection", "l")))
+def prioritised_resume(spark, sf):
+    """Two archived steps, then two more from their state: priorities, mean gradient, version and place."""
+    path, rows = scratch(spark), ev(spark, sf)
+    for resume in (False, True):
+        out, _ = priority.train_prioritised(
+            rows, LR3, W3, 0.5, 0.05, 0.4, "projection", "projection", "linear", "l", steps=2, keeping=Keeping(path, resume=resume)
+        )
+    return _long(out)
+
+
 @query(
     "r15_priority_log",
     sql(
@@ -318,39 +382,68 @@ def exact_dimensions(spark, sf):
     return _long(priority.train_dimensions(ev(spark, sf), LR3, W3, 0.5, 0.1, steps=1))
 
 
-BLOCK_DIRECTION = """SELECT list(m ORDER BY j) AS m FROM (SELECT j, sum(b) AS m FROM (
-    SELECT id // 1000 AS k, j, avg(g[j]) AS b FROM g, range(1, 5) t(j) GROUP BY 1, 2) GROUP BY j)"""
-
+def _batch_variant_sql(steps, block=None):
+    """Renew a quarter of the rows, take the top 5% of a batch of 40%, renew these too; unrolled.
 
-def _one_step(direction):
-    return sql(
-        "ev w3",
-        """SELECT 1 AS step, (j-1)::INT AS j, round(any_value(w[j]) - 0.5*avg(g[j]), 6) + 0.0 AS w
-        FROM g SEMI JOIN top USING (id), w3, range(1, 5) t(j) GROUP BY j""",
-        g=_graded("ev", False),
-        m=direction,
-        top="""SELECT id FROM g, m WHERE id < (SELECT count(*)//10*4 FROM events)
-        ORDER BY list_dot_product(g, m) DESC, id
-        LIMIT (SELECT round(count(*)//10*4*0.05)::BIGINT FROM events)""",
-    )
+    With ``block`` the direction is the sum of block means, else a mean that keeps 0.9 of itself.
+    """
+    n = "(SELECT count(*) FROM events)"
+    rn, size = f"floor({n}*0.25)::BIGINT", f"({n}//10*4)"
+    kk = f"round({size}*0.05)::BIGINT"
+    grad = lambda wq: f"SELECT id, x, y, [(p-y)*v FOR v IN {EXT}] AS g FROM (SELECT *, {P3} AS p FROM ev, {wq})"
+    each = "range(1, 5) t(j)"
+    mean = lambda src: f"SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(g[j]) AS m FROM {src}, {each} GROUP BY j)"
+    means = lambda src: f"""SELECT k, list(m ORDER BY j) AS m, any_value(c) AS c FROM (
+        SELECT id // {block} AS k, j, avg(g[j]) AS m, count(*) AS c FROM {src}, {each} GROUP BY 1, 2) GROUP BY k"""
+    summed = lambda src: f"SELECT list(m ORDER BY j) AS m FROM (SELECT j, sum(m[j]) AS m FROM {src}, {each} GROUP BY j)"
+    kept = lambda old, new: f"SELECT [0.9*o.m[j] + (1 - 0.9)*f.m[j] FOR j IN [1,2,3,4]] AS m FROM {old} o, {new} f"
+    dot = "list_dot_product(g, m)"
+    parts = {"q0": "SELECT [((37*j) % 11 - 5)/10 FOR j IN range(4)] AS w", "g0": grad("q0")}
+    if block:
+        parts["b0"] = means("g0")
+    parts["m0"] = summed("b0") if block else mean("g0")
+    parts["s0"] = f"SELECT id, {dot} AS p FROM g0, m0"
+    inside = lambda start, count: f"(o.id - ({start}) % {n} + {n}) % {n} < {count}"
+    for i in range(1, steps + 1):
+        parts[f"g{i}"] = grad(f"q{i - 1}")
+        parts[f"f{i}"] = f"SELECT id, {dot} AS p, g FROM g{i} o, m{i - 1} WHERE {inside(f'{i - 1}*{rn}', rn)}"
+        if block:
+            parts[f"n{i}"] = means(f"f{i}")
+            parts[f"b{i}"] = f"""SELECT o.k, CASE WHEN f.k IS NULL THEN o.m
+                ELSE [o.m[j]*(1 - f.c/{block}) + f.m[j]*f.c/{block} FOR j IN [1,2,3,4]] END AS m FROM b{i - 1} o LEFT JOIN n{i} f ON f.k = o.k"""
+            parts[f"d{i}"] = summed(f"b{i}")
+        else:
+            parts[f"n{i}"] = mean(f"f{i}")
+            parts[f"d{i}"] = kept(f"m{i - 1}", f"n{i}")
+        parts[f"r{i}"] = f"SELECT o.id, coalesce(f.p, o.p) AS p FROM s{i - 1} o LEFT JOIN f{i} f ON f.id = o.id"
+        parts[f"t{i}"] = f"SELECT id FROM r{i} o WHERE {inside(f'{i - 1}*{size}', size)} ORDER BY p DESC, id LIMIT (SELECT {kk})"
+        parts[f"h{i}"] = f"SELECT id, {dot} AS p, g FROM g{i} SEMI JOIN t{i} USING (id), d{i}"
+        parts[f"s{i}"] = f"SELECT o.id, coalesce(h.p, o.p) AS p FROM r{i} o LEFT JOIN h{i} h ON h.id = o.id"
+        parts[f"tm{i}"] = mean(f"h{i}")
+        parts[f"m{i}"] = f"SELECT m FROM d{i}" if block else kept(f"d{i}", f"tm{i}")
+        parts[f"q{i}"] = f"SELECT [w[j] - 0.5*t.m[j] FOR j IN [1,2,3,4]] AS w FROM q{i - 1}, tm{i} t"
+    return parts
 
 
-@query("r11_block_variant", _one_step(BLOCK_DIRECTION))
+@query("r11_block_variant", sql("ev", _w_body(5), **_batch_variant_sql(5, 1000)))
 def block_variant(spark, sf):
-    """Blocks of 1000 ids, a tenth of the rows renewed, the top 5% of a batch of 40%."""
+    """Blocks of 1000 ids, a quarter of the rows renewed, the top 5% of a batch of 40%; slices and batches wrap."""
     rows = ev(spark, sf)
     out, _, _ = priority.train_block(
-        rows, LR3, W3, 0.5, 0.05, 1000, 0.1, batch=rows.count() // 10 * 4, steps=1
+        rows, LR3, W3, 0.5, 0.05, 1000, 0.25, batch=rows.count() // 10 * 4, steps=5
     )
     return _long(out)
 
 
-@query("r12_decayed_mean_variant", _one_step(MEAN.format(n=5)))
+@query("r12_decayed_mean_variant", sql("ev", _w_body(5), **_batch_variant_sql(5)))
 def decayed_mean_variant(spark, sf):
-    rows = ev(spark, sf)
-    out, _ = priority.train_decayed_mean(
-        rows, LR3, W3, 0.5, 0.05, 0.9, 0.0, batch=rows.count() // 10 * 4, steps=1
-    )
+    """Three steps and two resumed ones; slices and batches wrap."""
+    rows, path = ev(spark, sf), scratch(spark)
+    size = rows.count() // 10 * 4
+    for steps, resume in ((3, False), (2, True)):
+        out, _ = priority.train_decayed_mean(
+            rows, LR3, W3, 0.5, 0.05, 0.9, 0.25, batch=size, steps=steps, keeping=Keeping(path, resume=resume)
+        )
     return _long(out)
 
 

@@ -21,6 +21,7 @@ from gradframe.catalog.views import (
 )
 from gradframe.functions.models import LR, MLP, KMeans
 from gradframe.operators import evaluation, gradients, kmeans, scoring, training
+from gradframe.operators.progress import Keeping
 from gradframe.sources import history
 
 P64, P4, P3 = sigmoid_sql("x", "w", 64), sigmoid_sql("x", "w", 4), sigmoid_sql("x", "w", 3)
@@ -255,12 +256,14 @@ def gd_full_batch(spark, sf):
     "o1_gd_batches",
     _gd_sql(
         "ev", 3, 0.5, 5,
-        "AND (id - (step*3000) % (SELECT count(*) FROM events) + (SELECT count(*) FROM events)) % (SELECT count(*) FROM events) < 3000",
+        """AND (id - (step*(SELECT count(*)*3//10 FROM events)) % (SELECT count(*) FROM events) + (SELECT count(*) FROM events))
+        % (SELECT count(*) FROM events) < (SELECT count(*)*3//10 FROM events)""",
     ),
 )
 def gd_batches(spark, sf):
-    """Batches of 3000 that wrap at the end of the rows."""
-    return _long(training.train(ev(spark, sf), LR3, START, 0.5, batch=3000, steps=5))
+    """Batches of three tenths of the rows that wrap at the end."""
+    rows = ev(spark, sf)
+    return _long(training.train(rows, LR3, START, 0.5, batch=rows.count() * 3 // 10, steps=5))
 
 
 @query("t4_synchronous_training", _gd_sql("ev", 3, 0.5, 3))
@@ -293,47 +296,65 @@ def resume(spark, sf):
     )
 
 
-@query(
-    "o5_momentum",
-    sql(
-        "ev",
-        """SELECT step::INT AS step, (j-1)::INT AS j, round(w[j], 6) + 0.0 AS w
-        FROM s, range(1, 5) t(j) WHERE step > 0""",
-        recursive=True,
-        s=f"""SELECT 0 AS step, [0.05::DOUBLE,0.05,0.05,0.05] AS w, [0.0::DOUBLE,0,0,0] AS d
-        UNION ALL
-        SELECT step + 1, list(w + d ORDER BY j), list(d ORDER BY j) FROM (
-            SELECT step, j, any_value(w[j]) AS w, 0.9*any_value(d[j]) - 0.5*avg((p-y)*xx[j]) AS d
-            FROM (SELECT step, w, d, y, {EXT} AS xx, {P3} AS p FROM s, ev WHERE step < 4) q,
-                 range(1, 5) t(j) GROUP BY step, j) GROUP BY step""",
-    ),
+MOMENTUM_SQL = sql(
+    "ev",
+    """SELECT step::INT AS step, (j-1)::INT AS j, round(w[j], 6) + 0.0 AS w
+    FROM s, range(1, 5) t(j) WHERE step > 0""",
+    recursive=True,
+    s=f"""SELECT 0 AS step, [0.05::DOUBLE,0.05,0.05,0.05] AS w, [0.0::DOUBLE,0,0,0] AS d
+    UNION ALL
+    SELECT step + 1, list(w + d ORDER BY j), list(d ORDER BY j) FROM (
+        SELECT step, j, any_value(w[j]) AS w, 0.9*any_value(d[j]) - 0.5*avg((p-y)*xx[j]) AS d
+        FROM (SELECT step, w, d, y, {EXT} AS xx, {P3} AS p FROM s, ev WHERE step < 4) q,
+             range(1, 5) t(j) GROUP BY step, j) GROUP BY step""",
 )
+
+
+@query("o5_momentum", MOMENTUM_SQL)
 def momentum(spark, sf):
     return _long(training.train(ev(spark, sf), LR3, START, 0.5, steps=4, optimizer="momentum"))
 
 
-@query(
-    "o6_adam",
-    sql(
-        "ev",
-        """SELECT step::INT AS step, (j-1)::INT AS j, round(w[j], 6) + 0.0 AS w
-        FROM s, range(1, 5) t(j) WHERE step > 0""",
-        recursive=True,
-        s=f"""SELECT 0 AS step, [0.05::DOUBLE,0.05,0.05,0.05] AS w, [0.0::DOUBLE,0,0,0] AS m, [0.0::DOUBLE,0,0,0] AS v
-        UNION ALL
-        SELECT step + 1,
-            list(w - 0.05*(m/(1-power(0.9, step+1)))/(sqrt(v/(1-power(0.999, step+1))) + 1e-8) ORDER BY j),
-            list(m ORDER BY j), list(v ORDER BY j) FROM (
-            SELECT step, j, w, 0.9*m + 0.1*g AS m, 0.999*v + 0.001*g*g AS v FROM (
-            SELECT step, j, any_value(w[j]) AS w, any_value(m[j]) AS m, any_value(v[j]) AS v, avg((p-y)*xx[j]) AS g
-            FROM (SELECT step, w, m, v, y, {EXT} AS xx, {P3} AS p FROM s, ev WHERE step < 4) q,
-                 range(1, 5) t(j) GROUP BY step, j)) GROUP BY step""",
-    ),
+ADAM_SQL = sql(
+    "ev",
+    """SELECT step::INT AS step, (j-1)::INT AS j, round(w[j], 6) + 0.0 AS w
+    FROM s, range(1, 5) t(j) WHERE step > 0""",
+    recursive=True,
+    s=f"""SELECT 0 AS step, [0.05::DOUBLE,0.05,0.05,0.05] AS w, [0.0::DOUBLE,0,0,0] AS m, [0.0::DOUBLE,0,0,0] AS v
+    UNION ALL
+    SELECT step + 1,
+        list(w - 0.05*(m/(1-power(0.9, step+1)))/(sqrt(v/(1-power(0.999, step+1))) + 1e-8) ORDER BY j),
+        list(m ORDER BY j), list(v ORDER BY j) FROM (
+        SELECT step, j, w, 0.9*m + 0.1*g AS m, 0.999*v + 0.001*g*g AS v FROM (
+        SELECT step, j, any_value(w[j]) AS w, any_value(m[j]) AS m, any_value(v[j]) AS v, avg((p-y)*xx[j]) AS g
+        FROM (SELECT step, w, m, v, y, {EXT} AS xx, {P3} AS p FROM s, ev WHERE step < 4) q,
+             range(1, 5) t(j) GROUP BY step, j)) GROUP BY step""",
 )
+
+
+@query("o6_adam", ADAM_SQL)
 def adam(spark, sf):
     return _long(training.train(ev(spark, sf), LR3, START, 0.05, steps=4, optimizer="adam"))
 
 
+def _resumed(spark, sf, optimizer, rate):
+    """Two archived steps, then two more that go on with the optimizer's state."""
+    path = scratch(spark)
+    for resume in (False, True):
+        out = training.train(ev(spark, sf), LR3, START, rate, steps=2, optimizer=optimizer, archive=path, resume=resume)
+    return _long(out)
+
+
+@query("o10_resume_momentum", MOMENTUM_SQL)
+def resume_momentum(spark, sf):
+    return _resumed(spark, sf, "momentum", 0.5)
+
+
+@query("o10_resume_adam", ADAM_SQL)
+def resume_adam(spark, sf):
+    return _resumed(spark, sf, "adam", 0.05)
+
+
 @query(
     "o11_logged_training",
     sql(
@@ -457,6 +478,10 @@ def _em_body(steps):
     )
 
 
+_FIFTHS = "(SELECT count(*)*2//5 FROM emb)"
+THIRDS = [(f"{i}*{_FIFTHS}", _FIFTHS) for i in range(3)]
+
+
 @query("o2_hidden_state_training", sql("emb", _em_body((0, 1, 2)), **_em_sql([("0", "1000000000")] * 2)))
 def hidden_state(spark, sf):
     """Two full passes; every row carries its cluster."""
@@ -466,23 +491,34 @@ def hidden_state(spark, sf):
 
 @query(
     "o3_incremental_em",
-    sql("emb", _em_body((0, 1, 2, 3)), **_em_sql([("0", "200"), ("200", "200"), ("400", "200")])),
+    sql("emb", _em_body((0, 1, 2, 3)), **_em_sql(THIRDS)),
 )
 def incremental_em(spark, sf):
-    """Batches of 200; the third wraps where there are 500 rows."""
-    out, _ = kmeans.train_em(emb(spark, sf), 10, 64, _initial, 200, 3)
+    """Batches of two fifths of the rows; the third wraps."""
+    rows = emb(spark, sf)
+    out, _ = kmeans.train_em(rows, 10, 64, _initial, rows.count() * 2 // 5, 3)
+    return _centres_long(out)
+
+
+@query("o3_resume", sql("emb", _em_body((0, 1, 2, 3)), **_em_sql(THIRDS)))
+def resumed_em(spark, sf):
+    """An archived step, then two that go on with the rows' clusters."""
+    rows, path = emb(spark, sf), scratch(spark)
+    size = rows.count() * 2 // 5
+    for steps, resume in ((1, False), (2, True)):
+        out, _ = kmeans.train_em(rows, 10, 64, _initial, size, steps, Keeping(path, resume=resume))
     return _centres_long(out)
 
 
 @query(
     "j3_state_join",
     sql("emb", """SELECT z::INT AS z, cls, count(*) AS n FROM z3 JOIN emb ON emb.id = z3.id GROUP BY z, cls""",
-        **_em_sql([("0", "200"), ("200", "200"), ("400", "200")])),
+        **_em_sql(THIRDS)),
 )
 def state_join(spark, sf):
     """Points joined with their hidden state."""
     rows = emb(spark, sf)
-    _, state = kmeans.train_em(rows, 10, 64, _initial, 200, 3)
+    _, state = kmeans.train_em(rows, 10, 64, _initial, rows.count() * 2 // 5, 3)
     return rows.join(state, "id").groupBy("z", "cls").agg(F.count("*").alias("n"))
 
 

@@ -15,6 +15,8 @@ import numpy as np
 
 from gradframe.functions.vec import MAX_LOG_LOSS
 
+HELD_VALUES = 1 << 22  # numbers of row gradients held at a time
+
 
 class Model(Protocol):
     """What scoring, training and priorities need from a model."""
@@ -35,6 +37,9 @@ class Model(Protocol):
     def grad_sum(self, X, Y, w) -> tuple[np.ndarray, float]:
         """Sum of gradients and of losses over the batch."""
 
+    def measures(self, X, Y, w, direction=None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Squared gradient length per row, or projection on ``direction``; and what ``grad_sum`` gives."""
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -42,9 +47,31 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class _Sums:
+    """Sums over gradients of single rows, of which few are held at a time."""
+
     def grad_sum(self, X, Y, w):
-        g, loss = self.grad_rows(X, Y, w)
-        return g.sum(axis=0), float(loss.sum())
+        return self.measures(X, Y, w)[1:]
+
+    def measures(self, X, Y, w, direction=None):
+        at_once = max(1, HELD_VALUES // self.width)
+        p, total, lost = np.empty(len(X)), np.zeros(self.width), 0.0
+        for low in range(0, len(X), at_once):
+            part = slice(low, low + at_once)
+            g, loss = self.grad_rows(X[part], Y[part], w)
+            p[part] = np.einsum("mj,mj->m", g, g) if direction is None else g @ direction
+            total += g.sum(axis=0)
+            lost += float(loss.sum())
+        return p, total, lost
+
+
+def _layer_measure(source: np.ndarray, delta: np.ndarray, direction: np.ndarray | None) -> np.ndarray:
+    """Share of one layer in the squared length or projection of each row's gradient.
+
+    The gradient is the outer product of ``(source, 1)`` and ``delta``, which is not formed.
+    """
+    if direction is None:
+        return (np.einsum("ma,ma->m", source, source) + 1) * np.einsum("mb,mb->m", delta, delta)
+    return np.einsum("mb,mb->m", source @ direction[:-1] + direction[-1], delta)
 
 
 @dataclass(frozen=True)
@@ -72,10 +99,12 @@ class LR(_Sums):
         err = P - Y
         return np.hstack([X * err, err]), self.loss(P, Y)
 
-    def grad_sum(self, X, Y, w):
+    def measures(self, X, Y, w, direction=None):
         P = self.score(X, w)
-        err = (P - Y)[:, 0]
-        return np.append(err @ X, err.sum()), float(self.loss(P, Y).sum())
+        err = P - Y
+        part = None if direction is None else np.asarray(direction, float)[:, None]
+        g = np.append(err[:, 0] @ X, err.sum())
+        return _layer_measure(X, err, part), g, float(self.loss(P, Y).sum())
 
 
 @dataclass(frozen=True)
@@ -139,10 +168,12 @@ class MLP(_Sums):
             parts.append(np.einsum("ma,mb->mab", source, delta).reshape(len(X), -1))
         return np.hstack(parts), loss
 
-    def grad_sum(self, X, Y, w):
+    def measures(self, X, Y, w, direction=None):
         found, loss = self._deltas(X, Y, w)
         parts = [np.vstack([s.T @ d, d.sum(axis=0)]).ravel() for s, d in found]
-        return np.concatenate(parts), float(loss.sum())
+        along = [None] * len(found) if direction is None else self.blocks(np.asarray(direction, float))
+        p = sum(_layer_measure(s, d, block) for (s, d), block in zip(found, along))
+        return p, np.concatenate(parts), float(loss.sum())
 
 
 @dataclass(frozen=True)

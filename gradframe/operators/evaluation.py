@@ -1,12 +1,13 @@
 """Whole parameter histories against a dataset.
 
-The history is the small side: its vectors travel to the tasks in runs of
-bounded size, and each run scores all its records in one scan of the data.
+Records and rows are both read by the tasks: blocks of rows meet blocks of records
+(:mod:`gradframe.plans.blockjoin`), and what comes out are sums or values per record. The driver
+sees neither the history nor anything else that grows with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,15 @@ from pyspark.sql import types as T
 from gradframe.functions import vec
 from gradframe.functions.batches import lists, matrix
 from gradframe.functions.models import Model
-from gradframe.operators.gradients import batch_grad_rows, batch_grad_sum, sum_batches
+from gradframe.operators.gradients import batch_grad_rows, batch_grad_sum, batch_measures
 from gradframe.operators.prep import pick_records
 from gradframe.operators.scoring import scores_of
+from gradframe.plans.blockjoin import meet
 from gradframe.plans.lineage import spread
 from gradframe.plans.ordered import lagged
 from gradframe.plans.sizes import small
-from gradframe.sources import history as store
+
+HELD_VALUES = 1 << 22  # numbers of sums that a task holds before it hands them on
 
 
 def _inputs(df: DataFrame) -> list[str]:
@@ -37,36 +40,41 @@ def pending(history: DataFrame, done: DataFrame | None) -> DataFrame:
     return history.join(small(done.select("iter").distinct()), "iter", "left_anti")
 
 
-def _loss_sums(rows: DataFrame, model: Model, iters: np.ndarray, W: np.ndarray) -> DataFrame:
-    """``(iter, loss, accuracy)`` for one run of records: sums per task, then per record."""
+def _summed(pairs: Iterator, of: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Add up ``of(rows, w) -> vector`` per record over all pairs of a task."""
+    sums: dict[int, np.ndarray] = {}
+
+    def ready() -> pa.RecordBatch:
+        values = np.array(list(sums.values()))
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), lists(values)], names=names)
+
+    for rows, records in pairs:
+        for i, w in zip(records.column("iter").to_pylist(), matrix(records.column("w"))):
+            part = of(rows, w)
+            sums[i] = sums[i] + part if i in sums else part
+            if len(sums) * len(part) > HELD_VALUES:
+                yield ready()
+                sums.clear()
+    if sums:
+        yield ready()
+
+
+def _loss_sums(rows: DataFrame, model: Model, history: DataFrame) -> DataFrame:
+    """``(iter, loss, accuracy)``: sums per task, then per record."""
     source = "xs" if "xs" in rows.columns else "x"
 
-    def partial(batches):
-        acc = np.zeros((len(W), 3))
-        for b in batches:
-            if b.num_rows:
-                Y = matrix(b.column("y"))
-                for r, w in enumerate(W):
-                    P = scores_of(model, b.column(source), w)
-                    acc[r] += model.loss(P, Y).sum(), ((P >= 0.5) == Y).sum(), len(Y)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(iters.astype(np.int32)), *[pa.array(acc[:, c]) for c in range(3)]],
-            names=["iter", "l", "c", "m"],
-        )
-
-    parts = rows.mapInArrow(partial, "iter int, l double, c double, m double")
-    m = F.sum("m")
+    def of(b, w):
+        Y = matrix(b.column("y"))
+        P = scores_of(model, b.column(source), w)
+        return np.array([model.loss(P, Y).sum(), ((P >= 0.5) == Y).sum(), len(Y)], float)
+
+    parts = meet(rows, history.select("iter", "w"), lambda pairs: _summed(pairs, of, ["iter", "s"]), "iter int, s array<double>")
+    total = lambda j: F.sum(F.get("s", F.lit(j)))
     return parts.groupBy("iter").agg(
-        (F.sum("l") / m).alias("loss"), (F.sum("c") / (m * F.lit(model.outputs))).alias("accuracy")
+        (total(0) / total(2)).alias("loss"), (total(1) / (total(2) * F.lit(model.outputs))).alias("accuracy")
     )
 
 
-def _steps(W: np.ndarray, before: np.ndarray | None) -> np.ndarray:
-    """Distance of every record to the one before; the first to the origin."""
-    first = np.zeros(W.shape[1]) if before is None else before
-    return np.sqrt((np.diff(np.vstack([first, W]), axis=0) ** 2).sum(axis=1))
-
-
 def improvements(history: DataFrame) -> DataFrame:
     """Distance of every record to the one before, on the executors: ``(iter, delta)``."""
     before = lagged(history.select("iter", "w"), [], ["iter"], F.col("w"), "b")
@@ -86,60 +94,39 @@ def evaluate(
 ) -> DataFrame:
     """``(iter, time, n, loss, accuracy, difference, delta)`` per record.
 
-    The records come to the driver in runs of bounded size, since from there
-    they go to all tasks; one scan of the data scores a whole run.
+    Each record's ``delta`` is its distance to the one before, whether that was ``done`` or not.
     """
-    spark = df.sparkSession
-    todo = None if done is None else {r[0] for r in pending(history, done).select("iter").collect()}
-    rows = spread(df.select(*_inputs(df)))
-    out, before = None, None
-    for iters, time, n, W in store.blocks(history):
-        step, before = _steps(W, before), W[-1]
-        gap = np.zeros(len(W)) if reference is None else np.sqrt(((W - reference) ** 2).sum(axis=1))
-        keep = [r for r in range(len(W)) if todo is None or int(iters[r]) in todo]
-        if not keep:
-            continue
-        facts = spark.createDataFrame(
-            [(int(iters[r]), float(time[r]), int(n[r]), float(gap[r]), float(step[r])) for r in keep],
-            "iter int, time double, n bigint, difference double, delta double",
-        )
-        part = facts.join(_loss_sums(rows, model, iters[keep], W[keep]), "iter")
-        out = part if out is None else out.unionByName(part)
+    gap = F.lit(0.0) if reference is None else vec.dist("w", vec.vector(float(v) for v in reference))
+    facts = pending(history, done).select("iter", "time", "n", gap.alias("difference"))
+    scored = _loss_sums(spread(df.select(*_inputs(df))), model, pending(history, done))
+    out = facts.join(scored, "iter").join(improvements(history), "iter")
     names = ["iter", "time", "n", "loss", *(["accuracy"] if accuracy else []), "difference", "delta"]
-    if out is None:
-        kinds = {"iter": "int", "n": "bigint"}
-        return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names))
     return out.select(*names)
 
 
 def losses(df: DataFrame, model: Model, history: DataFrame) -> DataFrame:
     """``(iter, loss)`` of every record against every row."""
-    return evaluate(df, model, history, accuracy=False).select("iter", "loss")
+    return _loss_sums(spread(df.select(*_inputs(df))), model, history).select("iter", "loss")
 
 
-def _per_record(
-    df: DataFrame, history: DataFrame, field: T.StructField, make: Callable
-) -> DataFrame:
-    """``(iter, id, value)``: ``make(batch, r, w) -> Arrow array`` for every record."""
+def _per_record(df: DataFrame, history: DataFrame, field: T.StructField, make: Callable) -> DataFrame:
+    """``(iter, id, value)``: ``make(batch, records, r) -> Arrow array`` for every record."""
     schema = T.StructType(
         [T.StructField("iter", T.IntegerType()), T.StructField("id", T.LongType()), field]
     )
-    rows = spread(df.select("id", *_inputs(df)))
-    out = None
-    for iters, _, _, W in store.blocks(history):
-        def run(batches, iters=iters, W=W):
-            for b in batches:
-                if b.num_rows:
-                    for i, w in zip(iters, W):
-                        number = pa.array(np.full(b.num_rows, i, dtype=np.int32))
-                        yield pa.RecordBatch.from_arrays(
-                            [number, b.column("id"), make(b, int(i), w)],
-                            names=["iter", "id", field.name],
-                        )
-
-        piece = rows.mapInArrow(run, schema)
-        out = piece if out is None else out.unionByName(piece)
-    return out if out is not None else df.sparkSession.createDataFrame([], schema)
+    names = ["iter", "id", field.name]
+
+    def visit(pairs):
+        for b, records in pairs:
+            for r, i in enumerate(records.column("iter").to_pylist()):
+                number = pa.array(np.full(b.num_rows, i, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([number, b.column("id"), make(b, records, r)], names=names)
+
+    return meet(spread(df.select("id", *_inputs(df))), history, visit, schema)
+
+
+def _vector_of(records: pa.RecordBatch, name: str, r: int) -> np.ndarray:
+    return records.column(name)[r].values.to_numpy(zero_copy_only=False)
 
 
 def gradient_history(
@@ -148,24 +135,21 @@ def gradient_history(
     """Gradients of all rows under the chosen records: ``(iter, id, g)``."""
     chosen = pick_records(history, lines) if lines else history
     field = T.StructField("g", T.ArrayType(T.DoubleType()))
-    return _per_record(df, chosen, field, lambda b, i, w: lists(batch_grad_rows(model, b, w)[0]))
+    make = lambda b, records, r: lists(batch_grad_rows(model, b, _vector_of(records, "w", r))[0])
+    return _per_record(df, chosen.select("iter", "w"), field, make)
 
 
-def mean_gradients(df: DataFrame, model: Model, history: DataFrame) -> dict[int, np.ndarray]:
-    """Mean gradient under every record: one scan per run of records."""
-    means = {}
+def mean_gradients(df: DataFrame, model: Model, history: DataFrame) -> DataFrame:
+    """Mean gradient under every record as ``(iter, m)``, in one scan."""
+    of = lambda b, w: np.append(batch_grad_sum(model, b, w)[0], b.num_rows)
     rows = spread(df.select(*_inputs(df)))
-    for iters, _, _, W in store.blocks(history):
-        def of_batch(b, W=W):
-            sums = [batch_grad_sum(model, b, w)[0] for w in W]
-            return np.append(np.concatenate(sums), b.num_rows)
-
-        got = sum_batches(rows, of_batch).toPandas()
-        flat = np.zeros(W.size + 1)
-        flat[got["j"].to_numpy()] = got["v"].to_numpy()
-        for i, g in zip(iters, flat[:-1].reshape(W.shape)):
-            means[int(i)] = g / max(flat[-1], 1)
-    return means
+    parts = meet(rows, history.select("iter", "w"), lambda pairs: _summed(pairs, of, ["iter", "s"]), "iter int, s array<double>")
+    sums = parts.select("iter", F.posexplode("s").alias("j", "v")).groupBy("iter", "j").agg(F.sum("v").alias("v"))
+    # one vector per record, as in the history itself
+    whole = sums.groupBy("iter").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("a"))
+    value = F.transform("a", lambda e: e["v"])
+    n = F.element_at(value, -1)
+    return whole.select("iter", F.transform(F.slice(value, 1, model.width), lambda v: v / n).alias("m"))
 
 
 def priority_history(
@@ -181,11 +165,13 @@ def priority_history(
     The projection recomputes gradients in a second scan instead of storing
     them: they are wider than the data.
     """
-    chosen = pending(pick_records(history, lines) if lines else history, done)
-    means = mean_gradients(df, model, chosen) if how == "projection" else None
-
-    def make(b, i, w):
-        G, _ = batch_grad_rows(model, b, w)
-        return pa.array(np.einsum("mj,mj->m", G, G) if means is None else G @ means[i])
+    chosen = pending(pick_records(history, lines) if lines else history, done).select("iter", "w")
+    projected = how == "projection"
+    if projected:
+        chosen = chosen.join(mean_gradients(df, model, chosen), "iter")
+
+    def make(b, records, r):
+        direction = _vector_of(records, "m", r) if projected else None
+        return pa.array(batch_measures(model, b, _vector_of(records, "w", r), direction)[0])
 
     return _per_record(df, chosen, T.StructField("p", T.DoubleType()), make)

@@ -36,11 +36,20 @@ def batch_grad_rows(model: Model, batch: pa.RecordBatch, w: np.ndarray):
     return G, loss
 
 
+def batch_measures(model: Model, batch: pa.RecordBatch, w: np.ndarray, direction: np.ndarray | None = None):
+    """Squared lengths or projections of the rows' gradients, their sum and the sum of losses."""
+    Y = matrix(batch.column("y"))
+    if not isinstance(model, SeqNet):
+        return model.measures(matrix(batch.column("x")), Y, w, direction)
+    p, total, lost = np.empty(len(Y)), np.zeros(model.width), 0.0
+    for rows, X in sequences(batch.column("xs")):
+        p[rows], g, loss = model.measures(X, Y[rows], w, direction)
+        total, lost = total + g, lost + loss
+    return p, total, lost
+
+
 def batch_grad_sum(model: Model, batch: pa.RecordBatch, w: np.ndarray):
-    if isinstance(model, SeqNet):
-        G, loss = batch_grad_rows(model, batch, w)
-        return G.sum(axis=0), float(loss.sum())
-    return model.grad_sum(matrix(batch.column("x")), matrix(batch.column("y")), w)
+    return batch_measures(model, batch, w)[1:]
 
 
 def gradients(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,11 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradframe.functions.batches import matrix
+from gradframe.functions.batches import lists, matrix
 from gradframe.functions.models import KMeans
 from gradframe.operators.gradients import sum_batches
 from gradframe.operators.prep import batch_slice, numbered_rows
-from gradframe.plans.lineage import held
+from gradframe.operators.progress import Keeping, Recorder
+from gradframe.plans.lineage import checkpoint_dir, cut, held
+from gradframe.plans.segments import Segments, spans
+from gradframe.plans.sizes import small
+from gradframe.sources import snapshots
+from gradframe.sources.snapshots import Snapshot
 
 
 def _rows_and_counts(X: np.ndarray, z: np.ndarray, sign: float, k: int) -> np.ndarray:
@@ -60,40 +65,7 @@ def lloyd(df: DataFrame, k: int, dim: int, w0: np.ndarray, steps: int) -> DataFr
     return spark.createDataFrame(log, "iter int, loss double, w array<double>")
 
 
-class Assigned:
-    """Cluster number of every row, kept as the parameter it was last set under.
-
-    A row's cluster is a function of the row and of that parameter, and rows are
-    visited in id ranges. So the hidden state needs no table beside the data: a
-    handful of ids and vectors says it all, and nothing is joined or rewritten.
-    """
-
-    def __init__(self, initial: Callable[[np.ndarray], np.ndarray]):
-        self.initial = initial
-        self.starts: list[int] = [0]
-        self.under: list[np.ndarray | None] = [None]
-
-    def set(self, lo: int, hi: int, w: np.ndarray) -> None:
-        """Rows ``lo <= id < hi`` are now assigned under ``w``."""
-        after = self.under[bisect.bisect_right(self.starts, hi) - 1]
-        i, j = bisect.bisect_left(self.starts, lo), bisect.bisect_left(self.starts, hi)
-        tail = [(hi, after)] if j == len(self.starts) or self.starts[j] != hi else []
-        self.starts[i:j] = [lo] + [s for s, _ in tail]
-        self.under[i:j] = [w] + [v for _, v in tail]
-
-    def of(self, model: KMeans, ids: np.ndarray, X: np.ndarray) -> np.ndarray:
-        z = np.empty(len(ids), dtype=int)
-        at = np.searchsorted(self.starts, ids, side="right") - 1
-        for a in np.unique(at):
-            rows = at == a
-            w = self.under[a]
-            z[rows] = self.initial(ids[rows]) if w is None else model.nearest(X[rows], w)[0]
-        return z
-
-    def copy(self) -> Assigned:
-        twin = Assigned(self.initial)
-        twin.starts, twin.under = list(self.starts), list(self.under)
-        return twin
+FIELDS = "iter int, n bigint, moved bigint, loss double, w array<double>"
 
 
 def train_em(
@@ -103,62 +75,85 @@ def train_em(
     initial: Callable[[np.ndarray], np.ndarray],
     batch: int | None,
     steps: int,
+    keeping: Keeping | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Incremental EM on ``(id, x)``, ids 0 to N-1.
 
     ``initial(ids)`` gives the first cluster of rows. Each step moves one batch:
     a row whose cluster changes leaves the old centre and joins the new one.
     Returns the history ``(iter, n, moved, loss, w)``, loss being the mean
-    distance within the batch, and the final state ``(id, z)``.
+    distance within the batch, and the final state ``(id, z)``; ``keeping`` archives and resumes.
+
+    The clusters are a table in segments by id. A step reads those of its batch and
+    writes them anew; the driver holds one parameter, whatever the number of batches is.
     """
     spark, model = df.sparkSession, KMeans(k, dim)
-    state = Assigned(initial)
+    archive = keeping.archive if keeping is not None else None
+    folder = snapshots.folder(archive) if archive else checkpoint_dir(spark).rstrip("/")
+    table = Segments(spark, f"{folder}/clusters" if archive else f"{folder}/clusters-{uuid.uuid4().hex}")
+    recorder = Recorder(spark, keeping, lambda found: spark.createDataFrame(found, FIELDS))
+    recorder.committed = table.drop
 
-    def start(b):
+    def first(batches):
+        for b in batches:
+            if b.num_rows:
+                z = initial(np.asarray(b.column("id")))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(z.astype(np.int32))], names=["id", "z"])
+
+    def counted(b):
         ids, X = np.asarray(b.column("id")), matrix(b.column("x"))
         return _rows_and_counts(X, initial(ids), 1.0, k).ravel()
 
+    def move(w):
+        def run(batches):
+            acc = np.zeros(model.width + 3)
+            for b in batches:
+                if b.num_rows:
+                    X, old = matrix(b.column("x")), np.asarray(b.column("z"))
+                    new, far = model.nearest(X, w)
+                    moved = old != new
+                    change = _rows_and_counts(X[moved], new[moved], 1.0, k)
+                    change += _rows_and_counts(X[moved], old[moved], -1.0, k)
+                    acc += np.append(change.ravel(), [moved.sum(), far.sum(), len(X)])
+                    none = pa.nulls(b.num_rows, pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(new.astype(np.int32)), none], names=names)
+            if acc[-1]:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), lists(acc[None, :])], names=names)
+
+        names = ["id", "z", "v"]
+        return run
+
     with held(df.select("id", "x")) as rows:
         total = numbered_rows(rows)
         size = total if batch is None else min(batch, total)
-        w = _collect(sum_batches(rows, start), model.width)
-        log = [(0, 0, 0, None, [float(v) for v in w])]
-        at = 0
-        for step in range(1, steps + 1):
-            def move(b, w=w, state=state.copy()):
-                ids, X = np.asarray(b.column("id")), matrix(b.column("x"))
-                old = state.of(model, ids, X)
-                new, far = model.nearest(X, w)
-                moved = old != new
-                change = _rows_and_counts(X[moved], new[moved], 1.0, k)
-                change += _rows_and_counts(X[moved], old[moved], -1.0, k)
-                return np.append(change.ravel(), [moved.sum(), far.sum(), len(X)])
-
-            part = batch_slice(rows, at, size, total)
-            out = _collect(sum_batches(part, move), model.width + 3)
-            for lo, hi in _spans(at, size, total):
-                state.set(lo, hi, w)
+        before = recorder.restored()
+        if before is not None:
+            w, at, points, begun = before.vectors["w"], int(before.numbers["at"]), int(before.numbers["points"]), before.iter
+            table.at(before.tables["clusters"])
+        else:
+            table.replace([(0, total)], rows.select("id").mapInArrow(first, "id bigint, z int"))
+            w, at, points, begun = _collect(sum_batches(rows, counted), model.width), 0, 0, 0
+            recorder.records.append((0, 0, 0, None, [float(v) for v in w]))
+
+        def state() -> Snapshot:
+            return Snapshot(step, {"at": at, "points": points}, {"w": w}, {"clusters": table.version()})
+
+        for step in range(begun + 1, begun + steps + 1):
+            ranges = spans(at, size, total)
+            met = batch_slice(rows, at, size, total).join(small(table.read(ranges), size), "id")
+            both = cut(met.select("id", "x", "z").mapInArrow(move(w), "id bigint, z int, v array<double>"))
+            sums = both.where(F.col("id").isNull()).select(F.posexplode("v").alias("j", "v"))
+            out = _collect(sums.groupBy("j").agg(F.sum("v").alias("v")), model.width + 3)
+            table.replace(ranges, both.where(F.col("id").isNotNull()).select("id", "z"))
             w = w + out[:-3]
-            at = (at + size) % total
-            mean = float(out[-2] / out[-1])
-            log.append((step, int(out[-1]), int(out[-3]), mean, [float(v) for v in w]))
-
-    def final(batches, state=state):
-        for b in batches:
-            if b.num_rows:
-                z = state.of(model, np.asarray(b.column("id")), matrix(b.column("x")))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(z.astype(np.int32))], names=["id", "z"]
-                )
-
-    states = df.select("id", "x").mapInArrow(final, "id bigint, z int")
-    fields = "iter int, n bigint, moved bigint, loss double, w array<double>"
-    return spark.createDataFrame(log, fields), states
-
-
-def _spans(start: int, count: int, total: int):
-    end = start + count
-    return [(start, end)] if end <= total else [(start, total), (0, end - total)]
+            at, points = (at + size) % total, points + int(out[-1])
+            record = (step, int(out[-1]), int(out[-3]), float(out[-2] / out[-1]), [float(v) for v in w])
+            if recorder.note(step, points, lambda _: record, state, step == begun + steps):
+                break
+    states = cut(table.read())
+    if not archive:
+        table.clear()
+    return recorder.result(), states
 
 
 def moves(df: DataFrame, old: Column, new: Column) -> DataFrame:
@@ -166,18 +161,26 @@ def moves(df: DataFrame, old: Column, new: Column) -> DataFrame:
 
     The last position, ``j = dim``, of every cluster is its count.
     """
-    ext = F.concat("x", F.array(F.lit(1.0)))
     changed = df.where(old != new)
     signed = F.array(
         F.struct(old.alias("z"), F.lit(-1.0).alias("sign")),
         F.struct(new.alias("z"), F.lit(1.0).alias("sign")),
     )
-    return (
-        changed.select(F.explode(signed).alias("m"), ext.alias("x"))
-        .select("m.z", "m.sign", F.posexplode("x").alias("j", "v"))
-        .groupBy("z", "j")
-        .agg(F.sum(F.col("sign") * F.col("v")).alias("s"))
-    )
+    each = changed.select(F.explode(signed).alias("m"), "x").select(F.col("m.z").cast("int").alias("z"), F.col("m.sign").alias("sign"), "x")
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                z, sign, X = np.asarray(b.column("z")), np.asarray(b.column("sign")), matrix(b.column("x"))
+                signed_rows = np.hstack([X, np.ones((len(X), 1))]) * sign[:, None]
+                for c in np.unique(z):
+                    sums[int(c)] = sums.get(int(c), 0.0) + signed_rows[z == c].sum(axis=0)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), lists(np.array(list(sums.values())))], names=["z", "s"])
+
+    parts = each.mapInArrow(partial, "z int, s array<double>")
+    return parts.select("z", F.posexplode("s").alias("j", "s")).groupBy("z", "j").agg(F.sum("s").alias("s"))
 
 
 def objective(df: DataFrame, model: KMeans, w: np.ndarray) -> DataFrame:

@@ -65,13 +65,19 @@ def shuffle(df: DataFrame, seed: int) -> DataFrame:
 
 
 def numbered_rows(df: DataFrame) -> int:
-    """Row count, or ``ValueError`` where the ids are not 0 to count - 1.
+    """Row count, or ``ValueError`` where the ids are not 0 to count - 1, each once.
 
-    Batches are taken as id ranges, so other ids would silently be left out.
+    Batches are taken as id ranges, so other ids would silently be left out. Repeated ids
+    are found by comparing a combined hash of all ids with that of the range.
     """
-    low, high, total = df.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    if total and (low, high) != (0, total - 1):
+    mark = F.bit_xor(F.xxhash64("id"))
+    low, high, total, found = df.agg(F.min("id"), F.max("id"), F.count("*"), mark).first()
+    if not total:
+        return 0
+    if (low, high) != (0, total - 1):
         raise ValueError(f"ids run from {low} to {high}, not from 0 to {total - 1}; number the rows first")
+    if df.sparkSession.range(total).agg(mark).first()[0] != found:
+        raise ValueError(f"some ids from 0 to {total - 1} are missing and others repeated; number the rows first")
     return total
 
 

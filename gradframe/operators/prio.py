@@ -216,12 +216,21 @@ def overlap(prio: DataFrame, reference: int, ks: list[int]) -> DataFrame:
     rows = cut(rows.select("iter", "id", "rank"))
     own = rows.where(F.col("iter") == reference).select("id", F.col("rank").alias("ref"))
     count = own.count()
-    each = rows.join(small(own, count), "id", "left").withColumn(
-        "k", F.explode(F.array(*[F.lit(k) for k in ks]))
+    # a row is in all sets from the first k on that reaches its rank: counts per k, then running sums
+    steps = sorted(set(ks))
+    reached = lambda rank: F.when(rank.isNotNull(), F.get(F.filter(F.array(*[F.lit(k) for k in steps]), lambda k: k >= rank), F.lit(0)))
+    both = F.greatest("rank", "ref")
+    from_k = F.explode(F.array(
+        F.struct(reached(F.col("rank")).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("c")),
+        F.struct(reached(F.when(F.col("ref").isNotNull(), both)).alias("k"), F.lit(0).alias("a"), F.lit(1).alias("c")),
+    )).alias("e")
+    near = rows.join(small(own, count), "id", "left").select("iter", from_k).select("iter", "e.*").where(F.col("k").isNotNull())
+    counts = near.groupBy("iter", "k").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    grid = rows.select("iter").distinct().select("iter", F.explode(F.array(*[F.lit(k) for k in steps])).alias("k"))
+    upto = Window.partitionBy("iter").orderBy("k")  # as many rows as there are sets
+    sets = grid.join(counts, ["iter", "k"], "left").select(
+        "iter", "k", F.coalesce(F.sum("a").over(upto), F.lit(0)).alias("a"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("c")
     )
-    mine = F.sum((F.col("rank") <= F.col("k")).cast("int"))
-    both = F.sum(((F.col("rank") <= F.col("k")) & (F.col("ref") <= F.col("k"))).cast("int"))
-    sets = each.groupBy("iter", "k").agg(mine.alias("a"), F.coalesce(both, F.lit(0)).alias("c"))
     union = F.col("a") + F.least(F.col("k"), F.lit(count)) - F.col("c")
     return sets.select("iter", "k", (F.col("c") / union).alias("jaccard"))
 

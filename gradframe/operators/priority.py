@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,18 +16,22 @@ from gradframe.functions import vec
 from gradframe.functions.batches import lists
 from gradframe.functions.models import LR, Model
 from gradframe.operators.gradients import (
-    batch_grad_rows,
+    batch_grad_sum,
+    batch_measures,
     gradients,
     reduce_gradient,
     vector_sum,
 )
 from gradframe.operators.prep import batch_slice, numbered_rows
+from gradframe.operators.progress import Keeping, Recorder
 from gradframe.operators.scoring import NARROW
-from gradframe.plans.lineage import cut, held
+from gradframe.plans.lineage import checkpoint_dir, cut, held
+from gradframe.plans.segments import Segments, spans
 from gradframe.plans.sizes import BROADCAST_ROWS, small
-from gradframe.plans.topk import heap_for, top_k
-from gradframe.sources import history
+from gradframe.plans.topk import HEAP_ROWS, heap_for, top_k
+from gradframe.sources import history, snapshots
 from gradframe.sources.scores import write_by_iter
+from gradframe.sources.snapshots import Snapshot
 
 SMOOTHING = 0.8  # fixed value: weight of the newest slope in the decay models
 VERSION_STEP = 32  # fixed value: points per version in the version-by-points variation
@@ -65,8 +70,7 @@ def priorities(
     def run(batches):
         for b in batches:
             if b.num_rows:
-                G, _ = batch_grad_rows(model, b, w)
-                p = np.einsum("mj,mj->m", G, G) if direction is None else G @ direction
+                p, _, _ = batch_measures(model, b, w, direction)
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c) for c in keep], pa.array(p)], names=names
                 )
@@ -202,9 +206,7 @@ def fresh_priorities(rows: DataFrame, model: Model, w: np.ndarray, direction: np
         acc = None
         for b in batches:
             if b.num_rows:
-                G, _ = batch_grad_rows(model, b, w)
-                p = np.einsum("mj,mj->m", G, G) if direction is None else G @ direction
-                part = G.sum(axis=0)
+                p, part, _ = batch_measures(model, b, w, direction)
                 acc = part if acc is None else acc + part
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), pa.array(p), pa.nulls(b.num_rows, pa.list_(pa.float64()))],
@@ -235,6 +237,35 @@ def top_gradient(rows: DataFrame, ids: DataFrame, k: int, model: Model, w: np.nd
     return reduce_gradient(chosen, model, w)
 
 
+def _records(spark: SparkSession, keeping: Keeping | None) -> Recorder:
+    return Recorder(spark, keeping, lambda found: history.rows(spark, found))
+
+
+def _table(spark: SparkSession, keeping: Keeping | None, name: str = "priorities") -> Segments:
+    """Where the loop's state table lies: beside the archive, else in a scratch folder."""
+    if keeping is not None and keeping.archive:
+        return Segments(spark, f"{snapshots.folder(keeping.archive)}/{name}")
+    return Segments(spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def _finished(table: Segments, keeping: Keeping | None) -> DataFrame:
+    """All rows of a state table, written once more; a scratch table is removed."""
+    rows = cut(table.read())
+    if keeping is None or not keeping.archive:
+        table.clear()
+    return rows
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    return top_k(scored, k, "p", "id", heap_for(scored))
+
+
+def _patched(table: Segments, ranges, ids: DataFrame, fresh: DataFrame, decay, now: int, k: int) -> None:
+    """Renew the priorities of scattered rows that lie in the ranges."""
+    old = table.read(ranges).join(small(ids.select("id"), k), "id", "left_semi")
+    table.patch(renew(old, fresh, decay, now, k), k)
+
+
 def train_prioritised(
     df: DataFrame,
     model: Model,
@@ -250,6 +281,7 @@ def train_prioritised(
     average: bool = True,
     compat: bool = False,
     log: str | None = None,
+    keeping: Keeping | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Train on the ``top`` share of rows by (decayed) priority; ids 0 to N-1.
 
@@ -258,28 +290,33 @@ def train_prioritised(
     ``r`` adds the renewed rows' gradient, ``l`` renews the top rows too, ``a``
     moves the mean gradient by the top rows, ``p`` counts versions by points.
     Returns the history ``(iter, time, n, w)`` and the state table; ``log``
-    appends all priorities of every step to a table.
+    appends all priorities of every step to a table; ``keeping`` archives and resumes.
 
-    The state is one narrow row per point. It changes by a merge on id (a
-    broadcast of the renewed rows while these are few) and is checkpointed once
-    per step, so the data itself is never rewritten.
+    The state is one narrow row per point, held in segments by id: a step reads and writes the
+    renewed range (and with ``l`` the top rows), never the rest. The selection scans the
+    state once, without a join.
     """
     spark, model_decay = df.sparkSession, DECAYS[decay]
     with held(df.select(*[c for c in ("id", "x", "xs", "y") if c in df.columns])) as rows:
         total = numbered_rows(rows)
         k, renewed = int(total * top), int(total * renew_share)
-        w, version, at = np.array(w0, float), 0, 0
-        mean = np.zeros(model.width)
-        if PROJECTION in (init, how):
-            n, _, g = reduce_gradient(rows, model, w)
-            mean = g / n
-        first = priorities(rows, model, w, init, mean)
-        state = cut(
-            first.select("id", *named(model_decay, model_decay.initial(F.col("p"), F.lit(0))))
-        )
-        move = (lambda: (renewed + k) // VERSION_STEP) if set("pd") & set(variation) else (lambda: 1)
-        version += move()
-        records, points = [(0, 0.0, 0, w)], 0
+        move = (renewed + k) // VERSION_STEP if set("pd") & set(variation) else 1
+        recorder, table = _records(spark, keeping), _table(spark, keeping)
+        recorder.committed = table.drop
+        before = recorder.restored()
+        if before is not None:
+            w, mean, begun = before.vectors["w"], before.vectors["mean"], before.iter
+            version, at, points = (int(before.numbers[c]) for c in ("version", "at", "points"))
+            table.at(before.tables["state"])
+        else:
+            w, mean, begun, version, at, points = np.array(w0, float), np.zeros(model.width), 0, move, 0, 0
+            if PROJECTION in (init, how):
+                n, _, g = reduce_gradient(rows, model, w)
+                mean = g / n
+            first = priorities(rows, model, w, init, mean)
+            state = model_decay.initial(F.col("p"), F.lit(0))
+            table.replace([(0, total)], first.select("id", *named(model_decay, state)))
+            recorder.records.append((0, 0.0, 0, w))
         direction = lambda: mean if how == PROJECTION else None
 
         def moved(g, count):
@@ -288,40 +325,45 @@ def train_prioritised(
                 return (1 - f) * mean * f + f * g
             return (1 - f) * mean + f * g / max(count, 1)
 
-        for step in range(1, steps + 1):
+        def state() -> Snapshot:
+            numbers = {"version": version, "at": at, "points": points}
+            return Snapshot(step, numbers, {"w": w, "mean": mean}, {"state": table.version()})
+
+        for step in range(begun + 1, begun + steps + 1):
             g1 = np.zeros(model.width)
             if renewed:
-                part = batch_slice(rows, at, renewed, total)
-                fresh, g1 = fresh_priorities(part, model, w, direction())
-                state = renew(state, fresh, model_decay, version, renewed)
+                ranges = spans(at, renewed, total)
+                fresh, g1 = fresh_priorities(batch_slice(rows, at, renewed, total), model, w, direction())
+                table.replace(ranges, renew(table.read(ranges), fresh, model_decay, version, renewed))
                 mean = moved(g1, renewed)
                 at = (at + renewed) % total
-                state = cut(state)
-            scored = state.select("id", model_decay.at(F.lit(version)).alias("p"))
-            ids = top_k(scored, k, "p", "id", heap_for(state))
+            scored = table.read().select("id", model_decay.at(F.lit(version)).alias("p"))
+            ids = _top(scored, k)
             if "l" in variation:
                 ids = cut(ids)
                 chosen = rows.join(small(ids.select("id"), k), "id", "left_semi")
                 fresh, g2 = fresh_priorities(chosen, model, w, direction())
-                state = cut(renew(state, fresh, model_decay, version, k))
+                _patched(table, None, ids, fresh, model_decay, version, k)
             else:
                 _, _, g2 = top_gradient(rows, ids, k, model, w)
             if "a" in variation:
                 mean = moved(g2, k)
-            version += move()
+            version += move
             if average:
                 delta = g2 / max(k, 1) + (g1 / max(renewed, 1) if "r" in variation else 0.0)
             else:
                 delta = g2 + (g1 if "r" in variation else 0.0)
             w = w - rate * delta
             points += k
-            records.append((step, float(step), points, w))
             if log:
-                logged = state.select(
+                logged = table.read().select(
                     F.lit(step).alias("iter"), "id", model_decay.at(F.lit(version)).alias("p")
                 )
                 write_by_iter(logged, log)
-    return history.rows(spark, records), state
+            record = (step, float(step), points, w)
+            if recorder.note(step, points, lambda _: record, state, step == begun + steps):
+                break
+        return recorder.result(), _finished(table, keeping)
 
 
 # --- variants with other reference directions ---------------------------------
@@ -338,53 +380,85 @@ def train_block(
     use_renewed: bool = False,
     batch: int | None = None,
     steps: int = 1,
+    keeping: Keeping | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Projection on the sum of block mean gradients, top rows within the batch.
 
-    Blocks are runs of ``block`` consecutive ids. Their means are a table; only
-    their sum comes to the driver. Returns history, ``(id, p)`` and
-    ``(block, g)``.
+    Blocks are runs of ``block`` consecutive ids. Their means are a table, of which a step rewrites
+    the renewed blocks; only their sum, moved by what changed, comes to the driver. Returns history,
+    ``(id, p)`` and ``(block, g)``.
     """
     spark = df.sparkSession
     with held(df.select("id", "x", "y")) as rows:
         total = numbered_rows(rows)
         block = min(block or total, total)
         size, renewed = min(batch or total, total), int(total * renew_share)
-        w = np.array(w0, float)
-        blocks = cut(_block_sums(rows, model, w, block).select(
-            "block", F.transform("g", lambda v: v / F.col("n")).alias("g")
-        ))
-        direction = _vector(blocks, model.width)
-        state = cut(priorities(rows, model, w, PROJECTION, direction))
-        records, points, at, start = [(0, 0.0, 0, w)], 0, 0, 0
-        for step in range(1, steps + 1):
+        recorder, table = _records(spark, keeping), _table(spark, keeping)
+        means = _table(spark, keeping, "blocks")
+        recorder.committed = lambda: (table.drop(), means.drop())
+        before = recorder.restored()
+        if before is not None:
+            w, direction, begun = before.vectors["w"], before.vectors["direction"], before.iter
+            at, start, points = (int(before.numbers[c]) for c in ("at", "start", "points"))
+            table.at(before.tables["state"])
+            means.at(before.tables["blocks"])
+        else:
+            w, begun, at, start, points = np.array(w0, float), 0, 0, 0, 0
+            first = F.transform("g", lambda v: v / F.col("n")).alias("g")
+            means.replace([(0, -(-total // block))], _block_sums(rows, model, w, block).select(F.col("block").alias("id"), first))
+            direction = _vector(means.read(), model.width)
+            table.replace([(0, total)], priorities(rows, model, w, PROJECTION, direction))
+            recorder.records.append((0, 0.0, 0, w))
+
+        def state() -> Snapshot:
+            numbers = {"at": at, "start": start, "points": points}
+            tables = {"state": table.version(), "blocks": means.version()}
+            return Snapshot(step, numbers, {"w": w, "direction": direction}, tables)
+
+        for step in range(begun + 1, begun + steps + 1):
             g = np.zeros(model.width)
             if renewed:
-                part = batch_slice(rows, at, renewed, total)
+                part, ranges = batch_slice(rows, at, renewed, total), spans(at, renewed, total)
                 fresh, g1 = fresh_priorities(part, model, w, direction)
-                sums = _block_sums(part, model, w, block).withColumnRenamed("g", "_g")
+                touched = _merged_spans([(lo // block, (hi - 1) // block + 1) for lo, hi in ranges])
+                sums = _block_sums(part, model, w, block).select(F.col("block").alias("id"), "n", F.col("g").alias("_g"))
                 share = F.col("n") / F.lit(float(block))
                 mixed = F.zip_with(
                     "g", "_g", lambda old, s: old * (F.lit(1.0) - share) + s / F.col("n") * share
                 )
-                blocks = cut(
-                    blocks.join(sums, "block", "left").select(
-                        "block", F.when(F.col("n").isNull(), F.col("g")).otherwise(mixed).alias("g")
-                    )
-                )
-                direction = _vector(blocks, model.width)
-                state = renew(state, fresh, DECAYS["keep"], step, renewed)
+                old = means.read(touched)
+                changed = cut(old.join(sums, "id", "left").select(
+                    "id", F.when(F.col("n").isNull(), F.col("g")).otherwise(mixed).alias("g")
+                ))
+                direction = direction + _vector(changed, model.width) - _vector(old, model.width)
+                means.replace(touched, changed)
+                table.replace(ranges, renew(table.read(ranges), fresh, DECAYS["keep"], step, renewed))
                 at = (at + renewed) % total
                 g = g1 if use_renewed else g
             k = round(top * size)
-            ids = cut(top_k(batch_slice(state, start, size, total), k, "p", "id", heap_for(state)))
+            inside = spans(start, size, total)
+            ids = cut(_top(table.read(inside), k))
             chosen = rows.join(small(ids.select("id"), k), "id", "left_semi")
             fresh, g2 = fresh_priorities(chosen, model, w, direction)
-            state = cut(renew(state, fresh, DECAYS["keep"], step, k))
+            _patched(table, inside, ids, fresh, DECAYS["keep"], step, k)
             w = w - rate * (g + g2) / max(k, 1)
             start, points = (start + size) % total, points + k
-            records.append((step, float(step), points, w))
-    return history.rows(spark, records), state, blocks
+            record = (step, float(step), points, w)
+            if recorder.note(step, points, lambda _: record, state, step == begun + steps):
+                break
+        blocks = _finished(means, keeping).withColumnRenamed("id", "block")
+        return recorder.result(), _finished(table, keeping), blocks
+
+
+def _merged_spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def _block_sums(rows: DataFrame, model: Model, w: np.ndarray, block: int) -> DataFrame:
@@ -393,12 +467,11 @@ def _block_sums(rows: DataFrame, model: Model, w: np.ndarray, block: int) -> Dat
     def run(batches):
         for b in batches:
             if b.num_rows:
-                G, _ = batch_grad_rows(model, b, w)
-                key, where, n = np.unique(
-                    np.asarray(b.column("id")) // block, return_inverse=True, return_counts=True
-                )
-                sums = np.zeros((len(key), model.width))
-                np.add.at(sums, where, G)
+                of = np.asarray(b.column("id")) // block
+                order = np.argsort(of, kind="stable")
+                key, first, n = np.unique(of[order], return_index=True, return_counts=True)
+                parts = [b.take(pa.array(order[a : a + m])) for a, m in zip(first, n)]
+                sums = np.array([batch_grad_sum(model, part, w)[0] for part in parts])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(n), lists(sums)], names=["block", "n", "g"]
                 )
@@ -426,6 +499,7 @@ def train_decayed_mean(
     use_renewed: bool = False,
     batch: int | None = None,
     steps: int = 1,
+    keeping: Keeping | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Projection on a mean gradient that forgets: ``m <- decay*m + (1-decay)*g``.
 
@@ -435,30 +509,46 @@ def train_decayed_mean(
     with held(df.select("id", "x", "y")) as rows:
         total = numbered_rows(rows)
         size, renewed = min(batch or total, total), int(total * renew_share)
-        w = np.array(w0, float)
-        n, _, g = reduce_gradient(rows, model, w)
-        mean = g / n
-        state = cut(priorities(rows, model, w, PROJECTION, mean))
-        records, points, at, start = [(0, 0.0, 0, w)], 0, 0, 0
-        for step in range(1, steps + 1):
+        recorder, table = _records(spark, keeping), _table(spark, keeping)
+        recorder.committed = table.drop
+        before = recorder.restored()
+        if before is not None:
+            w, mean, begun = before.vectors["w"], before.vectors["mean"], before.iter
+            at, start, points = (int(before.numbers[c]) for c in ("at", "start", "points"))
+            table.at(before.tables["state"])
+        else:
+            w, begun, at, start, points = np.array(w0, float), 0, 0, 0, 0
+            n, _, g = reduce_gradient(rows, model, w)
+            mean = g / n
+            table.replace([(0, total)], priorities(rows, model, w, PROJECTION, mean))
+            recorder.records.append((0, 0.0, 0, w))
+
+        def state() -> Snapshot:
+            numbers = {"at": at, "start": start, "points": points}
+            return Snapshot(step, numbers, {"w": w, "mean": mean}, {"state": table.version()})
+
+        for step in range(begun + 1, begun + steps + 1):
             g = np.zeros(model.width)
             if renewed:
-                part = batch_slice(rows, at, renewed, total)
+                part, ranges = batch_slice(rows, at, renewed, total), spans(at, renewed, total)
                 fresh, g1 = fresh_priorities(part, model, w, mean)
                 mean = decay * mean + (1 - decay) * g1 / renewed
-                state = renew(state, fresh, DECAYS["keep"], step, renewed)
+                table.replace(ranges, renew(table.read(ranges), fresh, DECAYS["keep"], step, renewed))
                 at = (at + renewed) % total
                 g = g1 if use_renewed else g
             k = round(top * size)
-            ids = cut(top_k(batch_slice(state, start, size, total), k, "p", "id", heap_for(state)))
+            inside = spans(start, size, total)
+            ids = cut(_top(table.read(inside), k))
             chosen = rows.join(small(ids.select("id"), k), "id", "left_semi")
             fresh, g2 = fresh_priorities(chosen, model, w, mean)
-            state = cut(renew(state, fresh, DECAYS["keep"], step, k))
+            _patched(table, inside, ids, fresh, DECAYS["keep"], step, k)
             mean = decay * mean + (1 - decay) * g2 / max(k, 1)
             w = w - rate * (g + g2) / max(k, 1)
             start, points = (start + size) % total, points + k
-            records.append((step, float(step), points, w))
-    return history.rows(spark, records), state
+            record = (step, float(step), points, w)
+            if recorder.note(step, points, lambda _: record, state, step == begun + steps):
+                break
+        return recorder.result(), _finished(table, keeping)
 
 
 def train_exact(
@@ -484,7 +574,9 @@ def train_exact(
                 n, _, g = reduce_gradient(rows, model, w)
                 direction = g / n
             part = batch_slice(rows, start, size, total)
-            ids = top_k(priorities(part, model, w, how, direction), k, "p", "id")
+            scored = priorities(part, model, w, how, direction)
+            # a selection of many rows reads them several times
+            ids = top_k(cut(scored) if k > HEAP_ROWS else scored, k, "p", "id")
             n, _, g = top_gradient(part, ids, k, model, w)
             w = w - rate * g / max(k, 1)
             start = (start + size) % total
@@ -532,7 +624,8 @@ def train_dimensions(
         for step in range(1, steps + 1):
             part = batch_slice(rows, start, size, total)
             _, _, g = reduce_gradient(rows, model, w)
-            got = pair_sums(top_pairs(gradients(part, model, w, keep=["id"]), g, k)).toPandas()
+            graded = gradients(part, model, w, keep=["id"]).select("id", "g")
+            got = pair_sums(top_pairs(cut(graded) if k > HEAP_ROWS else graded, g, k)).toPandas()
             delta = np.zeros(model.width)
             delta[got["j"].to_numpy()] = got["g"].to_numpy() / got["n"].to_numpy()
             w = w - rate * delta / (max(k, 1) if average else 1)

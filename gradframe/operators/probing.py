@@ -6,12 +6,16 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradframe.functions.batches import matrix
 from gradframe.functions.models import Model
 from gradframe.operators.gradients import is_narrow, loop_columns, reduce_gradient
 from gradframe.operators.prep import batch_slice
+from gradframe.operators.scoring import scores_of
+from gradframe.plans.blockjoin import meet
 from gradframe.plans.lineage import held
 from gradframe.plans.sizes import small
 
@@ -49,6 +53,28 @@ def probe_batch_sizes(
     return spark.createDataFrame(out, "k bigint, loss double, gain double, time double, rate double")
 
 
+def batch_losses(df: DataFrame, model: Model, history: DataFrame, size: int) -> DataFrame:
+    """``(k, version, batch, n, loss)``: loss sums of every batch of ``size`` rows by id under every record.
+
+    One pass: blocks of rows meet blocks of records, and only sums per record and batch are shuffled.
+    """
+    source = "xs" if "xs" in df.columns else "x"
+    names = ["version", "batch", "n", "loss"]
+
+    def visit(pairs):
+        for rows, records in pairs:
+            batch, place = np.unique(np.asarray(rows.column("id")) // size, return_inverse=True)
+            Y, n = matrix(rows.column("y")), np.bincount(place, minlength=len(batch))
+            for i, w in zip(records.column("iter").to_pylist(), matrix(records.column("w"))):
+                loss = np.bincount(place, model.loss(scores_of(model, rows.column(source), w), Y), len(batch))
+                columns = [np.full(len(batch), i, np.int32), batch, n, loss]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    parts = meet(df.select("id", source, "y"), history.select("iter", "w"), visit, "version int, batch bigint, n bigint, loss double")
+    sums = parts.groupBy("version", "batch").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    return sums.select(F.lit(size).cast("bigint").alias("k"), *names)
+
+
 def gain_estimates(losses: DataFrame) -> DataFrame:
     """Loss drop per point of every batch size, measured four ways.
 

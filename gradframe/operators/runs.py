@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradframe.plans.lineage import cut
 from gradframe.plans.ordered import lagged
+from gradframe.plans.sizes import small
 
 
 def reached(scores: DataFrame, target: float | Column, value: str = "loss", at: str = "time") -> DataFrame:
@@ -74,7 +76,7 @@ def progress(
     """``(p0 - s) / (p0 - pinf)`` over all runs or within each."""
     if per_run:
         bounds = scores.groupBy("run").agg(F.max(value).alias("_h"), F.min(value).alias("_l"))
-        rows = scores.join(bounds, "run")
+        rows = scores.join(small(bounds), "run")
         high = F.col("_h") if p0 is None else F.lit(float(p0))
         low = F.col("_l") if pinf is None else F.lit(float(pinf))
         return rows.withColumn("progress", F.try_divide(high - F.col(value), high - low)).drop("_h", "_l")
@@ -92,7 +94,7 @@ def strip_overhead(scores: DataFrame, portion: float, fixed: float = 0.0) -> Dat
         F.lit(0.0)
     )
     return (
-        scores.join(ends, "run")
+        scores.join(small(ends), "run")
         .withColumn("time", F.col("time") - (share + F.lit(float(fixed))))
         .drop("_n")
     )
@@ -122,15 +124,19 @@ def first_columns(scores: DataFrame, n: int, columns: list[str]) -> DataFrame:
 def relative_to(times: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """Times divided by those of the reference run of the same group."""
     base = reference.select(*keys, F.col("reached").alias("_ref"))
-    return times.join(base, keys).select(
+    return times.join(small(base), keys).select(
         *times.columns, F.try_divide("reached", "_ref").alias("relative")
     )
 
 
 def scaling(times: DataFrame, reference: int) -> DataFrame:
-    """Speed-up ``t_ref / t * n_ref`` per group against its run with ``reference`` workers."""
+    """Speed-up ``t_ref / t * n_ref`` per group against its run with ``reference`` workers.
+
+    The times are written once, since they and the reference among them are read.
+    """
+    times = cut(times)
     base = times.where(F.col("workers") == reference).select("grp", F.col("reached").alias("_ref"))
-    return times.join(base, "grp").select(
+    return times.join(small(base), "grp").select(
         "grp", "workers", "reached", (F.try_divide("_ref", "reached") * reference).alias("speedup")
     )
 

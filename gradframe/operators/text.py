@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradframe.plans.lineage import spread
+from gradframe.plans.lineage import cut, spread
 from gradframe.plans.ordered import ranked
-from gradframe.plans.sizes import small
+from gradframe.plans.sizes import BROADCAST_ROWS, small
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"  # fixed value: the ASCII punctuation characters
 BLANK = r"[ \t\n\r\f\x0B]+"
+HEAVY_DOCS = 100_000  # documents of a word, beyond which its rows are not shuffled
 
 
 def words(text: str = "text") -> Column:
@@ -23,6 +24,24 @@ def words(text: str = "text") -> Column:
     return F.split(F.lower(F.regexp_replace(text, PUNCTUATION, "")), BLANK)
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, word, cnt, pos)``: how often and where first a word stands in each document.
+
+    The texts are cut into words once; the counts are written, since dictionary and bag of words both read them.
+    """
+    tokens = spread(docs.select("doc_id", "text")).select(
+        "doc_id", F.posexplode(words()).alias("pos", "word")
+    ).where(F.col("word") != "")
+    return cut(tokens.groupBy("doc_id", "word").agg(F.count("*").alias("cnt"), F.min("pos").alias("pos")))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """``(word_id, word, docs)`` of counted words; ``docs`` is the number of a word's documents."""
+    first = counts.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("docs"))
+    numbered = ranked(first.select("word", "docs", "first.*"), [], ["doc_id", "pos"], "word_id")
+    return numbered.select((F.col("word_id") - 1).alias("word_id"), "word", "docs")
+
+
 def dictionary(docs: DataFrame) -> DataFrame:
     """``(word_id, word)``, numbered from 0 by first appearance.
 
@@ -31,25 +50,24 @@ def dictionary(docs: DataFrame) -> DataFrame:
     distinct words are ordered, and in ranges, so neither a frequent word nor a
     large vocabulary meets in one task.
     """
-    once = spread(docs.select("doc_id", "text")).select(
-        "doc_id", F.posexplode(F.array_distinct(words())).alias("pos", "word")
-    ).where(F.col("word") != "")
-    first = once.groupBy("word").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("pos", "doc_id").alias("pos")
-    )
-    numbered = ranked(first, [], ["doc_id", "pos"], "word_id")
-    return numbered.select((F.col("word_id") - 1).alias("word_id"), "word")
+    return _numbered(word_counts(docs)).select("word_id", "word")
 
 
 def bag_of_words(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Sparse counts ``(doc_id, word_id, cnt)``.
 
-    Words are counted per document before they meet the dictionary, which is
-    broadcast while it is small.
+    Words are counted per document before they meet the dictionary. That is broadcast while it is small. Of
+    a larger one only the heavy words are, which are in more than ``HEAVY_DOCS`` documents and so are few; the rest is joined
+    by shuffle, where no word has more rows than that.
     """
-    known = dictionary(docs) if known is None else known
-    tokens = spread(docs.select("doc_id", "text")).select(
-        "doc_id", F.explode(words()).alias("word")
-    ).where(F.col("word") != "")
-    counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("cnt"))
-    return counts.join(small(known), "word").select("doc_id", "word_id", "cnt")
+    counts = word_counts(docs)
+    numbered = cut(_numbered(counts))
+    found = numbered if known is None else known.join(numbered.select("word", "docs"), "word")
+    total = numbered.count()
+    pick = lambda rows: rows.select("doc_id", "word_id", "cnt")
+    if total <= BROADCAST_ROWS:
+        return pick(counts.join(small(found.drop("docs"), total), "word"))
+    heavy = cut(found.where(F.col("docs") > HEAVY_DOCS).drop("docs"))
+    rest = counts.join(small(heavy.select("word")), "word", "left_anti")
+    light = found.where(F.col("docs") <= HEAVY_DOCS).drop("docs")
+    return pick(counts.join(small(heavy), "word")).unionByName(pick(rest.join(light, "word")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradframe.plans.ordered import RANGE, fold_affine, lagged, previous, ranked, running, split
+from gradframe.plans.sizes import small
 
 EMA = 0.8  # fixed value: weight of the newest report
 
@@ -17,7 +18,7 @@ EMA = 0.8  # fixed value: weight of the newest report
 def fold_updates(deltas: DataFrame, start: DataFrame, factor: float = 1.0) -> DataFrame:
     """Parameter after each delta: ``(seq, j, w)`` from ``(seq, j, d)`` and ``(j, w)``."""
     steps = running(deltas, ["j"], ["seq"], {"s": F.col("d") * F.lit(float(factor))})
-    return steps.join(start.select("j", F.col("w").alias("_w0")), "j").select(
+    return steps.join(small(start.select("j", F.col("w").alias("_w0"))), "j").select(
         *[c for c in deltas.columns if c != "d"], (F.col("_w0") + F.col("s")).alias("w")
     )
 

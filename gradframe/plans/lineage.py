@@ -77,3 +77,26 @@ def _memory(spark: SparkSession) -> int:
     while each.hasNext():
         total += each.next()._1()
     return total
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _filesystem(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str, keep: set[str] | None = None) -> None:
+    """Remove a folder, or with ``keep`` those of its entries that are not named there."""
+    at, files = _filesystem(spark, path)
+    if keep is None:
+        files.delete(at, True)
+        return
+    names = {p.rstrip("/").rsplit("/", 1)[-1] for p in keep}
+    for entry in files.listStatus(at) if files.exists(at) else []:
+        if entry.getPath().getName() not in names:
+            files.delete(entry.getPath(), True)

@@ -112,7 +112,7 @@ def decode(df: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("record").to_pylist()), layout)
+            rows = np.frombuffer(_values(batch.column("record")), layout)
             columns = [batch.column("file"), batch.column("row")]
             for name, (_, length) in fields.items():
                 values = rows[name]
@@ -128,6 +128,14 @@ def decode(df: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
     return df.mapInArrow(unpack, schema)
 
 
+def _values(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all records one after the other, without an object for each."""
+    _, places, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(column) else np.empty(0, np.uint8)
+
+
 def blocks_to_rows(df: DataFrame, per_record: int) -> DataFrame:
     """Number consecutive records as ``(iter, id)`` blocks of ``per_record``."""
     return df.select(

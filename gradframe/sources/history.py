@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradframe.plans.sizes import BROADCAST_BYTES
 from gradframe.sources.fixedrecord import decode, read_records
 from gradframe.sources.tables import lines, number_rows
 
@@ -78,22 +76,3 @@ def read_model(spark: SparkSession, path: str, shape_line: bool, sep: str = ",")
     return cells.join(starts, "line").select("start", F.posexplode("c").alias("i", "w")).select(
         (F.col("start") + F.col("i")).cast("int").alias("j"), "w"
     )
-
-
-def blocks(history: DataFrame, limit: int = BROADCAST_BYTES):
-    """Iterate ``(iter, time, n, W)`` over runs of records of at most ``limit`` bytes.
-
-    Only one run of vectors is on the driver at a time.
-    """
-    sizes = sorted(tuple(r) for r in history.select("iter", F.size("w")).collect())
-    if not sizes:
-        return
-    per_run = max(1, limit // (8 * max(1, sizes[0][1])))
-    for at in range(0, len(sizes), per_run):
-        run = sizes[at : at + per_run]
-        part = history
-        if len(run) < len(sizes):
-            part = history.where(F.col("iter").between(run[0][0], run[-1][0]))
-        got = sorted(tuple(r) for r in part.select("iter", "time", "n", "w").collect())
-        i, t, n, w = zip(*got)
-        yield np.array(i), np.array(t, float), np.array(n), np.array(w, float)

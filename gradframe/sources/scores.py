@@ -37,9 +37,10 @@ def write_by_iter(df: DataFrame, path: str, done: DataFrame | None = None) -> No
     """Append gradients ``(iter, id, g)`` or priorities ``(iter, id, p)``.
 
     One folder per record, so that a reader of one record prunes the others
-    and a resumed run finds out what is there without reading data.
+    and a resumed run finds out what is there without reading data. Rows of a record are brought together
+    for few files, and split again where they are many.
     """
-    _pending(df, done).write.mode("append").partitionBy("iter").parquet(path)
+    _pending(df, done).hint("rebalance", "iter").write.mode("append").partitionBy("iter").parquet(path)
 
 
 def _pending(df: DataFrame, done: DataFrame | None) -> DataFrame:

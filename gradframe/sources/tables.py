@@ -7,11 +7,13 @@ A row becomes ``(id, x, y)``: ``id`` is the running number of the kept line,
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradframe.plans.lineage import cut
 from gradframe.plans.sizes import small
 
 COMMENT = "#"  # fixed value: lines starting so are no data
@@ -37,17 +39,18 @@ def number_rows(df: DataFrame, name: str = "id") -> DataFrame:
     """Number rows 0, 1, 2, ... by file, block and place, without a global sort.
 
     ``df`` carries ``_file`` and ``_block`` from :func:`lines`. Only one count
-    per file block is brought together.
+    per file block is brought together; the counts are written, so that the text is read
+    once for them and once for the rows.
     """
     placed = df.withColumn("_place", F.monotonically_increasing_id())
-    blocks = placed.groupBy("_file", "_block").agg(
+    blocks = cut(placed.groupBy("_file", "_block").agg(
         F.count("*").alias("_n"), F.min("_place").alias("_first")
-    )
+    ))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    return placed.join(small(starts), ["_file", "_block"]).select(
+    return placed.join(small(starts, blocks.count()), ["_file", "_block"]).select(
         (F.col("_start") + F.col("_place") - F.col("_first")).alias(name),
         *[c for c in df.columns if c not in ("_file", "_block")],
     )
@@ -59,6 +62,19 @@ def _cells(sep: str) -> Column:
     )
 
 
+def _leading_files(spark: SparkSession, path: str | list[str], first: int, count: Callable) -> list[str]:
+    """Files in the order of their names that hold ``first`` rows, or all; ``count(files)`` gives the rows of some.
+
+    They are tried in steps that double, so no more is read than twice what is needed, in whole files.
+    """
+    files = sorted(unquote(file) for file in spark.read.text(path).inputFiles())
+    taken, found, step = 0, 0, 1
+    while taken < len(files) and found < first:
+        found += count(files[taken : taken + step])
+        taken, step = taken + step, 2 * step
+    return files[:taken]
+
+
 def _parsed(spark, path, sep, header, width):
     rows = lines(spark, path, header).withColumn("_cells", _cells(sep))
     if width is None:
@@ -68,6 +84,11 @@ def _parsed(spark, path, sep, header, width):
     return rows, good, width
 
 
+def _good(spark, path, sep, header, width):
+    rows, good, _ = _parsed(spark, path, sep, header, width)
+    return rows.where(good)
+
+
 def read_table(
     spark: SparkSession,
     path: str | list[str],
@@ -82,10 +103,14 @@ def read_table(
     """Read rows; negative ``y`` counts from the end, -1 in ``skip`` is a filler.
 
     The first line fixes the number of columns unless ``width`` does. ``first``
-    keeps exactly that many rows (0 for all), ``shard=(n, p)`` the rows whose
+    keeps exactly that many rows (0 for all) and reads no files beyond those that hold them, ``shard=(n, p)`` the rows whose
     number is p modulo n.
     """
     rows, good, width = _parsed(spark, path, sep, header, width)
+    if first:
+        of = lambda files: _good(spark, files, sep, header, width).count()
+        path = _leading_files(spark, path, first, of)
+        rows, good, width = _parsed(spark, path, sep, header, width)
     labels = [c % width for c in y] if width else []
     dropped = {c for c in skip if c >= 0}
     xs = [i for i in range(width) if i not in dropped and i not in labels]

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gradframe.functions.models import Model
 from gradframe.operators.gradients import reduce_gradient
+from gradframe.plans.lineage import cut
 from gradframe.sources import history
 
 
@@ -81,16 +82,71 @@ def _newest(spark: SparkSession, path: str, gap: int) -> dict[int, tuple[int, np
 
 
 def _first_version(spark: SparkSession, note: str, newest: int, go_on: bool) -> int:
-    """The version a stream with this checkpoint began with, noted at its first start."""
+    """The version a stream with this checkpoint began with, noted at its first start.
+
+    A folder without a row was left by a start that was cut short, and counts as no note.
+    """
     try:
-        return spark.read.schema("version bigint").parquet(note).first()["version"]
+        noted = spark.read.schema("version bigint").parquet(note).first()
     except AnalysisException:
-        if newest and not go_on:
-            raise ValueError("the version table belongs to a stream with another checkpoint") from None
-    spark.range(newest, newest + 1).select(F.col("id").alias("version")).coalesce(1).write.parquet(note)
+        noted = None
+    if noted is not None:
+        return noted["version"]
+    if newest and not go_on:
+        raise ValueError("the version table belongs to a stream with another checkpoint")
+    spark.range(newest, newest + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("overwrite").parquet(note)
     return newest
 
 
+def stream_train_boxes(
+    stream: DataFrame,
+    model: Model,
+    w0: np.ndarray,
+    rate: float,
+    path: str,
+    checkpoint: str,
+    at: str,
+    length: str,
+    late: str,
+    start: str = "0 seconds",
+    parts: int | None = None,
+    average: bool = True,
+) -> StreamingQuery:
+    """Start training on a stream of ``(at, x, y)`` rows, one step for every box of event time.
+
+    A box of the given ``length`` (counted from ``start``) is closed once rows arrive that are ``late`` beyond its end; its
+    rows then give one gradient at the newest version, and the version's ``time`` is the box's end in
+    seconds. Boxes are closed in their order, and one that has no rows gives no version. Rows
+    that arrive after their box was closed are left out; boxes still open at the end of the stream wait for the next start. A
+    box closed a second time after a failure finds its version there and changes nothing.
+
+    A box's rows wait in the state in ``parts`` pieces by hash, so none holds a whole box.
+    """
+    spark = stream.sparkSession
+    if not _has_versions(spark, path):
+        history.append(history.rows(spark, [(0, float("-inf"), 0, w0)]), path)
+    newest = history.last(history.read(spark, path))
+    state = {"iter": newest["iter"], "time": newest["time"], "n": newest["n"], "w": np.array(newest["w"])}
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    box = F.window(at, length, startTime=start).alias("box")
+    piece = F.pmod(F.xxhash64(F.col(at), "x", "y"), F.lit(parts)).alias("piece")
+    closed = stream.withWatermark(at, late).groupBy(box, piece).agg(F.collect_list(F.struct("x", "y")).alias("rows"))
+
+    def update(batch: DataFrame, number: int) -> None:
+        rows = cut(batch.select(F.unix_micros("box.end").alias("end"), F.inline("rows")))
+        ends = sorted(r["end"] for r in rows.select("end").distinct().collect())
+        for end in ends:
+            if end / 1e6 <= state["time"]:
+                continue
+            n, _, g = reduce_gradient(rows.where(F.col("end") == end), model, state["w"])
+            w = state["w"] - rate * (g / max(n, 1) if average else g)
+            state.update(iter=state["iter"] + 1, time=end / 1e6, n=state["n"] + n, w=w)
+            history.append(history.rows(spark, [(state["iter"], state["time"], state["n"], w)]), path)
+
+    writer = closed.writeStream.outputMode("append").foreachBatch(update).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def _has_versions(spark: SparkSession, path: str) -> bool:
     try:
         return not history.read(spark, path).isEmpty()

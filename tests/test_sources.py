@@ -98,13 +98,6 @@ def test_history_imports(spark, tmp_path):
         assert [tuple(r) for r in history.nth(df, 0).collect()] == want[:1]
 
 
-def test_history_blocks_are_bounded(spark):
-    df = history.rows(spark, [(i, 0.0, i, [float(i)] * 4) for i in range(10)])
-    runs = list(history.blocks(df, limit=3 * 32))
-    assert [list(i) for i, *_ in runs] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9]]
-    assert np.allclose(np.vstack([w for *_, w in runs])[:, 0], range(10))
-
-
 def test_model_file(spark, tmp_path):
     (tmp_path / "m.txt").write_text("2-1-1\n1,2,3\n4,5\n")
     got = history.read_model(spark, str(tmp_path / "m.txt"), shape_line=True).orderBy("j").collect()

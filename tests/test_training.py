@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradframe.functions.models import LR, MLP, KMeans
 from gradframe.operators import evaluation, gradients, kmeans, prep, priority, probing, training
-from gradframe.plans import topk
+from gradframe.plans import blockjoin, topk
 from gradframe.sources import history, scores
 
 
@@ -115,8 +115,8 @@ def test_evaluate_resumes_and_cuts_long_histories(spark, monkeypatch):
     df = frame(spark, X, Y)
     h = history.rows(spark, [(i, i / 2, i, np.full(4, i / 10)) for i in range(7)])
     whole = evaluation.evaluate(df, LR(3), h, np.zeros(4)).orderBy("iter").toPandas()
-    blocks = evaluation.store.blocks
-    monkeypatch.setattr(evaluation.store, "blocks", lambda h: blocks(h, 3 * 32))
+    monkeypatch.setattr(blockjoin, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(blockjoin, "BROADCAST_BYTES", 0)
     done = whole[["iter"]].iloc[[0, 1, 4]]
     rest = evaluation.evaluate(df, LR(3), h, np.zeros(4), done=spark.createDataFrame(done)).orderBy("iter").toPandas()
     want = whole[~whole["iter"].isin([0, 1, 4])].reset_index(drop=True)
