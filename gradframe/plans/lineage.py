@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that no frame refers to any more.
+
+    Spark removes them once the driver's garbage collector has found them unused, which a driver with little
+    to do for itself seldom gets to. Long chains of written results call this in between.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def estimate(df: DataFrame) -> int:
     """The optimizer's size estimate in bytes; no job is run for it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
