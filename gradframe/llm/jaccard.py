@@ -38,7 +38,7 @@ from gradframe.llm.columns import bounded_broadcast, private, quoted, text_of
 from gradframe.llm.graph import components
 from gradframe.llm.shingles import mixed, set_key, shingle_set
 from gradframe.plans import ordered
-from gradframe.plans.lineage import cut
+from gradframe.plans.lineage import cut, release
 from gradframe.session import ship
 
 PERCENT = 80
@@ -190,21 +190,18 @@ def _pairs(tokens: np.ndarray, long: np.ndarray, band: int) -> tuple[np.ndarray,
 
 
 def _postings(df: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> DataFrame:
-    """``sig, salt, node, n`` of every distinct set; copies inside one task give theirs once."""
+    """``sig, salt, node`` of every distinct set; copies inside one task give theirs once."""
     known = df.sparkSession.sparkContext.broadcast(levels)
-    names = ["sig", "salt", "node", "n"]
+    names = ["sig", "salt", "node"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, salts, nodes, sizes, held = [], [], [], [], 0
+        sigs, salts, nodes, held = [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
             lengths = [len(s) for s in sigs]
             whole = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-            columns = [
-                whole(sigs, np.int64), whole(salts, np.int32),
-                np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths),
-            ]
+            columns = [whole(sigs, np.int64), whole(salts, np.int32), np.repeat(np.array(nodes, np.int64), lengths)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for _, _, tokens in _sets(batches, 0):
@@ -218,14 +215,13 @@ def _postings(df: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> Dat
             sigs.append(found)
             salts.append(np.where(long, 1 + node % SALTS, 0).astype(np.int32))
             nodes.append(node)
-            sizes.append(len(tokens))
             held += len(found)
             if held > 100_000:
                 yield flushed()
-                sigs, salts, nodes, sizes, held = [], [], [], [], 0
+                sigs, salts, nodes, held = [], [], [], 0
         yield flushed()
 
-    return df.select("text").mapInArrow(index, "sig bigint, salt int, node bigint, n int")
+    return df.select("text").mapInArrow(index, "sig bigint, salt int, node bigint")
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +326,7 @@ def _short_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
     The join itself leaves out pairs whose bitmaps differ in more bits than similar sets can.
     """
     apart = cut(placed.join(lists, "sig", "left_semi"))
-    words = sets.of(apart).select("node", "words")
-    drawn = cut(apart.join(words, "node"))
+    drawn = apart.join(sets.of(apart).select("node", "n", "words"), "node")
     differing = " + ".join(f"bit_count(l.words[{i}] ^ r.words[{i}])" for i in range(JOIN_WORDS))
     near = f"{100 + PERCENT} * ({differing}) <= {100 - PERCENT} * (l.n + r.n)"
     return (
@@ -350,7 +345,9 @@ def _long_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
     rows = cut(placed.join(lists, "sig", "left_semi"))
     stars = rows.join(rows.groupBy("sig").agg(F.min("node").alias("hub")), "sig").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = components(cut(stars.where("a <> b").distinct())).withColumnRenamed("root", "grp")
-    nodes = cut(rows.select("node", "n", "root").distinct().join(groups, "node").withColumn("copies", F.lit(0).cast("bigint")))
+    nodes = cut(rows.select("node", "root").distinct().join(groups, "node").join(sets.nodes.select("node", "n"), "node").withColumn(
+        "copies", F.lit(0).cast("bigint")
+    ))
     return _in_blocks(nodes, sets, _joining, "a bigint, b bigint", apart=True).distinct()
 
 
@@ -395,7 +392,8 @@ def _in_blocks(nodes: DataFrame, sets: Sets, compare: Callable, schema: str, apa
     if apart:
         met = met.where("l.lo <> l.hi or r.lo <> r.hi or l.lo <> r.lo")
     met = cut(met.select("grp", F.col("l.own").alias("x"), F.col("r.own").alias("y")))
-    tokens = sets.of(nodes).select("node", "tokens")
+    wanted = bounded_broadcast(cut(dealt.select("node").distinct()))
+    tokens = sets.of(nodes).select("node", "tokens").join(wanted, "node", "left_semi")
     side = lambda c: dealt.join(met.withColumn("own", F.col(c)), ["grp", "own"]).select(
         "grp", "x", "y", "own", "node", "root", "copies"
     )
@@ -482,7 +480,7 @@ def _linked_copies(labelled: DataFrame, sets: Sets) -> DataFrame:
 
 
 def _shared(docs: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """``sig, salt, node, n, lo`` of signatures that more than one set may have, and links ``a, b`` of the salts' least nodes."""
+    """``sig, salt, node, lo`` of signatures that more than one set may have, and links ``a, b`` of the salts' least nodes."""
     group = Window.partitionBy("sig", "salt")
     postings = _postings(docs, levels, frequent, hot)
     marked = postings.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
@@ -493,20 +491,12 @@ def _shared(docs: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> tup
     return shared, least.select(F.col("least").alias("a"), F.col("lo").alias("b"))
 
 
-def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
-    """Every row's set, the sets, and the nodes with ``root, component_id``, the first null where alone."""
-    ship(df.sparkSession)
-    texts = df.select(df["doc_id"].cast("bigint").alias("doc_id"), text_of(df).alias("text"))
-    members, counts = _measured(texts)
-    own = members.where("doc_id is not null and node is not null")
-    nodes = cut(own.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")
-    ))
-    repeated = bool(own.groupBy("doc_id").count().where("count > 1").take(1))
-    named = texts.where("doc_id is not null")
-    sets = Sets(named, nodes, repeated)
+def _roots(named: DataFrame, sets: Sets, counts: np.ndarray) -> DataFrame:
+    """``node, root`` of the nodes that are linked with others."""
+    spark = named.sparkSession
     shared, hubs = _shared(named, *_levels(counts))
-    sizes = nodes.select("node", "n")
+    release(spark)
+    sizes = sets.nodes.select("node", "n")
     edges = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(hubs)
     stars = cut(
         edges.groupBy("a", "b").agg(F.count("*").alias("often"))
@@ -532,7 +522,8 @@ def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
         joined(_verified(rest, sets))
         tried = tried.union(rest)
     for lists in (_long_lists, _short_lists):
-        placed = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+        release(spark)
+        placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         counted = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
         long = F.col("m") > LONG_LIST
         split = cut(counted.where("x < y").where(long if lists is _long_lists else ~long).select("sig"))
@@ -543,6 +534,23 @@ def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
             rest = cut(found.join(tried, ["a", "b"], "left_anti"))
             found = _verified(rest, sets) if rest.take(1) else rest
         joined(found)
+    return roots
+
+
+def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
+    """Every row's set, the sets, and the nodes with ``root, component_id``, the first null where alone."""
+    ship(df.sparkSession)
+    texts = df.select(df["doc_id"].cast("bigint").alias("doc_id"), text_of(df).alias("text"))
+    members, counts = _measured(texts)
+    own = members.where("doc_id is not null and node is not null")
+    nodes = cut(own.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")
+    ))
+    repeated = bool(own.groupBy("doc_id").count().where("count > 1").take(1))
+    named = texts.where("doc_id is not null")
+    sets = Sets(named, nodes, repeated)
+    roots = _roots(named, sets, counts)
+    release(df.sparkSession)
     labelled = nodes.join(roots, "node", "left")
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     labelled = cut(labelled.join(smallest, "root", "left").select(
