@@ -9,7 +9,6 @@ from gradframe.catalog.views import DAYS, day_hist, emb, ev, hist, li, local, pr
 from gradframe.functions import vec
 from gradframe.functions.models import LR
 from gradframe.operators import evaluation, prep
-from gradframe.plans.sizes import small
 from gradframe.sources import fixedrecord, history, images, scores, tables
 
 EV_ROWS = """SELECT id, round(x[1], 6) + 0.0 AS x0, round(x[2], 6) + 0.0 AS x1,
@@ -461,9 +460,7 @@ def positional_join(spark, sf):
 @query("j4_semi_join", sql("prio", "SELECT iter, id, round(p, 6) + 0.0 AS p FROM prio WHERE iter IN (SELECT iter FROM prio WHERE p > 450)"))
 def semi_join(spark, sf):
     """Rows of the records that hold some large priority."""
-    rows = prio(spark, sf)
-    wanted = rows.where(F.col("p") > 450).select("iter").distinct()
-    return rows.join(small(wanted), "iter", "left_semi").select("iter", "id", r6("p").alias("p"))
+    return prep.holding(prio(spark, sf), F.col("p") > 450).select("iter", "id", r6("p").alias("p"))
 
 
 @query("j5_anti_join_resume", sql("prio", "SELECT iter, id, round(p, 6) + 0.0 AS p FROM prio WHERE iter NOT IN (SELECT iter FROM prio WHERE p > 450)"))

@@ -20,7 +20,7 @@ from gradframe.catalog.views import (
     weights,
 )
 from gradframe.functions.models import LR, MLP, KMeans
-from gradframe.operators import evaluation, gradients, kmeans, scoring, training
+from gradframe.operators import evaluation, gradients, hidden, kmeans, scoring, training
 from gradframe.operators.progress import Keeping
 from gradframe.sources import history
 
@@ -489,6 +489,49 @@ def hidden_state(spark, sf):
     return _centres_long(out)
 
 
+def _mixture_sql(steps):
+    """Three clouds; every step takes two fifths of the rows and keeps the other rows' shares."""
+    dim = "range(1, 65)"
+    stats = lambda z: f"""SELECT list(n ORDER BY c) AS n, list(m ORDER BY c) AS m, any_value(q) AS q FROM (
+        SELECT c, any_value(n) AS n, list(s/n ORDER BY j) AS m, any_value(q) AS q FROM (
+            SELECT c, j, sum(z[c]) AS n, sum(z[c]*x[j]) AS s, (SELECT sum(list_dot_product(x, x)) FROM emb) AS q
+            FROM {z}, range(1, 4) u(c), {dim} t(j) GROUP BY c, j) GROUP BY c)"""
+    width = f"(q - list_sum([n[c]*list_dot_product(m[c], m[c]) FOR c IN [1, 2, 3]]))/(list_sum(n)*64)"
+    parts = {"z0": "SELECT id, x, [CASE WHEN id % 3 = c THEN 0.8 ELSE 0.1 END::DOUBLE FOR c IN range(3)] AS z FROM emb", "t0": stats("z0")}
+    parts["w0"] = f"SELECT *, {width} AS v FROM t0"
+    n = "(SELECT count(*) FROM emb)"
+    for i in range(1, steps + 1):
+        start, size = THIRDS[i - 1]
+        inside = f"(id - ({start}) % {n} + {n}) % {n} < {size}"
+        parts[f"e{i}"] = f"""SELECT id, x, z, [n[c]/list_sum(n)*exp(-list_sum([(x[j]-m[c][j])*(x[j]-m[c][j]) FOR j IN {dim}])/(2*v))
+            FOR c IN [1, 2, 3]] AS e, 32*ln(2*pi()*v) AS k FROM z{i - 1}, w{i - 1}"""
+        parts[f"z{i}"] = f"SELECT id, x, CASE WHEN {inside} THEN [s/list_sum(e) FOR s IN e] ELSE z END AS z FROM e{i}"
+        parts[f"l{i}"] = f"SELECT avg(k - ln(list_sum(e))) AS loss, count(*) AS c FROM e{i} WHERE {inside}"
+        parts[f"t{i}"] = stats(f"z{i}")
+        parts[f"w{i}"] = f"SELECT *, {width} AS v FROM t{i}"
+    found = [f"""SELECT {i} AS iter, {f"(SELECT c FROM l{i})" if i else "0::BIGINT"} AS n, {f"(SELECT round(loss, 5) + 0.0 FROM l{i})" if i else "NULL"} AS loss,
+        c::INT AS c, round(n[c+1]/list_sum(n), 6) + 0.0 AS share, round(list_sum(m[c+1]), 5) + 0.0 AS centre, round(v, 6) + 0.0 AS variance
+        FROM w{i}, range(3) r(c)""" for i in range(steps + 1)]
+    return sql("emb", " UNION ALL ".join(found), **parts)
+
+
+@query("o2_soft_mixture", _mixture_sql(3))
+def soft_mixture(spark, sf):
+    """Rows share three clouds; a step, then two that go on from the archive."""
+    rows, path = emb(spark, sf), scratch(spark)
+    size = rows.count() * 2 // 5
+    start = lambda ids, X: np.where(ids[:, None] % 3 == np.arange(3), 0.8, 0.1)
+    for steps, resume in ((1, False), (2, True)):
+        out, _ = hidden.train_hidden(rows, hidden.Mixture(3, 64), start, size, steps, Keeping(path, resume=resume))
+    clouds = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: F.slice("w", c * 65 + 1, 65))
+    each = out.select("iter", "n", "loss", F.element_at("w", -1).alias("v"), F.posexplode(clouds).alias("c", "b"))
+    centre = F.aggregate(F.slice("b", 2, 64), F.lit(0.0), lambda s, v: s + v)
+    five = lambda c: F.round(c, 5) + F.lit(0.0)
+    return each.select(
+        "iter", "n", five("loss").alias("loss"), "c", r6(F.get("b", F.lit(0))).alias("share"), five(centre).alias("centre"), r6("v").alias("variance")
+    )
+
+
 @query(
     "o3_incremental_em",
     sql("emb", _em_body((0, 1, 2, 3)), **_em_sql(THIRDS)),

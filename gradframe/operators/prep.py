@@ -6,11 +6,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradframe.functions import vec
 from gradframe.functions.batches import matrix
+from gradframe.plans.sizes import small
 
 WIDE = 64  # inputs up to which per-column aggregates are used
 
@@ -110,6 +111,11 @@ def check_shape(df: DataFrame, inputs: int, outputs: int | None = None) -> int:
     return found["n"]
 
 
+def holding(df: DataFrame, condition: Column, key: str = "iter") -> DataFrame:
+    """All rows of the keys that have a row for which the condition holds."""
+    return df.join(small(df.where(condition).select(key).distinct()), key, "left_semi")
+
+
 def pick_records(df: DataFrame, wanted: Iterable[tuple[int, int]], column: str = "iter") -> DataFrame:
     """Rows whose ordinal lies in one of the inclusive ranges."""
     keep = F.lit(False)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,7 @@ from gradframe.sources.scores import write_by_iter
 from gradframe.sources.snapshots import Snapshot
 
 SMOOTHING = 0.8  # fixed value: weight of the newest slope in the decay models
+LOOK_BACK = 40  # renewals that still show in a decay model's slopes
 VERSION_STEP = 32  # fixed value: points per version in the version-by-points variation
 
 LENGTH, PROJECTION = "length", "projection"
@@ -180,10 +181,14 @@ def renew(state: DataFrame, fresh: DataFrame, decay, now: int, rows: int | None
 def fold_decay(series: DataFrame, decay, key: str = "id") -> DataFrame:
     """State after a whole series ``(key, ver, p)`` of each point, by version.
 
-    A point's series is as long as the number of its renewals.
+    Of several priorities of a version the least counts. A renewal leaves ``1 - SMOOTHING`` of the older slopes,
+    so those before the ``LOOK_BACK`` newest renewals are below what doubles can show; only the newest are brought
+    together, and tasks drop all others before the shuffle. A point with most of all rows stays as small as any.
     """
-    entry = F.struct(F.col("ver").cast("bigint").alias("v"), F.col("p").alias("q"))
-    arrays = series.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+    once = series.groupBy(key, F.col("ver").cast("bigint").alias("v")).agg(F.min("p").alias("q"))
+    newest = Window.partitionBy(key).orderBy(F.col("v").desc())
+    recent = once.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= LOOK_BACK)
+    arrays = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("v", "q"))).alias("_s"))
     first = F.element_at("_s", 1)
     start = F.struct(*named(decay, decay.initial(first["q"], first["v"])))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gradframe.functions.models import LR, MLP, KMeans
 from gradframe.functions.network import Act, Conv, Dense, Net
-from gradframe.operators import evaluation, kmeans, prep, priority, probing, training
+from gradframe.operators import evaluation, hidden, kmeans, prep, priority, probing, training
 from gradframe.operators.progress import Keeping, Stop
 from gradframe.plans import blockjoin, segments
 from gradframe.plans.segments import Segments, spans
@@ -230,3 +230,49 @@ def test_em_of_one_batch_is_lloyd(spark):
     w = np.array(out.orderBy("iter").collect()[1]["w"])
     z = state.orderBy("id").toPandas()["z"].to_numpy()
     assert (KMeans(2, 3).nearest(X, w)[0] == z).all()
+
+
+def test_soft_mixture_keeps_its_statistics(spark, tmp_path):
+    """Batch by batch the statistics are those of the present shares, and whole passes raise the likelihood."""
+    rng = np.random.default_rng(6)
+    X = np.vstack([rng.normal(c, 0.5, (30, 2)) for c in (0, 3, 6)])
+    df, model = frame(spark, X, np.zeros((90, 1))), hidden.Mixture(3, 2)
+    start = lambda ids, X: np.where(ids[:, None] % 3 == np.arange(3), 0.6, 0.2)
+    run = lambda batch, steps, **more: hidden.train_hidden(df, model, start, batch, steps, **more)
+    out, states = run(40, 5)
+    Z = np.array(states.orderBy("id").toPandas()["z"].tolist())
+    assert np.allclose(out.orderBy("iter").collect()[-1]["w"], model.maximise(model.collect(X, Z)))
+    for steps in (2, 3):
+        again, _ = run(40, steps, keeping=Keeping(str(tmp_path / "a"), resume=True))
+    both(out, again)
+    whole, _ = run(None, 12)
+    losses = [r.loss for r in whole.orderBy("iter").collect()[1:]]
+    assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:])) and losses[-1] < losses[0]
+
+
+@pytest.mark.parametrize("decay", [priority.ExpLinear(), priority.ExpQuadratic()])
+def test_decay_of_a_point_with_most_rows(spark, decay):
+    """What the newest renewals give is what the whole series gives, step by step."""
+    rng = np.random.default_rng(7)
+    values = {0: rng.random(400) + 0.5, 1: rng.random(3) + 0.5, 2: rng.random(1) + 0.5}
+    rows = [(i, v, float(p)) for i, ps in values.items() for v, p in enumerate(ps)] + [(0, 399, 9.0)]
+    df = spark.createDataFrame(rows, "id bigint, ver bigint, p double")
+    got = {r.id: r for r in priority.fold_decay(df, decay).collect()}
+    whole = spark.createDataFrame([(i, 0, float(ps[0])) for i, ps in values.items()], "id bigint, ver bigint, p double")
+    state = whole.select("id", *priority.named(decay, decay.initial(F.col("p"), F.col("ver"))))
+    start = {r.id: r for r in state.collect()}
+    for i, ps in values.items():
+        p, a, b, rate, total = ps[0], 0.0, -1.0, None, None
+        for v in range(1, len(ps)):
+            slope = np.log(ps[v] / p)
+            if "b" not in decay.columns:
+                a = 0.8 * slope + 0.2 * a
+            elif rate is None:
+                a, b = 0.0, slope
+            else:
+                bend = (slope - rate) / 2
+                a, b = 0.8 * bend + 0.2 * a, 0.8 * (slope - bend * (2 * v - 1)) + 0.2 * b
+            p, rate = ps[v], slope
+        assert np.isclose(got[i].a, a) and np.isclose(got[i].p, p) and got[i].ver == len(ps) - 1
+        assert "b" not in decay.columns or np.isclose(got[i].b, b)
+    assert set(start) == set(got)
