@@ -591,3 +591,20 @@ def representatives(df: DataFrame) -> DataFrame:
     keep = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias(f"{p}id")).distinct())
     own = df.join(keep, df["doc_id"] == F.col(f"{p}id"), "left_semi").dropDuplicates(["doc_id"])
     return own.unionByName(df.where(df["doc_id"].isNull())).select(*quoted(df.columns))
+
+
+def oracle() -> str:
+    """All pairs of documents with a common shingle in DuckDB; for tables of some thousand documents."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS t FROM d),
+u AS (SELECT doc_id, unnest(t) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (len(a.t) + len(b.t) - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, len(s.t) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM s JOIN m ON m.node = doc_id LEFT JOIN n ON n.x = doc_id
+"""

@@ -37,7 +37,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
 
-@_query("op3_ngram_jaccard_join")
+@_query("op3_ngram_jaccard_join", jaccard.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
