@@ -69,10 +69,11 @@ def _measured(df: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """``doc_id, n_shingles, node`` of every row, and the number of (row, token) pairs by the upper bits of the token.
 
     Both come from one pass. The empty set has no node. A task counts into an array of fixed size, up to 65,535 in a
-    counter, and hands it on in blocks, which are added up block by block; the driver receives the sums.
+    counter, and hands it on in blocks, those that are mostly empty as places and counts; they are added up block by block, and the
+    driver receives the sums.
     """
     blocks = (1 << BUCKET_BITS) // COUNTERS
-    names = ["doc_id", "n_shingles", "node", "block", "counts"]
+    names = ["doc_id", "n_shingles", "node", "block", "places", "counts"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -87,25 +88,31 @@ def _measured(df: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     _add(total, np.concatenate(held))
                     held = []
             n = batch.num_rows
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
         if held:
             _add(total, np.concatenate(held))
         for k, part in enumerate(np.minimum(total, 65_535).astype(np.uint16).reshape(blocks, COUNTERS)):
-            if part.any():
-                columns = [*[pa.nulls(1, pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([part.tobytes()])]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            places = np.flatnonzero(part).astype(np.uint16)
+            if not len(places):
+                continue
+            sparse = 2 * len(places) < COUNTERS
+            data = [[places.tobytes() if sparse else None], [(part[places] if sparse else part).tobytes()]]
+            columns = [*[pa.nulls(1, pa.int64())] * 3, pa.array([k], pa.int32()), *[pa.array(d, pa.binary()) for d in data]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[k] = sums.get(k, np.int64(0)) + np.frombuffer(data.as_py(), np.uint16)
+            for k, places, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                total = sums.setdefault(k, np.zeros(COUNTERS, np.int64))
+                at = slice(None) if places.as_py() is None else np.frombuffer(places.as_py(), np.uint16)
+                total[at] += np.frombuffer(data.as_py(), np.uint16)
         for k, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()])], names=["block", "counts"])
 
-    both = cut(df.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, node bigint, block int, counts binary"))
-    parts = both.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
+    both = cut(df.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, node bigint, block int, places binary, counts binary"))
+    parts = both.where("block is not null").select("block", "places", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
     total = np.zeros((blocks, COUNTERS), np.int64)
     for row in parts.collect():  # one row per block
         total[row["block"]] = np.frombuffer(row["counts"], np.int64)
