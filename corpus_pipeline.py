@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Defined cases, for every stage: a null text counts as empty, and stays null while the row is handed on; rows
+without ``doc_id`` take part in all stages but the near duplicates', where they stay; repeated rows are
+judged one by one, and of those with one id a single one outlasts the near duplicates' stage; texts of any length are
+read whole; other columns are handed on under their names up to packing; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gradframe.llm import jaccard, mixing, packing, personal, rules
-from gradframe.plans.lineage import checkpoint_dir
+from gradframe.plans.lineage import checkpoint_dir, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, with Parquet in the shared folder in between."""
+    """All stages over ``documents``, with Parquet in the shared folder in between.
+
+    A stage's files are removed once the next one is written; those of the last stay, as the result reads them.
+    """
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs

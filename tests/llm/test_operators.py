@@ -459,7 +459,81 @@ def test_other_empty_tables(spark, none):
     assert extraction.extracted(pages).count() == 0 and fixity.audited(pages).count() == 0
 
 
-def test_pipeline_stages(spark, edge, tmp_path):
+def corpus():
+    """Documents for the pipeline: prose of three sources, near and exact copies, junk, personal data."""
+    import random
+
+    rng = random.Random(21)
+    stock = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(stock) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+    rows, base = [], prose(140)
+    for d in range(60):
+        rows.append((d, prose(rng.randint(60, 220)), ("a", "b", None)[d % 3]))
+    for d in range(60, 70):
+        w = base.split()
+        w[3 * (d - 60)] = "changed"
+        rows.append((d, " ".join(w), "a"))
+    rows += [(70, rows[5][1], "b"), (71, "### $$$ " * 60, "a"), (72, "one two " * 80, "b"), (73, None, "a"), (74, "", None)]
+    rows += [(75, prose(90) + " write to john.doe@mail.example.org or 10.1.2.3, card 4111 1111 1111 1111 " + prose(30), "b")]
+    rows += [(None, prose(80), "a"), (12, rows[12][1], "a")]
+    return rows
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Every stage's rows follow from those of the stage before."""
+    import zlib
+
+    import numpy as np
+
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    encoder = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(corpus(), "doc_id bigint, text string, source string")
+    kept, before = [], docs
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, "").write.parquet(f"{tmp_path}/{number}")
+        before = spark.read.parquet(f"{tmp_path}/{number}")
+        kept.append(before.collect())
+    good, single, clean, mix, pieces = kept
+    measured = {d: brute.measures(t) for d, t, _ in corpus()}
+    failed = {d for d, m in measured.items() if m[0] < 50 or 100 * m[4] > 50 * m[0]}
+    assert not failed & {r.doc_id for r in good} and len(good) > 60
+    links = brute.components({r.doc_id: r.text for r in good if r.doc_id is not None})
+    assert sorted(r.doc_id for r in single if r.doc_id is not None) == sorted({root for _, root in links.values()})
+    assert sum(r.doc_id is None for r in single) == sum(r.doc_id is None for r in good)
+    own = {r.doc_id: r.text for r in single}
+    assert not [r for r in clean if brute.personal(r.text)] and len(clean) == len(single)
+    assert all(r.text == own[r.doc_id] for r in clean if not brute.personal(own[r.doc_id]) and r.doc_id != 75)
+    sizes, counts = Counter(), Counter()
+    for r in clean:
+        sizes[r.source] += len(brute.words(r.text))
+    for r in mix:
+        counts[r.source] += len(brute.words(r.text))
+    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), (3, 1, 2)))
+    goals, open_, left = {}, dict(weights), 1.5 * sum(sizes.values())
+    while open_:
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        over = [s for s in open_ if share[s] > 2 * sizes[s]]
+        for s in over or list(open_):
+            goals[s] = min(share[s], 2 * sizes[s])
+            left -= goals[s]
+            del open_[s]
+    longest = max(len(brute.words(r.text)) for r in clean)
+    assert all(abs(counts[s] - goals[s]) <= longest for s in goals), (counts, goals)
+    want = Counter()
+    for r in mix:
+        ids = np.array(encoder.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        for number, (start, length) in enumerate(packing.cut_points(len(ids), packing.CAPACITY)):
+            want[r.doc_id, number, start, length, zlib.crc32(ids[start : start + length].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    fill = {}
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= packing.CAPACITY and len(fill) <= -(-sum(fill.values()) // packing.CAPACITY) + 1
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, edge, none, tmp_path):
     docs = edge
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, "")
@@ -468,9 +542,55 @@ def test_pipeline_stages(spark, edge, tmp_path):
         out.write.parquet(f"{tmp_path}/{number}")
         docs = spark.read.parquet(f"{tmp_path}/{number}")
     assert docs.count() > 0
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and all(re.match(r"op\d+_", q) for q in queries.QUERIES)
 
 
+def test_extraction_is_linear_in_nesting():
+    import time
+
+    for page in ("<i>" * 250_000 + "</x>" * 250_000, "<i>" * 150_000 + "<p>a</p>" * 100_000, "<article><div>" * 60_000 + "text"):
+        began = time.process_time()
+        extraction.main_text(page)
+        assert time.process_time() - began < 8, page[:20]
+
+
+def test_extraction_keeps_whole_articles():
+    long = "<p>" + "A sentence of the first article, which goes on for a while. " * 14 + "</p>"
+    page = f"<body><nav>Menu</nav><article>{long}</article><article><p>Short.</p></article><footer>Foot</footer></body>"
+    assert extraction.main_text(page).split("\n")[1:] == ["Short."]
+    wrapped = f"<body><div class='no-sidebar sidebar-menu'><h1>Title</h1>{long}{long}</div></body>"
+    assert extraction.main_text(wrapped).startswith("Title\nA sentence")
+    menu = f"<body><div class='sidebar-menu'><p>Menu</p></div><h1>Title</h1>{long}<div class='comments'><h2>x</h2>{long}{long}{long}{long}</div></body>"
+    assert "Menu" not in extraction.main_text(menu) and extraction.main_text(menu).count("A sentence") == 14
+
+
+def test_secrets_without_digits(spark):
+    text = "secret key: " + "abcdef" * 6
+    df = spark.createDataFrame([(1, text), (2, "abcdef" * 6)], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in personal.digest(df).collect()}
+    assert got == {1: "secret:12:48", 2: ""}
+    assert personal.redact(df).where("doc_id = 1").first().text == "secret key: [SECRET]"
+
+
+def test_replicas_are_hashed_from_their_own_records(spark, none):
+    pages = spark.createDataFrame(
+        [(i, f"http://x/{i}", "h" * i, i, "s", "o") for i in range(300)] + [(7, None, None, 1, "s", "o")] * 2 + [(None, "u", "x" * 300_000, 1, "s", "o")],
+        "page_id bigint, url string, html string, length int, sha256 string, warc_offset string",
+    )
+    rows = fixity.audited(pages).collect()
+    assert len(rows) == 303
+    at = 0
+    for r in sorted(rows, key=lambda r: r.warc_offset):
+        assert r.warc_offset == at
+        at += r.length
+    import hashlib
+
+    fault = lambda i: {"07": "changed", "7e": "changed", "2a": "missing"}.get(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:2], "same")
+    assert Counter((r.page_id, r.status) for r in rows) == Counter((r.page_id, fault(r.page_id)) for r in rows)
+
+
 def test_sketches_never_overstate_the_difference():
     import numpy as np
 
