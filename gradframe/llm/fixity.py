@@ -38,13 +38,23 @@ def record(key: Column, url: Column, html: Column) -> Column:
     )
 
 
-def digests(records: DataFrame) -> DataFrame:
-    """``page_id, length, sha256`` of every row of ``page_id, record``; no page is shuffled for it."""
+def recorded(pages: DataFrame) -> DataFrame:
+    """``page_id, record`` of every page."""
+    return pages.select(pages["page_id"], record(pages["page_id"], pages["url"], pages["html"]).alias("record"))
+
+
+def digested(records: DataFrame) -> DataFrame:
+    """``page_id, length, sha256`` of every record; no page is shuffled for it."""
     return records.select(
         "page_id", F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("sha256")
     )
 
 
+def digests(pages: DataFrame) -> DataFrame:
+    """``page_id, length, sha256`` of every page's record."""
+    return digested(recorded(pages))
+
+
 def placed(records: DataFrame) -> DataFrame:
     """Add ``warc_offset``: records lie in the order of their page ids, those of one id by length and digest."""
     run = ordered.running(records, [], ["page_id", "length", "sha256"], {"_end": F.col("length")})
@@ -117,10 +127,10 @@ def audited(pages: DataFrame) -> DataFrame:
     placed from their own lengths. A changed record has another first byte; a lost one leaves
     a hole of its length.
     """
-    whole = pages.select(pages["page_id"], record(pages["page_id"], pages["url"], pages["html"]).alias("record"))
-    first = cut(placed(digests(whole)))
+    whole = recorded(pages)
+    first = cut(placed(digested(whole)))
     hurt = F.when(_fault(F.col("page_id")) == "changed", F.concat(F.lit("X"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
-    second = placed(digests(whole.withColumn("record", hurt))).where(F.coalesce(_fault(F.col("page_id")) != "missing", F.lit(True)))
+    second = placed(digested(whole.withColumn("record", hurt))).where(F.coalesce(_fault(F.col("page_id")) != "missing", F.lit(True)))
     found = cut(audit(first.select("warc_offset", "sha256"), second.select("warc_offset", "sha256")))
     return first.join(bounded_broadcast(found), "warc_offset", "left").select(
         "page_id", "warc_offset", "length", "sha256", F.coalesce("status", F.lit("same")).alias("status")
