@@ -381,14 +381,14 @@ def bias(spark, sf):
     sql(
         "ev",
         """SELECT id, y FROM ev, (SELECT count(*) AS n FROM events)
-        WHERE (id - (n - 300) + n) % n < 1000""",
+        WHERE (id - (n - n//30) + n) % n < n//10""",
     ),
 )
 def cyclic_batch(spark, sf):
-    """A batch of 1000 that starts 300 rows before the end and wraps."""
+    """A tenth of the rows, from a thirtieth before the end on; it wraps."""
     rows = ev(spark, sf)
     total = rows.count()
-    return prep.batch_slice(rows, total - 300, 1000, total).select("id", F.get("y", F.lit(0)).alias("y"))
+    return prep.batch_slice(rows, total - total // 30, total // 10, total).select("id", F.get("y", F.lit(0)).alias("y"))
 
 
 @query(

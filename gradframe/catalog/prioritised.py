@@ -120,20 +120,21 @@ def decay_quadratic(spark, sf):
     "r7_renew_slice",
     sql(
         "ev w3",
-        f"""SELECT id, round(CASE WHEN id < 2500 THEN list_dot_product(h, h) ELSE {LENGTH} END, 6) + 0.0 AS p
+        f"""SELECT id, round(CASE WHEN id < (SELECT count(*)//4 FROM events) THEN list_dot_product(h, h) ELSE {LENGTH} END, 6) + 0.0 AS p
         FROM (SELECT g.*, [(p2 - y)*v FOR v IN {EXT}] AS h FROM (
               SELECT g.*, 1/(1+exp(-list_dot_product(x, [0.1, 0.2, 0.3]) - 0.4)) AS p2 FROM g) g)""",
         g=_graded("ev", False),
     ),
 )
 def renew_slice(spark, sf):
-    """Priorities of the first 2500 rows renewed under another parameter."""
+    """Priorities of the first quarter of the rows renewed under another parameter."""
     rows = ev(spark, sf)
     decay = priority.Keep()
     state = priority.priorities(rows, LR3, W3)
-    part = prep.batch_slice(rows, 0, 2500, rows.count())
+    total = rows.count()
+    part = prep.batch_slice(rows, 0, total // 4, total)
     fresh = priority.priorities(part, LR3, np.array([0.1, 0.2, 0.3, 0.4]))
-    return priority.renew(state, fresh, decay, 1, 2500).select("id", r6("p").alias("p"))
+    return priority.renew(state, fresh, decay, 1, total // 4).select("id", r6("p").alias("p"))
 
 
 @query(
