@@ -7,7 +7,6 @@ adds up the results; a model only ever sees one Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
