@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradframe.plans.lineage import cut
+from gradframe.plans.lineage import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _star(edges.union(edges.select("b", "a")), larger=True)
         edges = cut(_ordered(_star(large, larger=False)))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        del large
+        release(edges.sparkSession)
         if state == before:
             break
         before = state

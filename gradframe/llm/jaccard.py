@@ -520,6 +520,7 @@ def _roots(named: DataFrame, sets: Sets, counts: np.ndarray) -> DataFrame:
     def joined(more: DataFrame) -> None:
         nonlocal links, roots
         more = cut(more)
+        release(spark)
         if more.take(1):
             links = cut(links.union(more))
             roots = cut(components(links))
