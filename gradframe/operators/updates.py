@@ -138,17 +138,20 @@ def rate_by_balance(df: DataFrame, keys: list[str], order: list[str], window: in
     row = F.struct(F.col("improve").alias("g"), F.col("interval").alias("t"), F.col("sync").alias("y"))
     rows = previous(split(df, keys, order), keys, order, row, "_w", window)
     before = F.coalesce(F.get("_w", F.size("_w") - 1)["y"], F.lit(0.01))
-    synced = fold_affine(rows, keys, order, {"_sync": (0.01, 0.5, before / 2, None)})
     missing = F.lit(window) - F.size("_w")
     gain = F.aggregate("_w", F.lit(0.0), lambda s, e: s + e["g"])
     spent = F.aggregate("_w", F.lit(0.0), lambda s, e: s + e["t"]) + missing * F.lit(0.01)
+    # the folds run in Python, where a window of structs takes a hundred times the room of its numbers
+    flat = rows.withColumns({"_before": before, "_gain": gain, "_spent": spent}).drop("_w")
+    synced = fold_affine(flat, keys, order, {"_sync": (0.01, 0.5, F.col("_before") / 2, None)})
+    mean = F.col("_spent") / F.lit(float(window))
     new = F.try_divide(F.col("improve"), F.col("interval") + F.col("sync"))
-    old = F.try_divide(gain, spent + F.col("_sync") * window)
-    judged = synced.withColumn("_mean", spent / F.lit(float(window))).withColumn("_up", new > old)
+    old = F.try_divide(F.col("_gain"), F.col("_spent") + F.col("_sync") * window)
+    judged = synced.withColumn("_mean", mean).withColumn("_up", new > old).drop("_before", "_gain", "_spent", "_sync")
     shift = F.when(F.col("_up"), F.col("_mean")).otherwise(F.lit(0.0))
     cap = F.when(F.col("_up"), F.lit(float("inf"))).otherwise(F.col("_mean"))
     out = fold_affine(judged, keys, order, {"next_interval": (0.01, 1.0, shift, cap)})
-    return out.drop("_w", "_sync", "_mean", "_up", RANGE)
+    return out.drop("_mean", "_up", RANGE)
 
 
 def per_worker_order(df: DataFrame, worker: str, order: list[str], name: str = "iter") -> DataFrame:

@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from gradframe.operators import updates
 from gradframe.plans import ordered
 from gradframe.plans.topk import top_k
 
@@ -92,3 +94,29 @@ def test_top_k_by_selection(spark, k):
     got = set(top_k(df, k, "p", "id", heap_rows=20).toPandas()["id"])
     want = pdf.sort_values(["p", "id"], ascending=[False, True]).head(k)["id"]
     assert got == set(want) and len(got) == min(k, 3000)
+
+
+def test_balance_estimator_hands_only_plain_numbers_to_python(spark, monkeypatch):
+    """A window of structs in a range's frame takes a hundred times the room of its numbers."""
+    seen = []
+    fold = updates.fold_affine
+    monkeypatch.setattr(updates, "fold_affine", lambda df, *a: seen.append(df.schema) or fold(df, *a))
+    rows = spark.range(40).selectExpr("id % 2 as k", "id as t", "id / 9D as improve", "0.5D + id % 7 as interval", "0.1D as sync")
+    got = back(updates.rate_by_balance(rows, ["k"], ["t"], 2), "next_interval")
+    assert len(seen) == 2 and not any(isinstance(f.dataType, ArrayType) for s in seen for f in s)
+    want = []
+    for k in range(2):
+        y, s, past = 0.01, 0.01, [(0.0, 0.01)] * 2
+        for t in range(k, 40, 2):
+            g, i = t / 9, 0.5 + t % 7
+            spent = past[-1][1] + past[-2][1]
+            up = g / (i + 0.1) > (past[-1][0] + past[-2][0]) / (spent + 2 * y)
+            s = s + spent / 2 if up else min(spent / 2, s)
+            y = (y + 0.1) / 2
+            past.append((g, i))
+            want.append(s)
+    assert np.allclose(got["next_interval"], want)
+
+
+def test_a_range_fits_a_python_worker():
+    assert ordered.RANGE_ROWS <= 1 << 17
