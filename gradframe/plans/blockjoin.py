@@ -1,9 +1,9 @@
 """Every row against every record of another table, in blocks.
 
-Rows are packed where they lie into blocks of some megabytes (one binary value each), records
-into blocks of some megabytes too. Every block of rows meets every block of records in a task, which
-holds one pair at a time. Records up to a checked size are broadcast; larger
-tables are dealt to stripes: a stripe gets its share of the row blocks and all record blocks. Neither the plan
+Records are packed where they lie into blocks of some megabytes (one binary value each). Every block of rows
+meets every block of records in a task, which holds one pair at a time. Records up to a checked size are broadcast, and
+rows are read where they lie, in the batches that Spark hands on; with larger tables rows are packed too, and both are
+dealt to stripes: a stripe gets its share of the row blocks and all record blocks. Neither the plan
 nor the driver's memory depends on the number of records.
 """
 
@@ -22,13 +22,16 @@ BLOCK_BYTES = 4 << 20
 PACKED = "n bigint, size bigint, data binary"
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of ``BLOCK_BYTES`` or a single row."""
+    rows = max(1, BLOCK_BYTES * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = max(1, BLOCK_BYTES * batch.num_rows // max(1, batch.nbytes))
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
+        for part in _sliced(batch):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as stream:
                 stream.write_batch(part)
@@ -37,8 +40,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["n", "size", "data"])
 
 
-def _unpacked(value: pa.Scalar) -> pa.RecordBatch:
-    with pa.ipc.open_stream(value.as_buffer()) as stream:
+def _unpacked(value: pa.Buffer) -> pa.RecordBatch:
+    with pa.ipc.open_stream(value) as stream:
         return stream.read_next_batch()
 
 
@@ -54,14 +57,23 @@ def meet(rows: DataFrame, records: DataFrame, visit: Callable, schema) -> DataFr
     """
     right = cut(packed(records).select(F.col("data").alias("records"), F.col("size").alias("record_bytes")))
     size = right.agg(F.sum("record_bytes")).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        known = rows.sparkSession.sparkContext.broadcast([bytes(r["records"]) for r in right.collect()])
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from visit(
+                (part, _unpacked(pa.py_buffer(block))) for batch in batches for part in _sliced(batch) for block in known.value
+            )
+
+        return rows.mapInArrow(beside, schema)
     left = packed(rows).select("data", F.monotonically_increasing_id().alias("number"))
-    stripes = 1 if size <= BROADCAST_BYTES else 4 * rows.sparkSession.sparkContext.defaultParallelism
+    stripes = 4 * rows.sparkSession.sparkContext.defaultParallelism
     left = left.withColumn("stripe", F.pmod(F.xxhash64("number"), F.lit(stripes)))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stripes - 1).cast("bigint")))
     right = right.select("records", every.alias("stripe"))
-    pairs = left.join(F.broadcast(right) if stripes == 1 else right, "stripe").select("data", "records")
+    pairs = left.join(right, "stripe").select("data", "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from visit((_unpacked(a), _unpacked(b)) for batch in batches for a, b in zip(*batch.columns))
+        yield from visit((_unpacked(a.as_buffer()), _unpacked(b.as_buffer())) for batch in batches for a, b in zip(*batch.columns))
 
     return pairs.mapInArrow(run, schema)

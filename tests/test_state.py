@@ -213,6 +213,14 @@ def test_every_row_meets_every_record_once(spark, monkeypatch, limit):
             assert np.allclose(got[got["iter"] == i].sort_values("id")["p"], want)
 
 
+def test_rows_meet_broadcast_records_in_one_python_stage(spark):
+    """Packed rows would go to Python twice, the second time in batches of many blocks."""
+    X, Y = points(n=20)
+    h = history.rows(spark, [(i, 0.0, i, np.full(4, i / 5)) for i in range(3)])
+    plan = probing.batch_losses(frame(spark, X, Y), LR(3), h, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_batch_losses(spark):
     X, Y = points(n=50)
     h = history.rows(spark, [(i, 0.0, i, np.full(4, i / 5)) for i in range(3)])
