@@ -55,3 +55,19 @@ def test_uniform_does_not_repeat(spark):
 def test_softplus_of_large_values(spark):
     got = spark.range(1).select(vec.softplus(F.lit(1000.0)).alias("a"), vec.softplus(F.lit(-1000.0)).alias("b")).first()
     assert (got.a, got.b) == (1000.0, 0.0)
+
+
+def test_a_long_selection_computes_its_values_once(spark):
+    """Rounds that compute the values anew take as many times their work."""
+    done = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            done.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(2000).selectExpr("id", "cast(id * 7 % 1999 as double) as p").mapInArrow(run, "id bigint, p double")
+    got = top_k(rows, 900, "p", "id", heap_rows=10).collect()
+    assert done.value == 2000
+    want = sorted(((i * 7 % 1999, i) for i in range(2000)), key=lambda r: (-r[0], r[1]))[:900]
+    assert sorted(r["id"] for r in got) == sorted(i for _, i in want)
