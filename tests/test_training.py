@@ -201,6 +201,19 @@ def test_prioritised_training_by_hand(spark, decay, variation):
     assert np.allclose(last_w(got), w)
 
 
+@pytest.mark.parametrize("model,plans", [(LR(3), 0), (MLP((3, 2, 1)), 1)])
+@pytest.mark.parametrize("block", [2, 150])
+def test_block_sums_of_scattered_rows_take_one_pass(spark, model, plans, block):
+    X, Y = points(n=400)
+    w = np.linspace(-1, 1, model.width)
+    got = priority._block_sums(frame(spark, X, Y), model, w, block)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == plans
+    for r in got.collect():
+        part = slice(r.block * block, (r.block + 1) * block)
+        assert r.n == len(X[part]) and np.allclose(r.g, model.grad_sum(X[part], Y[part], w)[0])
+    assert got.count() == -(-400 // block)
+
+
 def test_block_and_decayed_mean_by_hand(spark):
     X, Y = points(n=100)
     df, w0 = frame(spark, X, Y), np.full(4, 0.1)
