@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradframe.llm import (
-    extraction, factorisation, fixity, imatch, jaccard, licences, mixing, packing, personal, queries, rules,
+    extraction, factorisation, fixity, graph, imatch, jaccard, licences, mixing, packing, personal, queries, rules,
 )
 from tests.llm import brute
 
@@ -108,6 +108,42 @@ def test_jaccard_counts_all_links(spark, monkeypatch):
     assert got == want and [got[d] for d in (0, 1, 2, 60, 62, 70, 71)] == [2, 2, 2, 0, 0, 1, 1]
 
 
+def tasks_of(spark, run):
+    """How many jobs and tasks Spark starts for a call."""
+    import uuid
+
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    tracker = sc.statusTracker()
+    jobs = tracker.getJobIdsForGroup(group)
+    stages = {k for j in jobs if (info := tracker.getJobInfo(j)) for k in info.stageIds}
+    return len(jobs), sum(s.numCompletedTasks for k in stages if (s := tracker.getStageInfo(k)))
+
+
+def test_components_of_few_edges_in_one_task(spark, monkeypatch):
+    """A chain, a star, a loop and a repeated edge: few jobs for few edges, and the same roots by turns over all tasks."""
+    import random
+
+    rng = random.Random(4)
+    chain = rng.sample(range(-500, 500), 200)
+    star = [(2000, d) for d in rng.sample(range(1000, 2000), 50)]
+    edges = [*zip(chain, chain[1:]), *star, (5000, 5000), (5001, 5002), (5002, 5001)]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = {n: min(chain) for n in chain} | {n: min(b for _, b in star) for n in [2000, *(b for _, b in star)]}
+    want |= {5001: 5001, 5002: 5001}
+    found = lambda: {r.node: r.root for r in graph.components(frame).collect() if r.node != 5000}
+    got = {}
+    jobs, _ = tasks_of(spark, lambda: got.update(found()))
+    assert got == want and jobs <= 3
+    monkeypatch.setattr(graph, "EDGES_AT_ONCE", 0)
+    assert found() == want
+
+
 def test_signatures_meet(edge_texts):
     """Any two similar sets share a signature, whatever tokens count as frequent."""
     import numpy as np
