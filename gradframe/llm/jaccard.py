@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradframe.llm.columns import bounded_broadcast, private, quoted, text_of
+from gradframe.llm.columns import BROADCAST_ROWS, private, quoted, text_of
 from gradframe.llm.graph import components
 from gradframe.llm.shingles import mixed, set_key, shingle_set
 from gradframe.plans import ordered
@@ -254,27 +254,39 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
+def _few(df: DataFrame) -> tuple[DataFrame, int]:
+    """Written rows of plain numbers, and how many there are.
+
+    Up to ``BROADCAST_ROWS`` go on as a single partition that joins by broadcast, so that their joins and groups take a
+    task in place of several for each shuffle partition; more stay as they are.
+    """
+    n = df.count()
+    return (F.broadcast(df.coalesce(1)), n) if n <= BROADCAST_ROWS else (df, n)
+
+
 class Sets:
     """Whole sets of nodes, made from one document's text for each node when they are first asked for."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, repeated: bool):
         self.docs, self.nodes, self.repeated = docs, nodes, repeated
         self.made: DataFrame | None = None
+        self.asked: DataFrame | None = None
 
     def of(self, named: DataFrame) -> DataFrame:
         """``node, n, words, sketch, tokens`` of the nodes in ``named`` and of all asked for before."""
         new = self.nodes.join(named.select("node").distinct(), "node", "left_semi")
-        if self.made is not None:
-            new = new.join(self.made.select("node"), "node", "left_anti")
-        wanted = cut(new.select("node", F.col("first").alias("doc_id")))
-        if self.made is None or wanted.take(1):
-            ids = bounded_broadcast(wanted.select("doc_id").distinct())
-            texts = self.docs.join(ids, "doc_id", "left_semi").select("text")
+        if self.asked is not None:
+            new = new.join(self.asked, "node", "left_anti")
+        wanted, n = _few(cut(new.select("node", F.col("first").alias("doc_id"))))
+        if self.made is None or n:
+            texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
             built = texts.mapInArrow(_build, "node bigint, n bigint, words array<bigint>, sketch binary, tokens binary")
             # an id with several texts brings other sets too
-            own = built.join(bounded_broadcast(wanted.select("node")), "node", "left_semi")
+            own = built.join(wanted.select("node"), "node", "left_semi")
             own = cut(own.dropDuplicates(["node"]) if self.repeated else own)
             self.made = own if self.made is None else self.made.unionByName(own)
+            asked = wanted.select("node")
+            self.asked = asked if self.asked is None else _few(cut(self.asked.union(asked)))[0]
         return self.made
 
 
@@ -283,14 +295,13 @@ def _near_sizes(x: str, y: str) -> str:
 
 
 def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar enough.
+    """The pairs ``a, b``, written and each there once, whose whole sets are similar enough.
 
-    Pairs whose
-    sketches already differ in more bits than similar sets can are left out before sets are moved:
+    Pairs whose sketches already differ in more bits than similar sets can are left out before sets are moved:
     100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
     """
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    made = sets.of(named)
+    pairs, _ = _few(pairs)
+    made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +313,7 @@ def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
 
     drawn = lambda side: made.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
     sketched = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b")
-    pairs = cut(sketched.mapInArrow(narrow, "a bigint, b bigint").distinct())
+    pairs, _ = _few(cut(sketched.mapInArrow(narrow, "a bigint, b bigint")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,9 +326,9 @@ def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
 
     # the sets of one side go to those of the other, which are moved once for each node
     of = lambda side: made.select(F.col("node").alias(side), F.col("tokens").alias(f"set_{side}"))
-    hubs = of("a").join(bounded_broadcast(cut(pairs.select("a").distinct())), "a", "left_semi")
-    both = of("b").join(bounded_broadcast(pairs), "b").join(hubs, "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(compare, "a bigint, b bigint").distinct()
+    hubs = of("a").join(pairs.select("a").distinct(), "a", "left_semi")
+    both = of("b").join(pairs, "b").join(hubs, "a").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(compare, "a bigint, b bigint")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -332,7 +343,7 @@ def _short_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
 
     The join itself leaves out pairs whose bitmaps differ in more bits than similar sets can.
     """
-    apart = cut(placed.join(lists, "sig", "left_semi"))
+    apart = cut(placed.join(lists.select("sig"), "sig", "left_semi"))
     drawn = apart.join(sets.of(apart).select("node", "n", "words"), "node")
     differing = " + ".join(f"bit_count(l.words[{i}] ^ r.words[{i}])" for i in range(JOIN_WORDS))
     near = f"{100 + PERCENT} * ({differing}) <= {100 - PERCENT} * (l.n + r.n)"
@@ -349,12 +360,11 @@ def _long_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
 
     A pair of blocks gives no more links than are needed to join its components.
     """
-    rows = cut(placed.join(lists, "sig", "left_semi"))
-    stars = rows.join(rows.groupBy("sig").agg(F.min("node").alias("hub")), "sig").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(cut(stars.where("a <> b").distinct())).withColumnRenamed("root", "grp")
-    nodes = cut(rows.select("node", "root").distinct().join(groups, "node").join(sets.nodes.select("node", "n"), "node").withColumn(
-        "copies", F.lit(0).cast("bigint")
-    ))
+    rows = cut(placed.join(lists, "sig"))
+    stars, _ = _few(cut(rows.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
+    groups, _ = _few(cut(components(stars).withColumnRenamed("root", "grp")))
+    nodes = rows.select("node", "root").distinct().join(groups, "node").join(sets.nodes.select("node", "n"), "node")
+    nodes = cut(nodes.withColumn("copies", F.lit(0).cast("bigint")))
     return _in_blocks(nodes, sets, _joining, "a bigint, b bigint", apart=True).distinct()
 
 
@@ -392,20 +402,24 @@ def _in_blocks(nodes: DataFrame, sets: Sets, compare: Callable, schema: str, apa
     A set is moved once for each block of its group at most.
     """
     weight = F.greatest("n", F.lit(LEAST_TOKENS)).cast("bigint")
-    run = ordered.running(nodes, ["grp"], ["root", "node"], {"upto": weight})
-    dealt = cut(run.withColumn("own", F.floor((F.col("upto") - weight) / BLOCK_TOKENS).cast("int")))
-    blocks = cut(dealt.groupBy("grp", "own").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    nodes, n = _few(nodes)
+    if n <= BROADCAST_ROWS:
+        upto = F.sum(weight).over(Window.partitionBy("grp").orderBy("root", "node"))
+        run = nodes.withColumn("upto", upto)
+    else:
+        run = ordered.running(nodes, ["grp"], ["root", "node"], {"upto": weight})
+    dealt, _ = _few(cut(run.withColumn("own", F.floor((F.col("upto") - weight) / BLOCK_TOKENS).cast("int"))))
+    blocks, _ = _few(cut(dealt.groupBy("grp", "own").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))))
     met = blocks.alias("l").join(blocks.alias("r"), "grp").where("l.own <= r.own")
     if apart:
         met = met.where("l.lo <> l.hi or r.lo <> r.hi or l.lo <> r.lo")
-    met = cut(met.select("grp", F.col("l.own").alias("x"), F.col("r.own").alias("y")))
-    wanted = bounded_broadcast(cut(dealt.select("node").distinct()))
-    tokens = sets.of(nodes).select("node", "tokens").join(wanted, "node", "left_semi")
+    met, _ = _few(cut(met.select("grp", F.col("l.own").alias("x"), F.col("r.own").alias("y"))))
+    tokens = sets.of(nodes).select("node", "tokens").join(dealt.select("node").distinct(), "node", "left_semi")
     side = lambda c: dealt.join(met.withColumn("own", F.col(c)), ["grp", "own"]).select(
         "grp", "x", "y", "own", "node", "root", "copies"
     )
-    placed = side("x").unionByName(side("y").where("x <> y")).join(tokens, "node")
-    rows = placed.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    visits, _ = _few(cut(side("x").unionByName(side("y").where("x <> y"))))
+    rows = visits.join(tokens, "node").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
     names = ["grp", "x", "y", "own", "node", "root", "copies", "tokens"]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,41 +519,43 @@ def _roots(named: DataFrame, sets: Sets, counts: np.ndarray) -> DataFrame:
     release(spark)
     sizes = sets.nodes.select("node", "n")
     edges = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(hubs)
-    stars = cut(
+    stars, _ = _few(cut(
         edges.groupBy("a", "b").agg(F.count("*").alias("often"))
         .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
         .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         .where(_near_sizes("na", "nb")).select("a", "b", "often")
-    )
+    ))
     # first each node with the one it shares most signatures with, then what this leaves apart
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
     tried = cut(best)
-    links = cut(_verified(tried, sets))
-    roots = cut(components(links))
+    links, _ = _few(cut(_verified(tried, sets)))
+    roots, _ = _few(cut(components(links)))
 
     def joined(more: DataFrame) -> None:
         nonlocal links, roots
-        more = cut(more)
+        more, n = _few(cut(more))
         release(spark)
-        if more.take(1):
-            links = cut(links.union(more))
-            roots = cut(components(links))
+        if n:
+            links, _ = _few(cut(links.union(more)))
+            roots, _ = _few(cut(components(links)))
 
     rest = cut(_apart(stars.select("a", "b"), roots).join(tried, ["a", "b"], "left_anti"))
     if rest.take(1):
         joined(_verified(rest, sets))
-        tried = tried.union(rest)
+        tried = cut(tried.union(rest))
     for lists in (_long_lists, _short_lists):
         release(spark)
         placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        counted = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
+        counted = placed.groupBy("sig").agg(
+            F.min("node").alias("hub"), F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")
+        )
         long = F.col("m") > LONG_LIST
-        split = cut(counted.where("x < y").where(long if lists is _long_lists else ~long).select("sig"))
-        if not split.take(1):
+        split, n = _few(cut(counted.where("x < y").where(long if lists is _long_lists else ~long).select("sig", "hub")))
+        if not n:
             continue
         found = lists(placed, split, sets)
         if lists is _short_lists:
-            rest = cut(found.join(tried, ["a", "b"], "left_anti"))
+            rest = cut(found.join(_few(tried)[0], ["a", "b"], "left_anti"))
             found = _verified(rest, sets) if rest.take(1) else rest
         joined(found)
     return roots
@@ -551,19 +567,18 @@ def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
     texts = df.select(df["doc_id"].cast("bigint").alias("doc_id"), text_of(df).alias("text"))
     members, counts = _measured(texts)
     own = members.where("doc_id is not null and node is not null")
-    nodes = cut(own.groupBy("node").agg(
+    nodes, _ = _few(cut(own.groupBy("node").agg(
         F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")
-    ))
+    )))
     repeated = bool(own.groupBy("doc_id").count().where("count > 1").take(1))
     named = texts.where("doc_id is not null")
     sets = Sets(named, nodes, repeated)
     roots = _roots(named, sets, counts)
     release(df.sparkSession)
-    labelled = nodes.join(roots, "node", "left")
-    smallest = labelled.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    labelled = cut(labelled.join(smallest, "root", "left").select(
-        "node", "n", "root", "copies", F.coalesce("least", "first").alias("component_id")
-    ))
+    # a node alone has a group of its own: nulls would meet in one task
+    labelled = nodes.join(roots, "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    smallest = labelled.groupBy("grp").agg(F.min("first").alias("component_id"))
+    labelled = cut(labelled.join(smallest, "grp").select("node", "n", "root", "copies", "component_id"))
     return members, sets, labelled
 
 

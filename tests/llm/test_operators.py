@@ -144,6 +144,43 @@ def test_components_of_few_edges_in_one_task(spark, monkeypatch):
     assert found() == want
 
 
+def few_copies(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = {d: " ".join(base[:d] + [word()] + base[d + 1 :]) for d in range(0, 300, 4)}
+    texts |= {d: " ".join(word() for _ in range(60)) for d in range(1000, 1050)}
+    return spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), texts
+
+
+def test_jaccard_few_links_take_few_tasks(spark):
+    """A table with few links and many shuffle partitions: its small tables do not take a task for each of these."""
+    df, texts = few_copies(spark)
+    names, got = {"spark.sql.shuffle.partitions": "80", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, {}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        _, tasks = tasks_of(spark, lambda: got.update({r.doc_id: r.component_id for r in jaccard.join(df).collect()}))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {d: c for d, (_, c) in brute.components(texts).items()}
+    assert tasks < 80 * 50
+
+
+def test_jaccard_tables_too_large_for_one_task(spark, monkeypatch):
+    """The same result where no table counts as small."""
+    df, _ = few_copies(spark)
+    want = sorted(jaccard.join(df).collect())
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "LONG_LIST", 4)
+    monkeypatch.setattr(graph, "EDGES_AT_ONCE", 0)
+    assert sorted(jaccard.join(df).collect()) == want
+
+
 def test_signatures_meet(edge_texts):
     """Any two similar sets share a signature, whatever tokens count as frequent."""
     import numpy as np
