@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradframe.llm.columns import BROADCAST_ROWS, private, quoted, text_of
+from gradframe.llm.columns import private, quoted, text_of
 from gradframe.llm.graph import components
 from gradframe.llm.shingles import mixed, set_key, shingle_set
 from gradframe.plans import ordered
@@ -56,6 +56,7 @@ SALTS = 64
 BLOCK_TOKENS = 1 << 17  # of the sets of a block
 LEAST_TOKENS = 1 << 9  # that a set counts as in a block, so that a block holds at most 256 sets
 TOKENS_AT_ONCE = 1 << 14
+FEW_ROWS = 1 << 16  # of a written table that goes on as one partition
 SUBCLASS_TOKENS = 16  # aimed-at frequent tokens of one subclass in a prefix
 
 
@@ -257,11 +258,11 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _few(df: DataFrame) -> tuple[DataFrame, int]:
     """Written rows of plain numbers, and how many there are.
 
-    Up to ``BROADCAST_ROWS`` go on as a single partition that joins by broadcast, so that their joins and groups take a
+    Up to ``FEW_ROWS`` go on as a single partition that joins by broadcast, so that their joins and groups take a
     task in place of several for each shuffle partition; more stay as they are.
     """
     n = df.count()
-    return (F.broadcast(df.coalesce(1)), n) if n <= BROADCAST_ROWS else (df, n)
+    return (F.broadcast(df.coalesce(1)), n) if n <= FEW_ROWS else (df, n)
 
 
 class Sets:
@@ -403,7 +404,7 @@ def _in_blocks(nodes: DataFrame, sets: Sets, compare: Callable, schema: str, apa
     """
     weight = F.greatest("n", F.lit(LEAST_TOKENS)).cast("bigint")
     nodes, n = _few(nodes)
-    if n <= BROADCAST_ROWS:
+    if n <= FEW_ROWS:
         upto = F.sum(weight).over(Window.partitionBy("grp").orderBy("root", "node"))
         run = nodes.withColumn("upto", upto)
     else:

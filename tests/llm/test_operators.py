@@ -175,7 +175,7 @@ def test_jaccard_tables_too_large_for_one_task(spark, monkeypatch):
     """The same result where no table counts as small."""
     df, _ = few_copies(spark)
     want = sorted(jaccard.join(df).collect())
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "FEW_ROWS", 0)
     monkeypatch.setattr(jaccard, "LONG_LIST", 4)
     monkeypatch.setattr(graph, "EDGES_AT_ONCE", 0)
     assert sorted(jaccard.join(df).collect()) == want
