@@ -6,13 +6,14 @@ at least ``c + 1`` tokens in prefixes that are ``c`` tokens longer than the plai
 filter's. Rare tokens are indexed on their own. Frequent ones, split into ``c`` subclasses
 by value, are indexed as pairs: if all shared prefix tokens are frequent, some subclass holds two of
 them. ``c`` follows a set's size band, so the number of pairs stays linear in the prefix.
-Pairs of sets under one signature are then verified on the whole sets.
+Pairs of sets under one signature are then sifted by bitmaps, which the first pass over the texts makes of
+all sets, and what these leave is verified on the whole sets, made for the nodes of such pairs only.
 
 Equal sets are one node from the start. Each node is first compared with the least node of
-that signature which it shares most; once the links found are joined to components, nodes are compared with
+that signature which it shares most, among those that its bitmap leaves; once the links found are joined to components, nodes are compared with
 the least nodes of their other signatures. What then still lies in different components is compared under
-every signature: pairs under short lists by a join with a bitmap filter; the nodes of long lists, which are
-mostly large groups of near copies, as a whole, block by block, leaving out pairs of blocks that lie in one component. Signatures
+every signature: pairs under short lists, but those with the least node, by a join with a bitmap filter; the nodes of long lists, which are
+mostly large groups of near copies, as a whole, block by block, bitmaps before sets, leaving out pairs of blocks that lie in one component. Signatures
 of tokens so frequent that their lists may be very long are dealt to salts by node, and the least nodes of
 the salts are compared with each other.
 No link between components can be lost, and groups of copies are not multiplied out. Links are
@@ -48,7 +49,7 @@ BAND = 1.25
 JOIN_WORDS = 16  # 64-bit numbers of the bitmap that a join looks at
 HELD_SETS = 500
 HELD_ROWS = 10_000  # of results handed to Spark in one batch, about
-SKETCH_BITS = 14  # of the largest sketch, as a power of two
+LEAST_BITS, SKETCH_BITS = 10, 14  # of the smallest and the largest sketch, as powers of two
 SET_BYTES = 8 << 20  # of sets handed to Spark in one batch, about
 LONG_LIST = 64  # nodes under a signature, beyond which they are compared in blocks
 HOT_LIST = 1 << 12  # possible nodes under a signature, beyond which it is dealt to salts
@@ -57,6 +58,7 @@ BLOCK_TOKENS = 1 << 17  # of the sets of a block
 LEAST_TOKENS = 1 << 9  # that a set counts as in a block, so that a block holds at most 256 sets
 TOKENS_AT_ONCE = 1 << 14
 FEW_ROWS = 1 << 16  # of a written table that goes on as one partition
+SOUGHT_NODES = 1 << 20  # whose texts are found by a broadcast of their ids, so that texts stay where they are
 SUBCLASS_TOKENS = 16  # aimed-at frequent tokens of one subclass in a prefix
 
 
@@ -67,30 +69,31 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def _measured(df: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n_shingles, node`` of every row, and the number of (row, token) pairs by the upper bits of the token.
+    """``doc_id, n_shingles, node, sketch`` of every row, and the number of (row, token) pairs by the upper bits of the token.
 
-    Both come from one pass. The empty set has no node. A task counts into an array of fixed size, up to 65,535 in a
+    Both come from one pass. The empty set has no node and no sketch. A task counts into an array of fixed size, up to 65,535 in a
     counter, and hands it on in blocks, those that are mostly empty as places and counts; they are added up block by block, and the
     driver receives the sums.
     """
     blocks = (1 << BUCKET_BITS) // COUNTERS
-    names = ["doc_id", "n_shingles", "node", "block", "places", "counts"]
+    names = ["doc_id", "n_shingles", "node", "sketch", "block", "places", "counts"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         held: list[np.ndarray] = []
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for _, _, tokens in _sets([batch], 1):
                 sizes.append(len(tokens))
                 nodes.append(set_key(tokens) if len(tokens) else None)
+                sketches.append(sketch(tokens).tobytes() if len(tokens) else None)
                 held.append((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
                 if len(held) == HELD_SETS:
                     _add(total, np.concatenate(held))
                     held = []
             n = batch.num_rows
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 2], names=names)
         if held:
             _add(total, np.concatenate(held))
         for k, part in enumerate(np.minimum(total, 65_535).astype(np.uint16).reshape(blocks, COUNTERS)):
@@ -99,7 +102,7 @@ def _measured(df: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 continue
             sparse = 2 * len(places) < COUNTERS
             data = [[places.tobytes() if sparse else None], [(part[places] if sparse else part).tobytes()]]
-            columns = [*[pa.nulls(1, pa.int64())] * 3, pa.array([k], pa.int32()), *[pa.array(d, pa.binary()) for d in data]]
+            columns = [*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), *[pa.array(d, pa.binary()) for d in data]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +115,13 @@ def _measured(df: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for k, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()])], names=["block", "counts"])
 
-    both = cut(df.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, node bigint, block int, places binary, counts binary"))
+    kinds = "doc_id bigint, n_shingles bigint, node bigint, sketch binary, block int, places binary, counts binary"
+    both = cut(df.select("doc_id", "text").mapInArrow(measure, kinds))
     parts = both.where("block is not null").select("block", "places", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
     total = np.zeros((blocks, COUNTERS), np.int64)
     for row in parts.collect():  # one row per block
         total[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    return both.where("block is null").select("doc_id", "n_shingles", "node"), total.reshape(-1)
+    return both.where("block is null").select("doc_id", "n_shingles", "node", "sketch"), total.reshape(-1)
 
 
 def _add(total: np.ndarray, buckets: np.ndarray) -> None:
@@ -138,8 +142,8 @@ def _levels(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of the set, of at least four bits a token up to ``SKETCH_BITS``."""
-    bits = 1 << min(SKETCH_BITS, max(9, int(4 * len(tokens) - 1).bit_length()))
+    """A bitmap of the set, of at least two bits a token up to ``SKETCH_BITS``."""
+    bits = 1 << min(SKETCH_BITS, max(LEAST_BITS, int(2 * len(tokens) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out)
@@ -151,8 +155,13 @@ def difference(one: bytes, two: bytes) -> int:
     The larger bitmap is folded to the size of the smaller. Each bit that differs comes from a token
     of its own that the other set does not have.
     """
-    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)))).sum())
+    x, y = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ folded(y, len(x))).sum())
+
+
+def folded(drawn: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the set has with so many 64-bit numbers, made of one with as many or more."""
+    return np.bitwise_or.reduce(drawn.reshape(-1, words))
 
 
 def _band(size: int) -> int:
@@ -233,25 +242,19 @@ def _postings(df: DataFrame, levels: np.ndarray, frequent: int, hot: int) -> Dat
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, n, words, sketch, tokens`` of texts; the words are a bitmap of fixed size for use in a join's condition."""
-    names = ["node", "n", "words", "sketch", "tokens"]
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    rows: list[tuple] = []
-    held = 0
+    """``node, tokens`` of texts."""
+    nodes, sets, held = [], [], 0
 
     def batch() -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
     for _, _, tokens in _sets(batches, 0):
-        bits = np.zeros(64 * JOIN_WORDS, bool)
-        bits[(tokens % np.uint64(len(bits))).astype(np.int64)] = True
-        words = np.packbits(bits).view(np.int64)
-        rows.append((set_key(tokens), len(tokens), words, sketch(tokens).tobytes(), tokens.tobytes()))
-        held += len(rows[-1][-1])
+        nodes.append(set_key(tokens))
+        sets.append(tokens.tobytes())
+        held += len(sets[-1])
         if held > SET_BYTES:
             yield batch()
-            rows, held = [], 0
+            nodes, sets, held = [], [], 0
     yield batch()
 
 
@@ -266,24 +269,25 @@ def _few(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 class Sets:
-    """Whole sets of nodes, made from one document's text for each node when they are first asked for."""
+    """Sketches of all nodes, and whole sets of nodes, made from one document's text for each node when they are first asked for."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, repeated: bool):
-        self.docs, self.nodes, self.repeated = docs, nodes, repeated
+    def __init__(self, docs: DataFrame, nodes: DataFrame, sketches: DataFrame, repeated: bool):
+        self.docs, self.nodes, self.sketches, self.repeated = docs, nodes, sketches, repeated
         self.made: DataFrame | None = None
         self.asked: DataFrame | None = None
 
     def of(self, named: DataFrame) -> DataFrame:
-        """``node, n, words, sketch, tokens`` of the nodes in ``named`` and of all asked for before."""
+        """``node, tokens`` of the nodes in ``named`` and of all asked for before."""
         new = self.nodes.join(named.select("node").distinct(), "node", "left_semi")
         if self.asked is not None:
             new = new.join(self.asked, "node", "left_anti")
         wanted, n = _few(cut(new.select("node", F.col("first").alias("doc_id"))))
         if self.made is None or n:
-            texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-            built = texts.mapInArrow(_build, "node bigint, n bigint, words array<bigint>, sketch binary, tokens binary")
+            sought = F.broadcast(wanted) if n <= SOUGHT_NODES else wanted
+            texts = self.docs.join(sought.select("doc_id"), "doc_id", "left_semi").select("text")
+            built = texts.mapInArrow(_build, "node bigint, tokens binary")
             # an id with several texts brings other sets too
-            own = built.join(wanted.select("node"), "node", "left_semi")
+            own = built.join(sought.select("node"), "node", "left_semi")
             own = cut(own.dropDuplicates(["node"]) if self.repeated else own)
             self.made = own if self.made is None else self.made.unionByName(own)
             asked = wanted.select("node")
@@ -295,26 +299,31 @@ def _near_sizes(x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})"
 
 
-def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
-    """The pairs ``a, b``, written and each there once, whose whole sets are similar enough.
+def _sifted(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs ``a, b`` but those whose sketches already differ in more bits than similar sets can, written.
 
-    Pairs whose sketches already differ in more bits than similar sets can are left out before sets are moved:
-    100 * shared >= 80 * union means that at most a ninth of both sizes together differs.
+    100 * shared >= 80 * union means that at most a ninth of both sizes together differs. All columns are numbers.
     """
     pairs, _ = _few(pairs)
-    made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    names = pairs.columns
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [
                 (100 + PERCENT) * difference(x.as_py(), y.as_py()) <= (100 - PERCENT) * (m.as_py() + n.as_py())
-                for x, m, y, n in zip(*batch.columns[2:])
+                for x, m, y, n in zip(*batch.columns[len(names) :])
             ]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(near, pa.bool_()))
+
+    drawn = lambda side: sets.sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
+    sketched = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select(*names, "s_a", "n_a", "s_b", "n_b")
+    return cut(sketched.mapInArrow(narrow, ", ".join(f"{c} bigint" for c in names)))
 
-    drawn = lambda side: made.select(F.col("node").alias(side), F.col("sketch").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
-    sketched = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "s_a", "n_a", "s_b", "n_b")
-    pairs, _ = _few(cut(sketched.mapInArrow(narrow, "a bigint, b bigint")))
+
+def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs ``a, b``, written and each there once, whose whole sets are similar enough."""
+    pairs, _ = _few(pairs)
+    made = sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,18 +348,29 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, n, words`` of ``node, n, sketch``; the words are a bitmap of fixed size for use in a join's condition."""
+    for batch in batches:
+        drawn = [folded(np.frombuffer(s.as_py(), np.int64), JOIN_WORDS) for s in batch.column(2)]
+        columns = [batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "words"])
+
+
 def _short_lists(placed: DataFrame, lists: DataFrame, sets: Sets) -> DataFrame:
-    """All pairs of different components under signatures of at most ``LONG_LIST`` nodes.
+    """All pairs of different components under signatures of at most ``LONG_LIST`` nodes, but those that ``_roots`` has tried.
 
-    The join itself leaves out pairs whose bitmaps differ in more bits than similar sets can.
+    Those are the pairs with the least node of a salt. The join itself leaves out pairs whose bitmaps differ in more
+    bits than similar sets can.
     """
     apart = cut(placed.join(lists.select("sig"), "sig", "left_semi"))
-    drawn = apart.join(sets.of(apart).select("node", "n", "words"), "node")
+    release(apart.sparkSession)
+    words = sets.sketches.join(apart.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch")
+    drawn = apart.join(words.mapInArrow(_words, "node bigint, n bigint, words array<bigint>"), "node")
     differing = " + ".join(f"bit_count(l.words[{i}] ^ r.words[{i}])" for i in range(JOIN_WORDS))
     near = f"{100 + PERCENT} * ({differing}) <= {100 - PERCENT} * (l.n + r.n)"
     return (
         drawn.alias("l").join(drawn.alias("r"), "sig")
-        .where(f"l.node < r.node and l.root <> r.root and {_near_sizes('l.n', 'r.n')} and {near}")
+        .where(f"l.node < r.node and l.node <> r.lo and l.root <> r.root and {_near_sizes('l.n', 'r.n')} and {near}")
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
@@ -399,7 +419,8 @@ def _in_blocks(nodes: DataFrame, sets: Sets, compare: Callable, schema: str, apa
     """Compare all nodes ``node, n, root, grp, copies`` of a group with each other, block by block.
 
     A group's nodes are ordered by component and dealt to blocks of bounded size. Every pair of blocks meets in
-    a task, which holds one such pair at a time; with ``apart`` pairs of blocks of a single component are left out.
+    a task, which holds one such pair at a time; with ``apart`` pairs of blocks of a single component are left out,
+    and of the others the sketches meet first, so that only sets are moved that may be similar to one of another component.
     A set is moved once for each block of its group at most.
     """
     weight = F.greatest("n", F.lit(LEAST_TOKENS)).cast("bigint")
@@ -415,37 +436,79 @@ def _in_blocks(nodes: DataFrame, sets: Sets, compare: Callable, schema: str, apa
     if apart:
         met = met.where("l.lo <> l.hi or r.lo <> r.hi or l.lo <> r.lo")
     met, _ = _few(cut(met.select("grp", F.col("l.own").alias("x"), F.col("r.own").alias("y"))))
-    tokens = sets.of(nodes).select("node", "tokens").join(dealt.select("node").distinct(), "node", "left_semi")
     side = lambda c: dealt.join(met.withColumn("own", F.col(c)), ["grp", "own"]).select(
         "grp", "x", "y", "own", "node", "root", "copies"
     )
-    visits, _ = _few(cut(side("x").unionByName(side("y").where("x <> y"))))
-    rows = visits.join(tokens, "node").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
-    names = ["grp", "x", "y", "own", "node", "root", "copies", "tokens"]
+    visits, n = _few(cut(side("x").unionByName(side("y").where("x <> y"))))
+    names = ["grp", "x", "y", "own", "node", "root", "copies"]
+    together = lambda rows: rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    if apart and n:
+        drawn = together(visits.join(sets.sketches, "node").select(*names, "n", "sketch"))
+        visits, _ = _few(cut(drawn.mapInArrow(_possible, ", ".join(f"{c} bigint" for c in names))))
+    moved = visits.select("node").distinct()
+    rows = together(visits.join(sets.of(moved).join(moved, "node", "left_semi"), "node").select(*names, "tokens"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns[:7]], batch.column(7)):
-                if row[:3] != now:
-                    if held:
-                        out += compare(now[1], now[2], held)
-                        held = []
-                    now = row[:3]
-                    if len(out) > HELD_ROWS:
-                        yield _two_columns(out, schema)
-                        out = []
-                held.append((*row[3:7], np.frombuffer(row[7].as_py(), np.uint64)))
-        if held:
-            out += compare(now[1], now[2], held)
-        yield _two_columns(out, schema)
+        out = []
+        for (_, x, y), held in _met(batches, np.uint64):
+            out += compare(x, y, held)
+            if len(out) > HELD_ROWS:
+                yield _numbers(out, schema)
+                out = []
+        yield _numbers(out, schema)
 
-    return rows.select(*names).mapInArrow(visit, schema)
+    return rows.mapInArrow(visit, schema)
 
 
-def _two_columns(rows: list[tuple[int, int]], schema: str) -> pa.RecordBatch:
+def _met(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[tuple, list[tuple]]]:
+    """``grp, x, y`` and what else the rows hold that meet there, of rows in their order; the last column is an array."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns[:-1]], batch.columns[-1]):
+            if row[:3] != now:
+                if held:
+                    yield now, held
+                now, held = row[:3], []
+            held.append((*row[3:-1], np.frombuffer(row[-1].as_py(), kind)))
+    if held:
+        yield now, held
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks without nodes that, by all sketches of the other one, are similar to none of another component."""
+    out = []
+    schema = "grp, x, y, own, node, root, copies"
+    for now, held in _met(batches, np.uint64):
+        by_size: dict[int, list[int]] = {}
+        for k, h in enumerate(held):
+            if h[0] == now[2]:
+                by_size.setdefault(len(h[5]), []).append(k)
+        n, root = np.array([h[4] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
+        tables = {size: np.stack([held[k][5] for k in own]) for size, own in by_size.items()}
+        found: set[int] = set()
+        for i, h in enumerate(held):
+            if h[0] != now[1]:
+                continue
+            for size, own in by_size.items():
+                least = min(size, len(h[5]))
+                other = np.bitwise_or.reduce(tables[size].reshape(len(own), -1, least), axis=1)
+                differing = np.bitwise_count(folded(h[5], least) ^ other).sum(axis=1, dtype=np.int64)
+                m = n[own]
+                near = (100 + PERCENT) * differing <= (100 - PERCENT) * (m + n[i])
+                near &= (100 * np.minimum(m, n[i]) >= PERCENT * np.maximum(m, n[i])) & (root[own] != root[i])
+                if near.any():
+                    found.add(i)
+                    found.update(np.array(own)[near].tolist())
+        out += [(*now, *held[k][:4]) for k in sorted(found)]
+        if len(out) > HELD_ROWS:
+            yield _numbers(out, schema)
+            out = []
+    yield _numbers(out, schema)
+
+
+def _numbers(rows: list[tuple[int, ...]], schema: str) -> pa.RecordBatch:
     names = [part.split()[0] for part in schema.split(",")]
-    columns = list(zip(*rows)) or [[], []]
+    columns = list(zip(*rows)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
@@ -526,6 +589,7 @@ def _roots(named: DataFrame, sets: Sets, counts: np.ndarray) -> DataFrame:
         .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         .where(_near_sizes("na", "nb")).select("a", "b", "often")
     ))
+    stars, _ = _few(_sifted(stars, sets))
     # first each node with the one it shares most signatures with, then what this leaves apart
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
     tried = cut(best)
@@ -546,17 +610,17 @@ def _roots(named: DataFrame, sets: Sets, counts: np.ndarray) -> DataFrame:
         tried = cut(tried.union(rest))
     for lists in (_long_lists, _short_lists):
         release(spark)
-        placed = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        placed = shared.join(roots, "node", "left").select("sig", "node", "lo", F.coalesce("root", "node").alias("root"))
         counted = placed.groupBy("sig").agg(
             F.min("node").alias("hub"), F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")
         )
-        long = F.col("m") > LONG_LIST
-        split, n = _few(cut(counted.where("x < y").where(long if lists is _long_lists else ~long).select("sig", "hub")))
+        long = F.col("m") > LONG_LIST  # two nodes alone have been tried as a node and the least one
+        split, n = _few(cut(counted.where("x < y and m > 2").where(long if lists is _long_lists else ~long).select("sig", "hub")))
         if not n:
             continue
         found = lists(placed, split, sets)
         if lists is _short_lists:
-            rest = cut(found.join(_few(tried)[0], ["a", "b"], "left_anti"))
+            rest = _sifted(cut(found.join(_few(tried)[0], ["a", "b"], "left_anti")), sets)
             found = _verified(rest, sets) if rest.take(1) else rest
         joined(found)
     return roots
@@ -573,7 +637,8 @@ def _components(df: DataFrame) -> tuple[DataFrame, Sets, DataFrame]:
     )))
     repeated = bool(own.groupBy("doc_id").count().where("count > 1").take(1))
     named = texts.where("doc_id is not null")
-    sets = Sets(named, nodes, repeated)
+    sketches = cut(own.groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    sets = Sets(named, nodes, sketches, repeated)
     roots = _roots(named, sets, counts)
     release(df.sparkSession)
     # a node alone has a group of its own: nulls would meet in one task

@@ -181,6 +181,39 @@ def test_jaccard_tables_too_large_for_one_task(spark, monkeypatch):
     assert sorted(jaccard.join(df).collect()) == want
 
 
+def test_jaccard_makes_sets_of_likely_pairs_only(spark, monkeypatch):
+    """Documents that share a phrase by chance: no whole sets are made of them, and no texts are shuffled to find those of others."""
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    phrases = [words(7) for _ in range(10)]
+    texts = {d: " ".join(words(150) + phrases[d % 10] + words(100)) for d in range(40)}
+    copy = texts[3].split()
+    texts |= {100: " ".join(copy[:40] + words(1) + copy[41:]), 101: " ".join(words(3000) + phrases[1])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    plans, write, name = [], jaccard.cut, "spark.sql.autoBroadcastJoinThreshold"
+
+    def cut(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame)
+
+    monkeypatch.setattr(jaccard, "cut", cut)
+    monkeypatch.setattr(jaccard, "FEW_ROWS", 0)
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        _, sets, labelled = jaccard._components(df)
+        got = {r.first: r.component_id for r in labelled.join(sets.nodes.select("node", "first"), "node").collect()}
+        made = sets.made.count()
+    finally:
+        spark.conf.set(name, before)
+    assert got == {d: c for d, (_, c) in brute.components(texts).items()}
+    assert made == 2
+    built = [p for p in plans if "_build" in p]
+    assert built and not any("SortMergeJoin" in p for p in built)
+
+
 def test_signatures_meet(edge_texts):
     """Any two similar sets share a signature, whatever tokens count as frequent."""
     import numpy as np
