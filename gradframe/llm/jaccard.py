@@ -675,9 +675,11 @@ def representatives(df: DataFrame) -> DataFrame:
     Rows without an id stay. Of repeated rows with that id one stays.
     """
     p = private(df)
-    members, _, labelled = _components(df.select("doc_id", "text"))
+    members, sets, labelled = _components(df.select("doc_id", "text"))
     found = members.join(labelled, "node", "left").select("doc_id", _own_component())
     keep = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias(f"{p}id")).distinct())
+    del members, sets, labelled, found  # their files go before whole rows are moved
+    release(df.sparkSession)
     own = df.join(keep, df["doc_id"] == F.col(f"{p}id"), "left_semi").dropDuplicates(["doc_id"])
     return own.unionByName(df.where(df["doc_id"].isNull())).select(*quoted(df.columns))
 
